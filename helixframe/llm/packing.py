@@ -211,7 +211,7 @@ def packed(
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source")
     total = by_source.agg(F.sum("n")).first()[0] or 0
     # at most WINDOW / LEAST_SHARE sources are queues of their own; these few rows are all that reaches the driver
-    named = by_source.where((F.col("n") * F.lit(window_tokens) >= F.lit(total) * F.lit(LEAST_SHARE)) | F.col("source").isin(list(targets or {}))).collect()
+    named = by_source.where((F.col("n") / F.lit(float(max(1, total))) >= LEAST_SHARE / window_tokens) | F.col("source").isin(list(targets or {}))).collect()
     queue = {r["source"]: k for k, r in enumerate(named)}
     n = [int(r["n"]) for r in named]
     rest = total - sum(n)
