@@ -21,8 +21,8 @@ each (file task, source).
 from __future__ import annotations
 
 import json
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +41,7 @@ LEAST_SHARE = 512
 #: Sums by (file task, source) up to this many rows are broadcast (a few dozen bytes each), beyond it joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
 END_ID = 1
 _LOADED: dict[str, WordEncoder] = {}
 
@@ -73,27 +73,24 @@ class WordEncoder:
         stand_in = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
         ranks = {bytes(stand_in[c] for c in w): i for w, i in model["model"]["vocab"].items() if w not in special}
         self.words = tiktoken.Encoding("words", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.whole = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\x00|" + "|".join(map(re.escape, sorted(special))))
+        self.odd = ["\0", *sorted(special)]
         self.kind = "<u2" if max(*ranks.values(), self.exact.get_vocab_size() - 1, END_ID) < 65536 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.seen: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids, and the end id, as little-endian numbers of ``kind``."""
-        end = np.array([END_ID], self.kind).tobytes()
-        if not text or self.whole.search(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + end
+        end = array(self.code, [END_ID]).tobytes()
+        # all white space is single blanks and line feeds between words: as many words as these make
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(x in text for x in self.odd):
+            return array(self.code, self.exact.encode(text, add_special_tokens=False).ids).tobytes() + end
         words = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        seen = self.seen
+        seen, encode, code = self.seen, self.words.encode_ordinary, self.code
         if len(seen) > REMEMBERED_WORDS:
             seen.clear()
-        try:
-            return b"".join(map(seen.__getitem__, words)) + end
-        except KeyError:
-            encode, kind = self.words.encode_ordinary, self.kind
-            for w in words:
-                if w not in seen:
-                    seen[w] = np.array(encode(w), kind).tobytes()
-            return b"".join(map(seen.__getitem__, words)) + end
+        for w in [w for w in words if w not in seen]:
+            seen[w] = array(code, encode(w)).tobytes()
+        return b"".join(map(seen.__getitem__, words)) + end
 
 
 def encoder(model: str) -> WordEncoder:
