@@ -75,6 +75,7 @@ class Index:
                 of.append(k)
                 at.append(s)
                 budget.append(min(int(len(w) * EDITS_PER_CHAR), (len(w) - Q) // Q))
+        self.raw = [w.tobytes() for w in self.windows]
         self.of, self.budget, self.at = (np.array(x, np.int64) for x in (of, budget, at))
         self.size = np.array(list(map(len, self.windows)), np.int64)
         self.bound = self.size + 1 - Q - Q * self.budget
@@ -89,12 +90,9 @@ class Index:
         self.least = int(self.bound.min()) if len(posts) else 0
         self.reach = int((self.size + 2 * self.budget).max()) if len(posts) else 0
 
-    def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item number, window, edits, start, end) of every window that the text holds within its budget; places are the text's own."""
-        if len(text) < Q or not self.windows:
-            return []
-        codes, place = normalised(text)
-        if len(codes) < Q:
+    def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(window, smallest diagonal) of every band of the text that reaches its window's bound."""
+        if len(codes) < Q or not self.windows:
             return []
         h = grams(codes)
         hit = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -119,40 +117,67 @@ class Index:
         window = found // wide // 2
         full = many >= self.bound[window]
         found, window = found[full], window[full]
-        if not len(found):
-            return []
-        shift, number = found // wide % 2, found % wide
         band = self.budget[window] + 1
-        low = number * 2 * band - shift * band - WINDOW  # the band's smallest diagonal
-        out = []
-        for w, d in zip(window, low):
-            edits, end = self.align(int(w), codes, int(d))
+        low = found % wide * 2 * band - found // wide % 2 * band - WINDOW
+        return list(zip(window.tolist(), low.tolist()))
+
+    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
+        """For every text, (item number, window, edits, start, end) of the windows that it holds within their budgets; places are the text's own."""
+        out: list[dict[int, tuple]] = [{} for _ in texts]
+        places: list[np.ndarray] = []
+        todo: dict[tuple[int, int], list[tuple[int, int, int, np.ndarray]]] = {}
+
+        def keep(k: int, w: int, edits: int, end: int) -> None:
             if edits <= self.budget[w]:
-                start = max(0, end - int(self.size[w]))
-                out.append((int(self.of[w]), int(w), edits, int(place[start]), int(place[end - 1]) + 1))
-        best: dict[int, tuple] = {}
-        for x in out:
-            best[x[1]] = min(best.get(x[1], x), x, key=lambda y: (y[2], y[3]))
-        return sorted(best.values())
-
-    def align(self, w: int, codes: np.ndarray, low: int) -> tuple[int, int]:
-        """The fewest edits between window ``w`` and a part of the text on the band from diagonal ``low`` on, and that part's end."""
-        p, e = self.windows[w], int(self.budget[w])
-        width = 2 * (e + 1) + 2 * e + 1
-        base = low - e  # column c of row j is text place base + j + c
-        idx = np.arange(width)
-        far = len(p) + width
-        d = np.where((base + idx >= 0) & (base + idx <= len(codes)), 0, far)  # row 0: free start
-        for j in range(1, len(p) + 1):
-            at = base + j + idx  # text characters consumed
-            ok = (at >= 1) & (at <= len(codes))
-            same = codes[np.clip(at - 1, 0, len(codes) - 1)] == p[j - 1]
-            new = np.where(ok, d + ~same, far)  # match or replace: same diagonal
-            new[:-1] = np.minimum(new[:-1], d[1:] + 1)  # a window character left out
-            new = np.where((at >= 0) & (at <= len(codes)), new, far)
-            d = np.minimum(np.minimum.accumulate(new - idx) + idx, far)  # text characters put in
-        c = int(d.argmin())
-        return int(d[c]), min(len(codes), max(1, base + len(p) + c))
+                place, start = places[k], max(0, end - int(self.size[w]))
+                x = (int(self.of[w]), w, edits, int(place[start]), int(place[end - 1]) + 1)
+                out[k][w] = min(out[k].get(w, x), x, key=lambda y: (y[2], y[3]))
+
+        def flush(shape: tuple[int, int]) -> None:
+            rows = todo.pop(shape, [])
+            for (k, w, base, _), (edits, column) in zip(rows, self.aligned([r[1] for r in rows], [r[3] for r in rows])):
+                keep(k, w, edits, min(ends[k], max(1, base + shape[0] + column)))
+
+        ends: list[int] = []
+        for k, text in enumerate(texts):
+            codes, place = normalised(text) if len(text) >= Q else (np.empty(0, np.uint32), None)
+            places.append(place)
+            ends.append(len(codes))
+            for w, low in self.regions(codes):
+                m, e = int(self.size[w]), int(self.budget[w])
+                if w in out[k] and out[k][w][2] == 0:
+                    continue
+                base, width = low - e, m + 4 * e + 3
+                part = codes[max(0, base) : max(0, base + width)]
+                at = part.tobytes().find(self.raw[w])  # verbatim, the usual case
+                if at >= 0 and at % 4 == 0:
+                    keep(k, w, 0, max(0, base) + at // 4 + m)
+                    continue
+                padded = np.full(width, 0xFFFFFFFF, np.uint32)  # matches nothing
+                padded[max(0, -base) : max(0, -base) + len(part)] = part
+                rows = todo.setdefault((m, e), [])
+                rows.append((k, w, base, padded))
+                if len(rows) >= 512:
+                    flush((m, e))
+        for shape in list(todo):
+            flush(shape)
+        return [sorted(x.values()) for x in out]
+
+    def aligned(self, ws: list[int], parts: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(fewest edits, column) of windows of one length and budget against a part of their text parts, on bands of diagonals."""
+        if not ws:
+            return []
+        p, t = np.stack([self.windows[w] for w in ws]), np.stack(parts)
+        m = p.shape[1]
+        width = t.shape[1] - m
+        idx = np.arange(width, dtype=np.int32)
+        d = np.zeros((len(ws), width), np.int32)  # row 0: free start; column c of row j is text place base + j + c
+        for j in range(1, m + 1):
+            new = d + (t[:, j - 1 : j - 1 + width] != p[:, j - 1 : j])  # match or replace: same diagonal
+            new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)  # a window character left out
+            d = np.minimum.accumulate(new - idx, axis=1) + idx  # text characters put in
+        best = d.argmin(1)
+        return list(zip(d[np.arange(len(ws)), best].tolist(), best.tolist()))
 
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
@@ -164,6 +189,12 @@ def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
         yield Index([(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()])
 
 
+def in_parts(index: Index, texts: pa.Array, size: int = 64) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    """What each text holds; null texts are empty."""
+    for at in range(0, len(texts), size):
+        yield from index.find([x or "" for x in texts.slice(at, size).to_pylist()])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per (input row, item) found: doc_id, item_id, n_windows, edits (least), start, end (characters of the text).
 
@@ -182,9 +213,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             index = told.value
             for batch in batches:
                 of, found = [], []
-                for k, text in enumerate(batch.column("text")):
+                for k, hits in enumerate(in_parts(index, batch.column("text"))):
                     by: dict[int, list] = {}
-                    for item, _, edits, start, end in index.find(text.as_py()):
+                    for item, _, edits, start, end in hits:
                         by.setdefault(item, []).append((edits, start, end))
                     for item, hits in by.items():
                         of.append(k)
@@ -205,7 +236,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def clean(batches: Iterator[pa.RecordBatch], told=told, at=at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not told.value.find(x.as_py() or "") for x in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in in_parts(told.value, batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
