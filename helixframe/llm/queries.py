@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, licenses, near_dedup, packing, quality, token_counts, toxicity
+from . import decontaminate, exact_dedup, langid, licenses, near_dedup, packing, quality, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,40 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Two crawls of all pages as WARC-like records.
+
+    Page n is fetched in minute n and answered in full; a day later it is asked
+    for again and answered 304, with the entity tag of that fetch where the URL
+    is https, else with its time of modification.
+    """
+    at, again = F.col("page_id") * 60, F.col("page_id") * 60 + 86_400
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    by_tag = F.col("url").startswith("https:")
+    full = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", at.alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
+        F.create_map(
+            F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Last-Modified"), at.cast("string"),
+            F.lit("Content-Length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Date"), at.cast("string"),
+        ).alias("headers"), F.col("html").alias("body"),
+    )
+    answer = F.create_map(
+        F.when(by_tag, "ETag").otherwise("Last-Modified"), F.when(by_tag, tag).otherwise(at.cast("string")),
+        F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=120"), F.lit("Connection"), F.lit("close"), F.lit("Date"), again.cast("string"),
+    )
+    later = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", again.alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), answer.alias("headers"), F.lit(None).cast("string").alias("body"))
+    return full.unionAll(later)
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit(": "), F.element_at("headers", k)))
+    return found.select(
+        "record_id", "url_key", "ts", "response_id", "state", F.array_join(lines, "\n").alias("headers"),
+        F.md5(F.col("body").cast("binary")).alias("body_md5"), F.octet_length("body").cast("long").alias("body_bytes"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -57,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_license_scan": op7_license_scan,
@@ -74,4 +110,39 @@ SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op4_warc_revisits": r"""
+        WITH bare AS (
+            SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages
+        ), cut AS (
+            SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[.]', ''), ':(80|443)$', '')
+                      || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'),
+                       lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&') AS q
+            FROM bare
+        ), p AS (
+            SELECT page_id, url, html, place || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url_key,
+                   '"' || md5(coalesce(html, '')) || '"' AS tag, page_id * 60 AS mt, url LIKE 'https:%' AS by_tag
+            FROM cut
+        ), r AS (
+            SELECT page_id * 2 AS record_id, url_key, mt AS ts, 'response' AS kind, tag, mt, by_tag, html FROM p WHERE html IS NOT NULL
+            UNION ALL
+            SELECT page_id * 2 + 1, url_key, mt + 86400, 'revisit', tag, mt, by_tag, NULL FROM p
+        ), j AS (
+            SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'tag': tag, 'mt': mt, 'html': html} END IGNORE NULLS)
+                OVER (PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s
+            FROM r
+        ), k AS (
+            SELECT *, CASE WHEN s IS NULL THEN 'no_response' WHEN by_tag THEN CASE WHEN tag = s.tag THEN 'resolved' ELSE 'changed' END
+                           WHEN mt = s.mt THEN 'resolved' ELSE 'changed' END AS state
+            FROM j WHERE kind = 'revisit'
+        )
+        SELECT record_id, url_key, ts, s.id AS response_id, state,
+               CASE WHEN state = 'resolved'
+                    THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || strlen(s.html) || chr(10) || 'content-type: text/html' || chr(10)
+                         || 'date: ' || ts || chr(10) || 'etag: ' || s.tag || chr(10) || 'last-modified: ' || s.mt
+                    ELSE 'cache-control: max-age=120' || chr(10) || 'date: ' || ts || chr(10)
+                         || CASE WHEN by_tag THEN 'etag: ' || tag ELSE 'last-modified: ' || mt END END AS headers,
+               CASE WHEN state = 'resolved' THEN md5(s.html) END AS body_md5, CASE WHEN state = 'resolved' THEN strlen(s.html) END AS body_bytes
+        FROM k
+    """,
 }
