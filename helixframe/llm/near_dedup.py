@@ -235,10 +235,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         size = mixed.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
         main = size.groupBy("entry").agg(F.max(F.struct("n", "root")).alias("m")).select("entry", F.col("m.root").alias("main"))
         mixed = mixed.join(sketches, "node").join(main, "entry")
-        few = mixed.where("root != main").select("entry", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
+        few = mixed.where("root != main").select(F.col("entry").alias("ex"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
         # every pair of different components once: a member of the largest with one of another, or two others in order
         cond = (
-            (few["entry"] == mixed["entry"]) & ((F.col("root") == F.col("main")) | (F.col("rx") < F.col("root"))) & (F.col("rx") != F.col("root"))
+            (F.col("ex") == F.col("entry")) & ((F.col("root") == F.col("main")) | (F.col("rx") < F.col("root"))) & (F.col("rx") != F.col("root"))
             & (100 * F.least("nx", "n_shingles") >= PERCENT * F.greatest("nx", "n_shingles")) & agree(F.col("sx"), F.col("sketch"))
         )
         across = few.join(mixed, cond).select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
