@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions import vcf as V
-from ..operators import assign, bipartite, intervals
+from ..operators import alignments, assign, bipartite, graph, intervals, metrics, variants
+from ..sources import writers
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +75,7 @@ def averaged_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {T.intervals_sql()}, tr AS (SELECT contig, start, stop, false AS tandem FROM iv WHERE tandem), {T.ISLANDS_SQL.format(gap=0, source='tr')}
-    SELECT v.record_id, round(coalesce(sum(least(v.stop, i.stop) - greatest(v.start, i.start)), 0) / (v.stop - v.start), 6) AS covered
+    SELECT v.record_id, round(sum(CASE WHEN i.start IS NULL THEN 0 ELSE least(v.stop, i.stop) - greatest(v.start, i.start) END) / (v.stop - v.start), 6) AS covered
     FROM iv v LEFT JOIN islands i ON v.contig = i.contig AND i.start < v.stop AND v.start < i.stop WHERE NOT v.tandem GROUP BY v.record_id, v.start, v.stop""")
 def track_coverage(spark: SparkSession, d: str) -> DataFrame:
     iv = T.intervals(spark, d)
@@ -296,3 +297,281 @@ def breakends(spark: SparkSession, d: str) -> DataFrame:
 def info_fields(spark: SparkSession, d: str) -> DataFrame:
     r = T.records(spark, d).withColumn("m", V.info_map("info"))
     return r.select("id", F.coalesce(V.info_value("info", "END"), F.lit("")).alias("end_text"), F.coalesce(F.try_element_at("m", F.lit("SVLEN")), F.lit("")).alias("len_text"), F.size("m").cast("long").alias("n_keys"))
+
+
+_BINS = ", ".join(f"count(*) FILTER (sp = {a} AND rv = {b} AND bin = {q}) AS s{a}r{b}q{q}" for a in (0, 1) for b in (0, 1) for q in range(6))
+
+
+@query(f"""WITH t AS (SELECT l_suppkey AS variant, 1 - l_discount AS i, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS sp, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS rv FROM lineitem),
+    b AS (SELECT *, CASE WHEN i = 1 THEN 5 ELSE CAST(floor(least(5, greatest(0, -log2(greatest(1e-9, 1 - i)) - 2))) AS INT) END AS bin FROM t)
+    SELECT variant, {_BINS}, max(i) AS max_identity FROM b GROUP BY variant""")
+def support_histogram(spark: SparkSession, d: str) -> DataFrame:
+    line = T.table(spark, d, "lineitem")
+    rows = line.select(F.col("l_suppkey").alias("variant"), (1 - F.col("l_discount")).alias("identity"), (F.col("l_linestatus") == "O").alias("is_spanning"), (F.col("l_returnflag") == "R").alias("is_reverse"))
+    return metrics.support_histogram(rows, ["variant"])
+
+
+@query("""SELECT p_brand AS tool, date_trunc('month', o_orderdate)::VARCHAR AS win, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS num,
+    CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS den, round(CAST(num AS DOUBLE) / den, 6) AS ratio
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING den <> 0""".replace("::VARCHAR", "").replace("date_trunc('month', o_orderdate)", "strftime(o_orderdate, '%Y-%m')"))
+def ratio_metrics(spark: SparkSession, d: str) -> DataFrame:
+    line, part, orders = (T.table(spark, d, t) for t in ("lineitem", "part", "orders"))
+    rows = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey).select(F.col("p_brand").alias("tool"), F.date_format("o_orderdate", "yyyy-MM").alias("win"), "l_returnflag", "l_linestatus")
+    return metrics.ratios(rows, ["tool", "win"], (F.col("l_returnflag") == "R").cast("long"), (F.col("l_linestatus") == "F").cast("long")).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""WITH f AS (SELECT p_brand AS tool, l_suppkey AS walk, l_quantity / 50 AS cov, 1 - l_discount AS ident FROM lineitem JOIN part ON l_partkey = p_partkey),
+    t AS (SELECT DISTINCT s_suppkey AS walk FROM supplier WHERE s_acctbal > 0), g AS (SELECT tool, count(DISTINCT walk) AS n FROM f WHERE cov >= 0.9 AND ident >= 0.97 AND walk IN (SELECT walk FROM t) GROUP BY tool)
+    SELECT tool, coalesce(n, 0) AS num, (SELECT count(*) FROM t) AS den, round(coalesce(n, 0) / (SELECT count(*) FROM t), 6) AS ratio FROM (SELECT DISTINCT tool FROM f) LEFT JOIN g USING (tool)""")
+def recall(spark: SparkSession, d: str) -> DataFrame:
+    line, part = T.table(spark, d, "lineitem"), T.table(spark, d, "part")
+    found = line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_brand").alias("tool"), F.col("l_suppkey").alias("walk"), (F.col("l_quantity") / 50).alias("coverage"), (1 - F.col("l_discount")).alias("identity"))
+    truth = T.table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("walk"))
+    return metrics.recall(truth, found, ["walk"], ["tool"], 0.9, 0.97).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT text, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text")
+def deduplicated_texts(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+
+
+@query("""WITH s AS (SELECT lang, n_chars AS score, quality AS y FROM documents JOIN labels USING (doc_id)), p AS (SELECT lang, score, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS n FROM s GROUP BY ALL),
+    c AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY score DESC) - p AS above FROM p), a AS (SELECT lang, sum(n * (above + p / 2.0)) AS area, sum(p) AS np, sum(n) AS nn FROM c GROUP BY lang)
+    SELECT lang, round(area / (np * nn), 6) AS auc FROM a WHERE np * nn > 0""")
+def auc_by_language(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "documents").join(T.table(spark, d, "labels"), "doc_id").select("lang", F.col("n_chars").alias("score"), "quality")
+    return metrics.auc(rows, "score", "quality", ["lang"]).where("auc is not null and not isnan(auc)").withColumn("auc", F.round("auc", 6))
+
+
+@query("""WITH w AS (SELECT l_returnflag AS tool, l_discount * 1000 AS v FROM lineitem), n AS (SELECT tool, CAST(least(19, floor(v / 5)) AS INT) AS bin, count(*) AS n FROM w WHERE v BETWEEN 0 AND 100 GROUP BY ALL)
+    SELECT tool, bin, n, round(n / sum(n) OVER (PARTITION BY tool), 6) AS part FROM n""")
+def value_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("tool"), (F.col("l_discount") * 1000).alias("v"))
+    return metrics.histogram(rows, ["tool"], "v", 0, 100, 20).withColumn("part", F.round("part", 6))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity / greatest((SELECT sqrt(sum(l_quantity * l_quantity)) FROM lineitem), 1e-12) + 1e-12, 9) AS q, round(l_tax / greatest((SELECT sqrt(sum(l_tax * l_tax)) FROM lineitem), 1e-12) + 1e-12, 9) AS t FROM lineitem")
+def normalised_features(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.l2_normalized(T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_tax").alias("t")), ["q", "t"])
+    return out.select("l_orderkey", "l_linenumber", F.round("q", 9).alias("q"), F.round("t", 9).alias("t"))
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey), l_partkey, l_quantity, l_extendedprice) AS k FROM lineitem),
+    c AS (SELECT greatest(100, min(n)) AS cap FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag)) SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey FROM x, c WHERE k <= cap""")
+def balanced_classes(spark: SparkSession, d: str) -> DataFrame:
+    key = F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").cast("binary"))
+    return metrics.balanced(T.table(spark, d, "lineitem"), "l_returnflag", 100, F.struct(key.alias("h"), "l_partkey", "l_quantity", "l_extendedprice")).select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT l_suppkey AS tool, round(avg(l_quantity), 6) AS q, round(avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 6) AS q_only FROM lineitem GROUP BY 1")
+def window_means(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.window_means(T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tool"), F.col("l_quantity").alias("q"), "l_linestatus"), ["tool"], ["q"], F.col("l_linestatus") == "O")
+    return out.select("tool", F.round("q", 6).alias("q"), F.round("q_only", 6).alias("q_only"))
+
+
+@query("""SELECT 'chr' || s_nationkey AS contig, CAST(s_suppkey AS INT) AS start, CAST(s_suppkey + 100 AS INT) AS stop, round(abs(s_acctbal - 500), 4) AS value FROM supplier""")
+def bedgraph_differences(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "supplier").select(F.concat(F.lit("chr"), F.col("s_nationkey").cast("string"), F.lit(":"), F.col("s_suppkey").cast("string"), F.lit("-"), (F.col("s_suppkey") + 100).cast("string")).alias("region"), F.col("s_acctbal").alias("a"), F.lit(500.0).alias("b"))
+    return metrics.bedgraph(rows, "region", "a", "b").withColumn("value", F.round("value", 4))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 150000")
+def compared_windows(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "orders").where(S.comparison("o_totalprice >= 150000")).select("o_orderkey")
+
+
+@query("""SELECT event_type AS name, CAST(sum(user_id % 3 * 3600 + event_id % 60 * 60 + user_id % 60) AS DOUBLE) AS seconds FROM events GROUP BY 1""")
+def stage_times(spark: SparkSession, d: str) -> DataFrame:
+    logs = T.table(spark, d, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 3).alias("h"), (F.col("event_id") % 60).alias("m"), (F.col("user_id") % 60).alias("s"), F.lit(0).alias("ms"))
+    return metrics.stage_seconds(logs)
+
+
+@query("""SELECT p_brand AS grp, count(*) FILTER (r = 0) AS nonref_nodes, count(*) FILTER (r = 0 AND c >= 0.95) AS covered, count(*) FILTER (r = 0 AND c > 0 AND c < 0.95) AS partly, CAST(sum(CASE WHEN r = 0 THEN n ELSE 0 END) AS BIGINT) AS nonref_bases,
+    CAST(sum(CASE WHEN r = 0 THEN floor(c * n) ELSE 0 END) AS BIGINT) AS covered_bases, count(*) FILTER (r = 0 AND c >= 0.95 AND n < 25) AS covered_small, count(*) FILTER (r = 0 AND c >= 0.95 AND n >= 25) AS covered_large
+    FROM (SELECT p_brand, p_size AS n, CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END AS r, (p_partkey % 41) / 40.0 AS c FROM part) GROUP BY 1""")
+def node_counters(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_size").alias("length"), F.col("p_type").contains("STEEL").cast("int").alias("is_ref"), F.lit(0).alias("is_flank"), ((F.col("p_partkey") % 41) / 40.0).alias("coverage"))
+    return metrics.node_counters(rows, ["grp"], small=25)
+
+
+@query("""WITH t AS (SELECT l_suppkey AS tool, l_partkey % 7 AS clu, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS r, l_quantity / 50 AS c, 1 - l_discount AS i FROM lineitem), e AS (SELECT tool, avg(c) AS c, avg(i) AS i FROM t GROUP BY tool, clu),
+    k AS (SELECT tool, avg(c) AS cc, avg(i) AS ci FROM e GROUP BY tool), a AS (SELECT tool, avg(c) AS c, avg(i) AS i, coalesce(avg(c) FILTER (r = 0), -1) AS nc, coalesce(avg(i) FILTER (r = 0), -1) AS ni FROM t GROUP BY tool)
+    SELECT tool, round(c, 6) AS coverage, round(i, 6) AS identity, round(nc, 6) AS nonref_coverage, round(ni, 6) AS nonref_identity, round(cc, 6) AS cluster_coverage, round(ci, 6) AS cluster_identity FROM a JOIN k USING (tool)""")
+def haplotype_averages(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tool"), (F.col("l_partkey") % 7).alias("clu"), (F.col("l_returnflag") == "A").cast("int").alias("is_ref"), (F.col("l_quantity") / 50).alias("coverage"), (1 - F.col("l_discount")).alias("identity"))
+    out = metrics.averages(rows, ["tool"], "clu")
+    return out.select("tool", *[F.round(c, 6).alias(c) for c in out.columns if c != "tool"])
+
+
+@query("""WITH a AS (SELECT l_suppkey AS win, l_orderkey % 50 AS query, count(*) AS n, max(l_shipdate)::VARCHAR AS p, min(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS sp FROM lineitem GROUP BY 1, 2)
+    SELECT win, CASE WHEN n > 1 OR sp = 0 THEN 'unknown' ELSE p END AS cluster, string_agg(query, ' ' ORDER BY CAST(query AS VARCHAR)) AS queries FROM a GROUP BY 1, 2""".replace("max(l_shipdate)::VARCHAR", "max(strftime(l_shipdate, '%Y-%m-%d'))"))
+def path_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("win"), (F.col("l_orderkey") % 50).cast("string").alias("query"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("path"), (F.col("l_returnflag") != "R").alias("spans"))
+    return metrics.clusters(rows, ["win"])
+
+
+@query("""SELECT o_orderpriority AS grp, CAST(sum(o_custkey % 3) AS BIGINT) AS n_alignments, count(*) AS n_edges, count(*) FILTER (o_custkey % 3 > 0) AS n_edges_covered, count(*) FILTER (o_orderstatus <> 'F') AS n_nonref_edges,
+    count(*) FILTER (o_orderstatus <> 'F' AND o_custkey % 3 > 0) AS n_nonref_edges_covered FROM orders GROUP BY 1""")
+def edge_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), (F.col("o_orderstatus") == "F").cast("int").alias("is_ref"), (F.col("o_custkey") % 3).alias("n_alignments"))
+    return metrics.edge_coverage(rows, ["grp"])
+
+
+@query(f"""WITH {T.intervals_sql('l_suppkey')}, m AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv)
+    SELECT contig, round((max(stop) - sum(greatest(0, start - coalesce(reach, 0)))) / 3000.0, 6) AS coverage, round(sum(stop - start) * 1.0 / sum(stop - start + 1), 6) AS identity FROM m GROUP BY contig""")
+def coverage_and_identity(spark: SparkSession, d: str) -> DataFrame:
+    iv = T.intervals(spark, d, "l_suppkey").withColumns({"len": F.lit(3000), "m": F.col("stop") - F.col("start"), "x": F.lit(1), "i": F.lit(0), "dl": F.lit(0)})
+    out = metrics.coverage_and_identity(iv, ["contig"], "start", "stop", "len", ("m", "x", "i", "dl"))
+    return out.select("contig", F.round("coverage", 6).alias("coverage"), F.round("identity", 6).alias("identity"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS id, ['A', 'C,G', 'T,<DEL>,AA'][p_size % 3 + 1] AS alt, ['0/1', '2|1:5', './3'][p_size % 3 + 1] AS gt FROM part),
+    a AS (SELECT id, gt, unnest(string_split(alt, ',')) AS alt, generate_subscripts(string_split(alt, ','), 1) AS allele FROM m),
+    t AS (SELECT *, list_transform(string_split_regex(split_part(gt, ':', 1), '[/|]'), lambda x: CASE WHEN x = CAST(allele AS VARCHAR) THEN '1' WHEN x IN ('.', '0') THEN x ELSE '0' END) AS g FROM a)
+    SELECT id, allele, alt, CASE WHEN gt LIKE '%|%' THEN array_to_string(g, '|') ELSE array_to_string(g, '/') END || CASE WHEN gt LIKE '%:%' THEN ':' || split_part(gt, ':', 2) ELSE '' END AS gt FROM t""")
+def split_multiallelics(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda *v: F.array(*map(F.lit, v))[F.col("p_size") % 3]
+    rows = T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), pick("A", "C,G", "T,<DEL>,AA").alias("alt"), F.array(pick("0/1", "2|1:5", "./3")).alias("genotypes"))
+    return variants.split_multiallelic(rows).select("id", F.col("allele").cast("long").alias("allele"), "alt", F.col("genotypes")[0].alias("gt"))
+
+
+_CALLS = """calls AS (SELECT DISTINCT l_suppkey AS pos, l_returnflag AS ref, l_linestatus AS alt, 's' || (l_linenumber % 4) AS sample FROM lineitem WHERE l_partkey % 3 = 0)"""
+
+
+@query(f"""WITH {_CALLS} SELECT pos, ref, alt, string_agg(CASE WHEN c.sample IS NULL THEN './.' ELSE '0/1' END, ',' ORDER BY s.sample) AS gts FROM (SELECT DISTINCT pos, ref, alt FROM calls) k
+    CROSS JOIN (VALUES ('s0'), ('s1'), ('s2'), ('s3'), ('s4')) s(sample) LEFT JOIN calls c USING (pos, ref, alt, sample) GROUP BY ALL""")
+def merged_call_sets(spark: SparkSession, d: str) -> DataFrame:
+    calls = T.table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.lit("c").alias("contig"), F.col("l_suppkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), F.concat(F.lit("s"), (F.col("l_linenumber") % 4).cast("string")).alias("sample"), F.lit("0/1").alias("gt"))
+    return variants.merged_calls(calls, [f"s{k}" for k in range(5)]).select("pos", "ref", "alt", F.array_join("genotypes", ",").alias("gts"))
+
+
+@query("""SELECT l_suppkey AS pos, l_returnflag AS ref, l_linestatus AS alt, min(l_orderkey) AS id FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY ALL""")
+def concatenated_call_sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "lineitem").select(F.lit("c").alias("contig"), F.col("l_suppkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), F.col("l_orderkey").alias("id"), "l_linenumber")
+    return variants.concatenated([rows.where("l_linenumber = 1").drop("l_linenumber"), rows.where("l_linenumber = 2").drop("l_linenumber")]).select("pos", "ref", "alt", "id")
+
+
+@query("""WITH e AS (SELECT l_orderkey AS rec, list_sort(list((l_linenumber, l_returnflag, l_linestatus))) AS l FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem) GROUP BY ALL),
+    k AS (SELECT rec, array_to_string(list_transform(l, lambda x: x[2] || x[3]), ',') AS f, array_to_string(list_reverse(list_transform(l, lambda x: x[3] || x[2])), ',') AS b FROM e)
+    SELECT rec, row_number() OVER (PARTITION BY least(f, b) ORDER BY rec) > 1 AS is_redundant FROM k""")
+def redundant_records(spark: SparkSession, d: str) -> DataFrame:
+    edges = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_linenumber").alias("rank"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).distinct()
+    return variants.redundant(edges).select(F.col("record").alias("rec"), "is_redundant")
+
+
+@query("SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem WHERE l_returnflag IN ('R', 'A')")
+def truth_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "lineitem")
+    return variants.truth_labels(rows.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), rows.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id")))
+
+
+@query("SELECT l_orderkey AS id FROM lineitem WHERE abs(l_quantity) >= 45 OR l_discount >= 0.08")
+def score_filtered(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("sv_length"), F.col("l_discount").alias("score"))
+    return variants.score_filter(rows, long=45, least=0.08).select("id")
+
+
+@query("SELECT o_orderkey, reverse(translate(repeat(['ACGT', 'NNAC', 'ggtA'][o_custkey % 3 + 1], CAST(o_orderkey % 5 + 1 AS INT)), 'ACGTNacgtn', 'TGCANtgcan')) AS seq FROM orders")
+def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
+    base = F.array(F.lit("ACGT"), F.lit("NNAC"), F.lit("ggtA"))[(F.col("o_custkey") % 3).cast("int")]
+    return T.table(spark, d, "orders").select("o_orderkey", S.reverse_complement(F.repeat(base, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("seq"))
+
+
+_CIGAR = """ops AS (SELECT l_orderkey * 8 + l_linenumber AS read, l_partkey AS r_at, CAST(l_quantity AS INT) AS q, l_linenumber AS k, l_shipdate FROM lineitem WHERE l_returnflag = 'R'),
+    o AS (SELECT read, r_at, unnest([0, 1, 2, 3]) AS rank, unnest(['=', 'I', 'X', 'D']) AS op, unnest([q + 5, k, 2, q]) AS len FROM ops),
+    c AS (SELECT *, r_at + coalesce(sum(CASE WHEN op IN ('=', 'X', 'D') THEN len END) OVER w, 0) AS r0, coalesce(sum(CASE WHEN op IN ('=', 'X', 'I') THEN len END) OVER w, 0) AS q0 FROM o
+          WINDOW w AS (PARTITION BY read, r_at, rn ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_CIGAR = _CIGAR.replace("SELECT l_orderkey * 8", "SELECT row_number() OVER () AS rn, l_orderkey * 8").replace("SELECT read, r_at, unnest", "SELECT rn, read, r_at, unnest")
+
+
+def _cigars(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    text = F.concat((q + 5).cast("string"), F.lit("="), F.col("l_linenumber").cast("string"), F.lit("I2X"), q.cast("string"), F.lit("D"))
+    return T.table(spark, d, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read"), F.lit("c").alias("contig"), F.col("l_partkey").cast("int").alias("ref_start"), F.lit(False).alias("is_reverse"), text.alias("cigar"))
+
+
+@query(f"""WITH {_CIGAR} SELECT read, CAST(rank AS INT) AS op_rank, op, CAST(r0 AS INT) AS r0, CAST(r0 + CASE WHEN op = 'I' THEN 0 ELSE len END AS INT) AS r1, CAST(q0 AS INT) AS q0, CAST(q0 + CASE WHEN op = 'D' THEN 0 ELSE len END AS INT) AS q1 FROM c""")
+def cigar_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return alignments.exploded(_cigars(spark, d)).select("read", "op_rank", "op", "r0", "r1", "q0", "q1")
+
+
+@query(f"""WITH {_CIGAR}, x AS (SELECT read, op, r0, r0 + CASE WHEN op = 'I' THEN 0 ELSE len END AS r1, q0, q0 + CASE WHEN op = 'D' THEN 0 ELSE len END AS q1 FROM c),
+    w AS (SELECT k * 100 AS w0, k * 100 + 60 AS w1 FROM range(0, 300) t(k)), h AS (SELECT *, greatest(r0, w0) AS a, least(r1, w1) AS b FROM x JOIN w ON r0 <= w1 AND w0 <= r1)
+    SELECT read, op, w0, CAST(a AS INT) AS c_r0, CAST(b AS INT) AS c_r1, CAST(CASE WHEN op IN ('=', 'X') THEN q0 + a - r0 ELSE q0 END AS INT) AS c_q0, CAST(CASE WHEN op IN ('=', 'X') THEN q1 - (r1 - b) ELSE q1 END AS INT) AS c_q1 FROM h""")
+def cigar_on_windows(spark: SparkSession, d: str) -> DataFrame:
+    wins = spark.range(300).select(F.lit("c").alias("contig"), (F.col("id") * 100).alias("w0"), (F.col("id") * 100 + 60).alias("w1"))
+    return alignments.on_windows(alignments.exploded(_cigars(spark, d)), wins, "contig", "w0", "w1", 128).select("read", "op", "w0", *[F.col(c).cast("int").alias(c) for c in ("c_r0", "c_r1", "c_q0", "c_q1")])
+
+
+@query(f"""WITH {_CIGAR} SELECT read, CAST(sum(CASE WHEN op = '=' THEN len ELSE 0 END) AS BIGINT) AS n_match, CAST(sum(CASE WHEN op = 'X' THEN len ELSE 0 END) AS BIGINT) AS n_mismatch, CAST(sum(CASE WHEN op = 'I' THEN len ELSE 0 END) AS BIGINT) AS n_insert,
+    CAST(sum(CASE WHEN op = 'D' THEN len ELSE 0 END) AS BIGINT) AS n_delete FROM c GROUP BY read""")
+def alignment_counters(spark: SparkSession, d: str) -> DataFrame:
+    return alignments.counters(alignments.exploded(_cigars(spark, d)), ["read"]).select("read", "n_match", "n_mismatch", "n_insert", "n_delete")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN least('>a' || o_custkey % 9 || '<b' || o_orderkey % 9, '>b' || o_orderkey % 9 || '<a' || o_custkey % 9) ELSE '>x>y' END AS path FROM orders""")
+def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.concat(F.lit("a"), (F.col("o_custkey") % 9).cast("string")), F.concat(F.lit("b"), (F.col("o_orderkey") % 9).cast("string"))
+    text = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit(">"), a, F.lit("<"), b)).otherwise("<y<x")
+    return T.table(spark, d, "orders").select("o_orderkey", S.path_text(S.canonical_path(S.graph_path(text))).alias("path"))
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey AS path, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders),
+    e AS (SELECT path, step, node AS a, lead(node) OVER (PARTITION BY path ORDER BY step) AS b FROM p), r AS (SELECT path AS record, step AS rank, a, b FROM e WHERE step <= 2 AND b IS NOT NULL), n AS (SELECT record, count(*) AS n FROM r GROUP BY record)
+    SELECT e.path, r.record FROM e JOIN r ON e.a = r.a AND e.b = r.b JOIN n ON n.record = r.record GROUP BY e.path, r.record, n.n HAVING count(*) = n.n""")
+def supported_records(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    orders = T.table(spark, d, "orders")
+    step = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    steps = orders.select(F.lit("w").alias("window_id"), F.col("o_custkey").alias("path"), F.col("o_orderkey").cast("string").alias("node"), F.lit(False).alias("rev"), step.alias("step"))
+    paths = graph.path_edges(steps, ["window_id", "path"])
+    records = paths.where("place <= 2").select("window_id", F.col("path").alias("record"), F.col("place").alias("rank"), "edge")
+    return graph.supported_records(paths, records, ["window_id", "path"]).select("path", "record")
+
+
+@query("""SELECT concat_ws(chr(9), 'chr' || (l_suppkey % 24 + 1), CAST(l_partkey AS INT), l_orderkey * 8 + l_linenumber) AS head FROM lineitem""")
+def vcf_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = writers.vcf_lines(T.records(spark, d).withColumn("format", F.lit("GT:GQ")))
+    return lines.select(F.substring_index("value", "\t", 3).alias("head"))
+
+
+@query("""SELECT o_custkey AS win, o_orderpriority AS seq, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1) || '_' || count(*) AS name FROM orders GROUP BY o_custkey, o_orderpriority""")
+def deduplicated_fasta(spark: SparkSession, d: str) -> DataFrame:
+    return writers.deduplicated_fasta(T.table(spark, d, "orders").select(F.col("o_custkey").alias("win"), F.col("o_orderpriority").alias("seq")), ["win"]).select("win", "seq", "name")
+
+
+@query("SELECT o_orderkey AS window_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def failed_windows(spark: SparkSession, d: str) -> DataFrame:
+    done = T.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("window_id"))
+    return writers.failed_windows(T.table(spark, d, "orders").select(F.col("o_orderkey").alias("window_id")), done)
+
+
+@query("""SELECT s_suppkey, unnest(['s_name', 's_nationkey']) AS "column", unnest([s_name, CAST(s_nationkey AS VARCHAR)]) AS value FROM supplier""")
+def unpivoted_table(spark: SparkSession, d: str) -> DataFrame:
+    return writers.unpivoted(T.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+
+
+@query("""SELECT p_partkey, CAST(floor(log2(p_size + 1)) AS INT) AS bin, CAST(round(p_retailprice / 1000 * 1000) AS BIGINT) + 1 AS score, CAST(round(p_retailprice / 25) * 25 AS DOUBLE) AS quantized, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded FROM part""")
+def score_functions(spark: SparkSession, d: str) -> DataFrame:
+    part = T.table(spark, d, "part")
+    return part.select("p_partkey", S.length_bin("p_size").alias("bin"), S.alignment_score(F.col("p_retailprice") / 1000).cast("long").alias("score"), S.quantized("p_retailprice", 25.0).alias("quantized"), S.padded("p_size", 4).alias("padded"))
+
+
+@query()
+def gap_affine_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Global gap-affine alignment of part types of one brand and size; no SQL: tested against a plain dynamic programme."""
+    part = T.table(spark, d, "part")
+    a = part.select("p_brand", "p_size", F.col("p_type").alias("a")).distinct()
+    b = part.select("p_brand", "p_size", F.col("p_type").alias("b")).distinct()
+    return alignments.scored_pairs(a.join(b, ["p_brand", "p_size"]).where("a < b"), "a", "b")
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS n FROM n GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's islands over the whole table at once."""
+    from ..streaming.windows import session_islands
+
+    events = T.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return session_islands(events, "user_id", "ts", "30 minutes", "0 seconds").select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n")
