@@ -13,7 +13,8 @@ alone has needs no B side, so only shared ones are expanded.  Inside a table
 entry nobody is paired with everybody: all members are held against a pivot (the
 smallest), links join components, members that stay apart from the pivot are
 held against the next pivot, and what is then still in different components
-of one entry is compared across them.  Before sets are fetched, a pair's
+of one entry is compared across them: in blocks of ``BLOCK_ROWS`` members, each
+pair in the first table alone that it shares.  Before sets are fetched, a pair's
 ``SKETCH`` minhashes (4 bits of each) must agree in ``AGREE`` places; a pair of
 similarity 0.75 does in all but 3 of 100,000 cases.
 """
@@ -34,7 +35,8 @@ from .components import components
 WORDS = 5
 PERCENT = 75
 HALVES, ROWS = 12, 2
-SKETCH, AGREE = 192, 123
+SKETCH, AGREE = 384, 261
+BLOCK_ROWS = 512
 PIVOTS = 2
 #: Words whose hashes a Python worker remembers.
 REMEMBERED_WORDS = 500_000
@@ -150,6 +152,7 @@ def agree(x: Column, y: Column) -> Column:
 
 def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sketches agree."""
+    sketches = sketches.select("node", "sketch")
     x, y = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
     return pairs.join(x, "u").join(y, "v").where(agree(F.col("x"), F.col("y"))).select("u", "v")
 
@@ -161,6 +164,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
+def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct (u, v) of different components in one entry whose sketches agree.
+
+    An entry's members are dealt over blocks by a hash; every two blocks meet in
+    one small group, so no group grows with the entry.  Only pairs that agree
+    leave a group.
+    """
+    size = mixed.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = mixed.join(size, "entry").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "entry", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"), "node", "root", "n_shingles"
+    )
+    rows = met.join(sketches, "node").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    longs, ints = SKETCH // 16, 2 * HALVES
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def groups() -> Iterator[pa.Table]:
+            nonlocal held
+            for batch in batches:
+                now = pa.Table.from_batches([batch])
+                now = now if held is None else pa.concat_tables([held, now])
+                key = np.stack([now[c].to_numpy() for c in ("entry", "i", "j")], 1)
+                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    yield now.slice(lo, hi - lo)
+                held = now.slice(cuts[-1])  # the last group may go on in the next batch
+            if held is not None and held.num_rows:
+                yield held
+
+        flat = lambda t, c, n: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        for t in groups():
+            root, size, node, second = (t[c].to_numpy(zero_copy_only=False) for c in ("root", "n_shingles", "node", "second"))
+            if t.num_rows < 2 or (root == root[0]).all():
+                continue
+            sketch = flat(t, "sketch", longs).astype(np.int64).view(np.uint8)
+            sketch = np.concatenate([sketch & 15, sketch >> 4], 1)
+            half, tab = flat(t, "halves", ints), int(t["tab"][0].as_py())
+            same_block = t["i"][0].as_py() == t["j"][0].as_py()
+            us, vs = [], []
+            for x in range(t.num_rows):
+                if not same_block and second[x]:
+                    continue
+                y = np.arange(x + 1, t.num_rows) if same_block else np.flatnonzero(second)
+                y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
+                y = y[(sketch[y] == sketch[x]).sum(1) >= AGREE]
+                if len(y):
+                    both = half[y] == half[x]
+                    # the first table that the two share
+                    y = y[(both[:, :HALVES].argmax(1) == tab // HALVES) & (both[:, HALVES:].argmax(1) == tab % HALVES)]
+                    us.append(np.minimum(node[y], node[x]))
+                    vs.append(np.maximum(node[y], node[x]))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
+
+    return rows.mapInArrow(pairs, "u long, v long").distinct()
+
+
 def candidates(members: DataFrame, tried: list[DataFrame]) -> DataFrame:
     """Distinct (u, v), u the pivot of an entry that v is a member of; sizes that cannot meet the threshold are left out."""
     pivot = members.groupBy("entry").agg(F.min(F.struct("node", "n_shingles")).alias("pivot"))
@@ -208,7 +270,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         reps.select("node", "n_shingles", "b").join(met, "node")
         .select("node", "n_shingles", "met", F.posexplode("b").alias("j", "other"))
         .select("node", "n_shingles", "j", "other", F.explode("met").alias("m"))
-        .select("node", "n_shingles", F.xxhash64(F.col("m.i") * HALVES + F.col("j"), "m.half", "other").alias("entry"))
+        .withColumn("tab", F.col("m.i") * HALVES + F.col("j"))
+        .select("node", "n_shingles", "tab", F.xxhash64("tab", "m.half", "other").alias("entry"))
     )
     keys = staged(keys, "keys")
     full = keys.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
@@ -216,7 +279,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = members.select("node").distinct().join(classes.select(F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), "set_id"), "node")
     sets = full_sets(docs, wanted, id_col, text_col)
-    sketches = staged(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sketches")
+    sketches = staged(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch", F.transform(F.concat("a", "b"), lambda x: F.shiftright(x, 32).cast("int")).alias("halves")), "sketches")
     links, tried, roots = None, [], None
     rest = members
     for _ in range(PIVOTS):
@@ -232,16 +295,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = mixed.groupBy("entry").agg(F.min(F.struct("node", "root")).alias("p"))
         rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles")
     else:
-        size = mixed.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = size.groupBy("entry").agg(F.max(F.struct("n", "root")).alias("m")).select("entry", F.col("m.root").alias("main"))
-        mixed = mixed.join(sketches, "node").join(main, "entry")
-        few = mixed.where("root != main").select(F.col("entry").alias("ex"), F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
-        # every pair of different components once: a member of the largest with one of another, or two others in order
-        cond = (
-            (F.col("ex") == F.col("entry")) & ((F.col("root") == F.col("main")) | (F.col("rx") < F.col("root"))) & (F.col("rx") != F.col("root"))
-            & (100 * F.least("nx", "n_shingles") >= PERCENT * F.greatest("nx", "n_shingles")) & agree(F.col("sx"), F.col("sketch"))
-        )
-        across = few.join(mixed, cond).select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
+        across = apart_pairs(mixed, sketches)
         for old in tried:
             across = across.join(old, ["u", "v"], "left_anti")
         found = staged(confirmed(across, sets), "links")
