@@ -223,7 +223,7 @@ def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.mapInArrow(pairs, "u long, v long").distinct()
 
 
-def candidates(members: DataFrame, tried: list[DataFrame]) -> DataFrame:
+def candidates(members: DataFrame, tried: DataFrame | None) -> DataFrame:
     """Distinct (u, v), u the pivot of an entry that v is a member of; sizes that cannot meet the threshold are left out."""
     pivot = members.groupBy("entry").agg(F.min(F.struct("node", "n_shingles")).alias("pivot"))
     pairs = (
@@ -232,9 +232,7 @@ def candidates(members: DataFrame, tried: list[DataFrame]) -> DataFrame:
         .select(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
         .distinct()
     )
-    for old in tried:
-        pairs = pairs.join(old, ["u", "v"], "left_anti")
-    return pairs
+    return pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,11 +278,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = members.select("node").distinct().join(classes.select(F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), "set_id"), "node")
     sets = full_sets(docs, wanted, id_col, text_col)
     sketches = staged(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch", F.transform(F.concat("a", "b"), lambda x: F.shiftright(x, 32).cast("int")).alias("halves")), "sketches")
-    links, tried, roots = None, [], None
+    links, tried, roots = None, None, None
     rest = members
     for _ in range(PIVOTS):
         pairs = staged(candidates(rest, tried), "pairs")
-        tried.append(pairs)
+        tried = pairs if tried is None else tried.unionAll(pairs)
         found = staged(confirmed(sketched(pairs, sketches), sets), "links")
         links = found if links is None else links.unionAll(found)
         mixed, roots = _labelled(members, links)
@@ -296,9 +294,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles")
     else:
         across = apart_pairs(mixed, sketches)
-        for old in tried:
-            across = across.join(old, ["u", "v"], "left_anti")
-        found = staged(confirmed(across, sets), "links")
+        found = staged(confirmed(across.join(tried, ["u", "v"], "left_anti"), sets), "links")
         if not found.isEmpty():
             roots = staged(components(links.unionAll(found)), "roots")
 
