@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path).where("value != ''")
+    raw = spark.read.option("lineSep", "\n").text(path).where("value != ''")
     return raw.withColumn("value", _no_return(F.col("value")))
 
 
