@@ -66,3 +66,14 @@ def test_pipeline_of_nothing(spark, tmp_path):
 def test_queries_run(spark):
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
     assert decontaminate.Q and near_dedup.WORDS == 5
+
+
+def test_stages_keep_the_columns_of_odd_tables(spark, odd, tmp_path):
+    """Columns named as the operators' own, nulls and repeated rows."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = staged(stage(spark, docs, str(tmp_path)), name)
+        if name != "pack":
+            assert docs.schema == before.schema and docs.exceptAll(before).isEmpty()
