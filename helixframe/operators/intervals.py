@@ -31,7 +31,8 @@ def interval_join(
     ``on`` columns are equal; the interval columns of both sides must have
     different names.  ``how`` is inner, left, left_semi or left_anti.
     """
-    rows = left.withColumn("_l", F.monotonically_increasing_id()) if how == "left" else left
+    # rows are numbered once: what is joined back must see the same numbers
+    rows = staged(left.withColumn("_l", F.monotonically_increasing_id()), "numbered") if how == "left" else left
     a = _binned(rows, l_start, l_stop, width).withColumnRenamed("_b0", "_lb")
     b = _binned(right, r_start, r_stop, width).withColumnRenamed("_b0", "_rb")
     low, high = F.greatest(l_start, r_start), F.least(l_stop, r_stop)
@@ -113,7 +114,7 @@ def averaged_over_segments(df: DataFrame, contig: str, start: str, stop: str, co
 def covered_fraction(targets: DataFrame, tracks: DataFrame, contig: str, start: str, stop: str, width: int = BIN) -> DataFrame:
     """Targets with ``covered``, the part of their length that the union of ``tracks`` (same contig column, t_start, t_stop) covers."""
     merged = islands(tracks, contig, "t_start", "t_stop").select(contig, F.col("start").alias("t_start"), F.col("stop").alias("t_stop"))
-    keyed = targets.withColumn("_id", F.monotonically_increasing_id())
+    keyed = staged(targets.withColumn("_id", F.monotonically_increasing_id()), "targets")
     hit = interval_join(keyed.select("_id", contig, start, stop), merged, [contig], start, stop, "t_start", "t_stop", closed=False, width=width)
     span = hit.groupBy("_id").agg(F.sum(F.least(stop, "t_stop") - F.greatest(start, "t_start")).alias("_bases"))
     return keyed.join(span, "_id", "left").withColumn("covered", F.coalesce(F.col("_bases"), F.lit(0)) / (F.col(stop) - F.col(start))).drop("_id", "_bases")
