@@ -189,3 +189,63 @@ def path_replacements(haps: DataFrame, ref: DataFrame) -> DataFrame:
     j = common(j.withColumn("_s", F.reverse("seq")).withColumn("_t", F.reverse("rs")), "_s", "_t", F.least(F.length("seq"), F.length("rs")) - F.col("_p"), "_q")
     cut = lambda c: F.substr(F.col(c), F.col("_p"), F.length(c) - F.col("_q") - F.col("_p") + 1)
     return j.select("window_id", "hap", (F.col("start") + F.col("_p")).alias("pos"), cut("rs").alias("ref"), cut("seq").alias("alt"))
+
+
+def free_segments(spans: DataFrame, tandems: DataFrame, by: list[str]) -> DataFrame:
+    """(by, start, stop, before): parts of spans (by, lo, hi) outside tandem repeats (by, t0, t1), and free bases before each."""
+    ends = spans.select(*by, F.col("lo").alias("at"), F.lit(0).alias("d"), "lo", "hi").unionAll(spans.select(*by, F.col("hi").alias("at"), F.lit(0).alias("d"), "lo", "hi"))
+    held = tandems.join(spans, by).where("t0 < hi and t1 > lo")
+    marks = ends.unionAll(held.select(*by, F.greatest("t0", "lo").alias("at"), F.lit(1).alias("d"), "lo", "hi")).unionAll(held.select(*by, F.least("t1", "hi").alias("at"), F.lit(-1).alias("d"), "lo", "hi"))
+    points = marks.groupBy(*by, "at").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*by).orderBy("at")
+    depth = points.withColumn("stop", F.lead("at").over(w)).withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    free = depth.where("stop is not null and depth = 0").select(*by, F.col("at").alias("start"), "stop")
+    before = F.coalesce(F.sum(F.col("stop") - F.col("start")).over(Window.partitionBy(*by).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return free.withColumn("before", before)
+
+
+def tandem_aware_flanks(points: DataFrame, free: DataFrame, by: list[str], flank: int) -> DataFrame:
+    """(by, at, left, right): the nearest places with ``flank`` bases outside tandem repeats between them and ``at``; null where there are not so many.
+
+    Jumps over repeats become a lookup in the running count of free bases.
+    """
+    n = points.join(free, by).groupBy(*by, "at").agg(F.sum(F.least("stop", "at") - F.least("start", "at")).alias("_n"))
+    seg = n.join(free, by)
+    size = F.col("stop") - F.col("start")
+    left, right = F.col("_n") - flank, F.col("_n") + flank
+    # the highest place with so many free bases before it on the left, the lowest on the right
+    at_left = F.when((left >= F.col("before")) & (left <= F.col("before") + size), F.col("start") + left - F.col("before"))
+    at_right = F.when((right > F.col("before")) & (right <= F.col("before") + size), F.col("start") + right - F.col("before"))
+    return seg.groupBy(*by, "at").agg(F.max(at_left).alias("left"), F.min(at_right).alias("right"))
+
+
+def record_spans(paths: DataFrame, records: DataFrame, placed: DataFrame, by: list[str], pad: int) -> DataFrame:
+    """(by, record, p0, p1): where each supported record lies on a path, padded by ``pad`` bases inside the path.
+
+    ``placed`` has (by, step, n0, n1), the running places of the path's steps.
+    """
+    full = supported_records(paths, records, by).select(*by, "record")
+    hit = paths.join(records.select("window_id", "record", "edge"), ["window_id", "edge"]).join(full, [*by, "record"])
+    ends = hit.groupBy(*by, "record").agg(F.min("place").alias("_a"), (F.max("place") + 1).alias("_b"))
+    size = placed.groupBy(*by).agg(F.max("n1").alias("_size"))
+    first = placed.select(*by, F.col("step").alias("_a"), F.col("n1").alias("_p0"))
+    last = placed.select(*by, F.col("step").alias("_b"), F.col("n0").alias("_p1"))
+    out = ends.join(first, [*by, "_a"]).join(last, [*by, "_b"]).join(size, by)
+    return out.select(*by, "record", F.greatest(F.lit(0), F.col("_p0") - pad).alias("p0"), F.least("_size", F.col("_p1") + pad).alias("p1"))
+
+
+def path_tandems(placed: DataFrame, ref: DataFrame, tandems: DataFrame, by: list[str]) -> DataFrame:
+    """(by, t0, t1): tandem repeats (window_id, t0, t1 on the reference) in path coordinates.
+
+    ``placed`` has (by, step, node, rev, n0, n1).  Inserted nodes beside a repeat count as repeat.
+    """
+    on = placed.join(ref.select("window_id", "node", "at", "until"), ["window_id", "node"], "left")
+    hit = on.join(tandems.select("window_id", F.col("t0").alias("_t0"), F.col("t1").alias("_t1")), "window_id").where("at is not null and _t0 < until and _t1 > at")
+    a, b = F.greatest("_t0", "at") - F.col("at"), F.least("_t1", "until") - F.col("at")
+    size = F.col("n1") - F.col("n0")
+    lifted = hit.select(*by, "step", (F.col("n0") + F.when(F.col("rev"), size - b).otherwise(a)).alias("t0"), (F.col("n0") + F.when(F.col("rev"), size - a).otherwise(b)).alias("t1"), "n0", "n1")
+    touch = lifted.groupBy(*by, "step").agg(F.max((F.col("t0") == F.col("n0")).cast("int")).alias("first"), F.max((F.col("t1") == F.col("n1")).cast("int")).alias("last"))
+    w = Window.partitionBy(*by).orderBy("step")
+    beside = on.join(touch, [*by, "step"], "left").withColumn("_p", F.lag("last").over(w)).withColumn("_n", F.lead("first").over(w))
+    added = beside.where("at is null and (coalesce(_p, 0) = 1 or coalesce(_n, 0) = 1)").select(*by, F.col("n0").alias("t0"), F.col("n1").alias("t1"))
+    return lifted.select(*by, "t0", "t1").unionAll(added)
