@@ -473,3 +473,30 @@ def test_language_on_odd_tables(odd, odd_rows, empty):
     assert {x.lang_pred for x in rows if x.doc_id in (4, 5, 6, 9)} == {"und"}
     assert {x.lang_pred for x in rows} <= {"und", "en", "de"}
     assert langid.language_id(empty).collect() == []
+
+
+def _two_languages(spark):
+    r = random.Random(16)
+    rows = [(k, " ".join(words(r, 200)), "big") for k in range(60)] + [(100 + k, "ångström øre æble", "small") for k in range(3)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows
+
+
+def test_shards_of_languages_give_the_scores_of_one(spark, monkeypatch):
+    """A language with little text is not crowded out, and languages cut by preceding bytes score as whole ones."""
+    docs, rows = _two_languages(spark)
+    train = docs.select("lang", "text")
+    one = langid.fit(train)
+    assert one.langs == ["big", "small"] and len(one.shards) == 1
+    plain = {r.doc_id: r for r in langid.predicted(docs, one).collect()}
+    assert all(plain[i].lang_pred == lang for i, _, lang in rows)
+    many = langid.fit(train, shard_grams=40)
+    assert many.langs == one.langs and len(many.shards) > 4
+    for r in langid.predicted(docs, many).collect():
+        assert r.lang_pred == plain[r.doc_id].lang_pred
+        assert (r.score, r.bits_per_byte) == pytest.approx((plain[r.doc_id].score, plain[r.doc_id].bits_per_byte), rel=1e-9)
+
+
+def test_unlabelled_corpus_passes_the_language_stage(spark):
+    docs = spark.createDataFrame([(1, "a text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    models = langid.fit(langid.training_rows(docs, "doc_id", "text", "lang"))
+    assert [r.doc_id for r in langid.with_language(docs, models).collect()] == [1]
