@@ -14,6 +14,13 @@ the place of any token follows from its place in its queue alone.  With target
 shares that differ from the queues' own, queues run dry one after another; each
 span between two such points is packed by the same rule (``phases``).
 
+Differences of floors can fall by one where a share is under two tokens a
+window, so sources of small shares stand in a binary tree (``tail_paths``): a
+node with L tokens on its left and R on its right gives floor(x * L / (L + R)) of
+its first x tokens to the left, the others to the right.  Both rise with x, so
+every source has its own cumulative quota, within one token a level of its
+share, and a token's place is again a closed form along its source's path.
+
 What moves is small: ids are written once; the queue sums are one row for
 each (file task, source).
 """
@@ -36,7 +43,7 @@ from .token_counts import model_file
 SEQUENCE_TOKENS = 2048
 #: Tokens of a window: 64 sequences.
 WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
-#: Sources with a window's share under this many tokens are one queue: at most 256 queues, whatever the corpus.
+#: Sources with a window's share under this many tokens divide one queue by a tree: at most 256 queues, whatever the corpus.
 LEAST_SHARE = 512
 #: Sums by (file task, source) up to this many rows are broadcast (a few dozen bytes each), beyond it joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -81,8 +88,9 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """The ids, and the end id, as little-endian numbers of ``kind``."""
         end = array(self.code, [END_ID]).tobytes()
-        # all white space is single blanks and line feeds between words: as many words as these make
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(x in text for x in self.odd):
+        # all white space is single blanks and line feeds between words: as many words as these make, and no other characters beside them
+        parts, gaps = text.split(), text.count(" ") + text.count("\n")
+        if len(parts) != gaps + 1 or sum(map(len, parts)) + gaps != len(text) or any(x in text for x in self.odd):
             return array(self.code, self.exact.encode(text, add_special_tokens=False).ids).tobytes() + end
         words = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         seen, encode, code = self.seen, self.words.encode_ordinary, self.code
@@ -144,7 +152,8 @@ def phases(tokens: list[int], shares: list[float], window: int) -> list[dict]:
         for s in live:
             take[s] = min(left[s], int(left[dry] * weight[s] / weight[dry]))
         take[dry] = left[dry]
-        few = [s for s in live if 0 < take[s] * window < 2 * sum(take)]
+        # the last queue's quotas, what all below it leave, never run backwards
+        few = [s for s in live if s != len(left) - 1 and 0 < take[s] * window < 2 * sum(take)]
         alone = [[n if k == s else 0 for k, n in enumerate(take)] for s in few]
         for part in [[0 if k in few else n for k, n in enumerate(take)], *alone]:
             out.append({"at": at, "lo": list(lo), "n": part})
@@ -189,6 +198,87 @@ def cut(start: int, length: int, queue: int, plan: list[dict], window: int, sequ
     return [tuple(x) for x in out]
 
 
+def _upto(x: int, path: list[tuple[int, int, bool]]) -> tuple[int, int]:
+    """Of the first ``x`` tokens of the tree: those of sources before this path's, and of its own; ``path`` from the root on."""
+    below = 0
+    for left, right, is_right in path:
+        n = x * left // (left + right)
+        if is_right:
+            below, x = below + n, x - n
+        else:
+            x = n
+    return below, x
+
+
+def _place(i: int, path: list[tuple[int, int, bool]]) -> int:
+    """The tree's token that is token ``i`` of the path's source."""
+    for left, right, is_right in reversed(path):
+        i = i * (left + right) // right if is_right else ((i + 1) * (left + right) - 1) // left
+    return i
+
+
+def cut_tail(start: int, length: int, path: list[tuple[int, int, bool]], queue: int, plan: list[dict], window: int, sequence: int) -> list[tuple[int, int, int, int]]:
+    """As ``cut``, of a document at ``start`` in its source, which has a part of the queue by ``path``."""
+    out: list[list[int]] = []
+    i, stop = start, start + length
+    while i < stop:
+        x = _place(i, path)
+        phase = next(p for p in plan if p["lo"][queue] <= x < p["lo"][queue] + p["n"][queue])
+        lo, n, total, upto = phase["lo"][queue], phase["n"][queue], sum(phase["n"]), sum(phase["n"][: queue + 1])
+        below, at = upto - n, x - phase["lo"][queue]
+
+        def edge(w: int, upto: int = upto, below: int = below, total: int = total) -> tuple[int, int, int]:
+            b = min(w * window, total)
+            return b, b * below // total, b * upto // total
+
+        w = max(0, at * total // (n * window) - 2)
+        while (e1 := edge(w + 1))[2] - e1[1] <= at:
+            w += 1
+        b0, below0, upto0 = edge(w)
+        # the queue's own tokens of this window, and what of them earlier sources of the tree and this one have
+        before0, own0 = _upto(lo + upto0 - below0, path)
+        before1, own1 = _upto(lo + e1[2] - e1[1], path)
+        pos = phase["at"] + b0 + (e1[1] - below0) + (before1 - before0) + i - own0
+        to = min(stop, own1)
+        while i < to:
+            k = min(to - i, sequence - pos % sequence)
+            if out and out[-1][0] + out[-1][1] == i - start and out[-1][2] + out[-1][1] == pos and pos % sequence:
+                out[-1][1] += k
+            else:
+                out.append([i - start, k, pos, phase["at"] // window + w])
+            i, pos = i + k, pos + k
+    return [tuple(x) for x in out]
+
+
+def tail_paths(sources: DataFrame) -> DataFrame:
+    """(source, path): the tree's nodes from the root to each source of (source, n), as (left, right, is_right).
+
+    Sources are numbered in order of their names; the node of a level above the
+    sources is the number without its last bits, so its sums are grouped sums.
+    """
+    spread = staged(sources.repartitionByRange("source").sortWithinPartitions("source").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "tail")
+    # one row for each partition
+    sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).orderBy("_p").collect()
+    starts, levels = [], 0
+    for r in sizes:
+        starts.append((r["_p"], levels))
+        levels += r["_c"]
+    levels = max(0, levels - 1).bit_length()
+    first = sources.sparkSession.createDataFrame(starts, "_p int, _s long")
+    numbered = spread.join(F.broadcast(first), "_p").select("source", "n", (F.col("_s") + F.col("_i")).alias("k"))
+    if not levels:
+        return numbered.select("source", F.array().cast("array<struct<left:bigint,right:bigint,is_right:boolean>>").alias("path"))
+    numbered = staged(numbered, "numbered")
+    each = numbered.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("node", F.expr("shiftright(k, level)"))
+    sums = each.groupBy("level", "node").agg(F.sum("n").alias("s"))
+    half = sums.groupBy("level", F.shiftright("node", 1).alias("parent")).agg(
+        F.coalesce(F.sum(F.when(F.col("node") % 2 == 0, F.col("s"))), F.lit(0)).alias("left"), F.coalesce(F.sum(F.when(F.col("node") % 2 == 1, F.col("s"))), F.lit(0)).alias("right")
+    )
+    steps = each.withColumn("parent", F.shiftright("node", 1)).join(half, ["level", "parent"]).where("left > 0 and right > 0")
+    paths = steps.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("o"), "left", "right", (F.col("node") % 2 == 1).alias("is_right")))).alias("p"))
+    return paths.select("source", F.transform("p", lambda x: F.struct(x["left"].alias("left"), x["right"].alias("right"), x["is_right"].alias("is_right"))).alias("path"))
+
+
 def packed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", model: str = "byte_bpe_50k.json",
     targets: dict[str, float] | None = None, sequence_tokens: int = SEQUENCE_TOKENS, window_tokens: int = WINDOW_TOKENS, with_ids: bool = False,
@@ -215,11 +305,18 @@ def packed(
     shares = [float((targets or {}).get(r["source"], 0.0)) for r in named] if targets else [float(x) for x in n]
     plan = phases([*n, rest], [*shares, 0.0 if targets else float(rest)], window_tokens)
     number = F.coalesce(*[F.when(F.col("source") == s, k) for s, k in queue.items()], F.lit(len(named)))
-    order = Window.partitionBy("queue").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("queue", number.cast("int")).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("task", "source", "queue", "base")
+    queues = sums.withColumn("queue", number.cast("int"))
+    # a source's own sums over the file tasks; sources of the tail divide their queue by the tree
+    order = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = queues.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("task", "source", "queue", "base")
+    if rest:
+        tail = queues.where(F.col("queue") == len(named)).groupBy("source").agg(F.sum("n").alias("n"))
+        base = base.join(tail_paths(tail), "source", "left")
+    else:
+        base = base.withColumn("path", F.lit(None).cast("array<struct<left:bigint,right:bigint,is_right:boolean>>"))
     rows = sums.count()
     placed = tokens.join(F.broadcast(base) if rows <= BROADCAST_ROWS else base, ["task", "source"])
-    told = spark.sparkContext.broadcast(plan)
+    told, last = spark.sparkContext.broadcast(plan), len(named)
     kind = docs.schema[id_col].dataType
     schema = f"doc_id {kind.simpleString()}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long" + ", ids array<int>" * with_ids
 
@@ -227,10 +324,14 @@ def packed(
         plan = told.value
         for batch in batches:
             of, found, ids = [], [], []
-            cols = [batch.column(c).to_pylist() for c in ("before", "base", "n_tokens", "queue", "ids", "width")]
-            for k, (before, at, length, q, raw, width) in enumerate(zip(*cols)):
+            cols = [batch.column(c).to_pylist() for c in ("before", "base", "n_tokens", "queue", "ids", "width", "path")]
+            for k, (before, at, length, q, raw, width, path) in enumerate(zip(*cols)):
                 wide = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                for start, size, pos, w in cut(at + before, length, q, plan, window_tokens, sequence_tokens):
+                if q < last:
+                    found_pieces = cut(at + before, length, q, plan, window_tokens, sequence_tokens)
+                else:
+                    found_pieces = cut_tail(at + before, length, [(x["left"], x["right"], x["is_right"]) for x in path or []], q, plan, window_tokens, sequence_tokens)
+                for start, size, pos, w in found_pieces:
                     of.append(k)
                     found.append((start, size, zlib.crc32(wide[start : start + size].tobytes()), length, pos // sequence_tokens, pos % sequence_tokens, w))
                     if with_ids:
@@ -242,7 +343,7 @@ def packed(
                 out, names = [*out, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return placed.select("doc_id", "source", "before", "base", "n_tokens", "queue", "ids", "width").mapInArrow(pieces, schema)
+    return placed.select("doc_id", "source", "before", "base", "n_tokens", "queue", "ids", "width", "path").mapInArrow(pieces, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -500,3 +500,52 @@ def test_unlabelled_corpus_passes_the_language_stage(spark):
     docs = spark.createDataFrame([(1, "a text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
     models = langid.fit(langid.training_rows(docs, "doc_id", "text", "lang"))
     assert [r.doc_id for r in langid.with_language(docs, models).collect()] == [1]
+
+
+def test_ids_of_texts_with_other_white_space():
+    tool = packing.encoder("byte_bpe_50k.json")
+    r = random.Random(17)
+    texts = ["a\tb\tc\n\n\nd", "a\tb  c", "a\r\nb\r\nc\n\nd", "a b\n\nc"]
+    texts += ["".join(r.choice(["a", "the", " ", "\n", "\t", "\r\n", " ", "."]) for _ in range(r.randrange(40))) for _ in range(300)]
+    for text in texts:
+        assert np.frombuffer(tool.encode(text), tool.kind).tolist() == [*tool.exact.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_small_sources_have_their_own_quotas(spark):
+    r = random.Random(18)
+    docs = spark.createDataFrame([(k, " ".join(words(r, 60)), "main" if k % 2 else f"t{k % 94:02d}") for k in range(1500)], "doc_id long, text string, source string")
+    rows = packing.packed(docs, window_tokens=16384, sequence_tokens=256).collect()
+    seqs, taken, share, total = defaultdict(list), defaultdict(lambda: defaultdict(int)), defaultdict(int), sum(r.length for r in rows)
+    for x in rows:
+        seqs[x.sequence_id].append((x.offset, x.length))
+        taken[x.window_id][x.source] += x.length
+        share[x.source] += x.length / total
+    assert all(_gapless(seqs[k]) == 256 for k in sorted(seqs)[:-1]) and len(share) == 48 and max(taken) > 8
+    for w in range(max(taken)):
+        assert sum(taken[w].values()) == 16384
+        assert all(abs(taken[w][s] - 16384 * share[s]) <= 8 for s in share)
+
+
+def test_trees_of_random_sources():
+    r = random.Random(19)
+    for _ in range(100):
+        n = [r.randint(1, 40) for _ in range(r.randint(1, 9))]
+
+        def paths(a, b, n=n):
+            if b - a == 1:
+                return [[]]
+            m = (a + b) // 2
+            return [[(sum(n[a:m]), sum(n[m:b]), False), *p] for p in paths(a, m)] + [[(sum(n[a:m]), sum(n[m:b]), True), *p] for p in paths(m, b)]
+
+        tokens = [r.randint(0, 500), sum(n)]
+        plan = packing.phases(tokens, list(map(float, tokens)), 32)
+        taken = [(p, m) for _, m, p, _ in packing.cut(0, tokens[0], 0, plan, 32, 8)] if tokens[0] else []
+        for s, path in enumerate(paths(0, len(n))):
+            at = 0
+            while at < n[s]:
+                size = min(r.randint(1, 20), n[s] - at)
+                pieces = packing.cut_tail(at, size, path, 1, plan, 32, 8)
+                assert _gapless((b, m) for b, m, _, _ in pieces) == size
+                taken += [(p, m) for _, m, p, _ in pieces]
+                at += size
+        assert _gapless(taken) == sum(tokens)
