@@ -132,8 +132,11 @@ def candidate_haplotypes(steps: DataFrame, nodes: DataFrame, ends: DataFrame, by
     return full.groupBy("window_id", "seq").agg(F.min("name").alias("hap"), F.count(F.lit(1)).alias("coverage")).where(F.col("coverage") >= min_coverage).select("window_id", "hap", "seq", "coverage")
 
 
-def walks(edges: DataFrame, sources: DataFrame, most_steps: int = 64) -> DataFrame:
-    """(window_id, path): all walks from source nodes (forward) to nodes that lead nowhere, each node once; by one join a step."""
+def walks(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(window_id, path): all walks from source nodes (forward) to nodes that lead nowhere, each node once; by one join a step.
+
+    Steps end when no walk is open: after as many as the largest window has nodes, at most.
+    """
     both = edges.select("window_id", F.explode(F.array(
         F.struct(F.col("edge.a").alias("f"), F.col("edge.a_rev").alias("fr"), F.col("edge.b").alias("t"), F.col("edge.b_rev").alias("tr")),
         F.struct(F.col("edge.b").alias("f"), (~F.col("edge.b_rev")).alias("fr"), F.col("edge.a").alias("t"), (~F.col("edge.a_rev")).alias("tr")),
@@ -141,7 +144,7 @@ def walks(edges: DataFrame, sources: DataFrame, most_steps: int = 64) -> DataFra
     step = lambda n, r: F.struct(n.alias("node"), r.alias("rev"))
     now = sources.select("window_id", F.col("node").alias("f"), F.lit(False).alias("fr"), F.array(step(F.col("node"), F.lit(False))).alias("path"))
     done = None
-    for _ in range(most_steps):
+    while True:
         ended = now.join(both.select("window_id", "f", "fr").distinct(), ["window_id", "f", "fr"], "left_anti").select("window_id", "path")
         done = ended if done is None else done.unionAll(ended)
         now = now.join(both, ["window_id", "f", "fr"]).where(~F.exists("path", lambda x: x["node"] == F.col("t")))

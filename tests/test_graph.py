@@ -41,3 +41,10 @@ def test_ends_and_walks(spark):
     assert {(r.node, r.left, r.right) for r in ends.collect()} == {("s", True, False), ("a", False, False), ("b", False, False), ("t", False, True)}
     walks = graph.walks(edges, ends.where("left").select("window_id", "node")).collect()
     assert sorted("".join(s.node for s in r.path) for r in walks) == ["sat", "sbt"]
+
+
+def test_walks_of_many_steps_are_kept(spark):
+    names = ["s", *(f"n{k:02d}" for k in range(68)), "t"]
+    edges = spark.createDataFrame([("w", (a, False, b, False)) for a, b in zip(names, names[1:])], "window_id string, edge struct<a:string,a_rev:boolean,b:string,b_rev:boolean>")
+    sources = spark.createDataFrame([("w", "s")], "window_id string, node string")
+    assert [[s.node for s in r.path] for r in graph.walks(edges, sources).collect()] == [names]
