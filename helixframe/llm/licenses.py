@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text; a line of more words than twice the longest
-template's is cut into windows of that size that overlap by half, so that no run
-as long as a template is torn.  A block meets a template where it holds
+Blocks are the lines of a text, and windows over the words of the whole text,
+line breaks ignored, so that notices wrapped over lines are met.  Windows, and
+those of a line that is longer, have twice the longest template's words and
+overlap by half, so that no run as long as a template is torn.  A block meets a template where it holds
 ``CONTAINED`` of the template's distinct words.  Words are ordered by their
 frequency over all documents, rarest first:
 
@@ -121,12 +122,14 @@ class Templates:
                             labels.add(label)
         base_labels, score, matches = ",".join(sorted(labels)), float(bool(labels)), []
         if not self.first.isdisjoint(words):
-            at = 0
-            for line in lines:
-                for s in range(0, max(1, len(line) - self.block // 2), self.block // 2):
+            at, half = 0, self.block // 2
+            # the lines, and the whole text as one
+            for line, whole in [*((x, False) for x in lines), *([(words, True)] if len(lines) > 1 else [])]:
+                first = 0 if whole else at
+                for s in range(0, max(1, len(line) - half), half):
                     for t, n in self.meets(line[s : s + self.block]):
                         part = n / len(self.sets[t])
-                        matches.append({"template": t, "label": self.labels[t], "first_word": at + s, "n_words": len(line[s : s + self.block]), "containment": part})
+                        matches.append({"template": t, "label": self.labels[t], "first_word": first + s, "n_words": len(line[s : s + self.block]), "containment": part})
                         labels.add(self.labels[t])
                         score = max(score, part)
                 at += len(line)

@@ -549,3 +549,20 @@ def test_trees_of_random_sources():
                 taken += [(p, m) for _, m, p, _ in pieces]
                 at += size
         assert _gapless(taken) == sum(tokens)
+
+
+def test_notices_wrapped_over_lines_are_met(spark):
+    """Every template broken after every few words, with comment signs, between other lines."""
+    import textwrap
+
+    r = random.Random(21)
+    texts = []
+    for _, t in licenses.TEMPLATES:
+        for width in (12, 30, 60):
+            lines = ["# " + x for x in textwrap.wrap(t, width, break_on_hyphens=False, break_long_words=False)]
+            texts.append("\n".join([" ".join(words(r, 9)) for _ in range(r.randrange(12))] + lines + [" ".join(words(r, 9)) for _ in range(5)]))
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for x in rows:
+        number = x.doc_id // 3
+        assert licenses.TEMPLATES[number][0] in x.labels.split(",")
+        assert any(m.template == number for m in x.matches)
