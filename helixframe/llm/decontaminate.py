@@ -1,7 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Benchmark items are searched as windows of up to ``WINDOW`` characters (with
-half overlaps), each with an edit budget of a tenth of its length.  A text
+half overlaps), each with an edit budget of a tenth of its length, so a run of
+WINDOW * 3 / 2 characters holds a whole window.  Windows of ``RUN`` characters,
+every RUN / 2, are searched verbatim beside them: any verbatim run of
+RUN * 3 / 2 - 1 characters of an item holds one of these.  Items under
+``LEAST_CHARS`` are searched verbatim at word borders.  A text
 region within ``e`` edits of a window of ``m`` characters shares with it at
 least ``m + 1 - Q - Q * e`` q-grams whose diagonals (place in the text minus
 place in the window) lie within ``e + 1`` neighbours.  Diagonals are counted
@@ -12,6 +16,7 @@ the bound are verified by a banded alignment of the window against the region.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +29,9 @@ from .common import whole_text
 Q = 8
 WINDOW = 120
 EDITS_PER_CHAR = 0.1
-#: Items shorter than this (normalised) are too short to be evidence and are not searched.
+#: Characters of the windows of longer items that are searched verbatim.
+RUN = 40
+#: Items shorter than this (normalised) bear no edits; they are searched verbatim, at word borders.
 LEAST_CHARS = 24
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is searched in as many blocks as it takes.
 BLOCK_CHARS = 4_000_000
@@ -32,6 +39,7 @@ _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
 _P = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in (1, 2, 4)]
 _BITS = 22
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +56,10 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     return low[place], place
 
 
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def grams(codes: np.ndarray) -> np.ndarray:
     """A hash of the Q code points from each place on."""
     h = codes.astype(np.uint64)
@@ -64,9 +76,12 @@ class Index:
         self.items = [i for i, _ in items]
         self.windows: list[np.ndarray] = []
         of, budget, at = [], [], []
+        self.short: dict[str, list[int]] = {}  # items by their normalised text
         for k, (_, text) in enumerate(items):
             codes, _ = normalised((text or "").strip())
             if len(codes) < LEAST_CHARS:
+                if len(codes):
+                    self.short.setdefault(_text(codes), []).append(k)
                 continue
             last = max(0, len(codes) - WINDOW)
             for s in sorted({*range(0, last, WINDOW // 2), last}):
@@ -75,6 +90,13 @@ class Index:
                 of.append(k)
                 at.append(s)
                 budget.append(min(int(len(w) * EDITS_PER_CHAR), (len(w) - Q) // Q))
+            last = len(codes) - RUN
+            for s in sorted({*range(0, last, RUN // 2), last}) if last > 0 else ():
+                self.windows.append(codes[s : s + RUN])
+                of.append(k)
+                at.append(s)
+                budget.append(0)
+        self.tokens = sorted({len(_TOKEN.findall(x)) for x in self.short})
         self.raw = [w.tobytes() for w in self.windows]
         self.of, self.budget, self.at = (np.array(x, np.int64) for x in (of, budget, at))
         self.size = np.array(list(map(len, self.windows)), np.int64)
@@ -90,6 +112,17 @@ class Index:
         self.least = int(self.bound.min()) if len(posts) else 0
         self.reach = int((self.size + 2 * self.budget).max()) if len(posts) else 0
 
+    def verbatim(self, codes: np.ndarray) -> dict[int, tuple[int, int]]:
+        """The first place, start and end, of every short item that the text holds at word borders."""
+        text, out = _text(codes), {}
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        for n in self.tokens:
+            for (start, _), (_, end) in zip(spans, spans[n - 1 :]):
+                if end - start < LEAST_CHARS:
+                    for k in self.short.get(text[start:end], ()):
+                        out.setdefault(k, (start, end))
+        return out
+
     def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(window, smallest diagonal) of every band of the text that reaches its window's bound."""
         if len(codes) < Q or not self.windows:
@@ -140,9 +173,12 @@ class Index:
 
         ends: list[int] = []
         for k, text in enumerate(texts):
-            codes, place = normalised(text) if len(text) >= Q else (np.empty(0, np.uint32), None)
+            codes, place = normalised(text) if len(text) >= Q or text and self.short else (np.empty(0, np.uint32), None)
             places.append(place)
             ends.append(len(codes))
+            if self.short and len(codes):
+                for item, (start, end) in self.verbatim(codes).items():
+                    out[k][-1 - item] = (item, -1 - item, 0, int(place[start]), int(place[end - 1]) + 1)
             for w, low in self.regions(codes):
                 m, e = int(self.size[w]), int(self.budget[w])
                 if w in out[k] and out[k][w][2] == 0:
@@ -198,7 +234,7 @@ def in_parts(index: Index, texts: pa.Array, size: int = 64) -> Iterator[list[tup
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per (input row, item) found: doc_id, item_id, n_windows, edits (least), start, end (characters of the text).
 
-    Null and empty texts hold nothing; so do items under LEAST_CHARS characters.
+    Null and empty texts hold nothing, and null and empty items are nowhere.
     Repeated rows and items each give rows; null identifiers are carried.  An
     empty table on either side gives an empty result.
     """

@@ -566,3 +566,16 @@ def test_notices_wrapped_over_lines_are_met(spark):
         number = x.doc_id // 3
         assert licenses.TEMPLATES[number][0] in x.labels.split(",")
         assert any(m.template == number for m in x.matches)
+
+
+def test_parts_of_items_and_short_items_are_found():
+    r = random.Random(22)
+    item = " ".join(words(r, 80))
+    index = decontaminate.Index([(7, item), (8, "12 + 30 = 42"), (9, "Ann Lee")])
+    for _ in range(100):
+        s = r.randrange(len(item) - 59)
+        text = "before it " + item[s : s + 59].strip() + " and after"
+        assert len(item[s : s + 59].strip()) < 59 or {x[0] for x in index.find([text])[0]} == {0}
+    texts = ["so 12 +  30 = 42.", "12 + 30 = 421", "by ANN\nLEE, in", "by Joann Lee", "Ann Lee", ""]
+    assert [{x[0] for x in found} for found in index.find(texts)] == [{1}, set(), {2}, set(), {2}, set()]
+    assert index.find(texts)[0][0][3:] == (3, 16)
