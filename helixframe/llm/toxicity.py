@@ -1,36 +1,53 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings (inflected words share them).  The
-``MOST_TERMS`` terms most associated with a label in the labelled sample are
-the vocabulary; their document frequencies come from all documents.  Labelled
-examples with equal vectors are one entry of a block-max inverted index: entries
-stand in blocks, every term lists its weights by block, and keeps the largest
-weight of each block.  A query visits blocks by falling upper bound (the sum of
-its weights times those maxima) and stops when no block left can hold a nearer
-entry than the K-th, so the neighbours are exact.  Votes weigh by similarity;
-isotonic regression over leave-one-out votes of the examples turns them into
-probabilities.
+Terms are the words of the labelled examples, all of them.  A term's weight in
+a text is (1 + ln times) * idf * relevance: idf comes from all documents,
+relevance is the association of the term with a label among the examples, in
+standard deviations, and at least one.
+
+The examples stand in an inverted index of block maxima: entries lie in
+blocks, every term lists its weights by block and the largest of each block.  A
+query bounds every block by the sum of its weights times those maxima, scores
+blocks by falling bound and stops when no block left can hold an example nearer
+than the K-th, so the neighbours are exact.  An index is cut into shards of
+``SHARD_POSTINGS`` postings; a text's nearest of each shard are merged by
+Spark.  Votes weigh by squared similarity; isotonic regression over the
+leave-one-out votes of the examples turns them into probabilities.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import whole_text
-
-MOST_TERMS = 128
-#: A term must stand in so many examples, with such an association (in standard deviations).
-LEAST_EXAMPLES, LEAST_Z = 5, 5.0
-NEAREST = 64
-BLOCK = 64
-STARTS = (4, 5)
+from .common import staged, whole_text
+
+#: Labelled rows that stand in the index: the first in order of a hash of their identifier.
+MOST_EXAMPLES = 4_000
+#: Postings of a shard; more only where a single example has more terms.
+SHARD_POSTINGS = 1_000_000
+#: Terms of fewer examples have relevance one: their association says nothing yet.
+LEAST_EXAMPLES = 5
+NEAREST = 32
+BLOCK = 32
+#: Blocks that are scored before the first bound is drawn.
+FIRST_BLOCKS = 4
+#: Terms that one example in so many holds have their postings stored with gaps, in so many cells at most.
+DENSE_PART, DENSE_CELLS = 16, 2_000_000
+#: Texts that are searched together.
+TOGETHER = 64
+#: Weight of the examples' own rate in a vote.
+PRIOR_WEIGHT = 0.01
+#: Words counted in a task before they leave it.
+HELD_WORDS = 1_000_000
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
@@ -38,213 +55,277 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def starts_of(words: list[bytes], n: int) -> list[bytes]:
-    return [w[:n] + b"*" for w in words if len(w) > n]
-
-
-def term_labels(sample: DataFrame) -> DataFrame:
-    """(term, n, ones): examples that hold a term, and those of label 1."""
+def example_terms(sample: DataFrame) -> DataFrame:
+    """doc_id, label, terms, times of every row of (doc_id, text, label); staged."""
+    kind = sample.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ones = Counter(), Counter()
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                words = list(set(words_of(text.as_py())))
-                terms = {*words, *(t for k in STARTS for t in starts_of(words, k))}
-                n.update(terms)
-                if label:
-                    ones.update(terms)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([ones[t] for t in n], pa.int64())], ["term", "n", "ones"])
+            found = [Counter(words_of(x.as_py())) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
+                ["doc_id", "label", "terms", "times"],
+            )
 
-    return sample.mapInArrow(count, "term binary, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    return staged(sample.select("doc_id", "label", "text").mapInArrow(count, f"doc_id {kind}, label int, terms array<binary>, times array<long>"), "examples")
 
 
-class Terms:
-    """The vocabulary; counts its terms in a text."""
+def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df): documents that hold each word, over all documents; summed in the tasks before the shuffle."""
 
-    def __init__(self, terms: list[bytes]):
-        self.number = {t: k for k, t in enumerate(terms)}
-        self.words = frozenset(t for t in terms if t[-1:] != b"*")
-        self.starts = {n: frozenset(t for t in terms if t[-1:] == b"*" and len(t) == n + 1) for n in STARTS}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(n: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["term", "df"])
 
-    def counts(self, text: str) -> tuple[tuple[int, int], ...]:
-        """(term number, times) in order of the numbers."""
-        words = words_of(text)
-        out = [(self.number[t], words.count(t)) for t in self.words.intersection(words)]
-        for n, wanted in self.starts.items():
-            if wanted:
-                starts = starts_of(words, n)
-                out += [(self.number[t], starts.count(t)) for t in wanted.intersection(starts)]
-        return tuple(sorted(out))
+        n: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                n.update(set(words_of(text.as_py())))
+                if len(n) > HELD_WORDS:
+                    yield told(n)
+                    n = Counter()
+        yield told(n)
 
+    return docs.select(whole_text(text_col).alias("text")).mapInArrow(count, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
-def vectors(rows: DataFrame, terms: Terms, keep: str, kind: str) -> DataFrame:
-    """The column ``keep`` of rows with the numbers and times of their terms; texts are read whole."""
-    told = rows.sparkSession.sparkContext.broadcast(terms)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [told.value.counts(x.as_py()) for x in batch.column("text")]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(keep), batch.column("doc_id"), pa.array([[k for k, _ in x] for x in found], ints), pa.array([[n for _, n in x] for x in found], ints)], [keep, "doc_id", "terms", "times"])
+class BlockMaxIndex:
+    """Unit vectors of examples as postings by term, in blocks of entries, with the largest weight of each (term, block).
 
-    return rows.select(keep, "doc_id", "text").mapInArrow(count, f"{keep} int, doc_id {kind}, terms array<int>, times array<int>")
+    ``example``, ``term`` and ``weight`` list the postings; ``terms`` and
+    ``factor`` the terms and what their times are multiplied by; ``own`` marks the
+    terms that count towards a query's norm in this shard.  The postings of terms
+    that many examples hold are stored block by block with their gaps, so that
+    a block is one small product for all queries that need it.
+    """
 
+    def __init__(self, terms: list[bytes], factor: np.ndarray, own: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.number = {t: k for k, t in enumerate(terms)}
+        self.factor, self.own = factor, own
+        self.examples, entry = np.unique(example, return_inverse=True)
+        size = len(self.examples)
+        weight = weight / np.sqrt(np.bincount(entry, weight * weight, size))[entry]
+        # examples with the same heaviest term stand together, so that blocks differ in their maxima
+        heavy = np.zeros(size, np.int64)
+        order = np.lexsort((term, weight, entry))
+        heavy[entry[order]] = term[order]
+        order = np.lexsort((np.arange(size), heavy))
+        self.examples, self.blocks = self.examples[order], -(-size // BLOCK)
+        self.place = {int(e): k for k, e in enumerate(self.examples)}
+        entry = np.argsort(order)[entry]
+        many = np.bincount(term, minlength=len(terms))
+        common = np.argsort(-many, kind="stable")[: DENSE_CELLS // max(1, size)]
+        common = common[many[common] * DENSE_PART >= size]
+        self.row = np.full(len(terms), -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        self.common = np.zeros((len(common), self.blocks * BLOCK))
+        self.common[self.row[term[dense]], entry[dense]] = weight[dense]
+        self.most = self.common.reshape(len(common), self.blocks, BLOCK).max(2) if size else np.zeros((0, 0))
+        order = np.lexsort((entry[~dense], term[~dense]))
+        self.entry, self.weight = entry[~dense][order], weight[~dense][order]
+        self.first = np.searchsorted(term[~dense][order], np.arange(len(terms) + 1))
+
+    def query(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the text's terms."""
+        number = self.number
+        found = sorted((number[w], n) for w, n in Counter(words_of(text)).items() if w in number)
+        terms = np.array([t for t, _ in found], np.int64)
+        return terms, (1 + np.log(np.array([n for _, n in found], np.float64))) * self.factor[terms]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int], most: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Products and examples of each query's ``most`` nearest, by falling product (to nine places); of equal ones the smaller example."""
+        n, width = len(queries), self.blocks * BLOCK
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        of = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        row = self.row[terms]
+        common = np.zeros((n, len(self.common)))
+        common[of[row >= 0], row[row >= 0]] = weights[row >= 0]
+        terms, weights, of = terms[row < 0], weights[row < 0], of[row < 0]
+        size = self.first[terms + 1] - self.first[terms]
+        post = np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        rare = np.bincount(np.repeat(of * width, size) + self.entry[post], self.weight[post] * np.repeat(weights, size), n * width).reshape(n, width)
+        bound = common @ self.most + rare.reshape(n, self.blocks, BLOCK).max(2)
+        out = np.array([k for k, e in enumerate(without) if e in self.place], np.int64), np.array([self.place[e] for e in without if e in self.place], np.int64)
+        total, least, seen = np.zeros((n, width)), np.zeros(n), np.zeros((n, self.blocks), bool)
+        for first in (True, False):
+            # the blocks of the highest bounds, then all that may still hold a nearer example than the last
+            wanted = (bound > 0) & (bound >= least[:, None] * (1 - 1e-9)) & ~seen
+            if first and self.blocks > FIRST_BLOCKS:
+                wanted &= bound >= -np.partition(-bound, FIRST_BLOCKS - 1, 1)[:, FIRST_BLOCKS - 1 : FIRST_BLOCKS]
+            seen |= wanted
+            for b in np.flatnonzero(wanted.any(0)):
+                those, at = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                total[those, at] = rare[those, at] + common[those] @ self.common[:, at]
+            total[out] = 0
+            if width > most:
+                least = np.partition(total, width - most, 1)[:, width - most]
+        found = []
+        for k in range(n):
+            hit = np.flatnonzero((total[k] > 0) & (total[k] >= least[k] - 1e-8))
+            sums, best = np.round(total[k, hit], 9), self.examples[hit]
+            top = np.lexsort((best, -sums))[:most]
+            found.append((sums[top], best[top]))
+        return found
 
-def document_frequencies(docs: DataFrame, terms: Terms, text_col: str) -> np.ndarray:
-    """Documents that hold each term, over all documents; the last number counts all documents."""
-    told, size = docs.sparkSession.sparkContext.broadcast(terms), len(terms.number) + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size, np.int64)
-        for batch in batches:
-            n[-1] += batch.num_rows
-            for text in batch.column("text"):
-                for k, _ in told.value.counts(text.as_py()):
-                    n[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(n, pa.int64())], ["term", "n"])
+@dataclass
+class Model:
+    """The broadcast shards, the examples' identifiers and labels in order of their numbers, their rate and the steps of the calibration."""
 
-    out = np.zeros(size, np.int64)
-    for r in docs.select(whole_text(text_col).alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
-    return out
+    shards: list[Broadcast]
+    names: list[str]
+    labels: np.ndarray
+    rate: float
+    votes: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    chances: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
+    def vote(self, square: float, sums: np.ndarray, best: np.ndarray) -> float:
+        w = sums * sums / max(square, 1e-300)
+        return float((w @ self.labels[best] + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT))
 
-class BlockMaxIndex:
-    """Unit vectors of distinct examples in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, entries: dict[tuple, list[tuple[object, int]]], idf: np.ndarray):
-        self.idf = idf
-        # like vectors stand together, so that blocks differ in their maxima
-        self.keys = sorted(k for k in entries if k)
-        self.n = np.array([len(entries[k]) for k in self.keys], np.float64)
-        self.ones = np.array([sum(y for _, y in entries[k]) for k in self.keys], np.float64)
-        self.evidence = [min(entries[k], key=lambda e: (str(e[0]))) for k in self.keys]
-        blocks = -(-len(self.keys) // BLOCK)
-        self.weight = np.zeros((blocks, len(idf), BLOCK))
-        for k, key in enumerate(self.keys):
-            for t, w in self.unit(key):
-                self.weight[k // BLOCK, t, k % BLOCK] = w
-        self.most = self.weight.max(2) if blocks else np.zeros((0, len(idf)))
-        rest = entries.get((), [])
-        total_n, total_ones = sum(map(len, entries.values())), sum(y for v in entries.values() for _, y in v)
-        prior = (total_ones + 0.5) / (total_n + 1.0)
-        self.prior = prior
-        # examples without a term speak for texts without one
-        self.empty = (sum(y for _, y in rest) + prior) / (len(rest) + 1.0)
-        self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([prior]))
-
-    def unit(self, key: tuple) -> list[tuple[int, float]]:
-        w = [(t, (1.0 + np.log(n)) * self.idf[t]) for t, n in key]
-        norm = np.sqrt(sum(x * x for _, x in w))
-        return [(t, x / norm) for t, x in w]
-
-    def nearest(self, key: tuple, without: int = -1) -> list[tuple[float, int]]:
-        """(similarity, entry) of the nearest entries that hold NEAREST examples together, ties at the end included."""
-        query = self.unit(key)
-        terms, weights = [t for t, _ in query], np.array([w for _, w in query])
-        bound = self.most[:, terms] @ weights
-        found: list[tuple[float, int]] = []
-        least, held = 0.0, 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or held >= NEAREST and bound[b] < least - 1e-12:
-                break
-            similar = weights @ self.weight[b, terms]
-            for k in np.flatnonzero((similar > 0) & (similar >= least - 1e-12)):
-                found.append((float(similar[k]), int(b) * BLOCK + int(k)))
-            found.sort(key=lambda x: (-x[0], x[1]))
-            held = 0.0
-            for s, e in found:
-                held += self.n[e] - (e == without)
-                if held >= NEAREST:
-                    least = s
-                    break
-            if held >= NEAREST:
-                found = [x for x in found if x[0] >= least - 1e-12]
-        return found
+    def score(self, vote: float) -> float:
+        at = max(0, int(np.searchsorted(self.votes, vote, "right")) - 1)
+        return float(min(1.0, max(0.0, self.chances[at])))
 
-    def vote(self, key: tuple, without: int = -1, label: int = 0) -> tuple[float, list[tuple[float, int]]]:
-        """The share of label 1 among the nearest, by squared similarity; ``without`` leaves one example of an entry out."""
-        near = self.nearest(key, without)
-        own = np.array([e == without for _, e in near], np.float64)
-        w = np.array([s * s for s, _ in near])
-        e = np.array([e for _, e in near], np.int64)
-        n, ones = self.n[e] - own, self.ones[e] - own * label
-        return float(((w * ones).sum() + self.prior * 0.1) / ((w * n).sum() + 0.1)), near
-
-    def calibrate(self) -> None:
-        """Isotonic regression of the labels on the leave-one-out votes of all examples."""
-        points = []
-        for k, key in enumerate(self.keys):
-            for label, many in ((1, self.ones[k]), (0, self.n[k] - self.ones[k])):
-                if many:
-                    points.append((self.vote(key, k, label)[0], label, many))
-        points.sort()
+    def calibrate(self, points: list[tuple[float, int]]) -> None:
+        """Isotonic regression of the labels on (vote, label) of the examples."""
         pools: list[list[float]] = []  # vote, ones, examples
-        for v, label, many in points:
-            pools.append([v, label * many, many])
+        for v, label in sorted(points):
+            pools.append([v, label, 1])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 _, a, b = pools.pop()
                 pools[-1][1] += a
                 pools[-1][2] += b
         if pools:
-            self.steps = (np.array([p[0] for p in pools]), np.array([(p[1] + self.prior) / (p[2] + 1.0) for p in pools]))
-
-    def score(self, key: tuple) -> tuple[float, list[dict]]:
-        if not key or not self.keys:
-            return self.empty, []
-        vote, near = self.vote(key)
-        if not near:
-            return self.prior, []
-        at = max(0, int(np.searchsorted(self.steps[0], vote, "right")) - 1)
-        return float(min(1.0, max(0.0, self.steps[1][at]))), [{"doc_id": str(self.evidence[e][0]), "similarity": s, "label": int(self.evidence[e][1])} for s, e in near[:3]]
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most_rows: int) -> tuple[Terms, BlockMaxIndex]:
-    sample = labelled.sample(docs, labels, label, id_col, text_col, most_rows)
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
-    p = (total["ones"] + 0.5) / (total["n"] + 1.0)
-    z = F.abs(F.col("ones") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    top = term_labels(sample).withColumn("z", z).where((F.col("n") >= LEAST_EXAMPLES) & (F.col("z") >= LEAST_Z)).orderBy(F.col("z").desc(), "term").limit(MOST_TERMS).collect()
-    terms = Terms(sorted(bytes(r["term"]) for r in top))
-    frequency = document_frequencies(docs, terms, text_col)
-    idf = np.log((1.0 + frequency[-1]) / (1.0 + frequency[:-1])) + 1.0
-    entries: dict[tuple, list] = {}
-    for r in vectors(sample, terms, "label", docs.schema[id_col].dataType.simpleString()).orderBy("doc_id", "label", "terms", "times").limit(most_rows).toLocalIterator():
-        entries.setdefault(tuple(zip(r["terms"], r["times"])), []).append((r["doc_id"], r["label"]))
-    index = BlockMaxIndex(entries, idf)
-    index.calibrate()
-    return terms, index
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_rows: int = labelled.MOST_ROWS) -> DataFrame:
+            self.votes, self.chances = np.array([p[0] for p in pools]), np.array([(p[1] + self.rate) / (p[2] + 1.0) for p in pools])
+        else:
+            self.chances = np.array([self.rate])
+
+
+_NEAR = pa.list_(pa.struct([("product", pa.float64()), ("example", pa.int32())]))
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
+
+
+def voted(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, skip, vote (null without a term), score and evidence of ``rows`` (doc_id, text, skip); the example ``skip`` (-1: none) does not vote."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    judge = rows.sparkSession.sparkContext.broadcast(model.__class__([], model.names, model.labels, model.rate, model.votes, model.chances))
+    out = f"doc_id {kind}, skip int, vote double, score double, evidence array<struct<doc_id:string,similarity:double,label:int>>"
+
+    def judged(batch: pa.RecordBatch, found: list[tuple[float, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        m, votes, scores, near = judge.value, [], [], []
+        for square, sums, best in found:
+            votes.append(m.vote(square, sums, best) if len(best) else None)
+            scores.append(m.score(votes[-1]) if len(best) else m.rate)
+            near.append([{"doc_id": m.names[e], "similarity": float(s / np.sqrt(square)), "label": int(m.labels[e])} for s, e in zip(sums[:3], best[:3])])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("skip"), pa.array(votes, pa.float64()), pa.array(scores, pa.float64()), pa.array(near, _EVIDENCE)], ["doc_id", "skip", "vote", "score", "evidence"])
+
+    def searched(index: BlockMaxIndex, batch: pa.RecordBatch) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        found = []
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            queries = [index.query(x.as_py()) for x in part.column("text")]
+            squares = [float((w[index.own[t]] ** 2).sum()) for t, w in queries]
+            found += [(x, *y) for x, y in zip(squares, index.nearest(queries, part.column("skip").to_pylist()))]
+        return found
+
+    if not model.shards:
+        return rows.select("doc_id", "skip", F.lit(None).cast("double").alias("vote"), F.lit(model.rate).alias("score"), F.array().cast("array<struct<doc_id:string,similarity:double,label:int>>").alias("evidence"))
+    if len(model.shards) == 1:
+        told = model.shards[0]
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield judged(batch, searched(told.value, batch))
+
+        return rows.select("doc_id", "text", "skip").mapInArrow(search, out)
+
+    rows = staged(rows.select("doc_id", "text", "skip").withColumn("row", F.monotonically_increasing_id()), "texts")
+    parts = None
+    for told in model.shards:
+
+        def part(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = searched(told.value, batch)
+                near = [[{"product": s, "example": e} for s, e in zip(sums, best)] for _, sums, best in found]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _, _ in found], pa.float64()), pa.array(near, _NEAR)], ["row", "square", "near"])
+
+        of = rows.mapInArrow(part, "row long, square double, near array<struct<product:double,example:int>>")
+        parts = of if parts is None else parts.unionAll(of)
+    # as many rows of a text as there are shards
+    merged = parts.groupBy("row").agg(F.sum("square").alias("square"), F.flatten(F.collect_list("near")).alias("near"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for square, near in zip(batch.column("square").to_pylist(), batch.column("near").to_pylist()):
+                top = sorted((-x["product"], x["example"]) for x in near)[:NEAREST]
+                found.append((square, np.array([-s for s, _ in top]), np.array([e for _, e in top], np.int64)))
+            yield judged(batch, found)
+
+    return rows.drop("text").join(merged, "row").select("doc_id", "skip", "square", "near").mapInArrow(merge, out)
+
+
+def _shards(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of example numbers with at most ``most`` postings together, or one example each."""
+    out, lo, held = [], 0, 0
+    for k, n in enumerate(sizes):
+        if held and held + n > most:
+            out.append((lo, k))
+            lo, held = k, 0
+        held += n
+    return [*out, (lo, len(sizes))] if held else out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most_rows: int = MOST_EXAMPLES, shard_postings: int = SHARD_POSTINGS) -> Model:
+    """The index of at most ``most_rows`` labelled examples and its calibration; one shard at a time reaches the driver."""
+    spark = docs.sparkSession
+    sample = staged(labelled.sample(docs, labels, label, id_col, text_col, most_rows), "sample")
+    examples = example_terms(sample)
+    heads = examples.select("doc_id", "label", F.size("terms").alias("n")).orderBy("doc_id").collect()  # most_rows at most
+    marks = np.array([r["label"] for r in heads], np.float64)
+    rate = (marks.sum() + 0.5) / (len(heads) + 1.0)
+    model = Model([], [str(r["doc_id"]) for r in heads], marks, rate)
+    if not heads:
+        model.calibrate([])
+        return model
+    kind = docs.schema[id_col].dataType.simpleString()
+    numbers = F.broadcast(spark.createDataFrame([(r["doc_id"], k) for k, r in enumerate(heads)], f"doc_id {kind}, ex int"))
+    posts = staged(examples.join(numbers, "doc_id").select("ex", "label", F.explode(F.arrays_zip("terms", "times")).alias("p")).select("ex", "label", F.col("p.terms").alias("term"), F.col("p.times").alias("times")), "postings")
+    held = posts.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"), F.min("ex").alias("first"))
+    z = F.abs(F.col("ones") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    relevance = F.when(F.col("n") >= LEAST_EXAMPLES, F.greatest(F.lit(1.0), z)).otherwise(1.0)
+    idf = F.log((1.0 + docs.count()) / (1.0 + F.col("df"))) + 1.0
+    terms = staged(document_frequencies(docs, text_col).join(held, "term").select("term", "first", (idf * relevance).alias("factor")), "terms")
+    for lo, hi in _shards([r["n"] for r in heads], shard_postings):
+        of = posts.where(F.col("ex").between(lo, hi - 1)).join(terms, "term").select("ex", "term", "first", "factor", ((1 + F.log("times")) * F.col("factor")).alias("weight")).toArrow()
+        words = of["term"].combine_chunks().dictionary_encode()
+        number = words.indices.to_numpy().astype(np.int64)
+        names, at = words.dictionary.to_pylist(), np.empty(len(words.dictionary), np.int64)
+        at[number] = np.arange(len(number))
+        rank = np.argsort(np.array(names, object), kind="stable")
+        back = np.empty(len(rank), np.int64)
+        back[rank] = np.arange(len(rank))
+        first, factor = of["first"].to_numpy()[at[rank]], of["factor"].to_numpy()[at[rank]]
+        index = BlockMaxIndex([names[k] for k in rank], factor, (first >= lo) & (first < hi), of["ex"].to_numpy().astype(np.int64), back[number], of["weight"].to_numpy())
+        model.shards.append(spark.sparkContext.broadcast(index))
+    own = voted(sample.join(numbers, "doc_id").select("doc_id", "text", F.col("ex").alias("skip")), model).where("vote is not null").select("vote", "skip").collect()
+    model.calibrate([(r["vote"], int(marks[r["skip"]])) for r in own])
+    return model
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_EXAMPLES) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, evidence.
 
     Fitted on at most ``most_rows`` labelled rows whose crc32(id) mod 5 is not
     0.  ``evidence`` names the three nearest examples (identifier, similarity,
-    label).  A text without a term of the vocabulary, a null or empty one
-    among them, gets the rate of the examples without one.  With no labels at
-    all every score is 1/2 of one example's prior.  Repeated rows and null
-    identifiers each give a row; an empty table gives an empty result.
+    label); of equally near ones the smaller identifier comes first.  A text
+    without a word of the examples, a null or empty one among them, gets the
+    examples' rate, and so does every text where there are no labels (1/2).
+    Repeated rows and null identifiers each give a row; texts are read whole
+    at any length; other columns are not read.  An empty table gives an empty result.
     """
-    told = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, id_col, text_col, most_rows))
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, evidence array<struct<doc_id:string,similarity:double,label:int>>"
-    near = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, index = told.value
-        known: dict[tuple, tuple] = {}
-        for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                key = terms.counts(text.as_py())
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = index.score(key)
-                found.append(known[key])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], near)], ["doc_id", "score", "evidence"])
-
-    out = rows.mapInArrow(score, schema)
-    return out.select("doc_id", labelled.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    model = fit(docs, labels, label, id_col, text_col, most_rows)
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.lit(-1).alias("skip"))
+    return voted(rows, model).select("doc_id", labelled.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

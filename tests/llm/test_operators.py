@@ -260,26 +260,96 @@ def _labelled(spark, r, n=600):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels
 
 
-def test_neighbours_equal_brute_force():
-    r = random.Random(9)
-    idf = np.array([1 + r.random() * 3 for _ in range(30)])
-    entries = defaultdict(list)
-    for k in range(900):
-        key = tuple(sorted((t, r.randint(1, 4)) for t in r.sample(range(30), r.randint(0, 5))))
-        entries[key].append((k, r.randint(0, 1)))
-    index = toxicity.BlockMaxIndex(dict(entries), idf)
-    unit = [dict(index.unit(k)) for k in index.keys]
-    for key in [*r.sample(index.keys, 60), ((3, 1),)]:
-        q = dict(index.unit(key))
-        full = sorted(((sum(w * u.get(t, 0) for t, w in q.items()), k) for k, u in enumerate(unit)), key=lambda x: (-x[0], x[1]))
-        held, least = 0, 0.0
-        for s, k in full:
-            held += index.n[k]
-            if held >= toxicity.NEAREST:
-                least = s
-                break
-        want = {k for s, k in full if s > 0 and s >= least - 1e-9}
-        assert {k for _, k in index.nearest(key)} == want
+def _plain_toxicity(docs, labels, most=10**9):
+    """Score and nearest examples of every (id, text) by plain TF-IDF cosines over all terms, neighbours one by one."""
+    from collections import Counter
+    from math import log, sqrt
+
+    terms = {i: Counter(toxicity.words_of(t or "")) for i, t in docs}
+    df = Counter(w for c in terms.values() for w in c)
+    marks = {i: y for i, y in labels if y in (0, 1) and zlib.crc32(str(i).encode()) % 5}
+    examples = sorted(i for i in marks if i in terms)
+    rate = (sum(marks[i] for i in examples) + 0.5) / (len(examples) + 1)
+    n, ones = Counter(w for i in examples for w in terms[i]), Counter(w for i in examples if marks[i] for w in terms[i])
+
+    def factor(w):
+        z = abs(ones[w] - n[w] * rate) / sqrt(n[w] * rate * (1 - rate))
+        return (log((1 + len(docs)) / (1 + df[w])) + 1) * (max(1, z) if n[w] >= toxicity.LEAST_EXAMPLES else 1)
+
+    vector = {i: {w: (1 + log(k)) * factor(w) for w, k in c.items() if n[w]} for i, c in terms.items()}
+    norm = {i: sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+
+    def near(i, skip=None):
+        own = vector[i]
+        cosines = [(sum(x * vector[e].get(w, 0) for w, x in own.items()) / (norm[i] * norm[e]), e) for e in examples if e != skip and norm[i] and norm[e]]
+        return sorted(((-s, e) for s, e in cosines if s > 0))[: toxicity.NEAREST]
+
+    def vote(found):
+        w = [s * s for s, _ in found]
+        return (sum(x * marks[e] for x, (_, e) in zip(w, found)) + toxicity.PRIOR_WEIGHT * rate) / (sum(w) + toxicity.PRIOR_WEIGHT)
+
+    model = toxicity.Model([], [], np.zeros(0), rate)
+    model.calibrate([(vote(found), marks[e]) for e in examples if (found := near(e, e))])
+    out = {}
+    for i, _ in docs:
+        found = near(i)
+        out[i] = (model.score(vote(found)) if found else rate, [(e, -s) for s, e in found[:3]])
+    return out
+
+
+@pytest.mark.parametrize("postings", [10**6, 900])
+def test_toxicity_equals_brute_force(spark, monkeypatch, postings):
+    """Term weights, neighbours, votes and calibration, with one shard and with several."""
+    docs, labels, truth = _labelled(spark, random.Random(23), 220)
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: fit(*a, shard_postings=postings))
+    got = toxicity.toxicity(docs, labels).collect()
+    want = _plain_toxicity([tuple(r) for r in docs.collect()], [(i, y) for i, y, _ in truth])
+    for r in got:
+        score, near = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-6)
+        assert [e.similarity for e in r.evidence] == pytest.approx([s for _, s in near], abs=1e-9)
+
+
+def test_every_word_of_an_example_counts(spark):
+    """Near copies of a labelled text are found by words that stand in that text alone, however many other words tell labels."""
+    r = random.Random(24)
+    tellers = [f"bad{k}" for k in range(200)]
+    docs, marks = [], []
+    for k in range(400):
+        toxic = k % 2
+        docs.append((k, " ".join(words(r, 30) + (r.sample(tellers, 20) if toxic else []))))
+        marks.append((k, 1, toxic))
+    rare = " ".join(f"only{k}" for k in range(40))
+    own = next(k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 5)
+    docs += [(own, rare), (5000, rare + " and more")]
+    marks.append((own, 1, 1))
+    rows = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+    copy = next(x for x in rows if x.doc_id == 5000)
+    assert copy.evidence[0].doc_id == str(own) and copy.evidence[0].similarity > 0.9
+
+
+def test_block_bounds_lose_no_neighbour():
+    r = np.random.default_rng(25)
+    example, term = np.divmod(r.choice(700 * 60, 9000, replace=False), 60)
+    weight = r.random(9000) + 0.01
+    weight[term < 20] = (r.random((term < 20).sum()) + 0.01) * (example[term < 20] < 40)  # terms of few examples
+    keep = weight > 0
+    example, term, weight = example[keep], term[keep], weight[keep]
+    index = toxicity.BlockMaxIndex([b"%d" % k for k in range(60)], np.ones(60), np.ones(60, bool), example, term, weight)
+    assert 0 < (index.row >= 0).sum() < 60
+    full = np.zeros((700, 60))
+    full[example, term] = weight
+    full /= np.maximum(1e-300, np.sqrt((full**2).sum(1)))[:, None]
+    queries = [(np.sort(r.choice(60, r.integers(0, 9), replace=False)), 0) for _ in range(100)]
+    queries = [(t, r.random(len(t)) ** 3) for t, _ in queries]
+    skips = [int(r.integers(700)) if r.random() < 0.5 else -1 for _ in queries]
+    for (terms, q), skip, (sums, best) in zip(queries, skips, index.nearest(queries, skips)):
+        want = np.round(full[:, terms] @ q, 9)
+        if skip >= 0:
+            want[skip] = 0
+        order = sorted((-s, e) for e, s in enumerate(want) if s > 0)[: toxicity.NEAREST]
+        assert best.tolist() == [e for _, e in order] and sums == pytest.approx([-s for s, _ in order])
 
 
 def test_toxicity_on_held_out_rows(spark):
