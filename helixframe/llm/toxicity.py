@@ -33,7 +33,7 @@ from .common import staged, whole_text
 #: Labelled rows that stand in the index: the first in order of a hash of their identifier.
 MOST_EXAMPLES = 4_000
 #: Postings of a shard; more only where a single example has more terms.
-SHARD_POSTINGS = 1_000_000
+SHARD_POSTINGS = 2_000_000
 #: Terms of fewer examples have relevance one: their association says nothing yet.
 LEAST_EXAMPLES = 5
 NEAREST = 32
