@@ -36,16 +36,17 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def merged_headers(stored: Column, fresh: Column) -> Column:
-    """The stored response's headers, updated by those of the 304 answer that may replace them; names in lower case."""
-    lower = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    old, new = lower(stored), F.map_filter(lower(fresh), lambda k, _: ~k.isin(NOT_MERGED))
-    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+def lowered(headers: Column) -> Column:
+    """Headers by their names in lower case; of names that differ in case alone, the last in byte order stays (``etag`` before ``ETag``)."""
+    pairs = F.array_sort(F.transform(F.map_entries(headers), lambda x: F.struct(F.lower(x["key"]).alias("k"), x["key"].alias("name"), x["value"].alias("v"))))
+    last = F.filter(pairs, lambda x, i: F.coalesce(F.get(pairs, i + 1)["k"] != x["k"], F.lit(True)))
+    return F.coalesce(F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"]))), F.create_map().cast("map<string,string>"))
 
 
-def header(headers: Column, name: str) -> Column:
-    """A header's value by its name in any case; null if it is missing."""
-    return F.try_element_at(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == name)), F.lit(1))
+def merged_headers(stored: Column, fresh: Column) -> Column:
+    """The stored response's headers, updated by those of the 304 answer that may replace them; names in lower case already."""
+    new = F.map_filter(fresh, lambda k, _: ~k.isin(NOT_MERGED))
+    return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(new, k)), new)
 
 
 def resolve_revisits(records: DataFrame, with_body: bool = True) -> DataFrame:
@@ -54,7 +55,9 @@ def resolve_revisits(records: DataFrame, with_body: bool = True) -> DataFrame:
     ``records`` has record_id, url, ts, kind ('response' or 'revisit'), status,
     headers (map of strings) and body.  Responses count if their status is 200 and they have a
     body.  A response before a revisit is one with a smaller ts, or the same ts and a
-    smaller record_id.  state is
+    record_id that is not larger; null identifiers are the largest.  Of responses
+    with the same ts and record_id the one with the largest SHA-256 of its body
+    is the latest.  state is
 
         resolved         the revisit's ETag equals the response's (weak
                          comparison), or, without one, its Last-Modified
@@ -63,25 +66,36 @@ def resolve_revisits(records: DataFrame, with_body: bool = True) -> DataFrame:
         no_response      there is none before it: headers are its own, no body
 
     Null URLs, times or kinds: such responses are no candidates, such revisits
-    are no_response; null identifiers come last among equal times.  Repeated
-    records each count and each give a row.  An empty table gives an empty result.
+    are no_response (a null kind is neither).  Bodies are found by their SHA-256, so records that share an
+    identifier, or have none, keep their own.  Of header names that differ in
+    case alone the last in byte order counts.  Repeated records each count and
+    each give a row; bodies may be of any length and are moved once; other columns are not
+    read, whatever their names.  An empty table gives an empty result.
     """
-    at = F.struct("ts", F.col("record_id").isNull().alias("no_id"), "record_id", "kind")
+    known = F.col("ts").isNotNull() & F.col("url_key").isNotNull()
     slim = records.where(F.col("kind").isin(RESPONSE, REVISIT)).select(
-        "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", "headers",
-        F.when(F.col("kind") == RESPONSE, (F.col("status") == 200) & F.col("body").isNotNull() & F.col("ts").isNotNull()).otherwise(False).alias("full"),
-        F.regexp_replace(header(F.col("headers"), "etag"), "^W/", "").alias("etag"), header(F.col("headers"), "last-modified").alias("modified"),
-    ).where((F.col("kind") == REVISIT) | (F.col("full") & F.col("url_key").isNotNull()))
-    parts = size_in_partitions(records)
-    dealt = staged(slim.repartitionByRange(parts, "url_key", "ts", "record_id").withColumn("part", F.spark_partition_id()), "records")
-    response = F.when(F.col("full"), F.struct(F.col("record_id").alias("id"), "etag", "modified", "headers"))
-    inside = Window.partitionBy("url_key", "part").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", lowered(F.col("headers")).alias("headers"),
+        F.when(F.col("kind") == RESPONSE, (F.col("status") == 200) & F.col("body").isNotNull()).otherwise(False).alias("full"),
+        F.when(F.col("kind") == RESPONSE, F.unhex(F.sha2(F.col("body").cast("binary"), 256))).alias("digest"),
+    )
+    slim = slim.where((F.col("kind") == REVISIT) | (F.col("full") & known))
+    slim = slim.withColumns({"no_id": F.col("record_id").isNull(), "etag": F.regexp_replace(F.try_element_at("headers", F.lit("etag")), "^W/", ""), "modified": F.try_element_at("headers", F.lit("last-modified"))})
+    # rows that are alike in all of these may stand in any order, so they are dealt over partitions too
+    order = ["ts", "no_id", "record_id", "kind", "digest"]
+    timed = slim.where(known).withColumn("salt", F.monotonically_increasing_id())
+    dealt = staged(timed.repartitionByRange(size_in_partitions(records), "url_key", *order, "salt").withColumn("part", F.spark_partition_id()), "records")
+    at = F.struct(*order)
+    response = F.when(F.col("full"), F.struct(F.col("record_id").alias("id"), "etag", "modified", "headers", "digest"))
+    inside = Window.partitionBy("url_key", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = dealt.withColumn("r", F.last(response, ignorenulls=True).over(inside))
     # the last response of each (URL, partition), carried on
     ends = dealt.where("full").groupBy("url_key", "part").agg(F.max_by(response, at).alias("end"))
     parts_of = dealt.select("url_key", "part").distinct().join(ends, ["url_key", "part"], "left")
     carried = parts_of.withColumn("carried", F.last("end", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("url_key", "part", "carried")
-    found = near.where(F.col("kind") == REVISIT).join(carried.where("carried is not null"), ["url_key", "part"], "left").withColumn("r", F.when(F.col("ts").isNotNull(), F.coalesce("r", "carried")))
+    found = near.where(F.col("kind") == REVISIT).join(carried.where("carried is not null"), ["url_key", "part"], "left").withColumn("r", F.coalesce("r", "carried"))
+    columns = ["record_id", "url_key", "ts", "headers", "etag", "modified"]
+    lost = slim.where(F.col("kind") == REVISIT).where(~known).select(*columns, F.lit(None).cast(found.schema["r"].dataType).alias("r"))
+    found = found.select(*columns, "r").unionAll(lost)
     state = (
         F.when(F.col("r").isNull(), "no_response")
         .when(F.col("etag").isNotNull(), F.when(F.col("etag").eqNullSafe(F.col("r.etag")), "resolved").otherwise("changed"))
@@ -90,11 +104,13 @@ def resolve_revisits(records: DataFrame, with_body: bool = True) -> DataFrame:
     )
     out = found.withColumn("state", state)
     held = F.col("state").isin("resolved", "unvalidated")
+    none = F.create_map().cast("map<string,string>")
     out = out.select(
         "record_id", "url_key", "ts", F.col("r.id").alias("response_id"), "state",
-        F.when(held, merged_headers(F.col("r.headers"), F.col("headers"))).otherwise(merged_headers(F.lit(None).cast("map<string,string>"), F.col("headers"))).alias("headers"),
+        merged_headers(F.when(held, F.col("r.headers")).otherwise(none), F.col("headers")).alias("headers"), F.when(held, F.col("r.digest")).alias("digest"),
     )
     if not with_body:
-        return out
-    bodies = records.where((F.col("kind") == RESPONSE) & F.col("record_id").isNotNull()).groupBy("record_id").agg(F.max("body").alias("body"))
-    return out.withColumn("of", F.when(F.col("state").isin("resolved", "unvalidated"), F.col("response_id"))).join(bodies.withColumnRenamed("record_id", "of"), "of", "left").drop("of")
+        return out.drop("digest")
+    full = records.where((F.col("kind") == RESPONSE) & (F.col("status") == 200) & F.col("body").isNotNull())
+    bodies = full.groupBy(F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest")).agg(F.first("body").alias("body"))
+    return out.join(bodies, "digest", "left").drop("digest")

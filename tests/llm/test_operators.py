@@ -226,6 +226,23 @@ def test_revisits_on_odd_tables(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
 
 
+def test_revisits_whose_records_share_names(spark):
+    """Header names that differ in case, responses with equal or null identifiers, equal times, a very long body, other columns."""
+    long = "x" * 3_000_000
+    rows = [
+        (1, "http://a/", 1, "response", 200, {"ETag": "old", "etag": "t", "X": "1"}, "a's"), (1, "http://b/", 1, "response", 200, {"ETag": "t"}, "b's"), (None, "http://c/", 1, "response", 200, {"ETag": "t"}, long),
+        (2, "http://a/", 2, "revisit", 304, {"ETag": "t", "etag": "t", "Content-Length": "0", "content-length": "1"}, None), (3, "http://b/", 2, "revisit", 304, {"Etag": "t"}, None), (4, "http://c/", 2, "revisit", 304, {"ETAG": "t"}, None),
+        (None, "http://d/", 5, "response", 200, None, "d's"), (None, "http://d/", 5, "revisit", 304, None, None), (9, "http://d/", 5, "revisit", 304, None, None),
+    ]
+    df = spark.createDataFrame(rows, RECORDS).withColumns({"part": F.lit(1), "digest": F.lit("x"), "r": F.lit(2), "salt": F.lit(3), "url_key": F.lit("u")})
+    for parts in (1, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = {r.record_id: r for r in warc.resolve_revisits(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert {k: (r.state, r.response_id, r.body) for k, r in found.items()} == {2: ("resolved", 1, "a's"), 3: ("resolved", 1, "b's"), 4: ("resolved", None, long), None: ("unvalidated", None, "d's"), 9: ("no_response", None, None)}
+        assert found[2].headers == {"etag": "t", "x": "1"}
+
+
 # 5 exact dedup
 
 
