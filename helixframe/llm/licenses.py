@@ -104,8 +104,7 @@ class Templates:
                     continue
                 if (n := len(self.sets[t] & have)) >= self.need[t]:
                     out.append((t, n))
-        # a template that is a part of another one met (CC BY of CC BY-NC) says nothing of its own
-        return [(t, n) for t, n in out if not any(self.sets[t] < self.sets[u] for u, _ in out)]
+        return out
 
     def scan(self, text: str) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score, matches of a text."""
@@ -127,11 +126,14 @@ class Templates:
             for line, whole in [*((x, False) for x in lines), *([(words, True)] if len(lines) > 1 else [])]:
                 first = 0 if whole else at
                 for s in range(0, max(1, len(line) - half), half):
-                    for t, n in self.meets(line[s : s + self.block]):
+                    met = self.meets(line[s : s + self.block])
+                    for t, n in met:
                         part = n / len(self.sets[t])
                         matches.append({"template": t, "label": self.labels[t], "first_word": first + s, "n_words": len(line[s : s + self.block]), "containment": part})
-                        labels.add(self.labels[t])
                         score = max(score, part)
+                        # a template that is a part of another one met there (CC BY of CC BY-NC) gives no label of its own
+                        if not any(self.sets[t] < self.sets[u] for u, _ in met):
+                            labels.add(self.labels[t])
                 at += len(line)
         return len(words), len(base), min(base, default=None), max(base, default=None), base_labels, ",".join(sorted(labels)), score, matches
 
@@ -160,6 +162,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``matches`` lists every (block, template) that meets: template number,
     label, the block's first word and its words, and the part of the template held.
+    ``labels`` are those of the matches whose template is no proper part of another
+    one met in the same block, and the base labels.
     score is the largest such part, or 1 with a base phrase.  A null or empty
     text has no words, no labels (empty strings) and score 0.  Repeated rows and
     null identifiers each give a row; an empty table gives an empty result.
