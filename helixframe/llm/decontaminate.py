@@ -35,6 +35,8 @@ RUN = 40
 LEAST_CHARS = 24
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is searched in as many blocks as it takes.
 BLOCK_CHARS = 4_000_000
+#: Shared q-grams (place in the text, place in a window) that are counted at once.
+MOST_POSTS = 1_000_000
 _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x2000)], np.uint32)
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
 _P = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in (1, 2, 4)]
@@ -75,7 +77,18 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [i for i, _ in items]
         self.windows: list[np.ndarray] = []
-        of, budget, at = [], [], []
+        self.of: list[list[int]] = []  # the items of each window; equal windows are one
+        budget: list[int] = []
+        known: dict[tuple[bytes, int], int] = {}
+
+        def add(k: int, codes: np.ndarray, edits: int) -> None:
+            w = known.setdefault((codes.tobytes(), edits), len(self.windows))
+            if w == len(self.windows):
+                self.windows.append(codes)
+                self.of.append([])
+                budget.append(edits)
+            self.of[w].append(k)
+
         self.short: dict[str, list[int]] = {}  # items by their normalised text
         for k, (_, text) in enumerate(items):
             codes, _ = normalised((text or "").strip())
@@ -86,19 +99,13 @@ class Index:
             last = max(0, len(codes) - WINDOW)
             for s in sorted({*range(0, last, WINDOW // 2), last}):
                 w = codes[s : s + WINDOW]
-                self.windows.append(w)
-                of.append(k)
-                at.append(s)
-                budget.append(min(int(len(w) * EDITS_PER_CHAR), (len(w) - Q) // Q))
+                add(k, w, min(int(len(w) * EDITS_PER_CHAR), (len(w) - Q) // Q))
             last = len(codes) - RUN
             for s in sorted({*range(0, last, RUN // 2), last}) if last > 0 else ():
-                self.windows.append(codes[s : s + RUN])
-                of.append(k)
-                at.append(s)
-                budget.append(0)
+                add(k, codes[s : s + RUN], 0)
         self.tokens = sorted({len(_TOKEN.findall(x)) for x in self.short})
         self.raw = [w.tobytes() for w in self.windows]
-        self.of, self.budget, self.at = (np.array(x, np.int64) for x in (of, budget, at))
+        self.budget = np.array(budget, np.int64)
         self.size = np.array(list(map(len, self.windows)), np.int64)
         self.bound = self.size + 1 - Q - Q * self.budget
         posts = [grams(w) for w in self.windows]
@@ -141,18 +148,29 @@ class Index:
         if len(hit) < self.least:
             return []
         n = self.count[row]
-        post = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        window, diagonal = self.window[post], np.repeat(hit, n) - self.place[post] + WINDOW
-        band = self.budget[window] + 1
         wide = int(len(codes) + 2 * WINDOW) // 2 + 2  # over any band number
-        key = np.concatenate([(window * 2 + k) * wide + (diagonal + k * band) // (2 * band) for k in (0, 1)])
-        found, many = np.unique(key, return_counts=True)
-        window = found // wide // 2
-        full = many >= self.bound[window]
-        found, window = found[full], window[full]
-        band = self.budget[window] + 1
-        low = found % wide * 2 * band - found // wide % 2 * band - WINDOW
-        return list(zip(window.tolist(), low.tolist()))
+        held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        out: list[tuple[int, int]] = []
+        cuts = np.unique(np.searchsorted(np.cumsum(n), np.arange(MOST_POSTS, n.sum() + MOST_POSTS, MOST_POSTS), "left") + 1).clip(1, len(hit))
+        for lo, hi in zip([0, *cuts.tolist()], cuts.tolist()):
+            if lo == hi:
+                continue
+            k = n[lo:hi]
+            post = np.repeat(self.first[row[lo:hi]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            window, diagonal = self.window[post], np.repeat(hit[lo:hi], k) - self.place[post] + WINDOW
+            band = self.budget[window] + 1
+            key = np.concatenate([held, *((window * 2 + x) * wide + (diagonal + x * band) // (2 * band) for x in (0, 1))])
+            held, place = np.unique(key, return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, np.ones(len(key) - len(counts), np.int64)])).astype(np.int64)
+            window = held // wide // 2
+            band = self.budget[window] + 1
+            low = held % wide * 2 * band - held // wide % 2 * band - WINDOW
+            # later hits lie beyond these bands
+            closed = low + 2 * band + self.size[window] <= hit[hi] if hi < len(hit) else np.ones(len(held), bool)
+            full = closed & (counts >= self.bound[window])
+            out += zip(window[full].tolist(), low[full].tolist())
+            held, counts = held[~closed], counts[~closed]
+        return sorted(out)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int, int]]]:
         """For every text, (item number, window, edits, start, end) of the windows that it holds within their budgets; places are the text's own."""
@@ -163,8 +181,8 @@ class Index:
         def keep(k: int, w: int, edits: int, end: int) -> None:
             if edits <= self.budget[w]:
                 place, start = places[k], max(0, end - int(self.size[w]))
-                x = (int(self.of[w]), w, edits, int(place[start]), int(place[end - 1]) + 1)
-                out[k][w] = min(out[k].get(w, x), x, key=lambda y: (y[2], y[3]))
+                x = (edits, int(place[start]), int(place[end - 1]) + 1)
+                out[k][w] = min(out[k].get(w, x), x)
 
         def flush(shape: tuple[int, int]) -> None:
             rows = todo.pop(shape, [])
@@ -178,10 +196,10 @@ class Index:
             ends.append(len(codes))
             if self.short and len(codes):
                 for item, (start, end) in self.verbatim(codes).items():
-                    out[k][-1 - item] = (item, -1 - item, 0, int(place[start]), int(place[end - 1]) + 1)
+                    out[k][-1 - item] = (0, int(place[start]), int(place[end - 1]) + 1)
             for w, low in self.regions(codes):
                 m, e = int(self.size[w]), int(self.budget[w])
-                if w in out[k] and out[k][w][2] == 0:
+                if w in out[k] and out[k][w][0] == 0:
                     continue
                 base, width = low - e, m + 4 * e + 3
                 part = codes[max(0, base) : max(0, base + width)]
@@ -197,7 +215,7 @@ class Index:
                     flush((m, e))
         for shape in list(todo):
             flush(shape)
-        return [sorted(x.values()) for x in out]
+        return [sorted((item, w, *x) for w, x in found.items() for item in (self.of[w] if w >= 0 else [-1 - w])) for found in out]
 
     def aligned(self, ws: list[int], parts: list[np.ndarray]) -> list[tuple[int, int]]:
         """(fewest edits, column) of windows of one length and budget against a part of their text parts, on bands of diagonals."""
@@ -235,8 +253,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per (input row, item) found: doc_id, item_id, n_windows, edits (least), start, end (characters of the text).
 
     Null and empty texts hold nothing, and null and empty items are nowhere.
-    Repeated rows and items each give rows; null identifiers are carried.  An
-    empty table on either side gives an empty result.
+    Repeated rows and items each give rows; null identifiers are carried.  Texts
+    of any length are searched whole; of equally good places of a window the first
+    counts.  Other columns are not read.  An empty table on either side gives an
+    empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, n_windows int, edits int, start long, end long"
@@ -265,7 +285,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark item."""
+    """The rows of ``docs``, all columns, whatever their names, whose text holds no benchmark item; null and empty texts stay, repeated rows alike."""
     for index in indexes(benchmark, item_col, item_text_col):
         told = docs.sparkSession.sparkContext.broadcast(index)
         at = docs.columns.index(text_col)

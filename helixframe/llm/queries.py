@@ -101,7 +101,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _license_sql() -> str:
+    """The base phrases by place, and every block of licenses.license_scan against every template, without filters."""
+    quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    words = [[w.decode() for line in licenses.lines_of(t) for w in line] for _, t in licenses.TEMPLATES]
+    templates = ", ".join(f"({k}, '{label}', [{quoted(sorted(set(w)))}])" for k, ((label, _), w) in enumerate(zip(licenses.TEMPLATES, words)))
+    phrases = ", ".join(f"([{quoted(p.split())}], '{label}')" for p, label in licenses.PHRASES.items())
+    half = max(map(len, words))
+    return rf"""
+        WITH RECURSIVE tpl(t, label, words) AS (VALUES {templates}), phrase(words, label) AS (VALUES {phrases}),
+        part_of AS (SELECT a.t AS small, b.t AS large FROM tpl a JOIN tpl b ON len(list_intersect(a.words, b.words)) = len(a.words) AND len(a.words) < len(b.words)),
+        d AS (SELECT row_number() OVER () AS k, doc_id, {_LOWER} AS x FROM documents),
+        w AS (SELECT k, doc_id, x, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
+        found AS (SELECT k, unnest(range(len(w.words))) AS pos, label, w.words AS words, p.words AS pw FROM w, phrase p WHERE list_has_all(w.words, p.words)),
+        base AS (SELECT k, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM found WHERE words[pos + 1 : pos + len(pw)] = pw GROUP BY k),
+        lines AS (SELECT k, regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM w UNION ALL SELECT k, words FROM w),
+        block AS (SELECT k, row_number() OVER () AS b, list_distinct(words[s + 1 : s + {2 * half}]) AS have FROM (SELECT *, unnest(range(0, greatest(1, len(words) - {half}), {half})) AS s FROM lines)),
+        met AS (SELECT k, b, t, label, len(list_intersect(have, words)) / len(words) AS part FROM block, tpl WHERE len(list_intersect(have, words)) >= greatest(1, ceil({licenses.CONTAINED} * len(words) - 1e-9))),
+        own AS (SELECT k, label FROM met m WHERE NOT EXISTS (SELECT 1 FROM met o JOIN part_of ON large = o.t WHERE o.b = m.b AND small = m.t)),
+        every AS (SELECT k, label FROM own UNION SELECT k, unnest(labels) FROM base), l AS (SELECT k, array_to_string(list_sort(list(label)), ',') AS labels FROM every GROUP BY k),
+        best AS (SELECT k, max(part) AS part FROM met GROUP BY k)
+        SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+               coalesce(l.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.part, 0.0) END AS score
+        FROM w LEFT JOIN base USING (k) LEFT JOIN l USING (k) LEFT JOIN best USING (k)
+    """
+
+
 SQL: dict[str, str] = {
+    "op7_license_scan": _license_sql(),
+    "op9_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        link AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (min(a.n) + min(b.n) - count(*))),
+        reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+        root AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN root USING (doc_id)
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

@@ -410,6 +410,13 @@ def test_licenses_equal_brute_force(odd, odd_rows, spark, empty):
                 have = set(lw[s : s + size])
                 met = [(label, t) for label, t in sets if len(t & have) >= licenses.CONTAINED * len(t) - 1e-9]
                 found |= {label for label, t in met if not any(t < u for _, u in met)}
+        # whatever the lines: every run of words as long as the longest template that holds enough of one is met, and matches hold it
+        every = {k for s in range(max(1, len(w) - size // 2 + 1)) for k, (_, t) in enumerate(sets) if len(t & set(w[s : s + size // 2])) >= licenses.CONTAINED * len(t) - 1e-9}
+        assert every <= {m.template for m in x.matches}
+        for m in x.matches:
+            have = set(w[m.first_word : m.first_word + m.n_words])
+            assert m.containment == len(sets[m.template][1] & have) / len(sets[m.template][1]) >= licenses.CONTAINED - 1e-9
+        found |= set(x.labels.split(",")) & {sets[k][0] for k in every}
         assert (x.n_words, x.n_base) == (len(w), len(base))
         assert (x.first_word, x.last_word) == (min((k for k, _ in base), default=None), max((k for k, _ in base), default=None))
         assert (x.base_labels, x.labels) == (",".join(sorted({v for _, v in base})), ",".join(sorted(found)))
@@ -666,3 +673,25 @@ def test_parts_of_items_and_short_items_are_found():
     texts = ["so 12 +  30 = 42.", "12 + 30 = 421", "by ANN\nLEE, in", "by Joann Lee", "Ann Lee", ""]
     assert [{x[0] for x in found} for found in index.find(texts)] == [{1}, set(), {2}, set(), {2}, set()]
     assert index.find(texts)[0][0][3:] == (3, 16)
+
+
+def test_repeated_grams_are_counted_in_bounded_memory():
+    """A long text of equal letters against items of equal letters and parts of them."""
+    import resource
+
+    index = decontaminate.Index([(k, "a" * 300) for k in range(150)] + [(150 + k, "b" * 50 + "a" * (60 + k)) for k in range(50)])
+    assert len(index.windows) < 220 and sum(map(len, index.of)) > 1000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = index.find(["a" * 60_000, "b" * 50 + "a" * 70])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
+    assert set(range(150)) <= {x[0] for x in found[0]} and 160 in {x[0] for x in found[1]}
+
+
+def test_chunks_of_hits_give_the_regions_of_one(monkeypatch):
+    r = random.Random(26)
+    index = decontaminate.Index([(k, " ".join(words(r, 40, 60))) for k in range(30)])
+    texts = [" ".join(words(r, 400, 60)) + " " + "".join(chr(c) for c in index.windows[k]) for k in range(8)]
+    whole = index.find(texts)
+    assert all(whole)
+    monkeypatch.setattr(decontaminate, "MOST_POSTS", 100)
+    assert index.find(texts) == whole
