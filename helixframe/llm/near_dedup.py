@@ -14,7 +14,9 @@ entry nobody is paired with everybody: all members are held against a pivot (the
 smallest), links join components, members that stay apart from the pivot are
 held against the next pivot, and what is then still in different components
 of one entry is compared across them: in blocks of ``BLOCK_ROWS`` members, each
-pair in the first table alone that it shares.  Before sets are fetched, a pair's
+pair in the first table alone that it shares.  Entries of different tables with the
+same members are one, that of the first table; the pairs of a pivot are dealt over
+groups of about ``SALT_ROWS``.  Before sets are fetched, a pair's
 ``SKETCH`` minhashes (4 bits of each) must agree in ``AGREE`` places; a pair of
 similarity 0.75 does in all but 3 of 100,000 cases.
 """
@@ -38,6 +40,7 @@ HALVES, ROWS = 12, 2
 SKETCH, AGREE = 384, 261
 BLOCK_ROWS = 512
 PIVOTS = 2
+SALT_ROWS = 128
 #: Words whose hashes a Python worker remembers.
 REMEMBERED_WORDS = 500_000
 #: Shingles that are hashed at a time.
@@ -98,9 +101,10 @@ def half_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """row_id, doc_id, set_id (16 bytes, null without words), n_shingles, a and b (half keys), sketch; staged."""
+    """row_id, doc_id, text_key, set_id (16 bytes, null without words), n_shingles, a and b (half keys), sketch; staged."""
     kind = docs.schema[id_col].dataType
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = rows.select("row_id", "doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
@@ -117,17 +121,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, row_col: str | None
                 mine = [next(keys) if len(x) else [] for x in sets]
                 part = batch.slice(start, at - start)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_id"), part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[:HALVES] for x in mine], longs), pa.array([x[HALVES : 2 * HALVES] for x in mine], longs), pa.array([x[2 * HALVES :] for x in mine], longs)],
-                    ["row_id", "doc_id", "set_id", "n_shingles", "a", "b", "sketch"],
+                    [part.column("row_id"), part.column("doc_id"), part.column("text_key"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[:HALVES] for x in mine], longs), pa.array([x[HALVES : 2 * HALVES] for x in mine], longs), pa.array([x[2 * HALVES :] for x in mine], longs)],
+                    ["row_id", "doc_id", "text_key", "set_id", "n_shingles", "a", "b", "sketch"],
                 )
 
-    return staged(rows.mapInArrow(sign, f"row_id long, doc_id {kind.simpleString()}, set_id binary, n_shingles long, a array<long>, b array<long>, sketch array<long>"), "signatures")
+    return staged(rows.mapInArrow(sign, f"row_id long, doc_id {kind.simpleString()}, text_key long, set_id binary, n_shingles long, a array<long>, b array<long>, sketch array<long>"), "signatures")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id, set_id) rows, made again from the whole texts; staged."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = texts.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "set_id", "text")
+    """(node, shingles) of the wanted (node, doc_id, text_key, set_id) rows, made again from the whole texts; staged.
+
+    Texts are found by identifier and hash: rows that share an identifier, or have none, meet their own text's node only.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("own_key", F.xxhash64("text"))
+    rows = texts.join(wanted.withColumnRenamed("doc_id", "of"), (F.col("own_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "set_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,18 +157,22 @@ def agree(x: Column, y: Column) -> Column:
     return apart <= SKETCH - AGREE
 
 
+def _beside(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
+    """The pairs (u, salt, v) with ``value`` of both nodes as x and y; a pivot's value is copied once for each of its salts."""
+    x, y = of.select(F.col("node").alias("u"), F.col(value).alias("x")), of.select(F.col("node").alias("v"), F.col(value).alias("y"))
+    heads = pairs.select("u", "salt").distinct().join(x, "u")
+    return pairs.join(heads, ["u", "salt"]).join(y, "v")
+
+
 def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sketches agree."""
-    sketches = sketches.select("node", "sketch")
-    x, y = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
-    return pairs.join(x, "u").join(y, "v").where(agree(F.col("x"), F.col("y"))).select("u", "v")
+    """The pairs (u, salt, v) whose sketches agree."""
+    return _beside(pairs, sketches, "sketch").where(agree(F.col("x"), F.col("y"))).select("u", "salt", "v")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets meet the threshold."""
-    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "u").join(y, "v").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
+    return _beside(pairs, sets, "shingles").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
 def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -224,13 +235,14 @@ def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Distinct (u, v), u the pivot of an entry that v is a member of; sizes that cannot meet the threshold are left out."""
+    """Distinct (u, salt, v), u the pivot of an entry (of n members) that v is a member of; sizes that cannot meet the threshold are left out."""
     pivot = members.groupBy("entry").agg(F.min(F.struct("node", "n_shingles")).alias("pivot"))
     pairs = (
         members.join(pivot, "entry")
         .where((F.col("node") != F.col("pivot.node")) & (100 * F.least("n_shingles", "pivot.n_shingles") >= PERCENT * F.greatest("n_shingles", "pivot.n_shingles")))
-        .select(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
-        .distinct()
+        .groupBy(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
+        .agg(F.max("n").alias("n"))
+        .select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / SALT_ROWS)).cast("int").alias("salt"), "v")
     )
     return pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
 
@@ -256,7 +268,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     signed = signatures(docs, id_col, text_col, row_col)
     entry = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
-    classes = staged(signed.where("set_id is not null").groupBy("set_id").agg(F.min(entry).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = staged(signed.where("set_id is not null").groupBy("set_id").agg(F.min(entry).alias("first"), F.min_by("text_key", entry).alias("text_key"), F.count(F.lit(1)).alias("copies")), "classes")
     ids = classes.select(F.col("first.row_id").alias("node"))
     reps = signed.join(ids, signed.row_id == ids.node, "left_semi").select(F.col("row_id").alias("node"), "n_shingles", "a", "b", "sketch")
 
@@ -272,17 +284,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("node", "n_shingles", "tab", F.xxhash64("tab", "m.half", "other").alias("entry"))
     )
     keys = staged(keys, "keys")
-    full = keys.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
-    members = staged(keys.join(full, "entry", "left_semi"), "members")
+    held = keys.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2"), F.min("tab").alias("tab"))
+    # the same members give the same pairs, and the first table that a pair shares is always that of the entry that stays
+    full = held.where("n > 1").groupBy("n", "x1", "x2").agg(F.min(F.struct("tab", "entry")).alias("k")).select("k.entry", "n")
+    members = staged(keys.join(full, "entry"), "members")
 
-    wanted = members.select("node").distinct().join(classes.select(F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), "set_id"), "node")
+    wanted = members.select("node").distinct().join(classes.select(F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("text_key"), "set_id"), "node")
     sets = full_sets(docs, wanted, id_col, text_col)
     sketches = staged(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch", F.transform(F.concat("a", "b"), lambda x: F.shiftright(x, 32).cast("int")).alias("halves")), "sketches")
     links, tried, roots = None, None, None
     rest = members
     for _ in range(PIVOTS):
         pairs = staged(candidates(rest, tried), "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
+        tried = pairs.select("u", "v") if tried is None else tried.unionAll(pairs.select("u", "v"))
         found = staged(confirmed(sketched(pairs, sketches), sets), "links")
         links = found if links is None else links.unionAll(found)
         mixed, roots = _labelled(members, links)
@@ -291,10 +305,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         # next: members apart from all pivots so far
         apart = mixed.groupBy("entry").agg(F.min(F.struct("node", "root")).alias("p"))
-        rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles")
+        rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles", "n")
     else:
         across = apart_pairs(mixed, sketches)
-        found = staged(confirmed(across.join(tried, ["u", "v"], "left_anti"), sets), "links")
+        found = staged(confirmed(across.join(tried, ["u", "v"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int")), sets), "links")
         if not found.isEmpty():
             roots = staged(components(links.unionAll(found)), "roots")
 

@@ -695,3 +695,18 @@ def test_chunks_of_hits_give_the_regions_of_one(monkeypatch):
     assert all(whole)
     monkeypatch.setattr(decontaminate, "MOST_POSTS", 100)
     assert index.find(texts) == whole
+
+
+def test_near_dedup_of_rows_without_names(spark):
+    """Many null and equal identifiers: each meets its own text alone, and a hot identifier is no hot join key."""
+    r = random.Random(27)
+    base = [words(r, 60) for _ in range(20)]
+    rows = []
+    for k in range(600):
+        w = list(base[k % 20])
+        if k % 3:
+            w[r.randrange(60)] = f"edit{k}"
+        rows.append((None if k % 2 else 7, " ".join(w)))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == sorted(_components(rows))
+    assert sum(x.kept for x in got) == 20
