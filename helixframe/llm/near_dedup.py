@@ -38,7 +38,7 @@ WORDS = 5
 PERCENT = 75
 HALVES, ROWS = 12, 2
 SKETCH, AGREE = 384, 261
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 PIVOTS = 2
 SALT_ROWS = 128
 #: Words whose hashes a Python worker remembers.
@@ -184,10 +184,11 @@ def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     """
     size = mixed.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = mixed.join(size, "entry").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "entry", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"), "node", "root", "n_shingles"
+    # sketches are joined before members are copied over blocks
+    met = dealt.join(sketches, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "entry", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"), "node", "root", "n_shingles", "sketch", "halves"
     )
-    rows = met.join(sketches, "node").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    rows = met.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
     longs, ints = SKETCH // 16, 2 * HALVES
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
