@@ -38,7 +38,7 @@ WORDS = 5
 PERCENT = 75
 HALVES, ROWS = 12, 2
 SKETCH, AGREE = 384, 261
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 PIVOTS = 2
 SALT_ROWS = 128
 #: Words whose hashes a Python worker remembers.
