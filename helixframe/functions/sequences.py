@@ -123,6 +123,19 @@ def duration_parts(ms: Column | str) -> Column:
     return F.struct(F.floor(t / 3_600_000).alias("h"), (F.floor(t / 60_000) % 60).alias("m"), (F.floor(t / 1000) % 60).alias("s"), (t % 1000).alias("ms"))
 
 
+def aligned_texts(op: Column | str, length: Column | str, ref: Column | str, query: Column | str) -> Column:
+    """struct<ref,bars,query>: an operation's bases over each other, gaps as '-', bars where they are equal.
+
+    ``ref`` and ``query`` are the bases the operation covers.
+    """
+    op, n, ref, query = _c(op), _c(length), _c(ref), _c(query)
+    on_ref, on_query = op.isin("M", "=", "X", "D", "N"), op.isin("M", "=", "X", "I", "S")
+    gap = F.repeat(F.lit("-"), n)
+    x, y = F.when(on_ref, ref).otherwise(gap), F.when(on_query, query).otherwise(gap)
+    same = F.transform(F.arrays_zip(F.split(x, "").alias("a"), F.split(y, "").alias("b")), lambda p: F.when(p["a"] == p["b"], "|").otherwise(" "))
+    return F.struct(x.alias("ref"), F.array_join(same, "").alias("bars"), y.alias("query"))
+
+
 def comparison(text: str) -> Column:
     """A Column of "A op B", where A and B are column names or numbers and op is one of > < >= <= == !=."""
     import operator

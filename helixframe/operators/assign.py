@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from . import bipartite
 
 
@@ -90,34 +91,59 @@ def _solve(costs: dict[object, dict[tuple, float]], d_unit: float, n_unit: float
 
     best = greedy()
 
-    def walk(k: int, used: frozenset, total: float, chosen: list[tuple]) -> None:
-        nonlocal best, late
-        if late or total + floor[k] >= best[0] - 1e-9:
-            return
-        if k == len(order):
-            best = (total, dict(zip(order, chosen)))
-            return
-        if time.monotonic() > stop:
-            late = True
-            return
+    def choices(k: int, used: frozenset, total: float) -> Iterator[tuple[float, frozenset, tuple]]:
         s = order[k]
-        for p in sorted(costs[s], key=lambda p: (d_unit * costs[s][p] + n_unit * len(set(p) - used), p)):
-            walk(k + 1, used | set(p), total + d_unit * costs[s][p] + n_unit * len(set(p) - used), [*chosen, p])
+        for price, p in sorted((d_unit * c + n_unit * len(set(p) - used), p) for p, c in costs[s].items()):
+            yield total + price, used | set(p), p
 
-    walk(0, frozenset(), 0.0, [])
+    # one entry for each sample decided: no recursion, however many samples there are
+    open_, chosen = ([choices(0, frozenset(), 0.0)] if order else []), []
+    while open_:
+        if time.monotonic() > stop:
+            late = True
+            break
+        total, used, p = next(open_[-1], (None, None, None))
+        if total is None or total + floor[len(open_)] >= best[0] - 1e-9:
+            # choices come by rising price, so those that follow cost as much or more
+            open_.pop()
+            if chosen:
+                chosen.pop()
+            continue
+        if len(open_) == len(order):
+            best = (total, dict(zip(order, [*chosen, p])))
+        else:
+            chosen.append(p)
+            open_.append(choices(len(open_), used, total))
     return best[1] or {}, "FEASIBLE" if late else "OPTIMAL"
 
 
-def _per_component(edges: DataFrame, component: list[str], solve: Callable[[dict], tuple[dict, str]]) -> DataFrame:
-    full = pair_costs(edges, component).join(edges.groupBy(*component, "sample").agg(F.count_distinct("read").alias("all_reads")), [*component, "sample"]).where("n_reads = all_reads")
-    hap_type, sample_type = edges.schema["hap"].dataType.simpleString(), edges.schema["sample"].dataType.simpleString()
-    heads = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in component)
+def connected(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sample, part): samples of a window that share haplotypes, directly or over others, have the same ``part``."""
+    name = lambda c: F.concat_ws("\t", *[F.coalesce(F.col(x).cast("string"), F.lit("\0")) for x in [*by, c]])
+    rows = edges.select(*by, "sample", name("sample").alias("_s"), name("hap").alias("_h")).distinct()
+    rows = staged(rows, "samples_and_haps")
+    parts = bipartite.components(rows, "_s", "_h").where("node like 'l:%'").select(F.substr("node", F.lit(3)).alias("_s"), F.col("component").alias("part"))
+    return rows.select(*by, "sample", "_s").distinct().join(parts, "_s").drop("_s")
+
+
+def _full_pairs(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs that fit all reads of their sample."""
+    return pair_costs(edges, by).join(edges.groupBy(*by, "sample").agg(F.count_distinct("read").alias("all_reads")), [*by, "sample"]).where("n_reads = all_reads")
+
+
+def _per_component(full: DataFrame, component: list[str], solve: Callable[[dict, pd.DataFrame], tuple[dict, str]]) -> DataFrame:
+    """``solve`` for each group of pairs; where it fails, its samples get no pair and the status FAILED, and other groups go on."""
+    hap_type, sample_type = full.schema["hap1"].dataType.simpleString(), full.schema["sample"].dataType.simpleString()
+    heads = ", ".join(f"{c} {full.schema[c].dataType.simpleString()}" for c in component)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         costs: dict = {}
         for s, a, b, c in zip(pdf["sample"], pdf["hap1"], pdf["hap2"], pdf["cost"]):
             costs.setdefault(s, {})[(a, b)] = float(c)
-        chosen, status = solve(costs)
+        try:
+            chosen, status = solve(costs, pdf)
+        except (ArithmeticError, MemoryError, RecursionError, ValueError):
+            return pd.DataFrame([(*key, s, None, None, float("nan"), "FAILED") for s in costs], columns=[*component, "sample", "hap1", "hap2", "cost", "status"])
         rows = [(*key, s, a, b, costs[s][(a, b)], status) for s, (a, b) in chosen.items()]
         return pd.DataFrame(rows, columns=[*component, "sample", "hap1", "hap2", "cost", "status"])
 
@@ -127,18 +153,24 @@ def _per_component(edges: DataFrame, component: list[str], solve: Callable[[dict
 def joint(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, deadline: float = 60.0, normalise: bool = True) -> DataFrame:
     """(component, sample, hap1, hap2, cost, status) that make the weighted sum of distance and number of haplotypes least.
 
-    With ``normalise``, distance is in units of the component's least distance
-    and the number in units of the haplotypes used there (zero counts as one).
-    A component is one group; its rows are hap pairs, not reads.
+    With ``normalise``, distance is in units of the least distance of the whole
+    ``component`` (a window) and the number in units of the haplotypes used there
+    (zero counts as one).  The objective is a sum over groups of samples that
+    share haplotypes, so the search runs once for each such group; its rows are
+    hap pairs, not reads.  status is OPTIMAL, FEASIBLE (the deadline came
+    first) or FAILED.
     """
-
-    def solve(costs: dict) -> tuple[dict, str]:
-        d_min = sum(min(v.values()) for v in costs.values()) or 1.0
-        cheapest = [min(v, key=lambda p: (v[p], len(set(p)), p)) for v in costs.values()]
-        n_max = len({h for p in cheapest for h in p}) or 1
+    full = staged(_full_pairs(edges, component), "pairs")
+    rank = Window.partitionBy(*component, "sample").orderBy("cost", (F.col("hap1") != F.col("hap2")).cast("int"), "hap1", "hap2")
+    best = full.withColumn("_r", F.row_number().over(rank)).where("_r = 1")
+    units = best.groupBy(*component).agg(F.sum("cost").cast("double").alias("_d")).join(used_haps(best, component).groupBy(*component).agg(F.count(F.lit(1)).alias("_n")), component)
+    grouped = full.join(connected(edges, component), [*component, "sample"]).join(units, component)
+
+    def solve(costs: dict, pdf: pd.DataFrame) -> tuple[dict, str]:
+        d_min, n_max = float(pdf["_d"].iloc[0]) or 1.0, int(pdf["_n"].iloc[0]) or 1
         return _solve(costs, d_weight / d_min if normalise else d_weight, n_weight / n_max if normalise else n_weight, deadline)
 
-    return _per_component(edges, component, solve)
+    return _per_component(grouped, [*component, "part"], solve).drop("part")
 
 
 def _least_for(costs: dict, haps: tuple) -> tuple[float, dict] | None:
@@ -194,19 +226,25 @@ def golden_section(cost: Callable[[int], float], low: int, high: int, most: int
 
 
 def utopia(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, deadline: float = 60.0, golden: bool = False) -> DataFrame:
-    """Like ``joint``, with the squared distance to (least distance, fewest haplotypes), both scaled to their ranges."""
+    """Like ``joint``, with the squared distance to (least distance, fewest haplotypes), both scaled to their ranges.
 
-    def solve(costs: dict) -> tuple[dict, str]:
+    The value is no sum over samples, so a window is one group.  Where the
+    deadline comes before the curve's end the result is FEASIBLE.
+    """
+
+    def solve(costs: dict, _: pd.DataFrame) -> tuple[dict, str]:
         points = list(_curve(costs, deadline))
+        floor = sum(min(v.values()) for v in costs.values())
+        status = "OPTIMAL" if points and points[-1][1] <= floor + 1e-9 else "FEASIBLE"
         if not points:
-            return _solve(costs, 1.0, 0.0, deadline)
+            return _solve(costs, 1.0, 0.0, deadline)[0], status
         ns, ds = [p[0] for p in points], [p[1] for p in points]
         n_span, d_span = (max(ns) - min(ns)) or 1, (max(ds) - min(ds)) or 1.0
         value = lambda p: d_weight * ((p[1] - min(ds)) / d_span) ** 2 + n_weight * ((p[0] - min(ns)) / n_span) ** 2
         best = points[golden_section(lambda k: value(points[k]), 0, len(points) - 1)] if golden else min(points, key=lambda p: (value(p), p[0]))
-        return best[2], "OPTIMAL"
+        return best[2], status
 
-    return _per_component(edges, component, solve)
+    return _per_component(_full_pairs(edges, component), component, solve)
 
 
 def assigned(edges: DataFrame, pairs: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -217,7 +255,10 @@ def assigned(edges: DataFrame, pairs: DataFrame, by: list[str] = []) -> DataFram
 
 
 def optimize(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, prune: bool = True, compress: bool = False, quantum: float = 0.0, deadline: float = 60.0) -> DataFrame:
-    """(sample, read, hap, weight): drop unfit reads, prune to haplotypes of least distance, solve, assign."""
+    """(sample, read, hap, weight): drop unfit reads, prune to haplotypes of least distance, solve, assign.
+
+    Samples whose solution is not proven optimal get no row, and so no call.
+    """
     kept = kept_reads(edges, component)
     small, members = bipartite.compressed_reads(kept, component, quantum) if compress else (kept, None)
     if compress:
@@ -225,7 +266,7 @@ def optimize(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_we
         lone = bipartite.mandatory_haps(small, component)
         small = bipartite.without(small, gone.join(lone.select(*component, "hap"), [*component, "hap"], "left_anti"), [*component, "hap"])
     pairs = joint(pruned_to_least_distance(small, component) if prune else small, component, d_weight, n_weight, deadline)
-    return assigned(kept, pairs, component)
+    return assigned(kept, pairs.where("status = 'OPTIMAL'"), component)
 
 
 def capped_reads(edges: DataFrame, most: int, by: list[str] = []) -> DataFrame:  # noqa: B006

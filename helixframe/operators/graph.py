@@ -10,14 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions import vcf as V
 from ..functions.vcf import TYPES
 from ..staging import staged
 
 
+def breakend_cuts(records: DataFrame) -> DataFrame:
+    """Paired breakends with ``cut`` and ``far``, where the reference is cut on either side, and ``left`` and ``far_left``.
+
+    ``left`` says that the record's side joins by what lies left of its cut (a
+    node's right end), ``far_left`` the same of the mate.  Of two records
+    that name each other only the first by identifier stays, if ``mate`` is a column.
+    """
+    r = records.where((F.col("sv_type") == TYPES["BND"]) & ~V.is_single_breakend("alt") & V.is_valid_breakend("alt"))
+    if "mate" in records.columns:
+        r = r.where(F.col("mate").isNull() | (F.col("record") < F.col("mate")))
+    left, far_left = V.orientation("alt") == 1, V.mate_orientation("alt") == 1
+    cut = lambda at, is_left: F.when(is_left, at).otherwise(at - 1)
+    return r.withColumns({"left": left, "far_left": far_left, "cut": cut(F.col("pos"), left), "far": cut(V.mate_pos("alt"), far_left), "bases": F.upper(F.coalesce(V.inserted_sequence("alt"), F.lit("")))})
+
+
 def breakpoints(records: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window_id, at): window ends and both coordinates of every record in it, distinct."""
+    """(window_id, at): window ends and both coordinates of every record in it, of breakends both sides, distinct.
+
+    Breakends count if ``records`` has pos and alt; mates outside the window are left out.
+    """
     own = windows.select("window_id", F.explode(F.array("start", "stop")).alias("at"))
-    of = records.select("window_id", F.explode(F.array("first", "second")).alias("at"))
+    other = records.where(F.col("sv_type") != TYPES["BND"]) if "sv_type" in records.columns else records
+    of = other.select("window_id", F.explode(F.array("first", "second")).alias("at"))
+    if {"sv_type", "pos", "alt"} <= set(records.columns):
+        of = of.unionAll(breakend_cuts(records).select("window_id", F.explode(F.array("cut", "far")).alias("at")))
     inside = of.join(windows.select("window_id", "start", "stop"), "window_id").where("at > start and at < stop").select("window_id", "at")
     return own.unionAll(inside).distinct()
 
@@ -82,6 +104,42 @@ def record_edges(records: DataFrame, ref: DataFrame, alt: DataFrame, min_length:
     return each.where("edge.a is not null and edge.b is not null")
 
 
+def breakend_nodes(records: DataFrame) -> DataFrame:
+    """(window_id, node, seq, record): the bases that breakends insert, read from the record's side to the mate's."""
+    r = breakend_cuts(records).where("bases != ''")
+    seq = F.when(F.col("left"), F.col("bases")).otherwise(S.reverse_complement("bases"))
+    return r.withColumn("seq", seq).select("window_id", F.concat(F.lit("b"), F.col("cut").cast("string"), F.lit("_"), F.col("far").cast("string"), F.lit("_"), F.sha1("seq")).alias("node"), "seq", "record")
+
+
+def breakend_edges(records: DataFrame, ref: DataFrame, inserted: DataFrame | None = None) -> DataFrame:
+    """(window_id, record, rank, edge): one edge of a breakend, two through its inserted bases.
+
+    The record's side leaves its node by the right end if it joins by what is
+    left of its cut, else by the left end; the mate's node is entered likewise.
+    A breakend whose mate's cut is no node border of the window has none.
+    """
+    starts = ref.select("window_id", F.col("at").alias("_x"), F.col("node").alias("_n"))
+    ends = ref.select("window_id", F.col("until").alias("_x"), F.col("node").alias("_n"))
+    r = breakend_cuts(records).select("window_id", "record", "cut", "far", "left", "far_left", "bases")
+    for name, side, at in (("s", starts, "cut"), ("p", ends, "cut"), ("t", starts, "far"), ("u", ends, "far")):
+        r = r.join(side.select("window_id", F.col("_x").alias(at), F.col("_n").alias(name)), ["window_id", at], "left")
+    own, mate = F.when(F.col("left"), F.col("p")).otherwise(F.col("s")), F.when(F.col("far_left"), F.col("u")).otherwise(F.col("t"))
+    # a step that ends at a left end is walked backwards
+    direct = S.canonical_edge(own, ~F.col("left"), mate, F.col("far_left"))
+    recipe = F.when(F.col("bases") == "", F.array(direct))
+    if inserted is not None:
+        r = r.join(inserted.select("window_id", "record", F.col("node").alias("v")), ["window_id", "record"], "left")
+        through = F.array(S.canonical_edge(own, ~F.col("left"), F.col("v"), F.lit(False)), S.canonical_edge(F.col("v"), F.lit(False), mate, F.col("far_left")))
+        recipe = recipe.otherwise(F.when(F.col("v").isNotNull(), through))
+    return r.select("window_id", "record", F.posexplode(recipe).alias("rank", "edge")).where("edge.a is not null and edge.b is not null")
+
+
+def node_regions(steps: DataFrame, ref: DataFrame) -> DataFrame:
+    """Steps (window_id, node, rev) with ``r_start`` and ``r_stop`` on the reference, swapped where walked backwards; null off the reference."""
+    j = steps.join(ref.select("window_id", "node", "at", "until"), ["window_id", "node"], "left")
+    return j.withColumns({"r_start": F.when(F.col("rev"), F.col("until")).otherwise(F.col("at")), "r_stop": F.when(F.col("rev"), F.col("at")).otherwise(F.col("until"))}).drop("at", "until")
+
+
 def path_edges(steps: DataFrame, by: list[str]) -> DataFrame:
     """(by, place, edge) of neighbouring steps (by, step, node, rev) of paths."""
     w = Window.partitionBy(*by).orderBy("step")

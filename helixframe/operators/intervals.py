@@ -8,6 +8,8 @@ touch, and a pair is kept only in the later of their two first bins, so no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +59,51 @@ def interval_join(
     return rows.join(pairs.select("_l", *[c for c in right.columns if c not in on]), "_l", "left").drop("_l")
 
 
+def dealt(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
+    """``df`` in range partitions by (contig, start, stop), staged, with the partition (``_p``) and a number of the row (``_k``)."""
+    return staged(df.repartitionByRange(contig, start, stop).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()), "dealt")
+
+
+def running(rows: DataFrame, contig: str, order: list[str], value: Column, total: Callable[[Column], Column], join: Callable[..., Column], name: str, inclusive: bool = False) -> DataFrame:
+    """``rows`` of ``dealt`` with ``name``, the total of ``value`` over the contig's rows before each (and itself, if inclusive).
+
+    Each partition runs by itself; one row for each (contig, partition) is
+    carried to the partitions after it, so a contig is never one task.
+    """
+    rows = rows.withColumn("_v", value)
+    own = Window.partitionBy(contig, "_p").orderBy(*order, "_k").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    parts = rows.groupBy(contig, "_p").agg(total(F.col("_v")).alias("_t"))
+    before = Window.partitionBy(contig).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.withColumn("_t", total(F.col("_t")).over(before)).where("_t is not null")
+    return rows.withColumn("_o", total(F.col("_v")).over(own)).join(carried, [contig, "_p"], "left").withColumn(name, join(F.col("_o"), F.col("_t"))).drop("_o", "_t", "_v")
+
+
+def numbered_islands(df: DataFrame, contig: str, start: str, stop: str, gap: int) -> DataFrame:
+    """``df`` with ``_island``: the number of its island on the contig."""
+    rows = running(dealt(df, contig, start, stop), contig, [start, stop], F.col(stop), F.max, F.greatest, "_reach")
+    new = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + F.lit(gap)), 1).otherwise(0)
+    both = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return running(rows, contig, [start, stop], new, F.sum, both, "_island", inclusive=True).drop("_reach", "_p", "_k")
+
+
+def merged_strict(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
+    """Flanked windows that overlap by a base or more as one: contig, start, stop, n; those that only touch stay apart."""
+    return islands(df, contig, start, stop, -1)
+
+
+def sorted_intervals(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
+    """Intervals with ``rank``, their place on the contig by start and stop."""
+    rows = running(dealt(df, contig, start, stop), contig, [start, stop], F.lit(1), F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "rank", inclusive=True)
+    return rows.drop("_p", "_k")
+
+
 def islands(df: DataFrame, contig: str, start: str, stop: str, gap: int = 0, flag: str | None = None) -> DataFrame:
     """Gap-tolerant islands: contig, start, stop, n (members), and any_flag.
 
     A member joins the island when its start is at most ``gap`` past the
     largest stop so far; an island's own stop leaves the gap out.
     """
-    by = Window.partitionBy(contig).orderBy(start, stop)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(stop).over(before)
-    new = F.when(reach.isNull() | (F.col(start) > reach + F.lit(gap)), 1).otherwise(0)
-    numbered = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = numbered_islands(df, contig, start, stop, gap)
     aggs = [F.min(start).alias("start"), F.max(stop).alias("stop"), F.count(F.lit(1)).alias("n")]
     if flag:
         aggs.append(F.max(F.col(flag).cast("int")).cast("boolean").alias("any_flag"))
@@ -84,10 +120,7 @@ def windows(df: DataFrame, contig: str, start: str, stop: str, gap: int, is_tand
 def components(df: DataFrame, contig: str, start: str, stop: str, labels: str) -> DataFrame:
     """Closed-overlap components with the union of their label arrays; raises where start exceeds stop."""
     checked = df.withColumn(start, F.when(F.col(start) <= F.col(stop), F.col(start)).otherwise(F.raise_error(F.lit("interval start exceeds stop")).cast("int")))
-    by = Window.partitionBy(contig).orderBy(start, stop)
-    reach = F.max(stop).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = checked.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).withColumn("_c", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    each = numbered.groupBy(contig, "_c").agg(F.min(start).alias("start"), F.max(stop).alias("stop"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(labels)))).alias("labels"))
+    each = numbered_islands(checked, contig, start, stop, 0).withColumnRenamed("_island", "_c").groupBy(contig, "_c").agg(F.min(start).alias("start"), F.max(stop).alias("stop"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(labels)))).alias("labels"))
     return each.drop("_c")
 
 

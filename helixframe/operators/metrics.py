@@ -105,13 +105,36 @@ def roc(df: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """(by, auc): area under the ROC curve by trapezoids (ties count half)."""
+    """(by, auc): area under the ROC curve by trapezoids (ties count half); null where a group has one class only."""
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     points = roc(df, score, label, by).withColumn("p0", F.lag("tp", 1, 0).over(part.orderBy(F.col(score).desc()))).withColumn("f0", F.lag("fp", 1, 0).over(part.orderBy(F.col(score).desc())))
-    area = F.sum((F.col("fp") - F.col("f0")) * (F.col("tp") + F.col("p0")) / 2.0) / F.max(F.col("n_pos") * F.col("n_neg"))
+    area = F.try_divide(F.sum((F.col("fp") - F.col("f0")) * (F.col("tp") + F.col("p0")) / 2.0), F.max(F.col("n_pos") * F.col("n_neg")))
     return points.groupBy(*by).agg(area.alias("auc"))
 
 
+def supported_by_type(records: DataFrame, by: list[str], kind: str = "sv_type", supported: str = "is_supported") -> DataFrame:
+    """(by, sv_type, supported, unsupported): records of each type with and without support; a null flag is none."""
+    yes = F.coalesce(F.col(supported), F.lit(False))
+    return records.groupBy(*by, kind).agg(F.count_if(yes).alias("supported"), F.count_if(~yes).alias("unsupported"))
+
+
+def length_histogram(df: DataFrame, by: list[str], length: str, width: int, most: int) -> DataFrame:
+    """(by, bin, n): lengths by bins of ``width``, all over ``most`` in its bin; null lengths are left out."""
+    at = F.floor(F.least(F.abs(F.col(length)), F.lit(most)) / width).cast("long")
+    return df.where(F.col(length).isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def multiplicities(df: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """(by, times, n): how many keys stand in so many rows each: callers a record, breakends a position, edges a record."""
+    each = df.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("times"))
+    return each.groupBy(*by, "times").agg(F.count(F.lit(1)).alias("n"))
+
+
+def anomalous_windows(df: DataFrame, tool: str, bad: Column) -> DataFrame:
+    """(tool, contig, start, stop): windows where ``bad`` holds for some row, each once."""
+    return df.where(bad).select(tool, "contig", "start", "stop").distinct()
+
+
 def l2_normalized(df: DataFrame, columns: list[str], epsilon: float = 1e-12) -> DataFrame:
     """Columns divided by their Euclidean norm over all rows (one row of sums, broadcast)."""
     norms = df.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"_n_{c}") for c in columns])

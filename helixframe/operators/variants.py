@@ -58,6 +58,27 @@ def score_filter(records: DataFrame, length: str = "sv_length", score: str = "sc
     return records.where((F.abs(F.col(length)) >= long) | (F.col(score) >= least))
 
 
+def on_contigs(records: DataFrame, contigs: list[str], min_length: int = 50, length: str = "sv_length", score: str | None = None) -> DataFrame:
+    """Records on the given contigs of at least ``min_length`` bases, with a score if a score column is named."""
+    ok = F.col("contig").isin(contigs) & (F.abs(F.col(length)) >= min_length)
+    return records.where(ok if score is None else ok & F.col(score).isNotNull())
+
+
+def true_records(records: DataFrame, label: str, least: float = 0.9) -> DataFrame:
+    """Records whose INFO field <label>_MAX is over ``least``; missing and unreadable values are not."""
+    return records.where(V.info_value("info", f"{label}_MAX").try_cast("double") > least)
+
+
+def of_samples(rows: DataFrame, samples: DataFrame, sample: str = "sample") -> DataFrame:
+    """Rows whose sample stands in the table ``samples``."""
+    return rows.join(samples.select(sample).distinct(), sample, "left_semi")
+
+
+def first_samples(samples: DataFrame, n: int, sample: str = "sample") -> DataFrame:
+    """The first ``n`` samples by name."""
+    return samples.select(sample).distinct().orderBy(sample).limit(n)
+
+
 def cleaned_breakends(records: DataFrame, bases: DataFrame, min_length: int, single_length: int) -> DataFrame:
     """Breakend records of a call set: (contig, pos, ref, alt, source).
 

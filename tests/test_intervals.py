@@ -68,3 +68,24 @@ def test_nearest_takes_the_lower_of_equals(spark):
     q = spark.createDataFrame([(0, "c", 5), (1, "c", 6), (2, "c", 100), (3, "x", 1)], "id int, contig string, at int")
     p = spark.createDataFrame([("c", 4), ("c", 8), ("c", 6)], "contig string, p int")
     assert sorted((r.id, r.nearest) for r in intervals.nearest_point(q, p, "contig", "at", "p").collect()) == [(0, 4), (1, 6), (2, 8), (3, None)]
+
+
+def test_islands_go_on_over_partitions(spark):
+    """One contig over many partitions, against a scan."""
+    import random
+
+    from helixframe.operators import intervals
+
+    r = random.Random(3)
+    rows = sorted((s, s + r.randrange(40)) for s in (r.randrange(9000) for _ in range(900)))
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    got = {(x.start, x.stop, x.n) for x in intervals.islands(spark.createDataFrame([("c", *x) for x in rows], "contig string, start int, stop int"), "contig", "start", "stop", 3).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want, now = set(), None
+    for s, e in rows:
+        if now and s <= now[1] + 3:
+            now = (now[0], max(now[1], e), now[2] + 1)
+        else:
+            want |= {now} if now else set()
+            now = (s, e, 1)
+    assert got == want | {now}

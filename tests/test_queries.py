@@ -5,6 +5,7 @@ from __future__ import annotations
 import __spark_entry__ as entry
 import duckdb
 import pytest
+from helixframe.plans import more_queries  # noqa: F401
 from helixframe.plans import queries as plans
 
 from .conftest import TESTDATA

@@ -39,15 +39,29 @@ def test_feasibility_and_least_distance(spark, seed):
         assert least[s] == min(x[2] for x in every if x[1] == x[3])
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_joint_equals_all_choices(spark, seed):
-    rows = _random(seed, haps=4)
-    df = spark.createDataFrame([("w", *x) for x in rows], "window string, " + EDGES)
-    got = assign.joint(df, ["window"], 1.0, 3.0, normalise=False).collect()
-    value = sum(r.cost for r in got) + 3.0 * len({h for r in got for h in (r.hap1, r.hap2)})
-    choices = [[(p, c) for p, n, c, every in _pairs(rows, s) if n == every] for s in sorted({x[0] for x in rows})]
-    want = min(sum(c for _, c in some) + 3.0 * len({h for p, _ in some for h in p}) for some in itertools.product(*choices))
-    assert value == pytest.approx(want) and {r.status for r in got} == {"OPTIMAL"}
+def test_joint_equals_all_choices(spark):
+    seeds = {f"w{seed}": _random(seed, haps=4) for seed in range(4)}
+    df = spark.createDataFrame([(w, *x) for w, rows in seeds.items() for x in rows], "window string, " + EDGES)
+    found = assign.joint(df, ["window"], 1.0, 3.0, normalise=False).collect()
+    assert {r.status for r in found} == {"OPTIMAL"}
+    for w, rows in seeds.items():
+        got = [r for r in found if r.window == w]
+        value = sum(r.cost for r in got) + 3.0 * len({h for r in got for h in (r.hap1, r.hap2)})
+        choices = [[(p, c) for p, n, c, every in _pairs(rows, s) if n == every] for s in sorted({x[0] for x in rows})]
+        want = min(sum(c for _, c in some) + 3.0 * len({h for p, _ in some for h in p}) for some in itertools.product(*choices))
+        assert value == pytest.approx(want)
+
+
+def test_cohorts_are_solved_without_recursion():
+    costs = {s: {(f"h{s}_{a}", f"h{s}_{b}"): 5 + a + b for a in range(2) for b in range(a, 2)} for s in range(1074)}
+    chosen, status = assign._solve(costs, 1.0, 0.5, 30.0)
+    assert status == "OPTIMAL" and chosen == {s: (f"h{s}_0", f"h{s}_0") for s in costs}
+
+
+def test_unproven_solutions_say_so():
+    r = random.Random(9)
+    costs = {s: {(f"h{a}", f"h{b}"): r.randint(1, 99) for a in range(12) for b in range(a, 12)} for s in range(40)}
+    assert assign._solve(costs, 1.0, 50.0, 0.0)[1] == "FEASIBLE"
 
 
 def test_three_haps_in_a_sample_lose_a_read(spark):
