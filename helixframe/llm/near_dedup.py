@@ -14,9 +14,7 @@ entry nobody is paired with everybody: all members are held against a pivot (the
 smallest), links join components, members that stay apart from the pivot are
 held against the next pivot, and what is then still in different components
 of one entry is compared across them: in blocks of ``BLOCK_ROWS`` members, each
-pair in the first table alone that it shares.  Entries of different tables with the
-same members are one, that of the first table; the pairs of a pivot are dealt over
-groups of about ``SALT_ROWS``.  Before sets are fetched, a pair's
+pair in the first table alone that it shares.  Before sets are fetched, a pair's
 ``SKETCH`` minhashes (4 bits of each) must agree in ``AGREE`` places; a pair of
 similarity 0.75 does in all but 3 of 100,000 cases.
 """
@@ -38,9 +36,8 @@ WORDS = 5
 PERCENT = 75
 HALVES, ROWS = 12, 2
 SKETCH, AGREE = 384, 261
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
 PIVOTS = 2
-SALT_ROWS = 128
 #: Words whose hashes a Python worker remembers.
 REMEMBERED_WORDS = 500_000
 #: Shingles that are hashed at a time.
@@ -157,22 +154,18 @@ def agree(x: Column, y: Column) -> Column:
     return apart <= SKETCH - AGREE
 
 
-def _beside(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    """The pairs (u, salt, v) with ``value`` of both nodes as x and y; a pivot's value is copied once for each of its salts."""
-    x, y = of.select(F.col("node").alias("u"), F.col(value).alias("x")), of.select(F.col("node").alias("v"), F.col(value).alias("y"))
-    heads = pairs.select("u", "salt").distinct().join(x, "u")
-    return pairs.join(heads, ["u", "salt"]).join(y, "v")
-
-
 def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (u, salt, v) whose sketches agree."""
-    return _beside(pairs, sketches, "sketch").where(agree(F.col("x"), F.col("y"))).select("u", "salt", "v")
+    """The pairs (u, v) whose sketches agree."""
+    sketches = sketches.select("node", "sketch")
+    x, y = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
+    return pairs.join(x, "u").join(y, "v").where(agree(F.col("x"), F.col("y"))).select("u", "v")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets meet the threshold."""
+    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return _beside(pairs, sets, "shingles").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
+    return pairs.join(x, "u").join(y, "v").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
 def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -184,11 +177,10 @@ def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     """
     size = mixed.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = mixed.join(size, "entry").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    # sketches are joined before members are copied over blocks
-    met = dealt.join(sketches, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "entry", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"), "node", "root", "n_shingles", "sketch", "halves"
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "entry", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"), "node", "root", "n_shingles"
     )
-    rows = met.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    rows = met.join(sketches, "node").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
     longs, ints = SKETCH // 16, 2 * HALVES
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +228,13 @@ def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Distinct (u, salt, v), u the pivot of an entry (of n members) that v is a member of; sizes that cannot meet the threshold are left out."""
+    """Distinct (u, v), u the pivot of an entry that v is a member of; sizes that cannot meet the threshold are left out."""
     pivot = members.groupBy("entry").agg(F.min(F.struct("node", "n_shingles")).alias("pivot"))
     pairs = (
         members.join(pivot, "entry")
         .where((F.col("node") != F.col("pivot.node")) & (100 * F.least("n_shingles", "pivot.n_shingles") >= PERCENT * F.greatest("n_shingles", "pivot.n_shingles")))
-        .groupBy(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
-        .agg(F.max("n").alias("n"))
-        .select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / SALT_ROWS)).cast("int").alias("salt"), "v")
+        .select(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
+        .distinct()
     )
     return pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
 
@@ -285,19 +276,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("node", "n_shingles", "tab", F.xxhash64("tab", "m.half", "other").alias("entry"))
     )
     keys = staged(keys, "keys")
-    held = keys.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2"), F.min("tab").alias("tab"))
-    # the same members give the same pairs, and the first table that a pair shares is always that of the entry that stays
-    full = held.where("n > 1").groupBy("n", "x1", "x2").agg(F.min(F.struct("tab", "entry")).alias("k")).select("k.entry", "n")
-    members = staged(keys.join(full, "entry"), "members")
+    full = keys.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
+    members = staged(keys.join(full, "entry", "left_semi"), "members")
 
-    wanted = members.select("node").distinct().join(classes.select(F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("text_key"), "set_id"), "node")
+    wanted = members.select("node").distinct().join(classes.select(F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), "text_key", "set_id"), "node")
     sets = full_sets(docs, wanted, id_col, text_col)
     sketches = staged(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch", F.transform(F.concat("a", "b"), lambda x: F.shiftright(x, 32).cast("int")).alias("halves")), "sketches")
     links, tried, roots = None, None, None
     rest = members
     for _ in range(PIVOTS):
         pairs = staged(candidates(rest, tried), "pairs")
-        tried = pairs.select("u", "v") if tried is None else tried.unionAll(pairs.select("u", "v"))
+        tried = pairs if tried is None else tried.unionAll(pairs)
         found = staged(confirmed(sketched(pairs, sketches), sets), "links")
         links = found if links is None else links.unionAll(found)
         mixed, roots = _labelled(members, links)
@@ -306,10 +295,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         # next: members apart from all pivots so far
         apart = mixed.groupBy("entry").agg(F.min(F.struct("node", "root")).alias("p"))
-        rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles", "n")
+        rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles")
     else:
         across = apart_pairs(mixed, sketches)
-        found = staged(confirmed(across.join(tried, ["u", "v"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int")), sets), "links")
+        found = staged(confirmed(across.join(tried, ["u", "v"], "left_anti"), sets), "links")
         if not found.isEmpty():
             roots = staged(components(links.unionAll(found)), "roots")
 
