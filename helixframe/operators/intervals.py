@@ -64,26 +64,33 @@ def dealt(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
     return staged(df.repartitionByRange(contig, start, stop).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()), "dealt")
 
 
-def running(rows: DataFrame, contig: str, order: list[str], value: Column, total: Callable[[Column], Column], join: Callable[..., Column], name: str, inclusive: bool = False) -> DataFrame:
-    """``rows`` of ``dealt`` with ``name``, the total of ``value`` over the contig's rows before each (and itself, if inclusive).
+def running(
+    rows: DataFrame, contig: str, order: list[str], value: Column, total: Callable[[Column], Column], join: Callable[..., Column], name: str,
+    inclusive: bool = False, backward: bool = False,
+) -> DataFrame:
+    """``rows`` of ``dealt`` with ``name``, the total of ``value`` over the contig's rows before each (after each, if backward; and itself, if inclusive).
 
     Each partition runs by itself; one row for each (contig, partition) is
     carried to the partitions after it, so a contig is never one task.
     """
     rows = rows.withColumn("_v", value)
-    own = Window.partitionBy(contig, "_p").orderBy(*order, "_k").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    way = (lambda c: F.col(c).desc()) if backward else F.col
+    own = Window.partitionBy(contig, "_p").orderBy(*map(way, [*order, "_k"])).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     parts = rows.groupBy(contig, "_p").agg(total(F.col("_v")).alias("_t"))
-    before = Window.partitionBy(contig).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(contig).orderBy(way("_p")).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumn("_t", total(F.col("_t")).over(before)).where("_t is not null")
     return rows.withColumn("_o", total(F.col("_v")).over(own)).join(carried, [contig, "_p"], "left").withColumn(name, join(F.col("_o"), F.col("_t"))).drop("_o", "_t", "_v")
 
 
+def _plus(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+
 def numbered_islands(df: DataFrame, contig: str, start: str, stop: str, gap: int) -> DataFrame:
     """``df`` with ``_island``: the number of its island on the contig."""
     rows = running(dealt(df, contig, start, stop), contig, [start, stop], F.col(stop), F.max, F.greatest, "_reach")
     new = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + F.lit(gap)), 1).otherwise(0)
-    both = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    return running(rows, contig, [start, stop], new, F.sum, both, "_island", inclusive=True).drop("_reach", "_p", "_k")
+    return running(rows, contig, [start, stop], new, F.sum, _plus, "_island", inclusive=True).drop("_reach", "_p", "_k")
 
 
 def merged_strict(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
@@ -93,7 +100,7 @@ def merged_strict(df: DataFrame, contig: str, start: str, stop: str) -> DataFram
 
 def sorted_intervals(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
     """Intervals with ``rank``, their place on the contig by start and stop."""
-    rows = running(dealt(df, contig, start, stop), contig, [start, stop], F.lit(1), F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "rank", inclusive=True)
+    rows = running(dealt(df, contig, start, stop), contig, [start, stop], F.lit(1), F.sum, _plus, "rank", inclusive=True)
     return rows.drop("_p", "_k")
 
 
@@ -127,12 +134,12 @@ def components(df: DataFrame, contig: str, start: str, stop: str, labels: str) -
 def atomic_segments(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
     """Disjoint segments between neighbouring ends: contig, seg_start, seg_stop, depth (covering intervals, at least one).
 
-    One pass: each interval adds one at its start and takes one at its stop; the running sum is the depth.
+    Each interval adds one at its start and takes one at its stop; the sum so far is the depth, the least end after a start its segment's stop.
     """
     ends = df.select(contig, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(stop).alias("at"), F.lit(-1).alias("d")))).alias("e"))
     at = ends.groupBy(contig, F.col("e.at").alias("seg_start")).agg(F.sum("e.d").alias("d"))
-    by = Window.partitionBy(contig).orderBy("seg_start")
-    segs = at.withColumn("seg_stop", F.lead("seg_start").over(by)).withColumn("depth", F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(dealt(at, contig, "seg_start", "d"), contig, ["seg_start"], F.col("d"), F.sum, _plus, "depth", inclusive=True)
+    segs = running(rows, contig, ["seg_start"], F.col("seg_start"), F.min, F.least, "seg_stop", backward=True)
     return segs.where("seg_stop is not null and depth > 0").select(contig, "seg_start", "seg_stop", "depth")
 
 
@@ -154,13 +161,14 @@ def covered_fraction(targets: DataFrame, tracks: DataFrame, contig: str, start:
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, contig: str, at: str, point: str) -> DataFrame:
-    """Queries with the nearest point of their contig (``nearest``), the lower one on a tie, by two as-of windows."""
-    both = queries.select(contig, F.col(at).alias("_at"), F.lit(1).alias("_q"), F.struct(*queries.columns).alias("_row"), F.lit(None).cast("long").alias("_p")).unionAll(
-        points.select(contig, F.col(point).alias("_at"), F.lit(0).alias("_q"), F.lit(None).cast(queries.select(F.struct(*queries.columns).alias("r")).schema[0].dataType).alias("_row"), F.col(point).cast("long").alias("_p"))
+    """Queries with the nearest point of their contig (``nearest``), the lower one on a tie: the largest point up to each and the least after it."""
+    row = F.struct(*queries.columns)
+    both = queries.select(contig, F.col(at).alias("_at"), F.lit(1).alias("_q"), row.alias("_row"), F.lit(None).cast("long").alias("_point")).unionAll(
+        points.select(contig, F.col(point).alias("_at"), F.lit(0).alias("_q"), F.lit(None).cast(queries.select(row.alias("r")).schema[0].dataType).alias("_row"), F.col(point).cast("long").alias("_point"))
     )
-    down = Window.partitionBy(contig).orderBy("_at", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(contig).orderBy(F.col("_at").desc(), "_q").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_lo", F.last("_p", ignorenulls=True).over(down)).withColumn("_hi", F.last("_p", ignorenulls=True).over(up)).where("_q = 1")
+    order, value = ["_at", "_q"], F.col("_point")
+    low = running(dealt(both, contig, *order), contig, order, value, F.max, F.greatest, "_lo")
+    seen = running(low, contig, order, value, F.min, F.least, "_hi", backward=True).where("_q = 1")
     lower = F.col("_hi").isNull() | (F.col("_lo").isNotNull() & (F.col("_at") - F.col("_lo") <= F.col("_hi") - F.col("_at")))
     return seen.select("_row.*", F.when(lower, F.col("_lo")).otherwise(F.col("_hi")).alias("nearest"))
 

@@ -89,3 +89,26 @@ def test_islands_go_on_over_partitions(spark):
             want |= {now} if now else set()
             now = (s, e, 1)
     assert got == want | {now}
+
+
+def test_segments_and_nearest_points_go_on_over_partitions(spark):
+    """One contig and a third of another over many partitions, against scans."""
+    import random
+
+    r = random.Random(4)
+    spans = [("cd"[k % 3 == 0], s, s + 1 + r.randrange(60)) for k, s in ((k, r.randrange(5000)) for k in range(400))]
+    asked = [(k, "cde"[k % 3], r.randrange(-50, 5200)) for k in range(300)]
+    points = [(c, s) for c, s, _ in spans]
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    segs = {tuple(x) for x in intervals.atomic_segments(spark.createDataFrame(spans, "contig string, start int, stop int"), "contig", "start", "stop").collect()}
+    q, p = spark.createDataFrame(asked, "id int, contig string, at int"), spark.createDataFrame(points, "contig string, p int")
+    near = {(x.id, x.nearest) for x in intervals.nearest_point(q, p, "contig", "at", "p").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = set()
+    for c in "cd":
+        ends = sorted({e for k, s, t in spans if k == c for e in (s, t)})
+        for a, b in zip(ends, ends[1:]):
+            depth = sum(k == c and s <= a and b <= t for k, s, t in spans)
+            want |= {(c, a, b, depth)} if depth else set()
+    assert segs == want
+    assert near == {(k, min((s for d, s in points if d == c), key=lambda s: (abs(s - at), s), default=None)) for k, c, at in asked}
