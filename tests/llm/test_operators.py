@@ -441,6 +441,31 @@ def test_quality_on_held_out_rows(spark):
     assert all(x.predicted == (x.score >= 0.3) for x in rows)
 
 
+def test_trees_and_scores_equal_plain_ones():
+    """Every cut is the best of all cuts, a score is the sigmoid of the entries of its bins, added one by one."""
+    r = np.random.default_rng(2)
+
+    def loss(g, h, cuts):
+        edges = [0, *cuts, len(g)]
+        return -sum(g[a:b].sum() ** 2 / (h[a:b].sum() + 1) for a, b in zip(edges, edges[1:]))
+
+    for _ in range(50):
+        g, h = r.normal(size=12), r.random(12) * 3
+        allowed = [c for c in range(1, 12) if min(h[:c].sum(), h[c:].sum()) >= quality.LEAST_HESSIAN]
+        got = quality.tree(g, h, 2)
+        best = min([loss(g, h, []), *(loss(g, h, [c]) for c in allowed)])
+        assert abs(loss(g, h, [c for c in range(1, 12) if got[c] != got[c - 1]]) - best) < 1e-9
+    x = r.random((400, len(quality.FEATURES)))
+    model = quality.Additive(x, (x[:, 2] + x[:, 5] * x[:, 7] > 0.8).astype(float))
+    for row, score in zip(x[:40], model.scores(x[:40])):
+        bins = [sum(e < v for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
+        for (a, b), t in zip(model.pairs, model.pair_tables):
+            i, j = (bins[f] * quality.COARSE // len(model.tables[f]) for f in (a, b))
+            total += t[i * quality.COARSE + j]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_pairs_learn_what_single_features_cannot():
     r = np.random.default_rng(1)
     x = r.random((3000, len(quality.FEATURES)))
