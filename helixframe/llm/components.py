@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Groups over which the neighbours of one node are dealt.
+SALTS = 16
+
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
@@ -15,9 +18,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    """Every node's larger neighbours are linked to its least one; a hub's neighbours are dealt over SALTS, so that no task holds them all."""
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    part = both.groupBy("u", "salt").agg(F.min("v").alias("m"))  # SALTS rows a node at most
+    low = part.select("u", "salt", F.least(F.min("m").over(Window.partitionBy("u")), F.col("u")).alias("m"))
+    return both.where("v > u").join(low, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ entry nobody is paired with everybody: all members are held against a pivot (the
 smallest), links join components, members that stay apart from the pivot are
 held against the next pivot, and what is then still in different components
 of one entry is compared across them: in blocks of ``BLOCK_ROWS`` members, each
-pair in the first table alone that it shares.  Before sets are fetched, a pair's
+pair in the first table alone that it shares.  A pivot's pairs are dealt over
+groups of about ``SALT_ROWS``, so that a pivot that thousands of documents
+share is not one task.  Before sets are fetched, a pair's
 ``SKETCH`` minhashes (4 bits of each) must agree in ``AGREE`` places; a pair of
 similarity 0.75 does in all but 3 of 100,000 cases.
 """
@@ -37,6 +39,7 @@ PERCENT = 75
 HALVES, ROWS = 12, 2
 SKETCH, AGREE = 384, 261
 BLOCK_ROWS = 512
+SALT_ROWS = 256
 PIVOTS = 2
 #: Words whose hashes a Python worker remembers.
 REMEMBERED_WORDS = 500_000
@@ -154,18 +157,22 @@ def agree(x: Column, y: Column) -> Column:
     return apart <= SKETCH - AGREE
 
 
+def _beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """The pairs (u, salt, v) with ``value`` of both nodes as x and y; that of u is copied once for each of its salts."""
+    x, y = values.select(F.col("node").alias("u"), F.col(value).alias("x")), values.select(F.col("node").alias("v"), F.col(value).alias("y"))
+    heads = pairs.select("u", "salt").distinct().join(x, "u")
+    return pairs.join(heads, ["u", "salt"]).join(y, "v")
+
+
 def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sketches agree."""
-    sketches = sketches.select("node", "sketch")
-    x, y = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y"))
-    return pairs.join(x, "u").join(y, "v").where(agree(F.col("x"), F.col("y"))).select("u", "v")
+    """The pairs (u, salt, v) whose sketches agree."""
+    return _beside(pairs, sketches, "sketch").where(agree(F.col("x"), F.col("y"))).select("u", "salt", "v")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets meet the threshold."""
-    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    """The pairs (u, v) of (u, salt, v) whose full sets meet the threshold."""
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "u").join(y, "v").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
+    return _beside(pairs, sets, "shingles").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
 def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -228,13 +235,14 @@ def apart_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Distinct (u, v), u the pivot of an entry that v is a member of; sizes that cannot meet the threshold are left out."""
-    pivot = members.groupBy("entry").agg(F.min(F.struct("node", "n_shingles")).alias("pivot"))
+    """Distinct (u, salt, v), u the pivot of an entry (of n members) that v is a member of; sizes that cannot meet the threshold are left out."""
+    pivot = members.groupBy("entry").agg(F.min(F.struct("node", "n_shingles")).alias("pivot"), F.count(F.lit(1)).alias("n"))
     pairs = (
         members.join(pivot, "entry")
         .where((F.col("node") != F.col("pivot.node")) & (100 * F.least("n_shingles", "pivot.n_shingles") >= PERCENT * F.greatest("n_shingles", "pivot.n_shingles")))
-        .select(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
-        .distinct()
+        .groupBy(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
+        .agg(F.max("n").alias("n"))
+        .select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / SALT_ROWS)).cast("int").alias("salt"), "v")
     )
     return pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
 
@@ -286,7 +294,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = members
     for _ in range(PIVOTS):
         pairs = staged(candidates(rest, tried), "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
+        tried = pairs.select("u", "v") if tried is None else tried.unionAll(pairs.select("u", "v"))
         found = staged(confirmed(sketched(pairs, sketches), sets), "links")
         links = found if links is None else links.unionAll(found)
         mixed, roots = _labelled(members, links)
@@ -298,7 +306,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles")
     else:
         across = apart_pairs(mixed, sketches)
-        found = staged(confirmed(across.join(tried, ["u", "v"], "left_anti"), sets), "links")
+        left = across.join(tried, ["u", "v"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int"))
+        found = staged(confirmed(left, sets), "links")
         if not found.isEmpty():
             roots = staged(components(links.unionAll(found)), "roots")
 

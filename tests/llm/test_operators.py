@@ -735,3 +735,14 @@ def test_near_dedup_of_rows_without_names(spark):
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == sorted(_components(rows))
     assert sum(x.kept for x in got) == 20
+
+
+def test_components_of_hubs_and_chains(spark):
+    """A hub of 500 nodes in the middle of the order, one that is its component's least node, and a chain."""
+    from helixframe.llm.components import components
+
+    r = random.Random(28)
+    edges = [(1000, k) for k in range(750, 1250) if k != 1000] + [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(2000, 2040)] + [(5, 5)]
+    r.shuffle(edges)
+    got = {x.node: x.root for x in components(spark.createDataFrame([e if r.random() < 0.5 else e[::-1] for e in edges], "u long, v long").repartition(5)).collect()}
+    assert got == {k: 750 for k in range(750, 1250)} | {k: 0 for k in range(300)} | {k: 2000 for k in range(2000, 2041)}
