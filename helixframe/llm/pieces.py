@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[int
     first, k, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
     for batch in batches:
         start = 0
-        for row, n in enumerate(pa.compute.utf8_length(batch.column("text")).to_pylist()):
+        for row, n in enumerate(pc.utf8_length(batch.column("text")).to_pylist()):
             size += n
             if size >= chars:
                 yield first + k, pa.Table.from_batches([*held, batch.slice(start, row + 1 - start)])
@@ -157,7 +158,7 @@ def encoded(
         part = 0
         for block, table in _blocks(batches, block_chars):
             held, size = 0, 0
-            for row, n in enumerate(pa.compute.utf8_length(table.column("text")).to_pylist()):
+            for row, n in enumerate(pc.utf8_length(table.column("text")).to_pylist()):
                 size += n
                 if size >= CARRIED_CHARS or row + 1 == table.num_rows:
                     some = table.slice(held, row + 1 - held)

@@ -145,7 +145,61 @@ def _license_sql() -> str:
     """
 
 
+#: crc32 of a text: the bytes of its UTF-8 through a table of 256 remainders, which ``_CRC_TABLE`` builds by their rule.
+_CRC_TABLE = "crc(t) AS (SELECT list(v ORDER BY i) FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    code = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {code}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 SQL: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+        uses AS (SELECT r, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r AS k, count(*) AS n FROM runs GROUP BY ALL),
+        hashed AS (SELECT r, n, {_crc("k")} AS h FROM uses, crc),
+        words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1),
+        w AS (SELECT word, n FROM words WHERE n >= 3 AND length(word) >= 5),
+        less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+        near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+                 UNION SELECT l.word, w.word FROM less l JOIN w ON l.d = w.word UNION SELECT w.word, l.word FROM less l JOIN w ON l.d = w.word),
+        best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS m, arg_min(o.word, (-o.n, o.word)) AS b FROM near JOIN w o ON o.word = near.other GROUP BY near.word),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN b END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+        ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+    """,
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        kinds AS (SELECT *, {_crc("key")} % 20 AS k FROM keyed, crc),
+        bad AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                       unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE k <> 0),
+        ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+        r AS (SELECT c, turn, role, text, substr(role, 1, 1) AS x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p FROM bad JOIN ids ON ids.conv_id IS NOT DISTINCT FROM bad.conv_id),
+        own AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 AS again, lag(x) OVER (PARTITION BY c ORDER BY p) AS px FROM r),
+        fault AS (SELECT *, CASE WHEN blank THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS f FROM own),
+        counts AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate,
+                          count(*) FILTER (f = 3) AS truncated, count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY c),
+        follows(i, x, j) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        put(i, j, price, said, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']),
+                       (2, 3, 3, 'I', ['assistant:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+        edit AS (SELECT c, p, i, i AS j, 4 AS price, 'D' AS said, []::VARCHAR[] AS lines FROM fault, (SELECT DISTINCT i FROM put)
+                 UNION ALL SELECT c, p, i, j, CASE f WHEN 3 THEN 3 ELSE 0 END, 'K', [role || ':' || text] FROM fault JOIN follows USING (x) WHERE f NOT IN (1, 2)
+                 UNION ALL SELECT c, p, i, i, CASE f WHEN 3 THEN 3 ELSE 0 END, 'K', [':' || text] FROM fault, (SELECT DISTINCT i FROM put) WHERE f NOT IN (1, 2) AND x = ''
+                 UNION ALL SELECT c, p, i, j, CASE f WHEN 3 THEN 6 ELSE 3 END, 'R', [CASE follows.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM fault, follows WHERE f NOT IN (1, 2) AND follows.x <> 's'),
+        go AS (SELECT c, p, e.i, put.j, min({{'price': e.price + put.price, 'said': e.said || put.said, 'lines': e.lines || put.lines}}) AS e FROM edit e JOIN put ON e.j = put.i GROUP BY ALL),
+        path AS (SELECT c, 0::BIGINT AS p, j AS s, price AS cost, said AS audit, lines FROM ids, put WHERE i = 0
+                 UNION ALL SELECT c, p, s, b.cost, b.audit, b.lines FROM (SELECT path.c AS c, path.p + 1 AS p, go.j AS s,
+                     min({{'cost': path.cost + go.e.price, 'audit': path.audit || go.e.said, 'lines': path.lines || go.e.lines}}) AS b
+                     FROM path JOIN go ON go.c = path.c AND go.p = path.p + 1 AND go.i = path.s GROUP BY path.c, path.p, go.j)),
+        done AS (SELECT path.c, min({{'cost': cost, 'audit': audit, 'lines': lines}}) AS b FROM path LEFT JOIN counts USING (c) WHERE p = coalesce(n, 0) AND s IN (0, 3) GROUP BY path.c)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(b.cost AS BIGINT) AS cost, b.audit AS audit, sha256(array_to_string(b.lines, chr(10))) AS repaired_sha256
+        FROM ids JOIN done USING (c) LEFT JOIN counts USING (c)
+    """,
     "op7_license_scan": _license_sql(),
     "op9_minhash_near_dedup": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
