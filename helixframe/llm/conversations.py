@@ -34,6 +34,8 @@ NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 ACCEPTED = (0, 3)
 ROLES = {"u": "user", "a": "assistant"}
 BLANK, DUPLICATE, CUT = 1, 2, 3
+#: Keeping a role without an initial, which leaves no turn in the pattern; K to the reader, and in the order of edits of one turn where K is.
+KEPT_BARE = "L"
 _SPACE = r"\x20\x09-\x0D"
 
 Element = tuple[int, str] | None
@@ -72,7 +74,7 @@ def turn_matrix(initial: str, fault: int) -> Matrix:
         ways: list[tuple[int, Element]] = [(i, (DELETE, "D"))]
         if fault not in (BLANK, DUPLICATE):
             kept = NEXT[i].get(initial) if initial else i
-            ways += [(kept, (more, "K"))] if kept is not None else []
+            ways += [(kept, (more, "K" if initial else KEPT_BARE))] if kept is not None else []
             ways += [(NEXT[i][c], (REROLE + more, "R")) for c in ROLES if c in NEXT[i]]
         for k in range(4):
             out[i][k] = _least(way for to, way in ways if to == k)
@@ -241,14 +243,15 @@ def cut_at(audit: str, sizes: list[int]) -> Iterator[tuple[str, int, bool]]:
 
     A part begins with its first turn's edit, the first part with what is inserted in front.
     """
-    odd, at, before = (len(audit) - audit.count("D")) % 2 == 1, 0, 0
+    bare = lambda part: len(part) - part.count("D") - part.count(KEPT_BARE)
+    odd, at, before = bare(audit) % 2 == 1, 0, 0
     for k, n in enumerate(sizes):
         end, turns = at, 0
         while end < len(audit) and (turns < n or audit[end] == "I" or k + 1 == len(sizes)):
             turns += audit[end] != "I"
             end += 1
         yield audit[at:end], before, odd
-        before += end - at - audit.count("D", at, end)
+        before += bare(audit[at:end])
         at = end
 
 
@@ -280,9 +283,9 @@ def repaired_turns(ordered: DataFrame, leaves: DataFrame, chosen: DataFrame) ->
                     inserted(r["ck"], r["pos"], -2)
                 edit, at = part[at], at + 1
                 if edit != "D":
-                    role = r["role"] if edit == "K" else ROLES["ua"[(j - odd) % 2]]
-                    out.append({"ck": r["ck"], "pos": r["pos"], "sub": 0, "edit": edit, "role": role, "text": r["text"]})
-                    j += 1
+                    role = ROLES["ua"[(j - odd) % 2]] if edit == "R" else r["role"]
+                    out.append({"ck": r["ck"], "pos": r["pos"], "sub": 0, "edit": edit.replace(KEPT_BARE, "K"), "role": role, "text": r["text"]})
+                    j += edit != KEPT_BARE
                 inserted(r["ck"], r["pos"], 1)
             yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -333,7 +336,7 @@ def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = reduced(leaves)
     chosen = staged(audits(whole), "audits")
     gaps = F.when(F.col("turns") > 0, F.col("high") - F.col("low") + 1 - F.col("turns")).otherwise(F.lit(0)).cast("long")
-    table = whole.select("ck", "n", gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal").join(chosen, "ck")
+    table = whole.select("ck", "n", gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal").join(chosen.withColumn("audit", F.translate("audit", KEPT_BARE, "K")), "ck")
     return table, repaired_turns(ordered, leaves, chosen)
 
 
