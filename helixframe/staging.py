@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made here, by application; spark.checkpoint.dir cannot be set in a running session.
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a new temporary folder in local mode, an error on a cluster."""
+    """spark.checkpoint.dir of the session; where it is unset, a new temporary folder in local mode (gone at exit), an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.conf.get("spark.master", "local")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.conf.get("spark.app.id")
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="helixframe-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return "file://" + _OWN[app]
+
+
+def _of_application(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/helixframe-{spark.conf.get('spark.app.id')}"
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage is cut and row numbers stay as they are."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/helixframe-{uuid.uuid4().hex}/{tag}"
+    path = f"{_of_application(spark)}/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables this application has staged; results that were not written or collected before are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_of_application(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
