@@ -31,10 +31,11 @@ from .common import size_in_partitions, whole_text
 from .token_counts import MARK, model_file
 
 #: Characters of the texts of a block, and of one row that carries texts of a block.
-BLOCK_CHARS, CARRIED_CHARS = 16_000_000, 1_000_000
+BLOCK_CHARS, CARRIED_CHARS = 32_000_000, 1_000_000
 #: Distinct chunks that a bucket remembers; it starts anew beyond them, and segments again what comes again.
 MOST_CHUNKS = 2_000_000
 GUARD = "\n"
+ZSTD_LEVEL = 6
 _LOADED: dict[str, Chunks] = {}
 
 
@@ -82,7 +83,7 @@ def chunks_of(model: str) -> Chunks:
 
 def _packed(**columns: pa.Array) -> bytes:
     batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ZSTD_LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -169,34 +170,40 @@ def encoded(
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, of = chunks_of(model), None
-        names, texts, sizes, lists = {}, {}, {}, {}
+        names, texts, lists = {}, {}, {}
 
-        def learn(chunks: list[str], ids: list[list[int]], decoded: list[str | None]) -> None:
-            sizes.update(zip(chunks, map(len, ids)))
-            names.update((c, " ".join(map(str, i))) for c, i in zip(chunks, ids))
+        def learn(chunks: list[str], ids: pa.ListArray, decoded: list[str | None]) -> None:
+            said = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+            names.update(zip(chunks, said.to_pylist()))
             texts.update((c, t) for c, t in zip(chunks, decoded) if t is not None)
             if with_ids:
-                lists.update(zip(chunks, ids))
+                lists.update(zip(chunks, ids.to_pylist()))
+
+        def said_of(chunks: list[str]) -> str:
+            try:
+                return " ".join([names[c] for c in chunks])
+            except KeyError:
+                missing = sorted({c for c in chunks if c not in names})
+                ids, decoded = tool.segment(missing)
+                learn(missing, pa.array(ids, pa.list_(pa.int32())), decoded)
+                return said_of(chunks)
 
         for batch in batches:
             for block, part, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "data"))):
                 if block != of:
                     of = block
-                    for known in (names, texts, sizes, lists):
+                    for known in (names, texts, lists):
                         known.clear()
                 found = _unpacked(data)
                 if part < 0:
-                    learn(*(found.column(c).to_pylist() for c in ("chunk", "ids", "text")))
+                    learn(found.column("chunk").to_pylist(), found.column("ids"), found.column("text").to_pylist())
                     continue
                 out: list[list] = [[] for _ in range(6)]
                 for text in found.column("text").to_pylist():
                     chunks = tool.split(text)
-                    missing = sorted({c for c in chunks if c not in sizes})
-                    if missing:
-                        learn(missing, *tool.segment(missing))
+                    said = f"{said_of(chunks)} {tool.end}" if chunks else str(tool.end)  # a chunk has an id at least
                     decoded = tool.joined(chunks, texts)
-                    said = " ".join([*[names[c] for c in chunks if sizes[c]], str(tool.end)])
-                    values = [sum([sizes[c] for c in chunks]) + 1, len(chunks), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                    values = [said.count(" ") + 1, len(chunks), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                     for col, x in zip(out, [*values, *([[i for c in chunks for i in lists[c]] + [tool.end], decoded] if with_ids else [])]):
                         col.append(x)
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
