@@ -9,16 +9,16 @@ component by itself, in an Arrow-backed grouped function.
 
 from __future__ import annotations
 
-import itertools
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import staged
-from . import bipartite
+from . import bipartite, opening
 
 
 def pair_costs(edges: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -70,55 +70,8 @@ def pruned_to_least_distance(edges: DataFrame, by: list[str] = []) -> DataFrame:
     return edges.join(used_haps(least_distance(edges, by), by), [*by, "hap"], "left_semi")
 
 
-def _solve(costs: dict[object, dict[tuple, float]], d_unit: float, n_unit: float, deadline: float) -> tuple[dict[object, tuple], str]:
-    """A pair for each sample that makes d_unit * cost + n_unit * number of haplotypes least: branch and bound over samples."""
-    order = sorted(costs, key=lambda s: (len(costs[s]), str(s)))
-    floor = [0.0] * (len(order) + 1)
-    for k in range(len(order) - 1, -1, -1):
-        floor[k] = floor[k + 1] + d_unit * min(costs[order[k]].values())
-    best: tuple = (float("inf"), None)
-    stop = time.monotonic() + deadline
-    late = False
-
-    def greedy() -> tuple[float, dict]:
-        used, total, out = set(), 0.0, {}
-        for s in order:
-            p = min(costs[s], key=lambda p: (d_unit * costs[s][p] + n_unit * len(set(p) - used), p))
-            total += d_unit * costs[s][p] + n_unit * len(set(p) - used)
-            used |= set(p)
-            out[s] = p
-        return total, out
-
-    best = greedy()
-
-    def choices(k: int, used: frozenset, total: float) -> Iterator[tuple[float, frozenset, tuple]]:
-        s = order[k]
-        for price, p in sorted((d_unit * c + n_unit * len(set(p) - used), p) for p, c in costs[s].items()):
-            yield total + price, used | set(p), p
-
-    # one entry for each sample decided: no recursion, however many samples there are
-    open_, chosen = ([choices(0, frozenset(), 0.0)] if order else []), []
-    while open_:
-        if time.monotonic() > stop:
-            late = True
-            break
-        total, used, p = next(open_[-1], (None, None, None))
-        if total is None or total + floor[len(open_)] >= best[0] - 1e-9:
-            # choices come by rising price, so those that follow cost as much or more
-            open_.pop()
-            if chosen:
-                chosen.pop()
-            continue
-        if len(open_) == len(order):
-            best = (total, dict(zip(order, [*chosen, p])))
-        else:
-            chosen.append(p)
-            open_.append(choices(len(open_), used, total))
-    return best[1] or {}, "FEASIBLE" if late else "OPTIMAL"
-
-
 def connected(edges: DataFrame, by: list[str]) -> DataFrame:
-    """(by, sample, part): samples of a window that share haplotypes, directly or over others, have the same ``part``."""
+    """(by, sample, part) of rows (by, sample, hap): samples of a window that share haplotypes, directly or over others, have the same ``part``."""
     name = lambda c: F.concat_ws("\t", *[F.coalesce(F.col(x).cast("string"), F.lit("\0")) for x in [*by, c]])
     rows = edges.select(*by, "sample", name("sample").alias("_s"), name("hap").alias("_h")).distinct()
     rows = staged(rows, "samples_and_haps")
@@ -131,76 +84,153 @@ def _full_pairs(edges: DataFrame, by: list[str]) -> DataFrame:
     return pair_costs(edges, by).join(edges.groupBy(*by, "sample").agg(F.count_distinct("read").alias("all_reads")), [*by, "sample"]).where("n_reads = all_reads")
 
 
-def _per_component(full: DataFrame, component: list[str], solve: Callable[[dict, pd.DataFrame], tuple[dict, str]]) -> DataFrame:
-    """``solve`` for each group of pairs; where it fails, its samples get no pair and the status FAILED, and other groups go on."""
+def _arrays(pdf: pd.DataFrame, d_unit: float = 1.0) -> tuple[opening.Choice, list, np.ndarray, list[tuple]]:
+    """The pairs of one component as arrays, its samples, which of them each row is of, and the pairs by name."""
+    samples, names = pd.factorize(pdf["sample"], sort=True)
+    haps = sorted(set(pdf["hap1"]) | set(pdf["hap2"]))
+    place = {h: k for k, h in enumerate(haps)}
+    pairs = sorted(set(zip(pdf["hap1"], pdf["hap2"])))
+    column = {p: k for k, p in enumerate(pairs)}
+    cost = np.full((len(names), len(pairs)), np.inf)
+    cost[samples, [column[p] for p in zip(pdf["hap1"], pdf["hap2"])]] = pdf["cost"].astype(float) * d_unit
+    return opening.Choice(cost, np.array([place[p[0]] for p in pairs]), np.array([place[p[1]] for p in pairs]), len(haps)), list(names), samples, pairs
+
+
+def _per_component(full: DataFrame, component: list[str], solve: Callable[[opening.Choice, pd.DataFrame], tuple[np.ndarray | None, bool]]) -> DataFrame:
+    """``solve`` for each group of pairs; where it fails, its samples get no pair and the status FAILED, and other groups go on.
+
+    ``solve`` returns the column of each sample's pair, or None where no choice serves all samples.
+    """
     hap_type, sample_type = full.schema["hap1"].dataType.simpleString(), full.schema["sample"].dataType.simpleString()
     heads = ", ".join(f"{c} {full.schema[c].dataType.simpleString()}" for c in component)
+    columns = [*component, "sample", "hap1", "hap2", "cost", "status"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        costs: dict = {}
-        for s, a, b, c in zip(pdf["sample"], pdf["hap1"], pdf["hap2"], pdf["cost"]):
-            costs.setdefault(s, {})[(a, b)] = float(c)
         try:
-            chosen, status = solve(costs, pdf)
-        except (ArithmeticError, MemoryError, RecursionError, ValueError):
-            return pd.DataFrame([(*key, s, None, None, float("nan"), "FAILED") for s in costs], columns=[*component, "sample", "hap1", "hap2", "cost", "status"])
-        rows = [(*key, s, a, b, costs[s][(a, b)], status) for s, (a, b) in chosen.items()]
-        return pd.DataFrame(rows, columns=[*component, "sample", "hap1", "hap2", "cost", "status"])
+            choice, names, _, pairs = _arrays(pdf)
+            chosen, proven = solve(choice, pdf)
+        except (ArithmeticError, MemoryError, ValueError):
+            chosen = None
+        if chosen is None:
+            return pd.DataFrame([(*key, s, None, None, float("nan"), "FAILED") for s in sorted(set(pdf["sample"]))], columns=columns)
+        rows = [(*key, s, *pairs[k], float(choice.cost[i, k]), "OPTIMAL" if proven else "FEASIBLE") for i, (s, k) in enumerate(zip(names, chosen))]
+        return pd.DataFrame(rows, columns=columns)
 
     return full.groupBy(*component).applyInPandas(run, f"{heads}, sample {sample_type}, hap1 {hap_type}, hap2 {hap_type}, cost double, status string")
 
 
-def joint(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, deadline: float = 60.0, normalise: bool = True) -> DataFrame:
+def units(full: DataFrame, component: list[str]) -> DataFrame:
+    """(component, d_min, n_max): the least distance of a window and the haplotypes that its cheapest pairs use; zero counts as one."""
+    rank = Window.partitionBy(*component, "sample").orderBy("cost", (F.col("hap1") != F.col("hap2")).cast("int"), "hap1", "hap2")
+    best = full.withColumn("_r", F.row_number().over(rank)).where("_r = 1")
+    found = best.groupBy(*component).agg(F.sum("cost").cast("double").alias("d_min")).join(used_haps(best, component).groupBy(*component).agg(F.count(F.lit(1)).alias("n_max")), component)
+    return found.withColumn("d_min", F.when(F.col("d_min") == 0, 1.0).otherwise(F.col("d_min"))).withColumn("n_max", F.col("n_max").cast("double"))
+
+
+def joint(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, deadline: float | None = None, normalise: bool = True) -> DataFrame:
     """(component, sample, hap1, hap2, cost, status) that make the weighted sum of distance and number of haplotypes least.
 
     With ``normalise``, distance is in units of the least distance of the whole
     ``component`` (a window) and the number in units of the haplotypes used there
-    (zero counts as one).  The objective is a sum over groups of samples that
-    share haplotypes, so the search runs once for each such group; its rows are
-    hap pairs, not reads.  status is OPTIMAL, FEASIBLE (the deadline came
-    first) or FAILED.
+    (zero counts as one).
+
+    A pair that costs more than a sample's cheapest one by the price of that one's
+    haplotypes is in no best choice and goes.  A sample that shares no haplotype of its
+    pairs with another one takes its own least value in Spark.  What is left falls
+    into groups of samples that share haplotypes, and each group is a search with proof
+    (``opening``).  status is OPTIMAL, FEASIBLE (a deadline was given and came first) or FAILED.
     """
     full = staged(_full_pairs(edges, component), "pairs")
-    rank = Window.partitionBy(*component, "sample").orderBy("cost", (F.col("hap1") != F.col("hap2")).cast("int"), "hap1", "hap2")
-    best = full.withColumn("_r", F.row_number().over(rank)).where("_r = 1")
-    units = best.groupBy(*component).agg(F.sum("cost").cast("double").alias("_d")).join(used_haps(best, component).groupBy(*component).agg(F.count(F.lit(1)).alias("_n")), component)
-    grouped = full.join(connected(edges, component), [*component, "sample"]).join(units, component)
+    if normalise:
+        priced = full.join(units(full, component), component).withColumns({"_d": F.lit(d_weight) / F.col("d_min"), "_n": F.lit(n_weight) / F.col("n_max")}).drop("d_min", "n_max")
+    else:
+        priced = full.withColumns({"_d": F.lit(float(d_weight)), "_n": F.lit(float(n_weight))})
+    key = [*component, "sample"]
+    two = (F.col("hap1") != F.col("hap2")).cast("int")
+    rank = Window.partitionBy(*key).orderBy("cost", two, "hap1", "hap2")
+    best = F.first(F.struct(F.col("cost").alias("c"), (two + 1).alias("n"), F.col("hap1").alias("a"), F.col("hap2").alias("b"))).over(rank.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = priced.withColumn("_b", best)
+    needed = (F.col("_d") * (F.col("cost") - F.col("_b.c")) < F.col("_n") * F.col("_b.n")) | ((F.col("hap1") == F.col("_b.a")) & (F.col("hap2") == F.col("_b.b")))
+    pairs = staged(ranked.where(needed).drop("_b", "n_reads", "all_reads"), "needed_pairs")
+    held = pairs.select(*key, F.explode(F.array_distinct(F.array("hap1", "hap2"))).alias("hap")).distinct()
+    shared = held.groupBy(*component, "hap").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*component, "hap")
+    tied = staged(held.join(shared, [*component, "hap"], "left_semi").select(*key).distinct(), "tied_samples")
+    value = F.col("_d") * F.col("cost") + F.col("_n") * (two + 1)
+    own = Window.partitionBy(*key).orderBy(value, two, "hap1", "hap2")
+    alone = pairs.join(tied, key, "left_anti").withColumn("_r", F.row_number().over(own)).where("_r = 1")
+    alone = alone.select(*key, "hap1", "hap2", F.col("cost").cast("double").alias("cost"), F.lit("OPTIMAL").alias("status"))
+    if tied.isEmpty():
+        return alone
+    together = pairs.join(tied, key, "left_semi")
+    grouped = together.join(connected(held.join(tied, key, "left_semi"), component), key)
+
+    def solve(choice: opening.Choice, pdf: pd.DataFrame) -> tuple[np.ndarray | None, bool]:
+        d_unit, n_unit = float(pdf["_d"].iloc[0]), float(pdf["_n"].iloc[0])
+        scaled = opening.Choice(choice.cost * d_unit, choice.one, choice.two, choice.n_haps)
+        found = opening.Search(scaled, price=n_unit, deadline=deadline).run()
+        return found.pairs, found.proven
+
+    return alone.unionByName(_per_component(grouped, [*component, "part"], solve).drop("part"))
+
+
+class Curve:
+    """The least distance of a component for each number of haplotypes, each asked for once."""
+
+    def __init__(self, choice: opening.Choice, deadline: float | None = None):
+        self.choice, self.known, self.proven, self.deadline = choice, {}, True, deadline
+        self.d_min = float(choice.cost.min(1).sum())
+        fits = np.isfinite(choice.cost)
+        self.n_min, self.least = self._fewest(fits)
+        self.n_max, cheapest = self._fewest(fits & (choice.cost <= choice.cost.min(1, keepdims=True)))
+        if self.n_max is not None:
+            self.known[self.n_max] = (self.d_min, cheapest)
+
+    def _fewest(self, allowed: np.ndarray) -> tuple[int | None, np.ndarray | None]:
+        """The least number of haplotypes with pairs of ``allowed`` only."""
+        c = opening.Choice(np.where(allowed, 0.0, np.inf), self.choice.one, self.choice.two, self.choice.n_haps)
+        found = opening.Search(c, price=1.0, deadline=self.deadline).run()
+        self.proven &= found.proven
+        return (None, None) if found.pairs is None else (round(found.value), found.pairs)
+
+    def at(self, n: int) -> tuple[float, np.ndarray | None]:
+        """(least distance with ``n`` haplotypes at the most, pairs); infinite where they do not serve all samples."""
+        n = min(n, self.n_max) if self.n_max is not None else n
+        if n not in self.known:
+            found = opening.Search(self.choice, most=n, deadline=self.deadline).run() if self.n_min is not None and n >= self.n_min else None
+            self.proven &= found is None or found.proven
+            self.known[n] = (np.inf, None) if found is None else (found.value, found.pairs)
+        return self.known[n]
+
+    def count_for(self, distance: float) -> int | None:
+        """The least number of haplotypes with which the distance is within ``distance``."""
+        if self.n_min is None or distance < self.d_min:
+            return None
+        low, high = self.n_min, self.n_max
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if self.at(mid)[0] <= distance else (mid + 1, high)
+        return low
 
-    def solve(costs: dict, pdf: pd.DataFrame) -> tuple[dict, str]:
-        d_min, n_max = float(pdf["_d"].iloc[0]) or 1.0, int(pdf["_n"].iloc[0]) or 1
-        return _solve(costs, d_weight / d_min if normalise else d_weight, n_weight / n_max if normalise else n_weight, deadline)
 
-    return _per_component(grouped, [*component, "part"], solve).drop("part")
+def distance_given_count(edges: DataFrame, component: list[str], most: int, deadline: float | None = None) -> DataFrame:
+    """(component, sample, hap1, hap2, cost, status): the least distance of a window with at most ``most`` haplotypes; FAILED where they serve not all samples."""
 
+    def solve(choice: opening.Choice, _: pd.DataFrame) -> tuple[np.ndarray | None, bool]:
+        curve = Curve(choice, deadline)
+        return curve.at(most)[1], curve.proven
 
-def _least_for(costs: dict, haps: tuple) -> tuple[float, dict] | None:
-    allowed, total, out = set(haps), 0.0, {}
-    for s, pairs in costs.items():
-        fit = [p for p in pairs if set(p) <= allowed]
-        if not fit:
-            return None
-        out[s] = min(fit, key=lambda p: (pairs[p], len(set(p)), p))
-        total += pairs[out[s]]
-    return total, out
-
-
-def _curve(costs: dict, deadline: float) -> Iterator[tuple[int, float, dict]]:
-    """(n, least distance with n haplotypes, pairs) for rising n, until the distance is the least possible."""
-    haps = sorted({h for v in costs.values() for p in v for h in p})
-    floor = sum(min(v.values()) for v in costs.values())
-    stop = time.monotonic() + deadline
-    for n in range(1, len(haps) + 1):
-        best = None
-        for some in itertools.combinations(haps, n):
-            found = _least_for(costs, some)
-            if found and (best is None or found[0] < best[0]):
-                best = found
-            if time.monotonic() > stop:
-                return
-        if best:
-            yield n, best[0], best[1]
-            if best[0] <= floor + 1e-9:
-                return
+    return _per_component(_full_pairs(edges, component), component, solve)
+
+
+def count_given_distance(edges: DataFrame, component: list[str], more: float = 0.0, slack: float = 0.5, deadline: float | None = None) -> DataFrame:
+    """(component, sample, hap1, hap2, cost, status): the fewest haplotypes of a window whose distance is within ``more`` and ``slack`` of the least one."""
+
+    def solve(choice: opening.Choice, _: pd.DataFrame) -> tuple[np.ndarray | None, bool]:
+        curve = Curve(choice, deadline)
+        n = curve.count_for(curve.d_min + more + slack)
+        return (None if n is None else curve.at(n)[1]), curve.proven
+
+    return _per_component(_full_pairs(edges, component), component, solve)
 
 
 def golden_section(cost: Callable[[int], float], low: int, high: int, most: int = 20) -> int:
@@ -225,24 +255,36 @@ def golden_section(cost: Callable[[int], float], low: int, high: int, most: int
     return min(range(low, high + 1), key=lambda k: (at(k), k))
 
 
-def utopia(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, deadline: float = 60.0, golden: bool = False) -> DataFrame:
+def utopia(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, deadline: float | None = None, golden: bool = False) -> DataFrame:
     """Like ``joint``, with the squared distance to (least distance, fewest haplotypes), both scaled to their ranges.
 
-    The value is no sum over samples, so a window is one group.  Where the
-    deadline comes before the curve's end the result is FEASIBLE.
+    Each range is from the least value to the one that the other's least value has,
+    scaled to 1 to 2, or with ``golden`` to 0 to 1 and with the number of haplotypes
+    found by golden-section search, as if the value were convex in it.  Without
+    ``golden`` numbers are tried from the least one, as long as their own term
+    and that of the least distance are below the best value.  Every least distance for a number
+    is a search with proof, done once.  The value is no sum over samples, so a window
+    is one group.
     """
-
-    def solve(costs: dict, _: pd.DataFrame) -> tuple[dict, str]:
-        points = list(_curve(costs, deadline))
-        floor = sum(min(v.values()) for v in costs.values())
-        status = "OPTIMAL" if points and points[-1][1] <= floor + 1e-9 else "FEASIBLE"
-        if not points:
-            return _solve(costs, 1.0, 0.0, deadline)[0], status
-        ns, ds = [p[0] for p in points], [p[1] for p in points]
-        n_span, d_span = (max(ns) - min(ns)) or 1, (max(ds) - min(ds)) or 1.0
-        value = lambda p: d_weight * ((p[1] - min(ds)) / d_span) ** 2 + n_weight * ((p[0] - min(ns)) / n_span) ** 2
-        best = points[golden_section(lambda k: value(points[k]), 0, len(points) - 1)] if golden else min(points, key=lambda p: (value(p), p[0]))
-        return best[2], status
+    least = 0.0 if golden else 1.0
+
+    def solve(choice: opening.Choice, _: pd.DataFrame) -> tuple[np.ndarray | None, bool]:
+        curve = Curve(choice, deadline)
+        if curve.n_min is None:
+            return None, False
+        low, high = curve.n_min, curve.n_max
+        n_span, d_span = (high - low) or 1, (curve.at(low)[0] - curve.d_min) or 1.0
+        term = lambda n: n_weight * (least + (n - low) / n_span) ** 2
+        value = lambda n: d_weight * (least + (curve.at(n)[0] - curve.d_min) / d_span) ** 2 + term(n)
+        if golden:
+            best = min((golden_section(value, low, high), low, high), key=lambda n: (value(n), n))
+        else:
+            best = low
+            for n in range(low + 1, high + 1):
+                if term(n) + d_weight * least**2 >= value(best):
+                    break
+                best = min(best, n, key=lambda n: (value(n), n))
+        return curve.at(best)[1], curve.proven
 
     return _per_component(_full_pairs(edges, component), component, solve)
 
@@ -254,19 +296,55 @@ def assigned(edges: DataFrame, pairs: DataFrame, by: list[str] = []) -> DataFram
     return fit.withColumn("_r", F.row_number().over(rank)).where("_r = 1").select(*by, "sample", "read", "hap", "weight")
 
 
-def optimize(edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, prune: bool = True, compress: bool = False, quantum: float = 0.0, deadline: float = 60.0) -> DataFrame:
+def compressed(edges: DataFrame, component: list[str], d_weight: float, n_weight: float, quantum: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(smaller edges, samples and those they went into) for ``joint``.
+
+    A haplotype worth its price goes where another one is better by that on all of a
+    sample's reads; samples whose reads are clearly of one or two haplotypes keep
+    these; equal reads of a sample become one, and equal and contained samples too.
+    The price is in units of weight: n_weight / n_max against d_weight / d_min.
+    """
+    key = [*component, "sample"]
+    edges = staged(edges, "edges")
+    price = units(_full_pairs(edges, component), component).withColumn("_price", (F.lit(n_weight) / F.col("n_max")) / (F.lit(d_weight) / F.col("d_min"))).select(*component, "_price")
+    in_prices = staged(edges.join(price, component).withColumn("weight", F.col("weight") / F.col("_price")).drop("_price"), "in_prices")
+    worse = bipartite.locally_dominated(in_prices, 1.0, component)
+    left = staged(bipartite.without(in_prices, worse, [*key, "hap"]), "undominated")
+    one = bipartite.one_hap_samples(left, 1.0, component)
+    two = bipartite.without(bipartite.two_hap_samples(left, 1.0, component), one, key)
+    fixed = one.select(*key, "hap").unionAll(two.select(*key, F.explode(F.array("hap1", "hap2")).alias("hap")))
+    fixed = staged(fixed, "easy")
+    kept = left.select(*key, "read", "hap").join(fixed.select(*key).distinct(), key, "left_anti").unionByName(left.select(*key, "read", "hap").join(fixed, [*key, "hap"], "left_semi"))
+    small, _ = bipartite.compressed_reads(staged(edges.join(kept, [*key, "read", "hap"]), "kept"), component, quantum)
+    small, moved = bipartite.compressed_samples(staged(small, "fewer_reads"), component, quantum, contained=True)
+    return small, moved.select(*key, "kept").distinct()
+
+
+def optimize(
+    edges: DataFrame, component: list[str], d_weight: float = 1.0, n_weight: float = 1.0, prune: bool = True, compress: bool = False, quantum: float = 0.0, deadline: float | None = None
+) -> DataFrame:
     """(sample, read, hap, weight): drop unfit reads, prune to haplotypes of least distance, solve, assign.
 
+    With ``compress``, haplotypes contained in others go first, and samples and reads
+    are merged before the joint search; its pairs then go to all merged samples.
     Samples whose solution is not proven optimal get no row, and so no call.
     """
     kept = kept_reads(edges, component)
-    small, members = bipartite.compressed_reads(kept, component, quantum) if compress else (kept, None)
+    small = kept
     if compress:
-        gone = bipartite.contained_haps(small, component, quantum)
-        lone = bipartite.mandatory_haps(small, component)
-        small = bipartite.without(small, gone.join(lone.select(*component, "hap"), [*component, "hap"], "left_anti"), [*component, "hap"])
-    pairs = joint(pruned_to_least_distance(small, component) if prune else small, component, d_weight, n_weight, deadline)
-    return assigned(kept, pairs.where("status = 'OPTIMAL'"), component)
+        kept = staged(kept, "kept_reads")
+        gone = bipartite.contained_haps(kept, component, quantum)
+        lone = bipartite.mandatory_haps(kept, component)
+        small = staged(bipartite.without(kept, gone.join(lone.select(*component, "hap"), [*component, "hap"], "left_anti"), [*component, "hap"]), "fewer_haps")
+    if prune:
+        small = pruned_to_least_distance(small, component)
+    if not compress:
+        return assigned(kept, joint(small, component, d_weight, n_weight, deadline).where("status = 'OPTIMAL'"), component)
+    small = staged(small, "pruned")
+    fewer, members = compressed(small, component, d_weight, n_weight, quantum)
+    pairs = joint(fewer, component, d_weight, n_weight, deadline).where("status = 'OPTIMAL'").withColumnRenamed("sample", "kept")
+    back = members.join(pairs, [*component, "kept"]).select(*component, "sample", "hap1", "hap2", "cost", "status")
+    return assigned(small, back, component)
 
 
 def capped_reads(edges: DataFrame, most: int, by: list[str] = []) -> DataFrame:  # noqa: B006

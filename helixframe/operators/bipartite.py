@@ -56,14 +56,54 @@ def sample_signatures(edges: DataFrame, by: list[str] = [], quantum: float = 0.0
     return counts.groupBy(*by, "sample").agg(F.array_sort(F.collect_list(F.struct("signature", "n"))).alias("signature"))
 
 
-def compressed_samples(edges: DataFrame, by: list[str] = [], quantum: float = 0.0) -> tuple[DataFrame, DataFrame]:  # noqa: B006
-    """(edges of kept samples, weights of merged ones added read by read; membership sample -> kept sample).
+def _ends(steps: DataFrame, node: str, to: str, by: list[str]) -> DataFrame:
+    """``steps`` with the last node reached from each; a step leads to a later name, so there are no circles, and each round doubles them."""
+    now = staged(steps.select(*by, node, to), "steps")
+    while True:
+        ahead = now.select(*by, F.col(node).alias(to), F.col(to).alias("_next"))
+        nxt = staged(now.join(ahead, [*by, to], "left").select(*by, node, F.coalesce("_next", to).alias(to), F.col("_next").isNotNull().alias("_moved")), "steps")
+        now = nxt.select(*by, node, to)
+        if nxt.where("_moved").isEmpty():
+            return now
+
+
+def contained_samples(edges: DataFrame, by: list[str] = [], quantum: float = 0.0) -> DataFrame:  # noqa: B006
+    """(sample, container): samples whose reads fit one haplotype each and are all among the reads of a later sample.
 
-    Samples with the same multiset of read signatures become the first of them.
+    The container is the first sample by name, after ``sample``, that has each of its
+    read signatures at least as often.  A container has the rarest signature too, so
+    candidates are found by that one alone, and then counted over all of them.
+    Samples with equal reads contain each other: merge them before.
+    """
+    key = [*by, "sample"]
+    signed = read_signatures(edges, by, quantum)
+    counts = staged(signed.groupBy(*key, "signature").agg(F.count(F.lit(1)).alias("n")), "signatures")
+    plain = counts.groupBy(*key).agg(F.max(F.size("signature")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("most = 1").select(*key, "kinds")
+    rarity = counts.groupBy(*by, "signature").agg(F.count(F.lit(1)).alias("held"))
+    rank = Window.partitionBy(*key).orderBy("held", "signature")
+    of_plain = staged(counts.join(plain, key).join(rarity, [*by, "signature"]), "plain_signatures")
+    rarest = of_plain.withColumn("_r", F.row_number().over(rank)).where("_r = 1").select(*key, "signature", "n", "kinds")
+    holders = counts.select(*by, F.col("sample").alias("container"), "signature", F.col("n").alias("m"))
+    met = rarest.join(holders, [*by, "signature"]).where("container > sample and m >= n").select(*key, "kinds", "container")
+    same = met.join(of_plain.select(*key, "signature", "n"), key).join(holders, [*by, "container", "signature"]).where("m >= n")
+    whole = same.groupBy(*key, "container", "kinds").agg(F.count(F.lit(1)).alias("found")).where("found = kinds")
+    return whole.groupBy(*key).agg(F.min("container").alias("container"))
+
+
+def compressed_samples(edges: DataFrame, by: list[str] = [], quantum: float = 0.0, contained: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """(edges of kept samples, weights of merged ones added read by read; membership sample -> kept sample, read -> kept read).
+
+    Samples with the same multiset of read signatures become the first of them.  With
+    ``contained``, those of ``contained_samples`` then go into their last container.
     Equal reads of two samples are matched by their rank within the signature.
     """
     groups = sample_signatures(edges, by, quantum)
     members = groups.join(groups.groupBy(*by, "signature").agg(F.min("sample").alias("kept")), [*by, "signature"]).select(*by, "sample", "kept")
+    if contained:
+        members = staged(members, "members")
+        first = edges.join(members.where("sample = kept").select(*by, "sample"), [*by, "sample"], "left_semi")
+        last = _ends(contained_samples(first, by, quantum), "sample", "container", by).select(*by, F.col("sample").alias("kept"), "container")
+        members = members.join(last, [*by, "kept"], "left").select(*by, "sample", F.coalesce("container", "kept").alias("kept"))
     place = F.row_number().over(Window.partitionBy(*by, "sample", "signature").orderBy("read"))
     ranked = read_signatures(edges, by, quantum).withColumn("k", place)
     kept = ranked.select(*by, F.col("sample").alias("kept"), "signature", "k", F.col("read").alias("into"))

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
-from helixframe.operators import assign, bipartite
+from helixframe.operators import assign, bipartite, opening
 from helixframe.plans.workflows import MergeConfig, solve
 
 EDGES = "sample string, read string, hap string, weight double"
@@ -52,16 +54,136 @@ def test_joint_equals_all_choices(spark):
         assert value == pytest.approx(want)
 
 
-def test_cohorts_are_solved_without_recursion():
-    costs = {s: {(f"h{a}", f"h{b}"): 5 + a + b for a in range(3) for b in range(a, 3)} for s in range(1074)}
-    chosen, status = assign._solve(costs, 1.0, 0.5, 30.0)
-    assert status == "OPTIMAL" and chosen == dict.fromkeys(costs, ("h0", "h0"))
+def _choice(costs: np.ndarray, haps: int) -> opening.Choice:
+    one, two = np.array(list(itertools.combinations_with_replacement(range(haps), 2))).T
+    return opening.Choice(costs.astype(float), one, two, haps)
+
+
+def _all_sets(choice: opening.Choice):
+    """(haplotypes, cost) of every set of them."""
+    for bits in range(1, 2**choice.n_haps):
+        open_ = np.array([bits >> k & 1 for k in range(choice.n_haps)], bool)
+        yield int(open_.sum()), choice.served(open_)[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_searches_equal_all_sets(seed):
+    r = np.random.default_rng(seed)
+    haps, samples = int(r.integers(2, 8)), int(r.integers(1, 12))
+    costs = r.integers(0, 40, (samples, haps * (haps + 1) // 2)).astype(float)
+    costs[r.random(costs.shape) < 0.2 * (seed % 3)] = np.inf
+    costs[:, -1] = np.where(np.isinf(costs).all(1), 50, costs[:, -1])
+    choice = _choice(costs, haps)
+    sets = list(_all_sets(choice))
+    for price in (0.0, 0.5, 7.0, 60.0):
+        found = opening.Search(choice, price=price).run()
+        assert found.proven and found.value == pytest.approx(min(c + price * n for n, c in sets))
+    curve = assign.Curve(choice)
+    for n in range(1, haps + 1):
+        assert curve.at(n)[0] == pytest.approx(min((c for m, c in sets if m <= n), default=np.inf))
+    for distance in (curve.d_min, curve.d_min + 5, curve.d_min + 100):
+        assert curve.count_for(distance) == min(m for m, c in sets if c <= distance + 1e-9)
+
+
+def _cohort(samples: int, haps: int, seed: int, reads: int = 12) -> np.ndarray:
+    """Costs of samples with two true haplotypes each, read by noisy reads."""
+    r = np.random.default_rng(seed)
+    one, two = np.array(list(itertools.combinations_with_replacement(range(haps), 2))).T
+    apart = r.integers(5, 60, (haps, haps))
+    apart = (apart + apart.T) // 2
+    np.fill_diagonal(apart, 0)
+    often, out = r.dirichlet(np.ones(haps) * 0.7), []
+    for _ in range(samples):
+        true = r.choice(haps, 2, p=often)
+        w = (1 + np.maximum(0, apart[true[np.arange(reads) % 2]] + r.integers(-3, 4, (reads, haps)))) ** 1.2
+        out.append(np.minimum(w[:, one], w[:, two]).sum(0).round())
+    return np.array(out)
+
+
+@pytest.mark.parametrize("samples,haps", [(30, 12), (40, 15), (300, 30), (1074, 12)])
+def test_cohorts_are_proven_without_a_deadline(samples, haps):
+    began = time.monotonic()
+    choice = _choice(_cohort(samples, haps, samples), haps)
+    scaled = opening.Choice(choice.cost / choice.cost.min(1).sum(), choice.one, choice.two, haps)
+    for price in (0.05, 0.3):
+        assert opening.Search(scaled, price=price).run().proven
+    curve = assign.Curve(choice)
+    ds = [curve.at(n)[0] for n in range(curve.n_min, curve.n_min + 4)]
+    assert curve.proven and ds == sorted(ds, reverse=True) and time.monotonic() - began < 60
 
 
 def test_unproven_solutions_say_so():
-    r = random.Random(9)
-    costs = {s: {(f"h{a}", f"h{b}"): r.randint(1, 99) for a in range(12) for b in range(a, 12)} for s in range(40)}
-    assert assign._solve(costs, 1.0, 50.0, 0.0)[1] == "FEASIBLE"
+    found = opening.Search(_choice(np.random.default_rng(9).integers(1, 99, (60, 300)), 24), price=50.0, deadline=0.0).run()
+    assert not found.proven and found.pairs is not None
+
+
+def test_a_cohort_gets_calls(spark):
+    r = random.Random(4)
+    true = {s: (r.randrange(6), r.randrange(6)) for s in range(60)}
+    rows = [("w", s, f"{s}_{k}", f"h{h}", float(1 + 9 * abs(h - true[s][k % 2]) + r.randint(0, 2))) for s in true for k in range(6) for h in range(10)]
+    df = spark.createDataFrame(rows, "window string, sample long, read string, hap string, weight double")
+    plain = {(x.sample, x.read): x.hap for x in assign.optimize(df, ["window"], n_weight=0.1).collect()}
+    assert len(plain) == 360
+    assert sum(plain[s, f"{s}_{k}"] == f"h{true[s][k % 2]}" for s in true for k in range(6)) >= 300
+    assert len(assign.optimize(df, ["window"], n_weight=0.1, compress=True).collect()) == 360
+
+
+def test_distance_and_count_of_windows(spark):
+    rows = {f"w{seed}": _random(seed, samples=4, reads=3, haps=5, full=1.0) for seed in range(3)}
+    df = spark.createDataFrame([(w, *x) for w, some in rows.items() for x in some], "window string, " + EDGES)
+    for n in (1, 2, 3):
+        found = assign.distance_given_count(df, ["window"], n).collect()
+        for w, some in rows.items():
+            costs = [{p: c for p, m, c, every in _pairs(some, s) if m == every} for s in sorted({x[0] for x in some})]
+            want = min(sum(min(c for p, c in one.items() if set(p) <= set(haps)) for one in costs) for haps in itertools.combinations([f"h{h}" for h in range(5)], n))
+            got = [r for r in found if r.window == w]
+            assert sum(r.cost for r in got) == want and {r.status for r in got} == {"OPTIMAL"} and len({h for r in got for h in (r.hap1, r.hap2)}) <= n
+    fewest = assign.count_given_distance(df, ["window"], more=2.0).collect()
+    for w, some in rows.items():
+        costs = [{p: c for p, m, c, every in _pairs(some, s) if m == every} for s in sorted({x[0] for x in some})]
+        least = sum(min(one.values()) for one in costs)
+        serves = lambda haps: sum(min((c for p, c in one.items() if set(p) <= set(haps)), default=1e9) for one in costs) <= least + 2.5  # noqa: B023, E731
+        want = min(n for n in range(1, 6) for haps in itertools.combinations([f"h{h}" for h in range(5)], n) if serves(haps))
+        got = [r for r in fewest if r.window == w]
+        assert len({h for r in got for h in (r.hap1, r.hap2)}) == want
+
+
+@pytest.mark.parametrize("golden", [False, True])
+def test_utopia_equals_all_sets(spark, golden):
+    rows = {f"w{seed}": _random(seed, samples=4, reads=3, haps=5) for seed in range(4)}
+    df = spark.createDataFrame([(w, *x) for w, some in rows.items() for x in some], "window string, " + EDGES)
+    found = assign.utopia(df, ["window"], 1.0, 2.0, golden=golden).collect()
+    for w, some in rows.items():
+        costs = [{p: c for p, m, c, every in _pairs(some, s) if m == every} for s in sorted({x[0] for x in some})]
+        by_n = {}
+        for n in range(1, 6):
+            for haps in itertools.combinations([f"h{h}" for h in range(5)], n):
+                d = sum(min((c for p, c in one.items() if set(p) <= set(haps)), default=float("inf")) for one in costs)
+                by_n[n] = min(by_n.get(n, float("inf")), d)
+        ok = [n for n in by_n if by_n[n] < float("inf")]
+        low, d_min = min(ok), min(by_n.values())
+        high = min(n for n in ok if by_n[n] == d_min)
+        off = 0.0 if golden else 1.0
+        value = lambda d, n: (off + (d - d_min) / ((by_n[low] - d_min) or 1)) ** 2 + 2 * (off + (n - low) / ((high - low) or 1)) ** 2  # noqa: B023, E731
+        got = [r for r in found if r.window == w]
+        reached = value(sum(r.cost for r in got), len({h for r in got for h in (r.hap1, r.hap2)}))
+        assert reached == pytest.approx(min(value(by_n[n], n) for n in range(low, high + 1)))
+
+
+def test_contained_samples(spark):
+    def reads(sample, *haps):
+        return [(sample, f"{sample}{k}", h, w) for k, (h, w) in enumerate(haps)]
+
+    x, y, z = ("x", 1.0), ("y", 2.0), ("z", 3.0)
+    rows = reads("a", x, x) + reads("b", x, x, y) + reads("c", x, y) + reads("d", x, x, y, z) + reads("e", x, x, x) + reads("f", y, z)
+    rows += [("g", "g1", "x", 1.0), ("g", "g1", "y", 1.0), ("h", "h1", "x", 1.0), ("h", "h1", "y", 1.0), ("h", "h2", "z", 3.0)]
+    df = spark.createDataFrame(rows, EDGES)
+    found = {r.sample: r.container for r in bipartite.contained_samples(df).collect()}
+    assert found == {"a": "b", "b": "d", "c": "d"}  # e has more x, f is after d, g's read fits two haplotypes
+    small, moved = bipartite.compressed_samples(df, contained=True)
+    assert {(r.sample, r.kept) for r in moved.select("sample", "kept").distinct().collect()} == {("a", "d"), ("b", "d"), ("c", "d"), *((s, s) for s in "defgh")}
+    weight = {(r.read, r.hap): r.weight for r in small.where("sample = 'd'").collect()}
+    assert weight == {("d0", "x"): 4.0, ("d1", "x"): 3.0, ("d2", "y"): 6.0, ("d3", "z"): 3.0}
 
 
 def test_three_haps_in_a_sample_lose_a_read(spark):
