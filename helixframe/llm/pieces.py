@@ -119,7 +119,7 @@ def _row(block: int, bucket: int, part: int, data: bytes) -> pa.RecordBatch:
 def encoded(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", with_ids: bool = False, block_chars: int = BLOCK_CHARS, most_chunks: int = MOST_CHUNKS
 ) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, n_chunks, ids_sha256, decoded_sha256 (and ids, decoded).
+    """One row per input row: doc_id, n_tokens, n_chunks, n_late, ids_sha256, decoded_sha256 (and ids, decoded).
 
     The ids are those of the library for the whole text, with an end id only; the
     decoded text is what the library's decode gives for them.  A null text is the
@@ -127,7 +127,8 @@ def encoded(
     identifiers each give a row, other columns are not read, an empty table gives an
     empty result.  A very long text is a block by itself; a text without a place to
     cut is one chunk.  Should a block be cut in another way when its texts are
-    read for the second time, the chunks without an answer are segmented there.
+    read for the second time, the chunks without an answer are segmented there and
+    counted in ``n_late``.
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
@@ -166,51 +167,45 @@ def encoded(
                     yield _row(block, -1, part, _packed(doc_id=some.column("doc_id").combine_chunks(), text=some.column("text").combine_chunks()))
                     held, size, part = row + 1, 0, part + 1
 
-    schema = f"doc_id {kind.simpleString()}, n_tokens long, n_chunks long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    columns = {"doc_id": None, "n_tokens": pa.int64(), "n_chunks": pa.int64(), "n_late": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, n_chunks long, n_late long, ids_sha256 string, decoded_sha256 string"
+    if with_ids:
+        columns, schema = {**columns, "ids": pa.list_(pa.int32()), "decoded": pa.string()}, schema + ", ids array<int>, decoded string"
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, of = chunks_of(model), None
-        names, texts, lists = {}, {}, {}
+    def join(answers: pa.Table, texts_of: pa.Table) -> pa.Table:
+        tool, names, other, lists = chunks_of(model), {}, {}, {}
 
         def learn(chunks: list[str], ids: pa.ListArray, decoded: list[str | None]) -> None:
             said = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
             names.update(zip(chunks, said.to_pylist()))
-            texts.update((c, t) for c, t in zip(chunks, decoded) if t is not None)
+            other.update((c, t) for c, t in zip(chunks, decoded) if t is not None)
             if with_ids:
                 lists.update(zip(chunks, ids.to_pylist()))
 
-        def said_of(chunks: list[str]) -> str:
-            try:
-                return " ".join([names[c] for c in chunks])
-            except KeyError:
-                missing = sorted({c for c in chunks if c not in names})
-                ids, decoded = tool.segment(missing)
-                learn(missing, pa.array(ids, pa.list_(pa.int32())), decoded)
-                return said_of(chunks)
-
-        for batch in batches:
-            for block, part, data in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "data"))):
-                if block != of:
-                    of = block
-                    for known in (names, texts, lists):
-                        known.clear()
-                found = _unpacked(data)
-                if part < 0:
-                    learn(found.column("chunk").to_pylist(), found.column("ids"), found.column("text").to_pylist())
-                    continue
-                out: list[list] = [[] for _ in range(6)]
-                for text in found.column("text").to_pylist():
-                    chunks = tool.split(text)
-                    said = f"{said_of(chunks)} {tool.end}" if chunks else str(tool.end)  # a chunk has an id at least
-                    decoded = tool.joined(chunks, texts)
-                    values = [said.count(" ") + 1, len(chunks), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                    for col, x in zip(out, [*values, *([[i for c in chunks for i in lists[c]] + [tool.end], decoded] if with_ids else [])]):
-                        col.append(x)
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-                heads = ["n_tokens", "n_chunks", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
-                yield pa.RecordBatch.from_arrays([found.column("doc_id"), *[pa.array(x, t) for x, t, _ in zip(out, types, heads)]], ["doc_id", *heads])
-
+        for data in answers.column("data").to_pylist():
+            found = _unpacked(data)
+            learn(found.column("chunk").to_pylist(), found.column("ids"), found.column("text").to_pylist())
+        done = []
+        for data in texts_of.column("data").to_pylist():
+            rows, out = _unpacked(data), []
+            for text in rows.column("text").to_pylist():
+                chunks, late = tool.split(text), []
+                try:
+                    said = " ".join([names[c] for c in chunks])
+                except KeyError:
+                    late = sorted({c for c in chunks if c not in names})
+                    ids, decoded = tool.segment(late)
+                    learn(late, pa.array(ids, pa.list_(pa.int32())), decoded)
+                    said = " ".join([names[c] for c in chunks])
+                said = f"{said} {tool.end}" if chunks else str(tool.end)  # a chunk has an id at least
+                decoded = tool.joined(chunks, other)
+                values = (said.count(" ") + 1, len(chunks), len(late), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                out.append((*values, [i for c in chunks for i in lists[c]] + [tool.end], decoded) if with_ids else values)
+            made = [pa.array(x, t) for x, t in zip(zip(*out), list(columns.values())[1:])]
+            done.append(pa.Table.from_arrays([rows.column("doc_id"), *made], list(columns)))
+        return pa.concat_tables(done)
+
+    # asking and carrying are stages of their own over the same partitions, so that both number blocks alike
     asked = rows.mapInArrow(ask, _SQL_ROW)
     answered = asked.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _SQL_ROW)
-    met = answered.unionAll(rows.mapInArrow(carry, _SQL_ROW)).repartition(n_buckets, "block").sortWithinPartitions("block", "part")
-    return met.mapInArrow(join, schema)
+    return answered.groupBy("block").cogroup(rows.mapInArrow(carry, _SQL_ROW).groupBy("block")).applyInArrow(join, schema)

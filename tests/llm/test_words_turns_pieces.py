@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 from helixframe.llm import conversations, pieces, spelling
+from helixframe.llm.common import staged
 
 TURNS = "conv_id long, turn long, role string, text string, ck string, seg long, pos long"
 
@@ -215,6 +216,13 @@ def test_pieces_equal_the_library(spark, odd, odd_rows, library, block):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = Counter((i, len(ids), sha(" ".join(map(str, ids))), sha(text), tuple(ids), text) for i, (ids, text) in ((x[0], library(x[1])) for x in odd_rows))
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), r.decoded) for r in found) == want
+    assert sum(r.n_late for r in found) == 0
+
+
+def test_all_chunks_of_files_are_answered(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    folder = staged(docs, "docs")
+    assert {r.n_late for r in pieces.encoded(folder, block_chars=20_000).collect()} == {0}
 
 
 def test_pieces_of_strange_texts(spark, library):
@@ -233,5 +241,14 @@ def test_models_without_cuts_take_whole_texts(library):
     assert tool.split("a b\nc") == ["a b\nc"] and tool.segment(["a b\nc"])[0] == [library("a b\nc")[0][:-1]]
 
 
+def test_blocks_without_answers_are_segmented_late(spark, odd, odd_rows, library):
+    """Rows in a random order are cut in another way when they are read for the second time."""
+    from pyspark.sql import functions as F
+
+    mixed = odd.repartition(3).orderBy(F.rand())
+    found = pieces.encoded(mixed, with_ids=True, block_chars=3000).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in found) == Counter((x[0], tuple(library(x[1])[0]), library(x[1])[1]) for x in odd_rows)
+
+
 def test_pieces_of_no_rows(spark, empty):
     assert pieces.encoded(empty).collect() == []
