@@ -21,13 +21,17 @@ def breakend_cuts(records: DataFrame) -> DataFrame:
     ``left`` says that the record's side joins by what lies left of its cut (a
     node's right end), ``far_left`` the same of the mate.  Of two records
     that name each other only the first by identifier stays, if ``mate`` is a column.
+    If ``contig`` is one, ``far`` is null where the mate lies on another contig.
     """
     r = records.where((F.col("sv_type") == TYPES["BND"]) & ~V.is_single_breakend("alt") & V.is_valid_breakend("alt"))
     if "mate" in records.columns:
         r = r.where(F.col("mate").isNull() | (F.col("record") < F.col("mate")))
     left, far_left = V.orientation("alt") == 1, V.mate_orientation("alt") == 1
     cut = lambda at, is_left: F.when(is_left, at).otherwise(at - 1)
-    return r.withColumns({"left": left, "far_left": far_left, "cut": cut(F.col("pos"), left), "far": cut(V.mate_pos("alt"), far_left), "bases": F.upper(F.coalesce(V.inserted_sequence("alt"), F.lit("")))})
+    far = cut(V.mate_pos("alt"), far_left)
+    if "contig" in records.columns:
+        far = F.when(V.mate_contig("alt") == F.col("contig"), far)
+    return r.withColumns({"left": left, "far_left": far_left, "cut": cut(F.col("pos"), left), "far": far, "bases": F.upper(F.coalesce(V.inserted_sequence("alt"), F.lit("")))})
 
 
 def breakpoints(records: DataFrame, windows: DataFrame) -> DataFrame:

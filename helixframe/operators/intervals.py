@@ -19,9 +19,11 @@ from ..staging import staged
 BIN = 4096
 
 
-def _binned(df: DataFrame, start: str, stop: str, width: int) -> DataFrame:
+def _binned(df: DataFrame, start: str, stop: str, width: int, every: bool = False) -> DataFrame:
+    """A row for each bin an interval touches; with ``every``, rows without an interval stay, in no bin."""
     first = F.floor(F.col(start) / width)
-    return df.withColumn("_b0", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col(stop) / width)))))
+    each = F.explode_outer if every else F.explode
+    return df.withColumn("_b0", first).withColumn("_bin", each(F.sequence(first, F.greatest(first, F.floor(F.col(stop) / width)))))
 
 
 def interval_join(
@@ -31,7 +33,8 @@ def interval_join(
     """Pairs whose intervals overlap: ``[start, stop]`` if closed, else a positive common length.
 
     ``on`` columns are equal; the interval columns of both sides must have
-    different names.  ``how`` is inner, left, left_semi or left_anti.
+    different names.  ``how`` is inner, left, left_semi or left_anti.  A null end or
+    ``on`` column overlaps nothing, so such rows stay in left and left_anti.
     """
     # rows are numbered once: what is joined back must see the same numbers
     rows = staged(left.withColumn("_l", F.monotonically_increasing_id()), "numbered") if how == "left" else left
@@ -43,7 +46,7 @@ def interval_join(
         # a record may touch several bins: decide per record
         key = [*left.columns]
         rows = left.withColumn("_l", F.monotonically_increasing_id())
-        a = _binned(rows, l_start, l_stop, width).withColumnRenamed("_b0", "_lb")
+        a = _binned(rows, l_start, l_stop, width, how == "left_anti").withColumnRenamed("_b0", "_lb")
         cond = (a["_bin"] == b["_bin"]) & overlap
         for c in on:
             cond &= a[c] == b[c]
@@ -60,8 +63,9 @@ def interval_join(
 
 
 def dealt(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
-    """``df`` in range partitions by (contig, start, stop), staged, with the partition (``_p``) and a number of the row (``_k``)."""
-    return staged(df.repartitionByRange(contig, start, stop).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()), "dealt")
+    """``df`` in range partitions by (contig, start, stop), staged, with the partition (``_p``) and a number of the row (``_k``); equal rows may lie in several."""
+    spread = df.withColumn("_any", F.monotonically_increasing_id()).repartitionByRange(contig, start, stop, "_any").drop("_any")
+    return staged(spread.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()), "dealt")
 
 
 def running(
@@ -71,15 +75,17 @@ def running(
     """``rows`` of ``dealt`` with ``name``, the total of ``value`` over the contig's rows before each (after each, if backward; and itself, if inclusive).
 
     Each partition runs by itself; one row for each (contig, partition) is
-    carried to the partitions after it, so a contig is never one task.
+    carried to the partitions after it, so a contig is never one task.  Rows without
+    a contig are one contig of their own.
     """
     rows = rows.withColumn("_v", value)
     way = (lambda c: F.col(c).desc()) if backward else F.col
     own = Window.partitionBy(contig, "_p").orderBy(*map(way, [*order, "_k"])).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     parts = rows.groupBy(contig, "_p").agg(total(F.col("_v")).alias("_t"))
     before = Window.partitionBy(contig).orderBy(way("_p")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.withColumn("_t", total(F.col("_t")).over(before)).where("_t is not null")
-    return rows.withColumn("_o", total(F.col("_v")).over(own)).join(carried, [contig, "_p"], "left").withColumn(name, join(F.col("_o"), F.col("_t"))).drop("_o", "_t", "_v")
+    carried = parts.withColumn("_t", total(F.col("_t")).over(before)).where("_t is not null").select(F.col(contig).alias("_c"), F.col("_p").alias("_q"), "_t")
+    totals = rows.withColumn("_o", total(F.col("_v")).over(own))
+    return totals.join(carried, F.col(contig).eqNullSafe(F.col("_c")) & (F.col("_p") == F.col("_q")), "left").withColumn(name, join(F.col("_o"), F.col("_t"))).drop("_o", "_t", "_v", "_c", "_q")
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -152,23 +158,23 @@ def averaged_over_segments(df: DataFrame, contig: str, start: str, stop: str, co
 
 
 def covered_fraction(targets: DataFrame, tracks: DataFrame, contig: str, start: str, stop: str, width: int = BIN) -> DataFrame:
-    """Targets with ``covered``, the part of their length that the union of ``tracks`` (same contig column, t_start, t_stop) covers."""
+    """Targets with ``covered``, the part of their length that the union of ``tracks`` (same contig column, t_start, t_stop) covers; 0 for those without a length."""
     merged = islands(tracks, contig, "t_start", "t_stop").select(contig, F.col("start").alias("t_start"), F.col("stop").alias("t_stop"))
     keyed = staged(targets.withColumn("_id", F.monotonically_increasing_id()), "targets")
     hit = interval_join(keyed.select("_id", contig, start, stop), merged, [contig], start, stop, "t_start", "t_stop", closed=False, width=width)
     span = hit.groupBy("_id").agg(F.sum(F.least(stop, "t_stop") - F.greatest(start, "t_start")).alias("_bases"))
-    return keyed.join(span, "_id", "left").withColumn("covered", F.coalesce(F.col("_bases"), F.lit(0)) / (F.col(stop) - F.col(start))).drop("_id", "_bases")
+    return keyed.join(span, "_id", "left").withColumn("covered", F.coalesce(F.try_divide(F.col("_bases"), F.col(stop) - F.col(start)), F.lit(0.0))).drop("_id", "_bases")
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, contig: str, at: str, point: str) -> DataFrame:
     """Queries with the nearest point of their contig (``nearest``), the lower one on a tie: the largest point up to each and the least after it."""
     row = F.struct(*queries.columns)
-    both = queries.select(contig, F.col(at).alias("_at"), F.lit(1).alias("_q"), row.alias("_row"), F.lit(None).cast("long").alias("_point")).unionAll(
-        points.select(contig, F.col(point).alias("_at"), F.lit(0).alias("_q"), F.lit(None).cast(queries.select(row.alias("r")).schema[0].dataType).alias("_row"), F.col(point).cast("long").alias("_point"))
+    both = queries.select(contig, F.col(at).alias("_at"), F.lit(1).alias("_is_query"), row.alias("_row"), F.lit(None).cast("long").alias("_point")).unionAll(
+        points.select(contig, F.col(point).alias("_at"), F.lit(0).alias("_is_query"), F.lit(None).cast(queries.select(row.alias("r")).schema[0].dataType).alias("_row"), F.col(point).cast("long").alias("_point"))
     )
-    order, value = ["_at", "_q"], F.col("_point")
+    order, value = ["_at", "_is_query"], F.col("_point")
     low = running(dealt(both, contig, *order), contig, order, value, F.max, F.greatest, "_lo")
-    seen = running(low, contig, order, value, F.min, F.least, "_hi", backward=True).where("_q = 1")
+    seen = running(low, contig, order, value, F.min, F.least, "_hi", backward=True).where("_is_query = 1")
     lower = F.col("_hi").isNull() | (F.col("_lo").isNotNull() & (F.col("_at") - F.col("_lo") <= F.col("_hi") - F.col("_at")))
     return seen.select("_row.*", F.when(lower, F.col("_lo")).otherwise(F.col("_hi")).alias("nearest"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import identity_bin
+from . import intervals
 
 
 def support_histogram(df: DataFrame, by: list[str], value: str = "identity", spanning: str = "is_spanning", reverse: str = "is_reverse") -> DataFrame:
@@ -19,7 +20,7 @@ def support_histogram(df: DataFrame, by: list[str], value: str = "identity", spa
 
 
 def coverage_and_identity(df: DataFrame, by: list[str], start: str, stop: str, length: str, counters: tuple[str, str, str, str]) -> DataFrame:
-    """(by, coverage, identity): covered part of ``length`` by the union of intervals, and identity of summed counters; groups without columns get 0."""
+    """(by, coverage, identity): covered part of ``length`` by the union of intervals, and identity of summed counters; groups without columns or length get 0."""
     w = Window.partitionBy(*by).orderBy(start, stop)
     reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.greatest(F.lit(0), F.col(start) - F.coalesce(reach, F.lit(0)))
@@ -27,7 +28,7 @@ def coverage_and_identity(df: DataFrame, by: list[str], start: str, stop: str, l
     return (
         df.withColumn("_gap", gap).groupBy(*by)
         .agg(F.sum("_gap").alias("_gaps"), F.max(stop).alias("_last"), F.max(length).alias("_len"), m.alias("_m"), (m + x + i + d).alias("_all"))
-        .select(*by, ((F.col("_last") - F.col("_gaps")) / F.col("_len")).alias("coverage"), F.coalesce(F.try_divide(F.col("_m"), F.col("_all")), F.lit(0.0)).alias("identity"))
+        .select(*by, F.coalesce(F.try_divide(F.col("_last") - F.col("_gaps"), F.col("_len")), F.lit(0.0)).alias("coverage"), F.coalesce(F.try_divide(F.col("_m"), F.col("_all")), F.lit(0.0)).alias("identity"))
     )
 
 
@@ -75,13 +76,13 @@ def ratios(df: DataFrame, by: list[str], num: Column, den: Column) -> DataFrame:
 
 
 def recall(truth: DataFrame, found: DataFrame, key: list[str], by: list[str], coverage: float = 0.9, identity: float = 0.9) -> DataFrame:
-    """(by, num, den, ratio): distinct truth keys, and those some found row of the group covers well enough."""
+    """(by, num, den, ratio): distinct truth keys, and those some found row of the group covers well enough; without truth the ratio is null."""
     good = found.where((F.col("coverage") >= coverage) & (F.col("identity") >= identity)).select(*by, *key).distinct().withColumn("_hit", F.lit(1))
     walks = truth.select(*key).distinct()
     groups = found.select(*by).distinct()
     den = walks.agg(F.count(F.lit(1)).alias("den"))
     num = good.join(walks, key, "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return groups.join(num, by, "left").crossJoin(F.broadcast(den)).select(*by, F.coalesce("n", F.lit(0)).alias("num"), "den", (F.coalesce("n", F.lit(0)) / F.col("den")).alias("ratio"))  # den is one row
+    return groups.join(num, by, "left").crossJoin(F.broadcast(den)).select(*by, F.coalesce("n", F.lit(0)).alias("num"), "den", F.try_divide(F.coalesce("n", F.lit(0)), F.col("den")).alias("ratio"))  # den is one row
 
 
 def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -142,11 +143,15 @@ def l2_normalized(df: DataFrame, columns: list[str], epsilon: float = 1e-12) ->
 
 
 def balanced(df: DataFrame, group: str, least: int, order: Column) -> DataFrame:
-    """At most max(least, size of the smallest class) rows of every class, the first in ``order``."""
+    """At most max(least, size of the smallest class) rows of every class, the first in ``order``; rows without a class are one.
+
+    Ranks are counted over range partitions, so a class is never one task.
+    """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     cap = sizes.agg(F.greatest(F.min("n"), F.lit(least)).alias("_cap"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("_k", rank).crossJoin(F.broadcast(cap)).where("_k <= _cap").drop("_k", "_cap")
+    rows = intervals.dealt(df.withColumn("_order", order), group, "_order", "_order")
+    ranked = intervals.running(rows, group, ["_order"], F.lit(1), F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)), "_rank", inclusive=True)
+    return ranked.crossJoin(F.broadcast(cap)).where("_rank <= _cap").select(*df.columns)  # the cap is one row
 
 
 def bedgraph(df: DataFrame, region: str, a: str, b: str) -> DataFrame:

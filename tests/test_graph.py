@@ -48,3 +48,35 @@ def test_walks_of_many_steps_are_kept(spark):
     edges = spark.createDataFrame([("w", (a, False, b, False)) for a, b in zip(names, names[1:])], "window_id string, edge struct<a:string,a_rev:boolean,b:string,b_rev:boolean>")
     sources = spark.createDataFrame([("w", "s")], "window_id string, node string")
     assert [[s.node for s in r.path] for r in graph.walks(edges, sources).collect()] == [names]
+
+
+def _breakends(spark):
+    """A window of 1,000 bases on chr1, breakends to another contig, within the window, and within it with bases between."""
+    windows = spark.createDataFrame([("w", 0, 1000, "ACGT" * 250)], "window_id string, start int, stop int, seq string")
+    rows = [("far", "A[chr2:700["), ("near", "A[chr1:700["), ("over", "ATTG[CHR1:500["), ("back", "[chr1:300[CA")]
+    records = spark.createDataFrame([("w", n, "chr1", 100, alt, 5, 100, None, None) for n, alt in rows], "window_id string, record string, contig string, pos int, alt string, sv_type int, first int, second int, sv_length int")
+    return windows, records
+
+
+def test_breakends_of_other_contigs_join_nothing_here(spark):
+    windows, records = _breakends(spark)
+    far = records.where("record = 'far'")
+    assert sorted(r["at"] for r in graph.breakpoints(far, windows).collect()) == [0, 100, 1000]
+    ref = graph.reference_nodes(graph.breakpoints(far, windows), windows)
+    assert graph.breakend_edges(far, ref, graph.breakend_nodes(far)).collect() == []
+
+
+def test_breakends_of_the_window_with_and_without_bases(spark):
+    windows, records = _breakends(spark)
+    ref = graph.reference_nodes(graph.breakpoints(records, windows), windows)
+    assert sorted(r["at"] for r in ref.collect()) == [0, 99, 100, 299, 499, 699]
+    inserted = graph.breakend_nodes(records)
+    assert {r.record: r.seq for r in inserted.collect()} == {"over": "TTG", "back": "G"}
+    names = {r.record: r.node for r in inserted.collect()}
+    found = {}
+    for r in graph.breakend_edges(records, ref, inserted).orderBy("record", "rank").collect():
+        found.setdefault(r.record, []).append((r.edge.a, r.edge.a_rev, r.edge.b, r.edge.b_rev))
+    both = lambda a, ar, b, br: [(a, ar, b, br), (b, not br, a, not ar)]
+    assert set(found) == {"near", "over", "back"} and found["near"][0] in both("r99", False, "r699", False)
+    assert found["over"][0] in both("r99", False, names["over"], False) and found["over"][1] in both(names["over"], False, "r499", False)
+    assert found["back"][0] in both("r99", True, names["back"], False) and found["back"][1] in both(names["back"], False, "r299", False)

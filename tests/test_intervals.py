@@ -112,3 +112,53 @@ def test_segments_and_nearest_points_go_on_over_partitions(spark):
             want |= {(c, a, b, depth)} if depth else set()
     assert segs == want
     assert near == {(k, min((s for d, s in points if d == c), key=lambda s: (abs(s - at), s), default=None)) for k, c, at in asked}
+
+
+def test_islands_of_rows_without_a_contig(spark):
+    """Over several partitions, where carried totals meet: 3,000 separate intervals stay apart, with and without a contig."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(3000).select(F.when(F.lit(True), F.lit(None).cast("string")).alias("contig"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 5).alias("stop"))
+        both = df.unionAll(df.withColumn("contig", F.lit("c")))
+        found = {r.contig: r.n for r in intervals.islands(both, "contig", "start", "stop").groupBy("contig").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert found == {None: 3000, "c": 3000}
+        assert {r.contig: r.m for r in intervals.sorted_intervals(both, "contig", "start", "stop").groupBy("contig").agg(F.max("rank").alias("m")).collect()} == {None: 3000, "c": 3000}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_equal_intervals_fall_into_several_partitions(spark):
+    df = spark.range(20_000).select(F.lit("c").alias("contig"), F.lit(5).alias("start"), F.lit(9).alias("stop"))
+    dealt = intervals.dealt(df.repartition(4), "contig", "start", "stop")
+    assert [(r.start, r.stop, r.n) for r in intervals.islands(df, "contig", "start", "stop").collect()] == [(5, 9, 20_000)]
+    assert dealt.count() == 20_000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_rows_without_an_interval(spark, how):
+    a = spark.createDataFrame([(1, "c", 0, 5), (2, "c", None, None), (3, None, 0, 5), (4, "c", 50, None), (5, "c", 90, 95)], "id int, contig string, ls int, le int")
+    b = spark.createDataFrame([(1, "c", 4, 8), (2, "c", None, 3), (3, None, 0, 9)], "rid int, contig string, rs int, re int")
+    found = sorted(r.id for r in intervals.interval_join(a, b, ["contig"], "ls", "le", "rs", "re", True, 16, how).collect())
+    assert found == {"inner": [1], "left": [1, 2, 3, 4, 5], "left_semi": [1], "left_anti": [2, 3, 4, 5]}[how]
+
+
+def test_nothing_is_divided_by_zero(spark):
+    from helixframe.operators import metrics
+
+    targets = spark.createDataFrame([("c", 5, 5), ("c", 0, 10)], ONE)
+    tracks = spark.createDataFrame([("c", 0, 5)], "contig string, t_start int, t_stop int")
+    assert sorted((r.start, r.covered) for r in intervals.covered_fraction(targets, tracks, "contig", "start", "stop").collect()) == [(0, 0.5), (5, 0.0)]
+    blocks = spark.createDataFrame([("n", 0, 0, 0, 0, 0, 0, 0)], "node string, b0 int, b1 int, length int, m int, x int, i int, d int")
+    assert [(r.coverage, r.identity) for r in metrics.coverage_and_identity(blocks, ["node"], "b0", "b1", "length", ("m", "x", "i", "d")).collect()] == [(0.0, 0.0)]
+    found = spark.createDataFrame([("t", 1, 0.95, 0.95)], "tool string, k int, coverage double, identity double")
+    assert [tuple(r) for r in metrics.recall(spark.createDataFrame([], "k int"), found, ["k"], ["tool"]).collect()] == [("t", 0, 0, None)]
+
+
+def test_balanced_classes_over_partitions(spark):
+    from helixframe.operators import metrics
+
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "a").when(F.col("id") < 960, "b").alias("k"), (F.col("id") * 7919 % 1000).alias("v"))
+    found = metrics.balanced(df, "k", 10, F.col("v")).collect()
+    want = {k: sorted(x * 7919 % 1000 for x in ids)[:40] for k, ids in (("a", range(900)), ("b", range(900, 960)), (None, range(960, 1000)))}
+    assert {k: sorted(r.v for r in found if r.k == k) for k in want} == want
