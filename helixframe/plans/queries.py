@@ -185,9 +185,19 @@ def least_distance(spark: SparkSession, d: str) -> DataFrame:
     return assign.least_distance(T.edges(spark, d)).select("sample", "hap1", "hap2", "cost")
 
 
-@query()
+_OWN = f"""{_PAIRS}, fit AS (SELECT sample, hap1, hap2 FROM pc QUALIFY row_number() OVER (PARTITION BY sample ORDER BY n_reads DESC, cost, CASE WHEN hap1 <> hap2 THEN 1 ELSE 0 END, hap1, hap2) = 1),
+    kept AS (SELECT DISTINCT e.sample, e.read FROM edges e JOIN fit ON fit.sample = e.sample AND (hap = hap1 OR hap = hap2)), k AS (SELECT e.* FROM edges e SEMI JOIN kept ON kept.sample = e.sample AND kept.read = e.read),
+    n AS (SELECT sample, count(DISTINCT read) AS reads FROM k GROUP BY ALL), kp AS (SELECT sample, hap1, hap2, count(*) AS n_reads, CAST(sum(w) AS BIGINT) AS cost FROM
+        (SELECT hp.sample, hap1, hap2, read, min(weight) AS w FROM hp JOIN k ON k.sample = hp.sample AND (k.hap = hap1 OR k.hap = hap2) GROUP BY ALL) GROUP BY ALL),
+    least AS (SELECT sample, hap1 AS a, hap2 AS b, cost AS d_min, CASE WHEN hap1 = hap2 THEN 1 ELSE 2 END AS n_max FROM kp JOIN n USING (sample) WHERE n_reads = reads
+        QUALIFY row_number() OVER (PARTITION BY sample ORDER BY cost, CASE WHEN hap1 <> hap2 THEN 1 ELSE 0 END, hap1, hap2) = 1),
+    won AS (SELECT kp.sample, hap1, hap2 FROM kp JOIN n USING (sample) JOIN least USING (sample) WHERE n_reads = reads AND hap1 IN (a, b) AND hap2 IN (a, b)
+        QUALIFY row_number() OVER (PARTITION BY kp.sample ORDER BY 1.0 / greatest(d_min, 1) * cost + 1.0 / n_max * CASE WHEN hap1 = hap2 THEN 1 ELSE 2 END, CASE WHEN hap1 <> hap2 THEN 1 ELSE 0 END, hap1, hap2) = 1)"""
+
+
+@query(f"""WITH {_OWN} SELECT k.sample, read, hap, weight FROM k JOIN won ON won.sample = k.sample AND (hap = hap1 OR hap = hap2) QUALIFY row_number() OVER (PARTITION BY k.sample, read ORDER BY weight, hap) = 1""")
 def joint_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Branch and bound for each group of samples; no SQL: tested against all choices on small groups."""
+    """All steps of the assignment with each sample as its own window; cohorts are in ``solver_queries``."""
     edges = T.edges(spark, d).withColumn("component", F.col("sample").cast("long"))
     return assign.optimize(edges, ["component"]).select("sample", "read", "hap", "weight")
 
