@@ -64,7 +64,7 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 
 def test_queries_run(spark):
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert decontaminate.Q and near_dedup.WORDS == 5
 
 
