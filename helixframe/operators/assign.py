@@ -9,7 +9,6 @@ component by itself, in an Arrow-backed grouped function.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import staged
-from . import bipartite, opening
+from . import bipartite, clustering, opening
 
 
 def pair_costs(edges: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -354,50 +353,25 @@ def capped_reads(edges: DataFrame, most: int, by: list[str] = []) -> DataFrame:
     return edges.join(reads.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k"), [*by, "sample", "read"], "left_semi")
 
 
-def clustered_reads(pairs: DataFrame, group: list[str], deadline: float = 30.0) -> DataFrame:
+def clustered_reads(pairs: DataFrame, group: list[str]) -> DataFrame:
     """(group, read, cluster) by correlation clustering of (group, a, b, cost): a cost under 0 pulls two reads together.
 
-    Exact over all partitions up to eight reads, by best single moves beyond.
+    Of least total cost in any number of reads, with proof; a cluster is named after its first
+    read.  Pairs of a group are summed, so each may be given in parts or both ways.
     """
     heads = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in group)
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = {}
-        for a, b, c in zip(pdf["a"], pdf["b"], pdf["cost"]):
-            cost[a, b] = cost[b, a] = float(c)
-        reads = sorted({r for p in cost for r in p})
-        best = {r: r for r in reads}
-        if len(reads) <= 8:
-            least = float("inf")
-
-            def grow(k: int, groups: list[list], total: float) -> None:
-                nonlocal best, least
-                if k == len(reads):
-                    if total < least - 1e-12:
-                        least, best = total, {r: g[0] for g in groups for r in g}
-                    return
-                for g in [*groups, None]:
-                    add = sum(cost.get((reads[k], o), 0.0) for o in g) if g else 0.0
-                    nxt = [[*x, reads[k]] if x is g else x for x in groups] + ([[reads[k]]] if g is None else [])
-                    grow(k + 1, nxt, total + add)
-
-            grow(0, [], 0.0)
-        else:
-            stop, moved = time.monotonic() + deadline, True
-            while moved and time.monotonic() < stop:
-                moved = False
-                for r in reads:
-                    pull: dict = {}
-                    for o in reads:
-                        if o != r:
-                            pull[best[o]] = pull.get(best[o], 0.0) + cost.get((r, o), 0.0)
-                    to = min([*pull, r], key=lambda c: (pull.get(c, 0.0) if c != r or r in pull else 0.0, str(c)))
-                    if pull.get(to, 0.0) < pull.get(best[r], 0.0) - 1e-12:
-                        best[r], moved = to, True
-            names = {c: min(r for r in reads if best[r] == c) for c in set(best.values())}
-            best = {r: names[c] for r, c in best.items()}
-        return pd.DataFrame([(*key, r, best[r]) for r in reads], columns=[*group, "read", "cluster"])
+        reads = sorted(set(pdf["a"]) | set(pdf["b"]))
+        place = {r: k for k, r in enumerate(reads)}
+        pull = np.zeros((len(reads), len(reads)))
+        a, b = pdf["a"].map(place).to_numpy(), pdf["b"].map(place).to_numpy()
+        np.add.at(pull, (a, b), -pdf["cost"].to_numpy(float))
+        pull = pull + pull.T
+        np.fill_diagonal(pull, 0.0)
+        label = clustering.clusters(pull)
+        return pd.DataFrame([(*key, r, reads[k]) for r, k in zip(reads, label)], columns=[*group, "read", "cluster"])
 
     return pairs.groupBy(*group).applyInPandas(run, f"{heads}, read {kind}, cluster {kind}")
 

@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 import pytest
-from helixframe.operators import assign, bipartite, opening
+from helixframe.operators import assign, bipartite, clustering, opening
 from helixframe.plans.workflows import MergeConfig, solve
 
 EDGES = "sample string, read string, hap string, weight double"
@@ -249,3 +249,35 @@ def test_clusters_and_centroids(spark):
     assert {(r.read, r.cluster) for r in assign.clustered_reads(df, ["grp"]).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}
     apart = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "b", "c", 1.0), ("g", "a", "c", 2.0)], "grp string, a string, b string, cost double")
     assert [(r.read, r.total) for r in assign.centroid_reads(apart, ["grp"]).collect()] == [("b", 2.0)]
+
+
+def _partitions(n):
+    """All partitions of n reads, as labels of first members."""
+    if n == 0:
+        yield []
+        return
+    for rest in _partitions(n - 1):
+        for k in sorted(set(rest)):
+            yield [*rest, k]
+        yield [*rest, n - 1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_clusters_equal_all_partitions(seed):
+    r = np.random.default_rng(seed)
+    n = 9 if seed == 0 else int(r.integers(2, 8))
+    pull = np.triu(r.integers(-9, 10, (n, n)).astype(float), 1) * (r.random((n, n)) < 0.9)
+    pull = pull + pull.T
+    value = lambda label: sum(pull[a, b] for a in range(n) for b in range(a) if label[a] == label[b])
+    label = clustering.clusters(pull)
+    assert value(label) == pytest.approx(max(map(value, _partitions(n))))
+    assert all(label[k] == min(np.flatnonzero(label == label[k])) for k in range(n))
+
+
+def test_clusters_of_many_noisy_reads():
+    r = np.random.default_rng(5)
+    true = r.integers(0, 4, 60)
+    pull = np.where(true[:, None] == true[None, :], 5.0, -5.0) * np.where(r.random((60, 60)) < 0.06, -0.4, 1.0)
+    pull = np.triu(pull, 1)
+    label = clustering.clusters(pull + pull.T)
+    assert all((label[a] == label[b]) == (true[a] == true[b]) for a in range(60) for b in range(a))
