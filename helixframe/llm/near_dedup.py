@@ -306,7 +306,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = mixed.join(apart, "entry").where("root != p.root").select("entry", "node", "n_shingles")
     else:
         across = apart_pairs(mixed, sketches)
-        left = across.join(tried, ["u", "v"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int"))
+        left = staged(across.join(tried, ["u", "v"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int")), "across")
         found = staged(confirmed(left, sets), "links")
         if not found.isEmpty():
             roots = staged(components(links.unionAll(found)), "roots")
