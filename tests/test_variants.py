@@ -139,3 +139,14 @@ def test_stream_ingest(spark, tmp_path):
         q = ingest(spark.readStream.schema("contig string, pos int").parquet(src), str(tmp_path / "out"), ["contig", "pos"], str(tmp_path / "ck"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_merge_of_aligned_walks_equals_all_walks(spark):
+    records, windows, reads, reference = _merge_inputs(spark)
+    config = workflows.MergeConfig(flank_length=5, min_sv_length=2)
+    g = workflows.window_graphs(records, windows, reference, config)
+    _, steps = workflows.haplotypes(g)
+    every = {tuple(r) for r in workflows.merge(records, windows, reads, reference, config, paths=steps).collect()}
+    assert {tuple(r) for r in workflows.merge(records, windows, reads, reference, config).collect()} == every
+    haps, _ = workflows.aligned_haplotypes(g, reads)
+    assert haps.count() == 3 and workflows.aligned_haplotypes(g, reads, min_coverage=4)[0].count() == 1
