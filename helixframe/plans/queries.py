@@ -487,27 +487,28 @@ def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "orders").select("o_orderkey", S.reverse_complement(F.repeat(base, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("seq"))
 
 
-_CIGAR = """ops AS (SELECT l_orderkey * 8 + l_linenumber AS read, l_partkey AS r_at, CAST(l_quantity AS INT) AS q, l_linenumber AS k, l_shipdate FROM lineitem WHERE l_returnflag = 'R'),
-    o AS (SELECT read, r_at, unnest([0, 1, 2, 3]) AS rank, unnest(['=', 'I', 'X', 'D']) AS op, unnest([q + 5, k, 2, q]) AS len FROM ops),
+_CIGAR = """ops AS (SELECT row_number() OVER () AS rn, l_orderkey * 8 + l_linenumber AS read, l_partkey AS r_at, CAST(l_quantity AS INT) AS q, l_linenumber AS k, l_linenumber % 2 = 1 AS back FROM lineitem),
+    o AS (SELECT rn, read, r_at, back, q + k + 7 AS total, unnest([0, 1, 2, 3]) AS rank, unnest(['=', 'I', 'X', 'D']) AS op, unnest([q + 5, k, 2, q]) AS len FROM ops),
     c AS (SELECT *, r_at + coalesce(sum(CASE WHEN op IN ('=', 'X', 'D') THEN len END) OVER w, 0) AS r0, coalesce(sum(CASE WHEN op IN ('=', 'X', 'I') THEN len END) OVER w, 0) AS q0 FROM o
           WINDOW w AS (PARTITION BY read, r_at, rn ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-_CIGAR = _CIGAR.replace("SELECT l_orderkey * 8", "SELECT row_number() OVER () AS rn, l_orderkey * 8").replace("SELECT read, r_at, unnest", "SELECT rn, read, r_at, unnest")
 
 
 def _cigars(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     text = F.concat((q + 5).cast("string"), F.lit("="), F.col("l_linenumber").cast("string"), F.lit("I2X"), q.cast("string"), F.lit("D"))
-    return T.table(spark, d, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read"), F.lit("c").alias("contig"), F.col("l_partkey").cast("int").alias("ref_start"), F.lit(False).alias("is_reverse"), text.alias("cigar"))
+    return T.table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read"), F.lit("c").alias("contig"), F.col("l_partkey").cast("int").alias("ref_start"), (F.col("l_linenumber") % 2 == 1).alias("is_reverse"), text.alias("cigar"))
 
 
-@query(f"""WITH {_CIGAR} SELECT read, CAST(rank AS INT) AS op_rank, op, CAST(r0 AS INT) AS r0, CAST(r0 + CASE WHEN op = 'I' THEN 0 ELSE len END AS INT) AS r1, CAST(q0 AS INT) AS q0, CAST(q0 + CASE WHEN op = 'D' THEN 0 ELSE len END AS INT) AS q1 FROM c""")
+@query(f"""WITH {_CIGAR} SELECT read, CAST(rank AS INT) AS op_rank, op, CAST(r0 AS INT) AS r0, CAST(r0 + CASE WHEN op = 'I' THEN 0 ELSE len END AS INT) AS r1, CAST(CASE WHEN back THEN total - q0 ELSE q0 END AS INT) AS q0,
+    CAST(CASE WHEN back THEN total - q0 - CASE WHEN op = 'D' THEN 0 ELSE len END ELSE q0 + CASE WHEN op = 'D' THEN 0 ELSE len END END AS INT) AS q1 FROM c""")
 def cigar_intervals(spark: SparkSession, d: str) -> DataFrame:
     return alignments.exploded(_cigars(spark, d)).select("read", "op_rank", "op", "r0", "r1", "q0", "q1")
 
 
-@query(f"""WITH {_CIGAR}, x AS (SELECT read, op, r0, r0 + CASE WHEN op = 'I' THEN 0 ELSE len END AS r1, q0, q0 + CASE WHEN op = 'D' THEN 0 ELSE len END AS q1 FROM c),
+@query(f"""WITH {_CIGAR}, x AS (SELECT read, op, r0, r0 + CASE WHEN op = 'I' THEN 0 ELSE len END AS r1, CASE WHEN back THEN total - q0 ELSE q0 END AS q0, CASE WHEN back THEN -1 ELSE 1 END AS sg,
+        CASE WHEN back THEN total - q0 - CASE WHEN op = 'D' THEN 0 ELSE len END ELSE q0 + CASE WHEN op = 'D' THEN 0 ELSE len END END AS q1 FROM c),
     w AS (SELECT k * 100 AS w0, k * 100 + 60 AS w1 FROM range(0, 300) t(k)), h AS (SELECT *, greatest(r0, w0) AS a, least(r1, w1) AS b FROM x JOIN w ON r0 <= w1 AND w0 <= r1)
-    SELECT read, op, w0, CAST(a AS INT) AS c_r0, CAST(b AS INT) AS c_r1, CAST(CASE WHEN op IN ('=', 'X') THEN q0 + a - r0 ELSE q0 END AS INT) AS c_q0, CAST(CASE WHEN op IN ('=', 'X') THEN q1 - (r1 - b) ELSE q1 END AS INT) AS c_q1 FROM h""")
+    SELECT read, op, w0, CAST(a AS INT) AS c_r0, CAST(b AS INT) AS c_r1, CAST(CASE WHEN op IN ('=', 'X') THEN q0 + sg * (a - r0) ELSE q0 END AS INT) AS c_q0, CAST(CASE WHEN op IN ('=', 'X') THEN q1 - sg * (r1 - b) ELSE q1 END AS INT) AS c_q1 FROM h""")
 def cigar_on_windows(spark: SparkSession, d: str) -> DataFrame:
     wins = spark.range(300).select(F.lit("c").alias("contig"), (F.col("id") * 100).alias("w0"), (F.col("id") * 100 + 60).alias("w1"))
     return alignments.on_windows(alignments.exploded(_cigars(spark, d)), wins, "contig", "w0", "w1", 128).select("read", "op", "w0", *[F.col(c).cast("int").alias(c) for c in ("c_r0", "c_r1", "c_q0", "c_q1")])
