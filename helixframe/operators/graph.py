@@ -314,3 +314,51 @@ def path_tandems(placed: DataFrame, ref: DataFrame, tandems: DataFrame, by: list
     beside = on.join(touch, [*by, "step"], "left").withColumn("_p", F.lag("last").over(w)).withColumn("_n", F.lead("first").over(w))
     added = beside.where("at is null and (coalesce(_p, 0) = 1 or coalesce(_n, 0) = 1)").select(*by, F.col("n0").alias("t0"), F.col("n1").alias("t1"))
     return lifted.select(*by, "t0", "t1").unionAll(added)
+
+
+def unsupported_records(paths: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
+    """(window_id, record) of records that no path of their window supports."""
+    found = supported_records(paths, records, by).select("window_id", "record").distinct()
+    return records.select("window_id", "record").distinct().join(found, ["window_id", "record"], "left_anti")
+
+
+def path_records(steps: DataFrame, nodes: DataFrame, ref: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, contig, pos, ref, alt, kind): each path (by, step, node, rev) of two steps or more as one record.
+
+    ``nodes`` has (window_id, node, seq), ``ref`` (window_id, node, contig, at, until) of the
+    reference nodes, ``windows`` (window_id, start, seq).  A path between two reference nodes of
+    a contig, in order and in one direction, is a replacement of what lies
+    between them; between any other two it is a breakend, with the steps off the
+    reference as its bases; with one reference end it is a single breakend.  Paths
+    with neither are left out.
+    """
+    ends = steps.groupBy(*by).agg(F.min(F.struct("step", "node", "rev")).alias("_a"), F.max(F.struct("step", "node", "rev")).alias("_z")).where("_a.step < _z.step")
+    for side in ("_a", "_z"):
+        place = ref.select("window_id", F.col("node").alias(f"{side}n"), F.struct("contig", "at", "until").alias(f"{side}p"))
+        ends = ends.withColumn(f"{side}n", F.col(f"{side}.node")).join(place, ["window_id", f"{side}n"], "left").drop(f"{side}n")
+    known = ends.where("_ap is not null or _zp is not null").join(windows.select("window_id", F.col("start").alias("_ws"), F.col("seq").alias("_wq")), "window_id")
+    # the steps between the ends that are on the reference
+    inner = steps.join(known.select(*by, F.col("_a.step").alias("_s0"), F.col("_z.step").alias("_s1"), F.col("_ap").isNotNull().alias("_ra"), F.col("_zp").isNotNull().alias("_rz")), by)
+    inner = inner.where(((F.col("step") > F.col("_s0")) | ~F.col("_ra")) & ((F.col("step") < F.col("_s1")) | ~F.col("_rz"))).select(*by, "step", "node", "rev")
+    k = known.join(spelled(inner, nodes, by).withColumnRenamed("seq", "_in"), by, "left").withColumn("_in", F.coalesce("_in", F.lit("")))
+    back = F.when(F.col("_in") == "", "").otherwise(S.reverse_complement(F.coalesce(F.nullif("_in", F.lit("")), F.lit("A"))))
+    base = lambda at: F.substr(F.col("_wq"), at - F.col("_ws") + 1, F.lit(1))  # noqa: E731  of a place from 0
+    between = lambda lo, hi: F.substr(F.col("_wq"), lo - F.col("_ws") + 1, hi - lo)
+    a, z, a_rev, z_rev = F.col("_ap"), F.col("_zp"), F.col("_a.rev"), F.col("_z.rev")
+    forward = ~a_rev & ~z_rev & (a["at"] < z["at"])
+    backward = a_rev & z_rev & (a["at"] > z["at"])
+    both = a.isNotNull() & z.isNotNull()
+    same = both & (a["contig"] == z["contig"]) & (forward | backward)
+    mate = lambda p, rev: F.when(rev, F.concat(F.lit("]"), p["contig"], F.lit(":"), p["until"].cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("["), p["contig"], F.lit(":"), (p["at"] + 1).cast("string"), F.lit("[")))
+    # the base at a path's side of its end node: the last one before the path leaves, the first one where it arrives
+    out_at = F.when(a_rev, a["at"]).otherwise(a["until"] - 1)
+    in_at = F.when(z_rev, z["until"] - 1).otherwise(z["at"])
+    low, high = F.when(backward, z["until"]).otherwise(a["until"]), F.when(backward, a["at"]).otherwise(z["at"])
+    one = F.struct
+    record = (
+        F.when(same, one(a["contig"].alias("contig"), low.alias("pos"), F.concat(base(low - 1), between(low, high)).alias("ref"), F.concat(base(low - 1), F.when(backward, back).otherwise(F.col("_in"))).alias("alt"), F.lit("replacement").alias("kind")))
+        .when(both, one(a["contig"].alias("contig"), (out_at + 1).alias("pos"), base(out_at).alias("ref"), F.when(a_rev, F.concat(mate(z, z_rev), back, base(out_at))).otherwise(F.concat(base(out_at), F.col("_in"), mate(z, z_rev))).alias("alt"), F.lit("breakend").alias("kind")))
+        .when(a.isNotNull(), one(a["contig"].alias("contig"), (out_at + 1).alias("pos"), base(out_at).alias("ref"), F.when(a_rev, F.concat(F.lit("."), back, base(out_at))).otherwise(F.concat(base(out_at), F.col("_in"), F.lit("."))).alias("alt"), F.lit("single").alias("kind")))
+        .otherwise(one(z["contig"].alias("contig"), (in_at + 1).alias("pos"), base(in_at).alias("ref"), F.when(z_rev, F.concat(base(in_at), back, F.lit("."))).otherwise(F.concat(F.lit("."), F.col("_in"), base(in_at))).alias("alt"), F.lit("single").alias("kind")))
+    )
+    return k.select(*by, record.alias("r")).select(*by, "r.*")

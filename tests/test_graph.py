@@ -80,3 +80,39 @@ def test_breakends_of_the_window_with_and_without_bases(spark):
     assert set(found) == {"near", "over", "back"} and found["near"][0] in both("r99", False, "r699", False)
     assert found["over"][0] in both("r99", False, names["over"], False) and found["over"][1] in both(names["over"], False, "r499", False)
     assert found["back"][0] in both("r99", True, names["back"], False) and found["back"][1] in both(names["back"], False, "r299", False)
+
+
+def test_paths_are_replacements_and_breakends(spark):
+    """Deletion, insertion, replacement, both directions, duplication, inversion, other contigs, single breakends."""
+    seq = "ACGTTGCAAC" + "GGATCCATGA" + "TTACGACCTG"
+    windows = spark.createDataFrame([("w", 0, seq), ("v", 100, "CCCCCAAAAA")], "window_id string, start int, seq string")
+    ref = spark.createDataFrame([("w", "r0", "c", 0, 10), ("w", "r10", "c", 10, 20), ("w", "r20", "c", 20, 30), ("w", "d5", "d", 5, 9)], "window_id string, node string, contig string, at int, until int")
+    bases = {"r0": seq[:10], "r10": seq[10:20], "r20": seq[20:], "i": "AAC", "j": "G", "d5": "ACGT"}
+    nodes = spark.createDataFrame([("w", n, s) for n, s in bases.items()], "window_id string, node string, seq string")
+    paths = {"del": ">r0>r20", "ins": ">r0>i>r10", "rep": ">r0>i<j>r20", "back": "<r20<i<r0", "dup": ">r10>r10", "inv1": ">r0<r10", "inv2": "<r10>r20", "far": ">r0>i>d5", "far2": "<r10<i<d5", "out": ">r0>i>j", "out2": "<r10>i", "in": ">i>j>r10", "in2": ">i<r10", "off": ">i>j"}
+    rows = [("w", p, k, s[1:], s[0] == "<") for p, text in paths.items() for k, s in enumerate(__import__("re").findall("[<>][^<>]+", text))]
+    steps = spark.createDataFrame(rows, "window_id string, hap string, step int, node string, rev boolean")
+    found = {r.hap: (r.contig, r.pos, r.ref, r.alt, r.kind) for r in graph.path_records(steps, nodes, ref, windows, ["window_id", "hap"]).collect()}
+    assert found == {
+        "del": ("c", 10, "C" + seq[10:20], "C", "replacement"),
+        "ins": ("c", 10, "C", "CAAC", "replacement"),
+        "rep": ("c", 10, "C" + seq[10:20], "CAACC", "replacement"),
+        "back": ("c", 10, "C" + seq[10:20], "CAAC", "replacement"),
+        "dup": ("c", 20, "A", "A[c:11[", "breakend"),
+        "inv1": ("c", 10, "C", "C]c:20]", "breakend"),
+        "inv2": ("c", 11, "G", "[c:21[G", "breakend"),
+        "far": ("c", 10, "C", "CAAC[d:6[", "breakend"),
+        "far2": ("c", 11, "G", "]d:9]AACG", "breakend"),
+        "out": ("c", 10, "C", "CAACG.", "single"),
+        "out2": ("c", 11, "G", ".GTTG", "single"),
+        "in": ("c", 11, "G", ".AACGG", "single"),
+        "in2": ("c", 20, "A", "AGTT.", "single"),
+    }
+
+
+def test_records_that_no_path_supports(spark):
+    placed, by = _placed(spark), ["window_id", "hap"]
+    paths = graph.path_edges(placed, by)
+    has = paths.where("place < 2").select("window_id", F.lit("yes").alias("record"), F.col("place").alias("rank"), "edge")
+    lacks = has.unionAll(has.select("window_id", F.lit("no").alias("record"), F.lit(5).alias("rank"), F.col("edge").withField("a", F.lit("z")).alias("edge")))
+    assert [(r.window_id, r.record) for r in graph.unsupported_records(paths, lacks, by).collect()] == [("w", "no")]
