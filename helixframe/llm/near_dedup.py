@@ -41,8 +41,8 @@ SKETCH, AGREE = 384, 261
 BLOCK_ROWS = 512
 SALT_ROWS = 256
 PIVOTS = 2
-#: Words whose hashes a Python worker remembers.
-REMEMBERED_WORDS = 500_000
+#: Words whose hashes a task remembers; an idle worker holds none.
+REMEMBERED_WORDS = 200_000
 #: Shingles that are hashed at a time.
 BLOCK = 200_000
 _RNG = np.random.default_rng(20240611)
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, row_col: str | None
                     [part.column("row_id"), part.column("doc_id"), part.column("text_key"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([x[:HALVES] for x in mine], longs), pa.array([x[HALVES : 2 * HALVES] for x in mine], longs), pa.array([x[2 * HALVES :] for x in mine], longs)],
                     ["row_id", "doc_id", "text_key", "set_id", "n_shingles", "a", "b", "sketch"],
                 )
+        _SEEN.clear()
 
     return staged(rows.mapInArrow(sign, f"row_id long, doc_id {kind.simpleString()}, text_key long, set_id binary, n_shingles long, a array<long>, b array<long>, sketch array<long>"), "signatures")
 
@@ -142,6 +143,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 found = [shingles(x) for x in part.column("text").to_pylist()]
                 same = [k for k, (x, i) in enumerate(zip(found, part.column("set_id").to_pylist())) if xxhash.xxh3_128_digest(x.tobytes()) == i]
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(same, pa.int64())), pa.array([found[k].view(np.int64) for k in same], pa.list_(pa.int64()))], ["node", "shingles"])
+        _SEEN.clear()
 
     return staged(rows.mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
