@@ -70,8 +70,9 @@ def path_text(path: Column | str) -> Column:
 
 
 def canonical_path(path: Column | str) -> Column:
-    """The smaller of a path and its flip."""
-    return F.least(_c(path), flipped(_c(path)))
+    """The one of a path and its flip that is smaller as text."""
+    back = flipped(_c(path))
+    return F.when(path_text(back) < path_text(path), back).otherwise(_c(path))
 
 
 def canonical_edge(a: Column, a_rev: Column, b: Column, b_rev: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequences
 from ..functions.sequences import identity_bin
 from . import intervals
 
@@ -85,6 +86,41 @@ def recall(truth: DataFrame, found: DataFrame, key: list[str], by: list[str], co
     return groups.join(num, by, "left").crossJoin(F.broadcast(den)).select(*by, F.coalesce("n", F.lit(0)).alias("num"), "den", F.try_divide(F.coalesce("n", F.lit(0)), F.col("den")).alias("ratio"))  # den is one row
 
 
+def reference_walks(alignments: DataFrame, ref_nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, reference): of paths over reference nodes alone (by, node) whose numbers rise or fall by one at each step, the longest; in its smaller direction, the first text on a tie.
+
+    ``alignments`` has (by, path), its nodes numbers.  Windows without such a path have no row.
+    """
+    keyed = alignments.select(*by, "path").withColumn("_t", sequences.path_text(sequences.canonical_path("path")))
+    numbers = F.transform("path", lambda s: s["node"].cast("long"))
+    steps = F.zip_with(F.slice(numbers, 2, F.size("path")), F.slice(numbers, 1, F.greatest(F.size("path") - 1, F.lit(0))), lambda b, a: b - a)
+    even = keyed.where((F.size("path") > 0) & (F.forall(steps, lambda d: d == 1) | F.forall(steps, lambda d: d == -1)))
+    each = even.select(*by, "_t", F.size("path").alias("_n"), F.explode(F.array_distinct(F.transform("path", lambda s: s["node"].cast("string")))).alias("node")).distinct()
+    on = each.join(ref_nodes.select(*by, F.col("node").cast("string").alias("node")).distinct(), [*by, "node"], "left_semi").groupBy(*by, "_t").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_on"))
+    kinds = each.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("_all"))
+    best = on.join(kinds, [*by, "_t"]).where("_on = _all").groupBy(*by).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_t").alias("t"))).alias("m"))
+    return best.select(*by, F.col("m.t").alias("reference"))
+
+
+def haplotype_recall(truth: DataFrame, ref_nodes: DataFrame, haps: DataFrame, by: list[str], coverage: float = 0.9, identity: float = 0.9) -> DataFrame:
+    """(by, tool, num, den): distinct walks that haplotypes off the reference take in the true graph, and those of them that a tool's graph has.
+
+    ``truth`` has (by, hap, path) of the true graph's alignments, ``haps`` (by, tool, hap,
+    coverage, identity).  A haplotype is off the reference if its canonical path is
+    not the window's ``reference_walks``; with several paths its first one counts.
+    Windows of ``haps`` without such haplotypes have zeros.
+    """
+    paths = truth.select(*by, "hap", sequences.path_text(sequences.canonical_path("path")).alias("walk"))
+    off = paths.join(reference_walks(truth, ref_nodes, by), by, "left").where("reference is null or walk != reference").select(*by, "hap", "walk")
+    den = off.groupBy(*by).agg(F.count_distinct("walk").alias("den"))
+    walk_of = off.groupBy(*by, "hap").agg(F.min("walk").alias("walk"))
+    good = haps.where((F.col("coverage") >= coverage) & (F.col("identity") >= identity)).select(*by, "tool", "hap").distinct()
+    num = good.join(walk_of, [*by, "hap"]).groupBy(*by, "tool").agg(F.count_distinct("walk").alias("num"))
+    every = haps.select(*by, "tool").distinct()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return every.join(den, by, "left").join(num, [*by, "tool"], "left").select(*by, "tool", zero("num"), zero("den"))
+
+
 def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
     """(by, bin, n, part) over fixed bins; values outside and NaN are left out, the upper end belongs to the last bin."""
     v = F.col(value)

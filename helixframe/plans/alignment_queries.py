@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import alignments
+from ..operators import alignments, metrics
 from . import tables as T
 from .queries import query
 
@@ -97,3 +97,73 @@ def graph_query_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows, nodes = _graph_alignments(spark, d)
     inner = rows.select("query", F.lit(200).alias("query_len"), F.lit(8).alias("q0"), F.lit(30).alias("q1")).distinct()
     return _blocks(alignments.gaf_summaries(rows, nodes, inner, 5)[1], "query", "aln")
+
+
+#: An order is a haplotype of its window (64 customers): a walk up or down the nodes 0 to 9, with a detour over node 20 on every fifth.
+_TRUTH = """h AS (SELECT o_custkey // 64 AS win, o_orderkey AS hap, o_orderkey % 4 AS a, o_orderkey % 4 + o_custkey % 5 AS z, o_orderkey % 3 = 0 AS down, o_orderkey % 5 = 0 AS off FROM orders),
+    l AS (SELECT win, hap, down, off, CASE WHEN off THEN list_concat(range(a, z + 1), [20]) ELSE range(a, z + 1) END AS up FROM h),
+    p AS (SELECT win, hap, off, len(up) AS n, array_to_string(list_transform(up, lambda x: '>' || x), '') AS f, array_to_string(list_transform(list_reverse(up), lambda x: '<' || x), '') AS b FROM l),
+    w AS (SELECT win, hap, off, n, CASE WHEN f <= b THEN f ELSE b END AS walk FROM p)"""
+
+
+def _haplotype_walks(spark: SparkSession, d: str) -> DataFrame:
+    a = F.col("o_orderkey") % 4
+    up = F.sequence(a, a + F.col("o_custkey") % 5)
+    nodes = F.when(F.col("o_orderkey") % 5 == 0, F.concat(up, F.array(F.lit(20).cast("long")))).otherwise(up)
+    steps = F.transform(nodes, lambda x: F.struct(x.cast("string").alias("node"), F.lit(False).alias("rev")))
+    path = F.when(F.col("o_orderkey") % 3 == 0, S.flipped(steps)).otherwise(steps)
+    return T.table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 64).alias("win"), F.col("o_orderkey").alias("hap"), path.alias("path"))
+
+
+def _ref_nodes(walks: DataFrame) -> DataFrame:
+    return walks.select("win").distinct().select("win", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("node"))
+
+
+@query(f"WITH {_TRUTH} SELECT win, arg_min(walk, (-n, walk)) AS reference FROM w WHERE NOT off GROUP BY win")
+def reference_walks(spark: SparkSession, d: str) -> DataFrame:
+    """The longest monotone walk over reference nodes of each window."""
+    walks = _haplotype_walks(spark, d)
+    return metrics.reference_walks(walks, _ref_nodes(walks), ["win"])
+
+
+@query(f"""WITH {_TRUTH}, ref AS (SELECT win, arg_min(walk, (-n, walk)) AS reference FROM w WHERE NOT off GROUP BY win), o AS (SELECT w.* FROM w LEFT JOIN ref USING (win) WHERE reference IS NULL OR walk <> reference),
+    den AS (SELECT win, count(DISTINCT walk) AS den FROM o GROUP BY win), g AS (SELECT o_custkey // 64 AS win, o_orderkey AS hap, o_orderpriority AS tool, o_totalprice >= 100000 AS good FROM orders),
+    num AS (SELECT g.win, tool, count(DISTINCT walk) AS num FROM g JOIN o ON o.win = g.win AND o.hap = g.hap WHERE good GROUP BY ALL)
+    SELECT DISTINCT g.win, g.tool, coalesce(num, 0) AS num, coalesce(den, 0) AS den FROM g LEFT JOIN den USING (win) LEFT JOIN num USING (win, tool)""")
+def haplotype_recall(spark: SparkSession, d: str) -> DataFrame:
+    walks = _haplotype_walks(spark, d)
+    price = F.when(F.col("o_totalprice") >= 100000, 0.95).otherwise(0.5)
+    haps = T.table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 64).alias("win"), F.col("o_orderpriority").alias("tool"), F.col("o_orderkey").alias("hap"), price.alias("coverage"), F.lit(0.99).alias("identity"))
+    return metrics.haplotype_recall(walks, _ref_nodes(walks), haps, ["win"])
+
+
+@query(f"""WITH {_GAF}, st AS (SELECT aln, unnest([0, 1, 2]) AS step, unnest([a, b, a]) AS node, unnest([0, 30, 50]) AS n0, unnest([30, 50, 80]) AS n1 FROM al),
+    hit AS (SELECT st.aln, node, step, op, step = 1 AS rev, n1 - n0 AS size, greatest(r0, n0) - n0 AS b0, least(r1, n1) - n0 AS b1, q0 AS u0, q1 AS u1 FROM x JOIN st USING (aln) WHERE least(r1, n1) > greatest(r0, n0) OR (op = 'I' AND r0 > n0 AND r0 <= n1)),
+    t AS (SELECT *, CASE WHEN rev THEN size - b1 ELSE b0 END AS s, CASE WHEN rev THEN size - b0 ELSE b1 END AS e FROM hit),
+    blk AS (SELECT node, aln, step, any_value(size) AS size, {_COUNTERS} FROM t GROUP BY node, aln, step),
+    gap AS (SELECT *, greatest(0, start - coalesce(max(stop) OVER (PARTITION BY node ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM blk),
+    every AS (SELECT 'p' || i AS node FROM range(7) t(i) UNION ALL SELECT 's' || i FROM range(5) t(i)),
+    f AS (SELECT node, (max(stop) - sum(g)) / any_value(size) AS coverage, sum(n_match) / sum(n_match + n_mismatch + n_insert + n_delete) AS identity FROM gap GROUP BY node)
+    SELECT node, round(coalesce(coverage, 0), 9) AS coverage, round(coalesce(identity, 0), 9) AS identity FROM every LEFT JOIN f USING (node)""")
+def evaluated_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage and identity of all nodes from the blocks of graph alignments."""
+    from . import workflows
+
+    rows, nodes = _graph_alignments(spark, d)
+    blocks = alignments.gaf_summaries(rows, nodes)[0].select(F.lit("w").alias("window_id"), "node", F.col("start").alias("b0"), F.col("stop").alias("b1"), "n_match", "n_mismatch", "n_insert", "n_delete")
+    found = workflows.evaluate(blocks, nodes.select(F.lit("w").alias("window_id"), "node", "seq"))
+    return found.select("node", F.round("coverage", 9).alias("coverage"), F.round("identity", 9).alias("identity"))
+
+
+@query("""WITH h AS (SELECT o_orderpriority AS tool, o_custkey // 64 AS window_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS is_ref, (o_orderkey % 101) / 100.0 AS coverage, (o_custkey % 51) / 50.0 AS identity FROM orders),
+    s AS (SELECT 'all_windows' AS stratum, * FROM h UNION ALL SELECT 'even', * FROM h WHERE window_id % 2 = 0 UNION ALL SELECT 'fourth', * FROM h WHERE window_id % 4 = 0)
+    SELECT stratum, tool, round(avg(coverage), 6) AS coverage, round(avg(identity), 6) AS identity, round(coalesce(avg(coverage) FILTER (is_ref = 0), -1), 6) AS nonref_coverage, round(coalesce(avg(identity) FILTER (is_ref = 0), -1), 6) AS nonref_identity FROM s GROUP BY ALL""")
+def analyzed_haplotypes(spark: SparkSession, d: str) -> DataFrame:
+    """Means by tool, over all windows and over two strata of them."""
+    from . import workflows
+
+    win = F.floor(F.col("o_custkey") / 64)
+    haps = T.table(spark, d, "orders").select(F.col("o_orderpriority").alias("tool"), win.alias("window_id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("is_ref"), (F.col("o_orderkey") % 101 / 100).alias("coverage"), (F.col("o_custkey") % 51 / 50).alias("identity"))
+    strata = haps.select("window_id").distinct().select("window_id", F.explode(F.filter(F.array(F.when(F.col("window_id") % 2 == 0, "even"), F.when(F.col("window_id") % 4 == 0, "fourth")), lambda x: x.isNotNull())).alias("stratum"))
+    out = workflows.analyze(haps, strata)
+    return out.select("stratum", "tool", *[F.round(c, 6).alias(c) for c in ("coverage", "identity", "nonref_coverage", "nonref_identity")])

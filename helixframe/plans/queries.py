@@ -520,7 +520,7 @@ def alignment_counters(spark: SparkSession, d: str) -> DataFrame:
     return alignments.counters(alignments.exploded(_cigars(spark, d)), ["read"]).select("read", "n_match", "n_mismatch", "n_insert", "n_delete")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN least('>a' || o_custkey % 9 || '<b' || o_orderkey % 9, '>b' || o_orderkey % 9 || '<a' || o_custkey % 9) ELSE '>x>y' END AS path FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN least('>a' || o_custkey % 9 || '<b' || o_orderkey % 9, '>b' || o_orderkey % 9 || '<a' || o_custkey % 9) ELSE least('<y<x', '>x>y') END AS path FROM orders""")
 def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.concat(F.lit("a"), (F.col("o_custkey") % 9).cast("string")), F.concat(F.lit("b"), (F.col("o_orderkey") % 9).cast("string"))
     text = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit(">"), a, F.lit("<"), b)).otherwise("<y<x")
