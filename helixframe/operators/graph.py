@@ -48,13 +48,24 @@ def breakpoints(records: DataFrame, windows: DataFrame) -> DataFrame:
     return own.unionAll(inside).distinct()
 
 
-def reference_nodes(points: DataFrame, windows: DataFrame) -> DataFrame:
+def reference_nodes(points: DataFrame, windows: DataFrame, interior_flank_length: int | None = None, flanks: DataFrame | None = None) -> DataFrame:
     """(window_id, node, at, until, seq): the reference between neighbouring breakpoints; nodes are named r<start>.
 
-    ``windows`` carries ``seq``, the window's own bases.
+    ``windows`` carries ``seq``, the window's own bases.  With ``interior_flank_length`` a
+    span of so many bases or more is only kept up to the flanks of its two
+    breakpoints, ``flanks`` (window_id, at, left, right; see ``tandem_aware_flanks``),
+    where these do not meet: two nodes that no edge joins.
     """
     w = Window.partitionBy("window_id").orderBy("at")
-    spans = points.withColumn("until", F.lead("at").over(w)).where("until is not null").join(windows.select("window_id", "start", "seq"), "window_id")
+    spans = points.withColumn("until", F.lead("at").over(w)).where("until is not null")
+    if interior_flank_length is not None and flanks is not None:
+        right = flanks.select("window_id", "at", F.col("right").alias("_p"))
+        left = flanks.select("window_id", F.col("at").alias("until"), F.col("left").alias("_q"))
+        both = spans.join(right, ["window_id", "at"], "left").join(left, ["window_id", "until"], "left")
+        cut = (F.col("until") - F.col("at") >= interior_flank_length) & (F.col("_p") <= F.col("_q"))
+        part = lambda a, z: F.struct(F.col(a).cast("int").alias("at"), F.col(z).cast("int").alias("until"))
+        spans = both.select("window_id", F.explode(F.when(cut, F.array(part("at", "_p"), part("_q", "until"))).otherwise(F.array(part("at", "until")))).alias("s")).select("window_id", "s.at", "s.until")
+    spans = spans.join(windows.select("window_id", "start", "seq"), "window_id")
     return spans.select("window_id", F.concat(F.lit("r"), F.col("at").cast("string")).alias("node"), "at", "until", F.substr(F.col("seq"), F.col("at") - F.col("start") + 1, F.col("until") - F.col("at")).alias("seq"))
 
 
@@ -77,9 +88,9 @@ def _edge(a: Column, a_rev: bool, b: Column, b_rev: bool) -> Column:
 
 
 def reference_edges(nodes: DataFrame) -> DataFrame:
-    """(window_id, edge) between neighbouring reference nodes."""
+    """(window_id, edge) between reference nodes that touch."""
     w = Window.partitionBy("window_id").orderBy("at")
-    return nodes.withColumn("nxt", F.lead("node").over(w)).where("nxt is not null").select("window_id", _edge(F.col("node"), False, F.col("nxt"), False).alias("edge"))
+    return nodes.withColumn("nxt", F.lead("node").over(w)).withColumn("_to", F.lead("at").over(w)).where("nxt is not null and _to = until").select("window_id", _edge(F.col("node"), False, F.col("nxt"), False).alias("edge"))
 
 
 def record_edges(records: DataFrame, ref: DataFrame, alt: DataFrame, min_length: int = 0, acyclic: bool = False) -> DataFrame:
@@ -362,3 +373,30 @@ def path_records(steps: DataFrame, nodes: DataFrame, ref: DataFrame, windows: Da
         .otherwise(one(z["contig"].alias("contig"), (in_at + 1).alias("pos"), base(in_at).alias("ref"), F.when(z_rev, F.concat(base(in_at), back, F.lit("."))).otherwise(F.concat(F.lit("."), F.col("_in"), base(in_at))).alias("alt"), F.lit("single").alias("kind")))
     )
     return k.select(*by, record.alias("r")).select(*by, "r.*")
+
+
+def spelled_signatures(nodes: DataFrame, edges: DataFrame, most_steps: int) -> DataFrame:
+    """(window_id, signature): of every node the strings spelled from it in both directions over ``most_steps`` edges or to an end, in order, each with a comma behind; and all nodes' lines in order.
+
+    Strings that lead to the same place are one row with their number at each step, so
+    the work grows with distinct strings and not with walks.
+    """
+    both = edges.select("window_id", F.explode(F.array(
+        F.struct(F.col("edge.a").alias("f"), F.col("edge.a_rev").alias("fr"), F.col("edge.b").alias("t"), F.col("edge.b_rev").alias("tr")),
+        F.struct(F.col("edge.b").alias("f"), (~F.col("edge.b_rev")).alias("fr"), F.col("edge.a").alias("t"), (~F.col("edge.a_rev")).alias("tr")),
+    )).alias("e")).select("window_id", "e.*").distinct()
+    turned = nodes.select("window_id", "node", F.explode(F.array(F.struct(F.lit(False).alias("rev"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("rev"), S.reverse_complement("seq").alias("s")))).alias("o")).select("window_id", "node", "o.rev", "o.s")
+    turned = staged(turned, "oriented_nodes")
+    now = turned.select("window_id", F.col("node").alias("origin"), F.col("node").alias("f"), F.col("rev").alias("fr"), F.col("s").alias("text"), F.lit(1).cast("long").alias("n"))
+    done, key = None, ["window_id", "f", "fr"]
+    for _ in range(most_steps):
+        ended = now.join(both.select(*key).distinct(), key, "left_anti").select("window_id", "origin", "text", "n")
+        done = ended if done is None else done.unionAll(ended)
+        to = turned.select("window_id", F.col("node").alias("t"), F.col("rev").alias("tr"), "s")
+        grown = now.join(both, key).join(to, ["window_id", "t", "tr"]).select("window_id", "origin", F.col("t").alias("f"), F.col("tr").alias("fr"), F.concat("text", "s").alias("text"), "n")
+        now = staged(grown.groupBy("window_id", "origin", "f", "fr", "text").agg(F.sum("n").alias("n")), "strings")
+    last = now.select("window_id", "origin", "text", "n")
+    every = (last if done is None else done.unionAll(last)).groupBy("window_id", "origin", "text").agg(F.sum("n").cast("int").alias("n"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text", "n"))), lambda x: F.repeat(F.concat(x["text"], F.lit(",")), x["n"])), "")
+    lines = every.groupBy("window_id", "origin").agg(line.alias("line"))
+    return lines.groupBy("window_id").agg(F.array_sort(F.collect_list("line")).alias("signature"))

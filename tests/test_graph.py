@@ -116,3 +116,35 @@ def test_records_that_no_path_supports(spark):
     has = paths.where("place < 2").select("window_id", F.lit("yes").alias("record"), F.col("place").alias("rank"), "edge")
     lacks = has.unionAll(has.select("window_id", F.lit("no").alias("record"), F.lit(5).alias("rank"), F.col("edge").withField("a", F.lit("z")).alias("edge")))
     assert [(r.window_id, r.record) for r in graph.unsupported_records(paths, lacks, by).collect()] == [("w", "no")]
+
+
+def test_long_reference_nodes_are_split_at_flanks(spark):
+    windows = spark.createDataFrame([("w", 0, 100, "ACGTT" * 20)], "window_id string, start int, stop int, seq string")
+    points = spark.createDataFrame([("w", x) for x in (0, 20, 80, 100)], "window_id string, at int")
+    free = graph.free_segments(spark.createDataFrame([("w", 0, 100)], "window_id string, lo int, hi int"), spark.createDataFrame([("w", 22, 30)], "window_id string, t0 int, t1 int"), ["window_id"])
+    flanks = graph.tandem_aware_flanks(points, free, ["window_id"], 10)
+    nodes = graph.reference_nodes(points, windows, 40, flanks)
+    assert [(r["at"], r.until, r.seq) for r in nodes.orderBy("at").collect()] == [(a, b, ("ACGTT" * 20)[a:b]) for a, b in ((0, 20), (20, 38), (70, 80), (80, 100))]
+    assert {(r.edge.a, r.edge.b) for r in graph.reference_edges(nodes).collect()} == {("r0", "r20"), ("r70", "r80")}
+    assert graph.reference_nodes(points, windows, 60, flanks).count() == 4 and graph.reference_nodes(points, windows, 61, flanks).count() == 3
+
+
+def test_signatures_equal_enumeration(spark):
+    bases = {"s": "AC", "a": "G", "b": "G", "t": "TT"}
+    pairs = [("s", False, "a", False), ("s", False, "b", False), ("a", False, "t", False), ("b", False, "t", True)]
+    nodes = spark.createDataFrame([("w", n, x) for n, x in bases.items()], "window_id string, node string, seq string")
+    edges = spark.createDataFrame([("w", e) for e in pairs], "window_id string, edge struct<a:string,a_rev:boolean,b:string,b_rev:boolean>")
+    after = {}
+    for a, ar, b, br in pairs:
+        after.setdefault((a, ar), []).append((b, br))
+        after.setdefault((b, not br), []).append((a, not ar))
+    spell = lambda n, rev: bases[n].translate(str.maketrans("ACGT", "TGCA"))[::-1] if rev else bases[n]
+
+    def strings(at, left):
+        if not left or not after.get(at):
+            return [spell(*at)]
+        return [spell(*at) + x for to in after[at] for x in strings(to, left - 1)]
+
+    for k in (0, 1, 2, 3):
+        want = sorted("".join(x + "," for x in sorted(strings((n, False), k) + strings((n, True), k))) for n in bases)
+        assert [r.signature for r in graph.spelled_signatures(nodes, edges, k).collect()] == [want]

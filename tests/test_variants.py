@@ -150,3 +150,29 @@ def test_merge_of_aligned_walks_equals_all_walks(spark):
     assert {tuple(r) for r in workflows.merge(records, windows, reads, reference, config).collect()} == every
     haps, _ = workflows.aligned_haplotypes(g, reads)
     assert haps.count() == 3 and workflows.aligned_haplotypes(g, reads, min_coverage=4)[0].count() == 1
+
+
+def test_haplotypes_as_records(spark):
+    records, windows, reads, reference = _merge_inputs(spark)
+    config = workflows.MergeConfig(flank_length=5, min_sv_length=2)
+    g = workflows.window_graphs(records, windows, reference, config)
+    haps, steps = workflows.aligned_haplotypes(g, reads)
+    name = {r.seq: r.hap for r in haps.collect()}
+    whole, cut, long = REFERENCE[5:35], REFERENCE[5:10] + REFERENCE[20:35], REFERENCE[5:25] + "GAGAGAGA" + REFERENCE[25:35]
+    solution = spark.createDataFrame([("c:10-25", s, f"{s}{k}", name[x]) for k, (s, x) in enumerate([("s1", whole), ("s1", cut), ("s2", long), ("s2", long)])], "window_id string, sample string, read string, hap string")
+    found = workflows.haplotype_records(solution, steps, g, ["s1", "s2", "s3"], 5).collect()
+    ids = {h: k for k, h in enumerate(sorted(name.values()))}
+    low = ids[name[cut]] < ids[name[whole]]
+    assert {(r.contig, r.pos, r.id, r.ref, r.alt, tuple(r.genotypes)) for r in found} == {
+        ("c", 10, f"c_10_{ids[name[cut]]}", REFERENCE[9:30], REFERENCE[9:10] + REFERENCE[20:30], ("1|0" if low else "0|1", "0|0", "0|0")),
+        ("c", 10, f"c_10_{ids[name[long]]}", REFERENCE[9:30], REFERENCE[9:25] + "GAGAGAGA" + REFERENCE[25:30], ("0|0", "1|1", "0|0")),
+    }
+    three = solution.unionAll(spark.createDataFrame([("c:10-25", "s1", "x", name[long])], solution.schema))
+    with pytest.raises(Exception, match="more than two haplotypes"):
+        workflows.haplotype_records(three, steps, g, ["s1"], 5).collect()
+
+
+def test_solutions_as_records(spark):
+    records = spark.createDataFrame([(1, "c"), (2, "c")], "id int, contig string")
+    calls = spark.createDataFrame([("1", "a", "0|1"), ("1", "b", "1|1")], "record string, sample string, gt string")
+    assert [(r.id, r.genotypes, r.format) for r in workflows.solution_records(records, calls, ["b", "x", "a"]).collect()] == [(1, ["1|1", "0|0", "0|1"], "GT")]
