@@ -71,3 +71,46 @@ def test_sql_functions(spark):
     register_functions(spark)
     row = spark.sql("SELECT reverse_complement('AACg') a, info_value('CIEND=1;END=5', 'END') b, mate_contig('A[chr3:7[') c, mate_pos('A[chr3:7[') d, quantized(12D, 5D) e, identity_bin(1D) f, ploidy('chrX') g, length_bin(7) h").first()
     assert tuple(row) == ("cGTT", "5", "chr3", 7, 10.0, 5, 1, 3)
+
+
+def test_sql_functions_equal_the_column_builders(spark):
+    from helixframe.functions import sequences as S
+    from helixframe.functions import vcf as V
+    from pyspark.sql import functions as F
+
+    register_functions(spark)
+    alts = ["A", "<DEL>", "A[chr3:7[", "ATT]CHR1:900]", "[c:5[GA", "]c:5]CCA", ".TA", "TA.", "<INS:ME>", ".", "*", "", None, "x[y"]
+    gts = ["0|1:9", "./.", "1/2", "0", "", ".|1", "0/0:3", None, "1|1"]
+    infos = ["END=5;PRECISE", "CIEND=1;END=7", "PRECISE", "", None, "A;B=2;C", "IMPRECISE;X=1"]
+    paths = [">a<b", "<b>a", ">x", "<10>2", ">a>b>a", None]
+    size = max(map(len, (alts, gts, infos, paths)))
+    rows = [(k, alts[k % len(alts)], gts[k % len(gts)], infos[k % len(infos)], paths[k % len(paths)], ["chr1", "X", "chrM", None][k % 4], k % 7) for k in range(size * 3)]
+    df = spark.createDataFrame(rows, "id int, alt string, genotype string, info string, path string, contig string, n int")
+    df.createOrReplaceTempView("cells")
+    text = lambda c: S.path_text(S.canonical_path(S.graph_path(c)))
+    built = {
+        "symbolic": (V.is_symbolic("alt"), "is_symbolic_alt(alt)"), "missing": (V.is_missing_alt("alt"), "is_missing_alt(alt)"), "precise": (V.is_precise("info"), "is_precise(info)"), "end": (V.info_value("info", "END"), "info_value(info, 'END')"),
+        "tag": (V.symbolic_tag("alt", "id", "n"), "symbolic_tag(alt, id, n)"), "untag": (V.symbolic_untag(V.symbolic_tag("alt", "id", "n")), "symbolic_untag(symbolic_tag(alt, id, n))"), "ploidy": (V.ploidy("contig"), "ploidy(contig)"),
+        "gp": (V.gt("genotype")["ploidy"], "gt_ploidy(genotype)"), "h1": (V.gt("genotype")["hap1"], "gt_allele(genotype, 1)"), "h2": (V.gt("genotype")["hap2"], "gt_allele(genotype, 2)"), "nr": (V.n_calls("genotype")["ref"], "n_ref_calls(genotype)"),
+        "na": (V.n_calls("genotype")["alt"], "n_alt_calls(genotype)"), "phased": (V.is_phased("genotype"), "is_phased(genotype)"), "mc": (V.mate_contig("alt"), "mate_contig(alt)"), "mp": (V.mate_pos("alt"), "mate_pos(alt)"),
+        "single": (V.is_single_breakend("alt"), "is_single_breakend(alt)"), "valid": (V.is_valid_breakend("alt"), "is_valid_breakend(alt)"), "side": (V.orientation("alt"), "breakend_side(alt)"), "mside": (V.mate_orientation("alt"), "mate_side(alt)"),
+        "bases": (V.inserted_sequence("alt"), "breakend_bases(alt)"), "canon": (F.when(F.col("path").isNotNull(), text(F.coalesce("path", F.lit(">z")))), "canonical_path(path)"), "region": (S.region_text("contig", "id", "n"), "region_text(contig, id, n)"),
+        "ident": (S.identity(F.col("n"), F.col("id"), F.lit(0), F.lit(0)), "alignment_identity(n, id, 0, 0)"), "pad": (S.padded("n", 4), "zero_padded(n, 4)"), "score": (S.alignment_score(F.col("n") / 10), "alignment_score(n / 10D)"), "lb": (S.length_bin("id"), "length_bin(id)"),
+    }
+    a = df.select("id", *[c.alias(k) for k, (c, _) in built.items()]).orderBy("id").collect()
+    b = spark.sql("SELECT id, " + ", ".join(f"{sql} AS `{k}`" for k, (_, sql) in built.items()) + " FROM cells ORDER BY id").collect()
+    for x, y in zip(a, b):
+        assert x.asDict() == y.asDict()
+
+
+def test_table_functions_in_lateral_joins(spark):
+    from helixframe.operators import alignments
+
+    register_functions(spark)
+    spark.sql("SELECT * FROM VALUES (1, '>a<b>a', 'END=5;FLAG;AF=0.5', '3=2I1X4D', 10), (2, '<z', '', '5S', 0) AS t(id, path, info, cigar, pos)").createOrReplaceTempView("rows")
+    steps = spark.sql("SELECT id, s.* FROM rows, LATERAL path_steps(path) s ORDER BY id, step").collect()
+    assert [tuple(r) for r in steps] == [(1, 0, "a", False), (1, 1, "b", True), (1, 2, "a", False), (2, 0, "z", True)]
+    assert {tuple(r) for r in spark.sql("SELECT id, f.* FROM rows, LATERAL info_fields(info) f").collect()} == {(1, "END", "5"), (1, "AF", "0.5")}
+    ops = spark.sql("SELECT id, o.* FROM rows, LATERAL cigar_operations(cigar, pos) o ORDER BY id, op_rank").collect()
+    want = alignments.exploded(spark.table("rows"), "cigar", "pos", None).select("id", "op_rank", "op", "op_len", "r0", "r1", "q0", "q1").orderBy("id", "op_rank").collect()
+    assert [tuple(r) for r in ops] == [tuple(r) for r in want] and len(ops) == 5
