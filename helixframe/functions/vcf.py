@@ -6,9 +6,7 @@ rest of the plan.  Unknown values are null; sentinels appear only in writers.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers of the record types, and the INFO / ALT labels of each (fixed values).
@@ -55,8 +53,14 @@ def is_breakend_alt(alt: Column | str) -> Column:
 
 
 def _labelled(label: Column) -> Column:
-    label = F.upper(label)
-    return reduce(lambda e, t: e.when(label.isin(LABELS[t]), TYPES[t]), LABELS, F.when(F.lit(False), 0))
+    """The type of a label, which is looked at once."""
+    known = [F.lit(x) for t in LABELS for label_ in LABELS[t] for x in (label_, TYPES[t])]
+    return F.try_element_at(F.create_map(*known), F.upper(label))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row however often they are used; a projection would be copied into each use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def sv_type(info: Column | str, ref: Column | str, alt: Column | str) -> Column:
@@ -122,22 +126,30 @@ def coordinates(kind: Column | str, pos: Column | str, length: Column | str, inf
 
 def alleles(genotype: Column | str) -> Column:
     """Allele strings of the GT part of a sample column."""
-    return F.split(F.substring_index(_c(genotype), ":", 1), r"[/|]")
+    return F.split(F.translate(F.substring_index(_c(genotype), ":", 1), "|", "/"), "/")
 
 
-def gt(genotype: Column | str) -> Column:
-    """struct<ploidy,hap1,hap2>; missing alleles are null."""
-    a = alleles(genotype)
+def gt_of(found: Column | str) -> Column:
+    """struct<ploidy,hap1,hap2> of allele strings; missing alleles are null."""
+    a = _c(found)
     number = lambda k: F.try_element_at(a, F.lit(k)).try_cast("int")
     return F.struct(F.when(a[0] == "", 0).otherwise(F.size(a)).alias("ploidy"), number(1).alias("hap1"), number(2).alias("hap2"))
 
 
-def n_calls(genotype: Column | str) -> Column:
-    """struct<ref,alt>: haplotypes that carry the reference and another allele."""
-    a = alleles(genotype)
+def calls_of(found: Column | str) -> Column:
+    """struct<ref,alt> of allele strings: haplotypes that carry the reference and another allele."""
+    a = _c(found)
     return F.struct(F.size(F.filter(a, lambda x: x == "0")).alias("ref"), F.size(F.filter(a, lambda x: ~x.isin("0", ".", ""))).alias("alt"))
 
 
+def gt(genotype: Column | str) -> Column:
+    return gt_of(alleles(genotype))
+
+
+def n_calls(genotype: Column | str) -> Column:
+    return calls_of(alleles(genotype))
+
+
 def is_phased(genotype: Column | str) -> Column:
     call = F.substring_index(_c(genotype), ":", 1)
     return ~call.contains("/")

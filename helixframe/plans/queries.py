@@ -260,7 +260,7 @@ _TYPE = """CASE WHEN flag = 'A' AND q % 3 = 0 THEN 1 WHEN flag = 'A' THEN 2 WHEN
 
 @query(f"""WITH {T.RECORDS_SQL} SELECT id, {_TYPE} AS sv_type, CASE WHEN q > 0 THEN q END AS sv_length FROM rec""")
 def record_types(spark: SparkSession, d: str) -> DataFrame:
-    r = T.records(spark, d).withColumn("kind", V.sv_type("info", "ref", "alt"))
+    r = V.once(T.records(spark, d), kind=V.sv_type("info", "ref", "alt"))
     return r.select("id", F.col("kind").cast("int").alias("sv_type"), V.sv_length("kind", "info", "pos", "ref", "alt").cast("int").alias("sv_length"))
 
 
@@ -268,7 +268,7 @@ def record_types(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, CASE kind WHEN 1 THEN pos - 2 WHEN 5 THEN CASE WHEN pos > 0 THEN pos - 1 - 3 * (q % 4) END WHEN 2 THEN pos - 2 WHEN 4 THEN pos - 3 * (q % 4) ELSE pos - 1 END AS first,
            CASE kind WHEN 1 THEN pos + 3 WHEN 5 THEN CASE WHEN pos > 0 THEN pos - 1 + 3 * (q % 4) END WHEN 2 THEN pos + q WHEN 4 THEN pos + q WHEN 6 THEN pos - 1 + q ELSE pos END AS second FROM t""")
 def record_coordinates(spark: SparkSession, d: str) -> DataFrame:
-    r = T.records(spark, d).withColumn("kind", V.sv_type("info", "ref", "alt"))
+    r = V.once(T.records(spark, d), kind=V.sv_type("info", "ref", "alt"))
     r = r.withColumn("len", V.sv_length("kind", "info", "pos", "ref", "alt")).withColumn("at", V.coordinates("kind", "pos", "len", "info"))
     return r.select("id", "at.first", "at.second")
 
@@ -276,7 +276,7 @@ def record_coordinates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {T.RECORDS_SQL} SELECT id, contig FROM rec WHERE filter = 'PASS' AND qual >= 20000 AND q BETWEEN 10 AND 40
     AND len(list_filter(genotypes, lambda g: g LIKE '0|1%')) + 2 * len(list_filter(genotypes, lambda g: g LIKE '1/1%')) >= ceil(CASE WHEN contig IN ('chrX', 'chrY') THEN 1 ELSE 2 END * 3 * 0.3)""")
 def passing_records(spark: SparkSession, d: str) -> DataFrame:
-    r = T.records(spark, d).withColumn("kind", V.sv_type("info", "ref", "alt"))
+    r = V.once(T.records(spark, d), kind=V.sv_type("info", "ref", "alt"))
     r = r.withColumn("len", V.sv_length("kind", "info", "pos", "ref", "alt")).withColumn("n", V.haplotype_counts("genotypes"))
     return r.where(V.passes("kind", "len", "filter", "qual", "alt", F.col("n.ref"), F.col("n.alt"), "contig", n_samples=3, min_length=10, max_length=40, min_qual=20000, min_af=0.3)).select("id", "contig")
 
@@ -284,7 +284,8 @@ def passing_records(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {T.RECORDS_SQL}, g AS (SELECT id, unnest(range(3)) AS k, unnest(genotypes) AS call FROM rec), h AS (SELECT *, string_split_regex(split_part(call, ':', 1), '[/|]') AS a FROM g)
     SELECT id, k, TRY_CAST(a[1] AS INT) AS hap1, TRY_CAST(a[2] AS INT) AS hap2, len(list_filter(a, lambda x: x = '0')) AS n_ref, len(list_filter(a, lambda x: x NOT IN ('0', '.'))) AS n_alt, call NOT LIKE '%/%' AS phased FROM h""")
 def genotype_calls(spark: SparkSession, d: str) -> DataFrame:
-    g = T.records(spark, d).select("id", F.posexplode("genotypes").alias("k", "call")).withColumn("gt", V.gt("call")).withColumn("n", V.n_calls("call"))
+    g = T.records(spark, d).select("id", F.posexplode("genotypes").alias("k", "call"))
+    g = V.once(g, a=V.alleles("call")).withColumn("gt", V.gt_of("a")).withColumn("n", V.calls_of("a"))
     return g.select("id", F.col("k").cast("long").alias("k"), "gt.hap1", "gt.hap2", F.col("n.ref").cast("long").alias("n_ref"), F.col("n.alt").cast("long").alias("n_alt"), V.is_phased("call").alias("phased"))
 
 
