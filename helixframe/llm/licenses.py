@@ -2,8 +2,8 @@
 
 Blocks are the lines of a text, and windows over the words of the whole text,
 line breaks ignored, so that notices wrapped over lines are met.  Windows, and
-those of a line that is longer, have twice the longest template's words and
-overlap by half, so that no run as long as a template is torn.  A block meets a template where it holds
+those of a line that is longer, have twice the longest template's span and
+overlap by half, so that no run as long as a template's span is torn.  A block meets a template where it holds
 ``CONTAINED`` of the template's distinct words.  Words are ordered by their
 frequency over all documents, rarest first:
 
@@ -13,8 +13,10 @@ frequency over all documents, rarest first:
     positional  and, from the first prefix word they share, enough words left
                 on both sides of the order
 
-What passes is verified by counting.  The base phrases are consecutive words,
-found beside the join wherever they stand.
+What passes is verified by counting in runs of the template's span, its own number of
+words and ``SLACK`` of it more, so that words of a short template that are scattered
+over a block are no notice.  The base phrases are consecutive words, found beside
+the join wherever they stand.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 CONTAINED = 0.9
+#: Words that a notice may hold beside its template's own, as a part of their number, rounded up.
+SLACK = 0.25
 #: Templates are broadcast; together they may hold this many words.
 MOST_TEMPLATE_WORDS = 200_000
 #: A base phrase's words, and its label (fixed values).
@@ -66,6 +70,11 @@ def lines_of(text: str) -> list[list[bytes]]:
     return [x.split() for x in text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b"\n")]
 
 
+def span_of(n_words: int) -> int:
+    """The words in which a template of so many must be held."""
+    return n_words + math.ceil(SLACK * n_words)
+
+
 class Templates:
     """Templates with their words in global order, rarest first, and the index of their prefixes."""
 
@@ -82,12 +91,32 @@ class Templates:
             for at, r in enumerate(order[: len(order) - self.need[t] + 1]):
                 self.prefix.setdefault(name[r], []).append((t, at))
         self.first = frozenset(self.prefix)
-        self.block = 2 * max([1, *(sum(map(len, lines_of(t))) for _, t in templates)])
+        self.span = [span_of(sum(map(len, lines_of(t)))) for _, t in templates]
+        self.block = 2 * max([1, *self.span])
         self.phrases = [(tuple(p.encode().split()), label) for p, label in PHRASES.items()]
         self.last = frozenset(p[-1] for p, _ in self.phrases)
 
+    def densest(self, block: list[bytes], t: int) -> int:
+        """The most distinct words of a template in a run of its span."""
+        words, span = self.sets[t], self.span[t]
+        at = [k for k, w in enumerate(block) if w in words]
+        if not at or at[-1] - at[0] < span:
+            return len({block[k] for k in at})
+        held: dict[bytes, int] = {}
+        best = first = 0
+        for k in at:
+            held[block[k]] = held.get(block[k], 0) + 1
+            while at[first] <= k - span:
+                w = block[at[first]]
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+                first += 1
+            best = max(best, len(held))
+        return best
+
     def meets(self, block: list[bytes]) -> list[tuple[int, int]]:
-        """(template, words shared) of every template that the block meets."""
+        """(template, words shared in a run of its span) of every template that the block meets."""
         have = set(block)
         shared = self.first & have
         if not shared:
@@ -102,7 +131,7 @@ class Templates:
                 seen.add(t)  # w is the first word they share in global order
                 if len(have) < self.need[t] or min(len(self.order[t]) - at, len(ranks) - place[self.rank[w]]) < self.need[t]:
                     continue
-                if (n := len(self.sets[t] & have)) >= self.need[t]:
+                if len(self.sets[t] & have) >= self.need[t] and (n := self.densest(block, t)) >= self.need[t]:
                     out.append((t, n))
         return out
 
@@ -166,7 +195,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one met in the same block, and the base labels.
     score is the largest such part, or 1 with a base phrase.  A null or empty
     text has no words, no labels (empty strings) and score 0.  Repeated rows and
-    null identifiers each give a row; an empty table gives an empty result.
+    null identifiers each give a row; an empty table gives an empty result.  Very long
+    texts are read whole, window by window; other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
     told = docs.sparkSession.sparkContext.broadcast(Templates(templates, frequencies(docs, text_col, templates)))

@@ -123,19 +123,21 @@ def _license_sql() -> str:
     """The base phrases by place, and every block of licenses.license_scan against every template, without filters."""
     quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
     words = [[w.decode() for line in licenses.lines_of(t) for w in line] for _, t in licenses.TEMPLATES]
-    templates = ", ".join(f"({k}, '{label}', [{quoted(sorted(set(w)))}])" for k, ((label, _), w) in enumerate(zip(licenses.TEMPLATES, words)))
+    templates = ", ".join(f"({k}, '{label}', [{quoted(sorted(set(w)))}], {licenses.span_of(len(w))})" for k, ((label, _), w) in enumerate(zip(licenses.TEMPLATES, words)))
     phrases = ", ".join(f"([{quoted(p.split())}], '{label}')" for p, label in licenses.PHRASES.items())
-    half = max(map(len, words))
+    half = max(licenses.span_of(len(w)) for w in words)
     return rf"""
-        WITH RECURSIVE tpl(t, label, words) AS (VALUES {templates}), phrase(words, label) AS (VALUES {phrases}),
+        WITH RECURSIVE tpl(t, label, words, span) AS (VALUES {templates}), phrase(words, label) AS (VALUES {phrases}),
         part_of AS (SELECT a.t AS small, b.t AS large FROM tpl a JOIN tpl b ON len(list_intersect(a.words, b.words)) = len(a.words) AND len(a.words) < len(b.words)),
         d AS (SELECT row_number() OVER () AS k, doc_id, {_LOWER} AS x FROM documents),
         w AS (SELECT k, doc_id, x, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
         found AS (SELECT k, unnest(range(len(w.words))) AS pos, label, w.words AS words, p.words AS pw FROM w, phrase p WHERE list_has_all(w.words, p.words)),
         base AS (SELECT k, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM found WHERE words[pos + 1 : pos + len(pw)] = pw GROUP BY k),
         lines AS (SELECT k, regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM w UNION ALL SELECT k, words FROM w),
-        block AS (SELECT k, row_number() OVER () AS b, list_distinct(words[s + 1 : s + {2 * half}]) AS have FROM (SELECT *, unnest(range(0, greatest(1, len(words) - {half}), {half})) AS s FROM lines)),
-        met AS (SELECT k, b, t, label, len(list_intersect(have, words)) / len(words) AS part FROM block, tpl WHERE len(list_intersect(have, words)) >= greatest(1, ceil({licenses.CONTAINED} * len(words) - 1e-9))),
+        block AS (SELECT k, row_number() OVER () AS b, list_distinct(words[s + 1 : s + {2 * half}]) AS have, words[s + 1 : s + {2 * half}] AS run FROM (SELECT *, unnest(range(0, greatest(1, len(words) - {half}), {half})) AS s FROM lines)),
+        near AS (SELECT k, b, t, label, words, span, run FROM block, tpl WHERE len(list_intersect(have, words)) >= greatest(1, ceil({licenses.CONTAINED} * len(words) - 1e-9))),
+        dense AS (SELECT k, b, t, label, words, list_max(list_transform(range(0, greatest(1, len(run) - span + 1)), lambda s: len(list_intersect(list_distinct(run[s + 1 : s + span]), words)))) AS n FROM near),
+        met AS (SELECT k, b, t, label, n / len(words) AS part FROM dense WHERE n >= greatest(1, ceil({licenses.CONTAINED} * len(words) - 1e-9))),
         own AS (SELECT k, label FROM met m WHERE NOT EXISTS (SELECT 1 FROM met o JOIN part_of ON large = o.t WHERE o.b = m.b AND small = m.t)),
         every AS (SELECT k, label FROM own UNION SELECT k, unnest(labels) FROM base), l AS (SELECT k, array_to_string(list_sort(list(label)), ',') AS labels FROM every GROUP BY k),
         best AS (SELECT k, max(part) AS part FROM met GROUP BY k)
@@ -179,8 +181,10 @@ SQL: dict[str, str] = {
                        unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE k <> 0),
         ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
         r AS (SELECT c, turn, role, text, substr(role, 1, 1) AS x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p FROM bad JOIN ids ON ids.conv_id IS NOT DISTINCT FROM bad.conv_id),
-        own AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 AS again, lag(x) OVER (PARTITION BY c ORDER BY p) AS px FROM r),
-        fault AS (SELECT *, CASE WHEN blank THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS f FROM own),
+        own AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 AS again, lag(x) OVER (PARTITION BY c ORDER BY p) AS px FROM r),
+        fault AS (SELECT *, CASE WHEN blank THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS f FROM own),
         counts AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate,
                           count(*) FILTER (f = 3) AS truncated, count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY c),
         follows(i, x, j) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -399,7 +400,10 @@ def test_licenses_equal_brute_force(odd, odd_rows, spark, empty):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     sets = [(label, set(find(t))) for label, t in licenses.TEMPLATES]
-    size = 2 * max(len(find(t)) for _, t in licenses.TEMPLATES)
+    spans = [math.ceil(1.25 * len(find(t))) for _, t in licenses.TEMPLATES]
+    size = 2 * max(spans)
+    dense = lambda block, k: max(len(sets[k][1] & set(block[i : i + spans[k]])) for i in range(max(1, len(block) - spans[k] + 1)))
+    holds = lambda block, k: dense(block, k) >= licenses.CONTAINED * len(sets[k][1]) - 1e-9
     for x in rows:
         w = find(texts[x.doc_id])
         base = [(k, v) for p, v in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
@@ -407,15 +411,13 @@ def test_licenses_equal_brute_force(odd, odd_rows, spark, empty):
         for line in lower(texts[x.doc_id]).split("\n"):
             lw = find(line)
             for s in range(0, max(1, len(lw) - size // 2), size // 2):
-                have = set(lw[s : s + size])
-                met = [(label, t) for label, t in sets if len(t & have) >= licenses.CONTAINED * len(t) - 1e-9]
+                met = [x for k, x in enumerate(sets) if holds(lw[s : s + size], k)]
                 found |= {label for label, t in met if not any(t < u for _, u in met)}
-        # whatever the lines: every run of words as long as the longest template that holds enough of one is met, and matches hold it
-        every = {k for s in range(max(1, len(w) - size // 2 + 1)) for k, (_, t) in enumerate(sets) if len(t & set(w[s : s + size // 2])) >= licenses.CONTAINED * len(t) - 1e-9}
+        # whatever the lines: every run of a template's span that holds enough of it is met, and matches hold it
+        every = {k for k in range(len(sets)) if w and holds(w, k)}
         assert every <= {m.template for m in x.matches}
         for m in x.matches:
-            have = set(w[m.first_word : m.first_word + m.n_words])
-            assert m.containment == len(sets[m.template][1] & have) / len(sets[m.template][1]) >= licenses.CONTAINED - 1e-9
+            assert m.containment == dense(w[m.first_word : m.first_word + m.n_words], m.template) / len(sets[m.template][1]) >= licenses.CONTAINED - 1e-9
         found |= set(x.labels.split(",")) & {sets[k][0] for k in every}
         assert (x.n_words, x.n_base) == (len(w), len(base))
         assert (x.first_word, x.last_word) == (min((k for k, _ in base), default=None), max((k for k, _ in base), default=None))
@@ -670,6 +672,21 @@ def test_trees_of_random_sources():
         assert _gapless(taken) == sum(tokens)
 
 
+def test_words_that_are_scattered_are_no_notice(spark):
+    """Sentences that hold all words of a short template, but not together, have no label; a notice with a word more has."""
+    clean = [
+        "The album was released last year; a student at MIT said that the license they work under is unclear.",
+        "Apache helicopter pilots are licensed after two tests: version one is written, the other flown under supervision, with a 2 hour limit and 0 errors; the paper license follows.",
+        "A CC of the letter went out at 4 pm; by then 0 staff were licensed to work under it.",
+        "All rights of way were reserved. No part of the road is open; this was in a publication, which may be reproduced in print without asking for permission.",
+    ]
+    noted = [("mit", "It is released under the well known MIT License."), ("cc-by", "Text licensed under a CC BY 4.0 deed"), ("apache", "licensed under the Apache Software License, Version 2.0")]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate([*clean, *(t for _, t in noted)])), "doc_id long, text string")).collect()
+    labels = {r.doc_id: r.labels for r in rows}
+    assert [labels[k] for k in range(len(clean))] == [""] * len(clean)
+    assert all(label in labels[len(clean) + k].split(",") for k, (label, _) in enumerate(noted))
+
+
 def test_notices_wrapped_over_lines_are_met(spark):
     """Every template broken after every few words, with comment signs, between other lines."""
     import textwrap
