@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import whole_text
 
@@ -33,8 +34,8 @@ EDITS_PER_CHAR = 0.1
 RUN = 40
 #: Items shorter than this (normalised) bear no edits; they are searched verbatim, at word borders.
 LEAST_CHARS = 24
-#: Characters of benchmark text that are broadcast at once; a larger benchmark is searched in as many blocks as it takes.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text whose index is broadcast at once, of about 120 bytes each (50 MB); a larger benchmark is searched in as many blocks as it takes.
+BLOCK_CHARS = 400_000
 #: Shared q-grams (place in the text, place in a window) that are counted at once.
 MOST_POSTS = 1_000_000
 _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x2000)], np.uint32)
@@ -260,7 +261,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, n_windows int, edits int, start long, end long"
-    item_type = pa.int64() if "int" in benchmark.schema[item_col].dataType.simpleString() else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(benchmark, item_col, item_text_col):
         told = docs.sparkSession.sparkContext.broadcast(index)

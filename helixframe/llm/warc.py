@@ -111,6 +111,11 @@ def resolve_revisits(records: DataFrame, with_body: bool = True) -> DataFrame:
     )
     if not with_body:
         return out.drop("digest")
+    out = staged(out, "resolved")
+    # only bodies that a revisit resolved to are moved; revisits without one meet none
+    wanted = out.where("digest is not null").select("digest").distinct()
     full = records.where((F.col("kind") == RESPONSE) & (F.col("status") == 200) & F.col("body").isNotNull())
-    bodies = full.groupBy(F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest")).agg(F.first("body").alias("body"))
-    return out.join(bodies, "digest", "left").drop("digest")
+    hashed = full.select(F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest"), "body").join(wanted, "digest", "left_semi")
+    bodies = hashed.groupBy("digest").agg(F.first("body").alias("body"))
+    columns = [*(c for c in out.columns if c != "digest"), "body"]
+    return out.where("digest is not null").join(bodies, "digest", "left").select(*columns).unionAll(out.where("digest is null").withColumn("body", F.lit(None).cast(records.schema["body"].dataType)).select(*columns))

@@ -704,6 +704,22 @@ def test_notices_wrapped_over_lines_are_met(spark):
         assert any(m.template == number for m in x.matches)
 
 
+@pytest.mark.parametrize("kind,values", [("int", [7, 9]), ("decimal(10,2)", ["7.25", "9.50"]), ("binary", [b"a", b"b"]), ("date", ["2024-01-02", "2024-01-03"]), ("string", ["x", "y"])])
+def test_items_of_any_identifier_are_found_in_blocks(spark, monkeypatch, kind, values):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    r = random.Random(8)
+    items = [" ".join(words(r, 25)) for _ in values]
+    bench = spark.createDataFrame([(str(v) if not isinstance(v, bytes) else v.decode(), t) for v, t in zip(values, items)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    docs = spark.createDataFrame([(1, "before " + items[0] + " after"), (2, items[1]), (3, " ".join(words(r, 60)))], "doc_id long, text string")
+    found = decontaminate.leaks(docs, bench)
+    assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    want = {x.text: x.item_id for x in bench.collect()}
+    assert {(x.doc_id, x.item_id if not isinstance(x.item_id, bytearray) else bytes(x.item_id)) for x in found.collect()} == {(k + 1, want[t] if not isinstance(want[t], bytearray) else bytes(want[t])) for k, t in enumerate(items)}
+    assert [x.doc_id for x in decontaminate.without_leaks(docs, bench).collect()] == [3]
+
+
 def test_parts_of_items_and_short_items_are_found():
     r = random.Random(22)
     item = " ".join(words(r, 80))
