@@ -15,31 +15,56 @@ from pyspark.sql import functions as F
 
 from ..staging import staged
 
-#: Bases of a bin.
+#: Bases of a bin, and bits by which bins grow from one level to the next.
 BIN = 4096
+LEVEL_BITS = 3
 
 
-def _binned(df: DataFrame, start: str, stop: str, width: int, every: bool = False) -> DataFrame:
-    """A row for each bin an interval touches; with ``every``, rows without an interval stay, in no bin."""
-    first = F.floor(F.col(start) / width)
+def _binned(df: DataFrame, start: str, stop: str, width: int, every: bool = False, levels: int = 1) -> DataFrame:
+    """A row for each bin an interval touches; with ``every``, rows without an interval stay, in no bin.
+
+    With several levels an interval belongs to the lowest one whose bins are as long as it
+    (the highest, if none is), and has a row for each bin it touches of that level and of those above,
+    ``_own`` and ``_level``: a few rows, however long it is.
+    """
     each = F.explode_outer if every else F.explode
-    return df.withColumn("_b0", first).withColumn("_bin", each(F.sequence(first, F.greatest(first, F.floor(F.col(stop) / width)))))
+    if levels == 1:
+        first = F.floor(F.col(start) / width)
+        return df.withColumn("_b0", first).withColumn("_bin", each(F.sequence(first, F.greatest(first, F.floor(F.col(stop) / width)))))
+    size = F.col(stop) - F.col(start)
+    own = F.lit(levels - 1)
+    for k in reversed(range(levels - 1)):
+        own = F.when(size <= width << (LEVEL_BITS * k), k).otherwise(own)
+    wide = F.lit(width) * F.pow(F.lit(2.0), F.col("_level") * LEVEL_BITS)
+    leveled = df.withColumn("_own", own).withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(levels - 1))))
+    binned = leveled.withColumn("_b0", F.floor(F.col(start) / wide))
+    return binned.withColumn("_bin", each(F.sequence(F.col("_b0"), F.greatest("_b0", F.floor(F.col(stop) / wide)))))
 
 
 def interval_join(
     left: DataFrame, right: DataFrame, on: list[str], l_start: str, l_stop: str, r_start: str, r_stop: str,
-    closed: bool = True, width: int = BIN, how: str = "inner",
+    closed: bool = True, width: int = BIN, how: str = "inner", levels: int = 1,
 ) -> DataFrame:
     """Pairs whose intervals overlap: ``[start, stop]`` if closed, else a positive common length.
 
+    With ``levels`` over 1 long intervals are in few long bins instead of many short
+    ones, and a pair meets on the level of the longer of both: for tables with intervals of
+    very different lengths.  It is for inner and left joins; a bin that many rows
+    share is split by Spark's skew join.
+
     ``on`` columns are equal; the interval columns of both sides must have
     different names.  ``how`` is inner, left, left_semi or left_anti.  A null end or
     ``on`` column overlaps nothing, so such rows stay in left and left_anti.
     """
     # rows are numbered once: what is joined back must see the same numbers
+    if levels > 1 and how not in ("inner", "left"):
+        raise ValueError("several levels are for inner and left joins")
     rows = staged(left.withColumn("_l", F.monotonically_increasing_id()), "numbered") if how == "left" else left
-    a = _binned(rows, l_start, l_stop, width).withColumnRenamed("_b0", "_lb")
-    b = _binned(right, r_start, r_stop, width).withColumnRenamed("_b0", "_rb")
+    a = _binned(rows, l_start, l_stop, width, levels=levels).withColumnRenamed("_b0", "_lb")
+    b = _binned(right, r_start, r_stop, width, levels=levels).withColumnRenamed("_b0", "_rb")
+    level = [] if levels == 1 else ["_level"]
+    if level:
+        a, b = a.withColumnRenamed("_own", "_lo"), b.withColumnRenamed("_own", "_ro")
     low, high = F.greatest(l_start, r_start), F.least(l_stop, r_stop)
     overlap = low <= high if closed else low < high
     if how in ("left_semi", "left_anti"):
@@ -56,7 +81,10 @@ def interval_join(
         found = a.withColumn("_hit", F.lit(0)).join(b.select(*on, "_bin", r_start, r_stop), [*on, "_bin"], "left")
         flag = F.max(F.when(F.col(r_start).isNotNull() & overlap, 1).otherwise(0))
         return found.groupBy("_l", *key).agg(flag.alias("_any")).where("_any = 0").select(*key)
-    pairs = a.join(b, [*on, "_bin"]).where((F.col("_bin") == F.greatest("_lb", "_rb")) & overlap).drop("_bin", "_lb", "_rb")
+    meets = (F.col("_bin") == F.greatest("_lb", "_rb")) & overlap
+    if level:
+        meets &= F.col("_level") == F.greatest("_lo", "_ro")
+    pairs = a.join(b, [*on, *level, "_bin"]).where(meets).drop("_bin", "_lb", "_rb", "_level", "_lo", "_ro")
     if how == "inner":
         return pairs
     return rows.join(pairs.select("_l", *[c for c in right.columns if c not in on]), "_l", "left").drop("_l")
@@ -161,7 +189,7 @@ def covered_fraction(targets: DataFrame, tracks: DataFrame, contig: str, start:
     """Targets with ``covered``, the part of their length that the union of ``tracks`` (same contig column, t_start, t_stop) covers; 0 for those without a length."""
     merged = islands(tracks, contig, "t_start", "t_stop").select(contig, F.col("start").alias("t_start"), F.col("stop").alias("t_stop"))
     keyed = staged(targets.withColumn("_id", F.monotonically_increasing_id()), "targets")
-    hit = interval_join(keyed.select("_id", contig, start, stop), merged, [contig], start, stop, "t_start", "t_stop", closed=False, width=width)
+    hit = interval_join(keyed.select("_id", contig, start, stop), merged, [contig], start, stop, "t_start", "t_stop", closed=False, width=width, levels=4)  # merged tracks may be long
     span = hit.groupBy("_id").agg(F.sum(F.least(stop, "t_stop") - F.greatest(start, "t_start")).alias("_bases"))
     return keyed.join(span, "_id", "left").withColumn("covered", F.coalesce(F.try_divide(F.col("_bases"), F.col(stop) - F.col(start)), F.lit(0.0))).drop("_id", "_bases")
 

@@ -52,6 +52,23 @@ def test_interval_join_equals_all_pairs(spark, closed, how):
         assert sorted(x.id for x in out.collect()) == sorted(some if how == "left_semi" else set(range(60)) - some)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("closed", [True, False])
+def test_long_and_short_intervals_meet_in_levels(spark, how, closed):
+    r = random.Random(9)
+    make = lambda n: [(a, a + r.choice([0, 3, 20, 300, 5000])) for a in (r.randrange(6000) for _ in range(n))]
+    left, right = make(120), make(90)
+    a = spark.createDataFrame([(i, "c", *x) for i, x in enumerate(left)] + [(500, "c", None, None)], "id int, contig string, ls int, le int")
+    b = spark.createDataFrame([(i, "c", *x) for i, x in enumerate(right)], "rid int, contig string, rs int, re int")
+    want = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if (max(x[0], y[0]) <= min(x[1], y[1]) if closed else max(x[0], y[0]) < min(x[1], y[1]))]
+    found = intervals.interval_join(a, b, ["contig"], "ls", "le", "rs", "re", closed, 16, how, levels=3)
+    got = sorted((x.id, -1 if x.rid is None else x.rid) for x in found.collect())
+    alone = [(i, -1) for i in [*range(120), 500] if i not in {i for i, _ in want}] if how == "left" else []
+    assert got == sorted(want + alone) and len(found.columns) == 7
+    # an interval of 5,000 bases has rows in the bins of the levels it belongs to only
+    assert intervals._binned(a.where("le - ls = 5000").limit(1), "ls", "le", 16, levels=4).count() <= 2 + 5000 // (16 * 512)
+
+
 def test_islands_keep_the_gap_out(spark):
     df = spark.createDataFrame([("c", 0, 5), ("c", 7, 9), ("c", 20, 30), ("c", 1, 40), ("d", 3, 4)], ONE)
     out = sorted((r.contig, r.start, r.stop, r.n) for r in intervals.islands(df.where("start != 1"), "contig", "start", "stop", 2).collect())
