@@ -31,7 +31,8 @@ def split_multiallelic(records: DataFrame) -> DataFrame:
 def merged_calls(calls: DataFrame, samples: list[str], missing: str = "./.") -> DataFrame:
     """(contig, pos, ref, alt, genotypes): one record for each allele over all samples, calls in the order of ``samples``."""
     one = calls.groupBy("contig", "pos", "ref", "alt").agg(F.map_from_entries(F.collect_set(F.struct("sample", "gt"))).alias("m"))
-    return one.select("contig", "pos", "ref", "alt", F.array(*[F.coalesce(F.try_element_at("m", F.lit(s)), F.lit(missing)) for s in samples]).alias("genotypes"))
+    # one expression, however many samples
+    return one.select("contig", "pos", "ref", "alt", F.transform(F.lit(samples), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(missing))).alias("genotypes"))
 
 
 def concatenated(parts: list[DataFrame], key: list[str] = ["contig", "pos", "ref", "alt"]) -> DataFrame:  # noqa: B006

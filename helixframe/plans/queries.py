@@ -244,12 +244,12 @@ def samples_of_haps(spark: SparkSession, d: str) -> DataFrame:
     return bipartite.samples_of_hap(T.edges(spark, d)).groupBy("hap").agg(F.count(F.lit(1)).alias("n_samples"))
 
 
-@query("""WITH RECURSIVE link AS (SELECT DISTINCT l_orderkey AS a, l_partkey * 100000 + l_suppkey AS b FROM lineitem WHERE l_quantity = 50),
+@query("""WITH RECURSIVE link AS (SELECT DISTINCT l_orderkey AS a, (l_partkey * 100000 + l_suppkey) * 10 + CAST(floor(l_quantity / 6) AS BIGINT) AS b FROM lineitem),
     pair AS (SELECT DISTINCT x.a AS u, y.a AS v FROM link x JOIN link y ON x.b = y.b),
     reach AS (SELECT u, v FROM pair UNION SELECT r.u, p.v FROM reach r JOIN pair p ON r.v = p.u)
     SELECT u AS read, min(v) AS component FROM reach GROUP BY u""")
 def read_components(spark: SparkSession, d: str) -> DataFrame:
-    line = T.table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("b"))
+    line = T.table(spark, d, "lineitem").select("l_orderkey", ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.floor(F.col("l_quantity") / 6)).alias("b"))
     found = bipartite.components(line, "l_orderkey", "b").where("node like 'l:%'").select(F.substr("node", F.lit(3)).cast("long").alias("read"), "component")
     least = found.groupBy("component").agg(F.min("read").alias("least"))
     return found.join(least, "component").select("read", F.col("least").alias("component"))
@@ -446,20 +446,20 @@ def split_multiallelics(spark: SparkSession, d: str) -> DataFrame:
     return variants.split_multiallelic(rows).select("id", F.col("allele").cast("long").alias("allele"), "alt", F.col("genotypes")[0].alias("gt"))
 
 
-_CALLS = """calls AS (SELECT DISTINCT l_suppkey AS pos, l_returnflag AS ref, l_linestatus AS alt, 's' || (l_linenumber % 4) AS sample FROM lineitem WHERE l_partkey % 3 = 0)"""
+_CALLS = """calls AS (SELECT DISTINCT l_partkey AS pos, l_returnflag AS ref, l_linestatus AS alt, 's' || (l_linenumber % 4) AS sample FROM lineitem)"""
 
 
 @query(f"""WITH {_CALLS} SELECT pos, ref, alt, string_agg(CASE WHEN c.sample IS NULL THEN './.' ELSE '0/1' END, ',' ORDER BY s.sample) AS gts FROM (SELECT DISTINCT pos, ref, alt FROM calls) k
     CROSS JOIN (VALUES ('s0'), ('s1'), ('s2'), ('s3'), ('s4')) s(sample) LEFT JOIN calls c USING (pos, ref, alt, sample) GROUP BY ALL""")
 def merged_call_sets(spark: SparkSession, d: str) -> DataFrame:
-    calls = T.table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.lit("c").alias("contig"), F.col("l_suppkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), F.concat(F.lit("s"), (F.col("l_linenumber") % 4).cast("string")).alias("sample"), F.lit("0/1").alias("gt"))
+    calls = T.table(spark, d, "lineitem").select(F.lit("c").alias("contig"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), F.concat(F.lit("s"), (F.col("l_linenumber") % 4).cast("string")).alias("sample"), F.lit("0/1").alias("gt"))
     return variants.merged_calls(calls, [f"s{k}" for k in range(5)]).select("pos", "ref", "alt", F.array_join("genotypes", ",").alias("gts"))
 
 
-@query("""SELECT l_suppkey AS pos, l_returnflag AS ref, l_linestatus AS alt, min(l_orderkey) AS id FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY ALL""")
+@query("""SELECT l_suppkey AS pos, l_returnflag AS ref, l_linestatus AS alt, min(l_orderkey) AS id FROM lineitem GROUP BY ALL""")
 def concatenated_call_sets(spark: SparkSession, d: str) -> DataFrame:
     rows = T.table(spark, d, "lineitem").select(F.lit("c").alias("contig"), F.col("l_suppkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), F.col("l_orderkey").alias("id"), "l_linenumber")
-    return variants.concatenated([rows.where("l_linenumber = 1").drop("l_linenumber"), rows.where("l_linenumber = 2").drop("l_linenumber")]).select("pos", "ref", "alt", "id")
+    return variants.concatenated([rows.where("l_linenumber % 2 = 1").drop("l_linenumber"), rows.where("l_linenumber % 2 = 0").drop("l_linenumber")]).select("pos", "ref", "alt", "id")
 
 
 @query("""WITH e AS (SELECT l_orderkey AS rec, list_sort(list((l_linenumber, l_returnflag, l_linestatus))) AS l FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem) GROUP BY ALL),
