@@ -163,3 +163,21 @@ def tagged_alts(spark: SparkSession, d: str) -> DataFrame:
     rows = T.table(spark, d, "lineitem").withColumns({"alt": F.when(F.col("l_returnflag") == "A", "<DEL>").otherwise("AC"), "rid": F.concat(F.element_at(F.array(F.lit("x.PBSV."), F.lit("Sniffles2."), F.lit("other.")), (F.col("l_suppkey") % 3 + 1).cast("int")), F.col("l_orderkey").cast("string"))})
     rows = rows.withColumn("tagged", V.symbolic_tag("alt", "l_partkey", "l_linenumber"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "tagged", V.symbolic_untag("tagged").alias("untagged"), V.caller_of("rid", ["pbsv", "sniffles"]).alias("caller"), F.round(S.identity(F.col("l_linenumber"), F.col("l_suppkey") % 3, F.lit(0), F.lit(0)), 9).alias("identity"))
+
+
+_KIND = "CASE WHEN flag = 'A' AND q % 3 = 0 THEN 1 WHEN flag = 'A' THEN 2 WHEN flag = 'R' AND q % 2 = 0 THEN 5 WHEN flag = 'R' THEN 8 WHEN status = 'O' THEN 4 ELSE 6 END"
+
+
+@query(f"""WITH {T.RECORDS_SQL}, k AS (SELECT *, {_KIND} AS kind, contig || ':' || pos AS here, pos + q AS e FROM rec),
+    o AS (SELECT contig, pos, ref, alt, id AS source FROM k WHERE kind IN (5, 6, 8) OR q < 20
+        UNION ALL SELECT 'chr' || regexp_extract(alt, 'CHR([0-9]+):', 1), CAST(regexp_extract(alt, ':([0-9]+)', 1) AS INT), 'N', ']' || here || ']N', id FROM k WHERE kind = 5
+        UNION ALL SELECT contig, pos, 'N', 'N[' || contig || ':' || (e + 1) || '[', id FROM k WHERE kind = 2 AND q >= 20 UNION ALL SELECT contig, e + 1, 'N', ']' || here || ']N', id FROM k WHERE kind = 2 AND q >= 20
+        UNION ALL SELECT contig, pos + 1, 'N', ']' || contig || ':' || e || ']N', id FROM k WHERE kind = 4 AND q >= 20 UNION ALL SELECT contig, e, 'N', 'N[' || contig || ':' || (pos + 1) || '[', id FROM k WHERE kind = 4 AND q >= 20
+        UNION ALL SELECT contig, pos, 'N', 'NCCCCC.', id FROM k WHERE kind = 1 AND q >= 20 UNION ALL SELECT contig, pos + 1, 'N', '.CCCCCN', id FROM k WHERE kind = 1 AND q >= 20)
+    SELECT contig, CAST(pos AS INT) AS pos, ref, alt, source FROM o""")
+def cleaned_breakends(spark: SparkSession, d: str) -> DataFrame:
+    """Mates of breakends, and breakends of long deletions, duplications and insertions; the reference's bases are unknown here."""
+    from ..operators import variants
+
+    bases = T.table(spark, d, "region").where("r_regionkey < 0").select(F.col("r_name").alias("contig"), F.lit(0).alias("pos"), F.lit("A").alias("base"))
+    return variants.cleaned_breakends(T.records(spark, d), bases, 20, 5).select("contig", "pos", "ref", "alt", "source")
