@@ -314,7 +314,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Learns from the text and language of rows whose crc32(id) mod 4 is not 2 (a
     null id counts as the empty text), scores all rows.  Rows without a language
-    or text teach nothing.  Repeated rows each count and each give a row.
+    or text teach nothing.  Repeated rows each count and each give a row.  Very long
+    texts are counted and scored whole, in blocks; other columns are not read, whatever
+    their names; an empty table gives an empty result.
     """
     model = fit(training_rows(docs, id_col, text_col, lang_col))
     found = predicted(docs, model, id_col, text_col)

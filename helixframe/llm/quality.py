@@ -173,7 +173,8 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     Fitted on at most ``most_rows`` labelled rows whose crc32(id) mod 5 is not
     0.  A null or empty text has the features of no words and gets their
     score.  With no labels every score is 1/2.  Repeated rows and null identifiers
-    each give a row; an empty table gives an empty result.
+    each give a row; an empty table gives an empty result.  Very long texts are read
+    whole; other columns are not read, whatever their names.
     """
     told = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, id_col, text_col, most_rows))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))

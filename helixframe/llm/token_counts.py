@@ -110,7 +110,8 @@ def token_counts(
 
     A null or empty text has no bytes and no tokens.  Rows with equal or null
     identifiers each give a row; other columns are not read; an empty table gives
-    an empty result.  A text that holds no stable boundary is encoded whole.
+    an empty result.  A very long text is encoded in chunks of ``chunk_chars`` characters;
+    one that holds no stable boundary is encoded whole.
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
