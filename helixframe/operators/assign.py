@@ -376,6 +376,31 @@ def clustered_reads(pairs: DataFrame, group: list[str]) -> DataFrame:
     return pairs.groupBy(*group).applyInPandas(run, f"{heads}, read {kind}, cluster {kind}")
 
 
+def representative_reads(pairs: DataFrame, group: list[str], price: float) -> DataFrame:
+    """(group, read, representative, cost) of least total cost, proven: each read is a representative, at ``price``, or goes to one it has a cost with.
+
+    ``pairs`` holds (group, a, b, cost) once or both ways (the cheaper counts); a read goes to the
+    cheapest representative, the first on a tie.  The search is that of ``joint``, with reads as
+    haplotypes that serve alone.
+    """
+    heads = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in group)
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        reads = sorted(set(pdf["a"]) | set(pdf["b"]))
+        place = {r: k for k, r in enumerate(reads)}
+        cost = np.full((len(reads), len(reads)), np.inf)
+        a, b, c = pdf["a"].map(place).to_numpy(), pdf["b"].map(place).to_numpy(), pdf["cost"].to_numpy(float)
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(cost, (x, y), c)
+        np.fill_diagonal(cost, 0.0)
+        every = np.arange(len(reads))
+        found = opening.Search(opening.Choice(cost, every, every, len(reads)), price=price).run().pairs
+        return pd.DataFrame([(*key, r, reads[k], cost[i, k]) for i, (r, k) in enumerate(zip(reads, found))], columns=[*group, "read", "representative", "cost"])
+
+    return pairs.groupBy(*group).applyInPandas(run, f"{heads}, read {kind}, representative {kind}, cost double")
+
+
 def centroid_reads(pairs: DataFrame, group: list[str]) -> DataFrame:
     """(group, read, total): the read nearest to all others by summed cost, the first on a tie; ``pairs`` holds a < b once."""
     both = pairs.select(*group, "a", "b", "cost").unionAll(pairs.select(*group, F.col("b").alias("a"), F.col("a").alias("b"), "cost"))

@@ -69,6 +69,13 @@ def reference_nodes(points: DataFrame, windows: DataFrame, interior_flank_length
     return spans.select("window_id", F.concat(F.lit("r"), F.col("at").cast("string")).alias("node"), "at", "until", F.substr(F.col("seq"), F.col("at") - F.col("start") + 1, F.col("until") - F.col("at")).alias("seq"))
 
 
+def trivial_nodes(windows: DataFrame, flank_length: int) -> DataFrame:
+    """(window_id, node, at, until, seq) of windows without records: the flanks and what lies between them, if anything does."""
+    inner = F.array("start", F.col("start") + flank_length, F.col("stop") - flank_length, "stop")
+    points = windows.select("window_id", F.explode(F.array_distinct(inner)).alias("at"))
+    return reference_nodes(points, windows)
+
+
 def alternative_nodes(records: DataFrame, acyclic: bool = False) -> DataFrame:
     """(window_id, node, seq, record): inserted and replaced sequence, equal ones at one place once; copies in acyclic graphs get ``copy_of``."""
     kind = F.col("sv_type")

@@ -281,3 +281,20 @@ def test_clusters_of_many_noisy_reads():
     pull = np.triu(pull, 1)
     label = clustering.clusters(pull + pull.T)
     assert all((label[a] == label[b]) == (true[a] == true[b]) for a in range(60) for b in range(a))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_representatives_equal_all_choices(spark, seed):
+    r = random.Random(seed)
+    rows = [(g, f"r{a}", f"r{b}", float(r.randint(1, 9))) for g in "xy" for a in range(7) for b in range(a) if r.random() < 0.6]
+    df = spark.createDataFrame(rows, "grp string, a string, b string, cost double")
+    for price in (0.5, 4.0, 12.0):
+        found = assign.representative_reads(df, ["grp"], price).collect()
+        for g in "xy":
+            cost = {(a, b): c for h, x, y, c in rows if h == g for a, b in ((x, y), (y, x))}
+            reads = sorted({a for a, _ in cost})
+            value = lambda some: price * len(some) + sum(min([cost.get((a, b), float("inf")) for b in some]) for a in reads if a not in some)  # noqa: B023, E731
+            want = min(value(some) for n in range(1, len(reads) + 1) for some in itertools.combinations(reads, n))
+            got = [x for x in found if x.grp == g]
+            assert sum(x.cost for x in got) + price * len({x.representative for x in got}) == pytest.approx(want)
+            assert all(x.cost == (0 if x.read == x.representative else cost[x.read, x.representative]) for x in got)
