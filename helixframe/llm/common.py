@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -19,10 +20,37 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Files of a table whose rows are numbered in place; their names are joined to the rows by broadcast.
+MOST_FILES = 100_000
+
+
+def is_plain_read(df: DataFrame) -> bool:
+    """Whether ``df`` is a read of files, with columns and rows left out or renamed at most, so that a row is one row of a file."""
+    lines = df._jdf.queryExecution().analyzed().toString().splitlines()
+    nodes = [x.lstrip(" +-:").split(" ", 1)[0] for x in lines if x.strip()]
+    return "_metadata" not in {c.lower() for c in df.columns} and all(x in ("Project", "Filter") for x in nodes[:-1]) and nodes[-1].startswith("Relation")
+
+
 def with_row_ids(df: DataFrame, wanted: str = "row_id") -> tuple[DataFrame, str]:
-    """``df`` as a staged table with a column that names each row, and that column's name."""
-    name = fresh_name(df, wanted)
-    return staged(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    """``df`` with a column that names each row, the same whenever it is read, and that column's name.
+
+    Rows of Parquet files are numbered by file and place in the file, so nothing is
+    copied; any other table, or one of more than MOST_FILES files, is staged with its numbers.
+    """
+    name, files = fresh_name(df, wanted), None
+    if is_plain_read(df):
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias(fresh_name(df, "file_path")), F.col("_metadata.row_index").alias(fresh_name(df, "row_index")))
+            path, row = placed.columns[-2:]
+            files = [r[0] for r in placed.select(path).distinct().limit(MOST_FILES + 1).collect()]
+        except AnalysisException:  # a format without places
+            files = None
+    if files is None or len(files) > MOST_FILES:
+        return staged(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    number = fresh_name(placed, "file_number")
+    numbered = df.sparkSession.createDataFrame([(x, k) for k, x in enumerate(sorted(files))], f"`{path}` string, `{number}` long")
+    rows = placed.join(F.broadcast(numbered), path)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(F.col(number), 40) + F.col(row)).alias(name)), name
 
 
 def whole_text(col: str) -> Column:
