@@ -77,21 +77,3 @@ def test_stages_keep_the_columns_of_odd_tables(spark, odd, tmp_path):
         docs = staged(stage(spark, docs, str(tmp_path)), name)
         if name != "pack":
             assert docs.schema == before.schema and docs.exceptAll(before).isEmpty()
-
-
-def test_rows_of_files_are_numbered_in_place(spark, odd, tmp_path):
-    """The same numbers whenever they are read, nothing copied; other tables are staged."""
-    from helixframe.llm.common import is_plain_read, with_row_ids
-    from pyspark.sql import functions as F
-
-    odd.repartition(3).write.parquet(f"{tmp_path}/odd")
-    read = spark.read.parquet(f"{tmp_path}/odd")
-    rows, name = with_row_ids(read)
-    assert name == "_row_id" and rows.columns == [*read.columns, name] and is_plain_read(read) and is_plain_read(read.where("doc_id > 2"))
-    first, again = rows.collect(), rows.repartition(2).orderBy(F.rand(1)).collect()
-    assert len({r[name] for r in first}) == len(first) == odd.count()
-    assert sorted(map(repr, first)) == sorted(map(repr, again))
-    for other in (odd, read.union(read), read.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), read.join(read.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"))):
-        assert not is_plain_read(other)
-        found, name = with_row_ids(other)
-        assert found.select(name).distinct().count() == found.count() == other.count()
