@@ -30,7 +30,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, staged, whole_text
+from .common import fold_of, staged, whole_text, with_row_ids
 
 ORDER = 3
 #: (language, gram) rows of a shard.  More only where one language has more after one byte, at most 2 ** 24.
@@ -239,9 +239,8 @@ def _scores(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nd
     return names, value, rate
 
 
-def _joined_scores(rows: DataFrame, models: Models) -> DataFrame:
-    """doc_id, lang_pred, score and bits_per_byte of ``rows`` (doc_id, text), with the models in several shards."""
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+def _joined_bits(rows: DataFrame, models: Models) -> DataFrame:
+    """row, lang_pred, score and bits_per_byte of the ``rows`` (row, text) that hold a letter, with the models in several shards."""
     parts = None
     for told in models.shards:
 
@@ -263,7 +262,13 @@ def _joined_scores(rows: DataFrame, models: Models) -> DataFrame:
     by_lang = parts.groupBy("row", "lang").agg(F.sum("bits").alias("bits"), F.max("mass").alias("mass"), F.max("size").alias("size"))
     found = by_lang.groupBy("row").agg(F.min(F.struct("bits", "lang", "size")).alias("best"), F.collect_list(F.struct("bits", "mass")).alias("all"))
     share = F.aggregate("all", F.lit(0.0), lambda x, y: x + y["mass"] * F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.col("best.bits") - y["bits"])))
-    found = found.select("row", F.col("best.lang").alias("lang_pred"), (1 / share).alias("score"), (F.col("best.bits") / F.col("best.size")).alias("bits_per_byte"))
+    return found.select("row", F.col("best.lang").alias("lang_pred"), (1 / share).alias("score"), (F.col("best.bits") / F.col("best.size")).alias("bits_per_byte"))
+
+
+def _joined_scores(rows: DataFrame, models: Models) -> DataFrame:
+    """doc_id, lang_pred, score and bits_per_byte of ``rows`` (doc_id, text), with the models in several shards."""
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+    found = _joined_bits(rows.select("row", "text"), models)
     return rows.select("doc_id", "row").join(found, "row", "left").select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("bits_per_byte", F.lit(0.0)).alias("bits_per_byte"))
 
 
@@ -292,9 +297,13 @@ def predicted(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
 def with_language(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is not ``und``; where no language was learned, all that hold a letter.
 
-    With one shard or more, any text that holds a letter has a shortest code, so the rows are the same by letters alone.
+    The language is that of the models, in one shard or more.
     """
-    told, at = models.shards[0] if len(models.shards) == 1 else None, docs.columns.index(text_col)
+    if len(models.shards) > 1:
+        rows, row = with_row_ids(docs, "row")
+        named = _joined_bits(rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")), models).where(F.col("lang_pred") != UNKNOWN)
+        return rows.join(named.select(F.col("row").alias(row)), row, "left_semi").drop(row)
+    told, at = models.shards[0] if models.shards else None, docs.columns.index(text_col)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

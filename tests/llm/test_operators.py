@@ -779,3 +779,15 @@ def test_components_of_hubs_and_chains(spark):
     r.shuffle(edges)
     got = {x.node: x.root for x in components(spark.createDataFrame([e if r.random() < 0.5 else e[::-1] for e in edges], "u long, v long").repartition(5)).collect()}
     assert got == {k: 750 for k in range(750, 1250)} | {k: 0 for k in range(300)} | {k: 2000 for k in range(2000, 2041)}
+
+
+def test_rows_with_a_language_are_the_same_in_one_shard_and_in_many(spark):
+    """``und`` may be a learned language: its rows go whether the model is one shard or several."""
+    rows = [(k, "the cat sat on the mat and ran" if k % 2 else "zq xw vj kz qx", "en" if k % 2 else "und") for k in range(20)]
+    docs = spark.createDataFrame([*rows, (20, "12 34", None), (21, None, None)], "doc_id long, text string, lang string")
+    train = langid.training_rows(docs, "doc_id", "text", "lang")
+    one, many = langid.fit(train), langid.fit(train, shard_grams=20)
+    assert len(one.shards) == 1 and len(many.shards) > 1
+    kept = [sorted(tuple(r) for r in langid.with_language(docs, m).collect()) for m in (one, many)]
+    assert kept[0] == kept[1] and {r[0] for r in kept[0]} == set(range(1, 20, 2))
+    assert langid.with_language(docs, many).columns == docs.columns
