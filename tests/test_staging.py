@@ -36,3 +36,11 @@ def test_staged_tables_can_be_forgotten(spark):
     assert not folder.exists()
     staging.forget(spark)  # nothing is left to delete
     assert staging.staged(spark.range(3), "numbers").count() == 3
+
+
+def test_large_staged_tables_are_not_broadcast(spark):
+    """Files of a few hundred kilobytes may hold a hundred times as many bytes of rows."""
+    made = lambda n: staging.staged(spark.range(n).selectExpr("id", "repeat('same ', 20) AS s"), "rows")
+    joins = lambda n: made(n).join(spark.range(n * 10).repartition(2), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joins(100)
+    assert "SortMergeJoin" in joins(300_000) and "BroadcastHashJoin" not in joins(300_000)
