@@ -298,3 +298,12 @@ def test_representatives_equal_all_choices(spark, seed):
             got = [x for x in found if x.grp == g]
             assert sum(x.cost for x in got) + price * len({x.representative for x in got}) == pytest.approx(want)
             assert all(x.cost == (0 if x.read == x.representative else cost[x.read, x.representative]) for x in got)
+
+
+def test_edges_of_a_cohort_are_not_broadcast(spark):
+    """An exploded table and a semi-joined one look as small as the orders to Spark, so the driver held them whole."""
+    from helixframe.plans import solver_queries
+
+    edges = solver_queries.cohort(spark, "/root/testdata/sf0.001")
+    for of in (edges, assign.kept_reads(edges, ["win"]), assign.pruned_to_least_distance(edges, ["win"])):
+        assert "BroadcastHashJoin" not in assign.pair_costs(of, ["win"])._jdf.queryExecution().executedPlan().toString()
