@@ -354,11 +354,13 @@ def path_records(steps: DataFrame, nodes: DataFrame, ref: DataFrame, windows: Da
     for side in ("_a", "_z"):
         place = ref.select("window_id", F.col("node").alias(f"{side}n"), F.struct("contig", "at", "until").alias(f"{side}p"))
         ends = ends.withColumn(f"{side}n", F.col(f"{side}.node")).join(place, ["window_id", f"{side}n"], "left").drop(f"{side}n")
-    known = ends.where("_ap is not null or _zp is not null").join(windows.select("window_id", F.col("start").alias("_ws"), F.col("seq").alias("_wq")), "window_id")
+    known = ends.where("_ap is not null or _zp is not null")
     # the steps between the ends that are on the reference
     inner = steps.join(known.select(*by, F.col("_a.step").alias("_s0"), F.col("_z.step").alias("_s1"), F.col("_ap").isNotNull().alias("_ra"), F.col("_zp").isNotNull().alias("_rz")), by)
     inner = inner.where(((F.col("step") > F.col("_s0")) | ~F.col("_ra")) & ((F.col("step") < F.col("_s1")) | ~F.col("_rz"))).select(*by, "step", "node", "rev")
     k = known.join(spelled(inner, nodes, by).withColumnRenamed("seq", "_in"), by, "left").withColumn("_in", F.coalesce("_in", F.lit("")))
+    # the window's bases come last, so no shuffle carries them for each path
+    k = k.join(windows.select("window_id", F.col("start").alias("_ws"), F.col("seq").alias("_wq")), "window_id")
     back = F.when(F.col("_in") == "", "").otherwise(S.reverse_complement(F.coalesce(F.nullif("_in", F.lit("")), F.lit("A"))))
     base = lambda at: F.substr(F.col("_wq"), at - F.col("_ws") + 1, F.lit(1))  # noqa: E731  of a place from 0
     between = lambda lo, hi: F.substr(F.col("_wq"), lo - F.col("_ws") + 1, hi - lo)
