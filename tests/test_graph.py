@@ -148,3 +148,34 @@ def test_signatures_equal_enumeration(spark):
     for k in (0, 1, 2, 3):
         want = sorted("".join(x + "," for x in sorted(strings((n, False), k) + strings((n, True), k))) for n in bases)
         assert [r.signature for r in graph.spelled_signatures(nodes, edges, k).collect()] == [want]
+
+
+def test_records_meet_their_nodes_and_paths_in_few_joins(spark):
+    """Each join of rows that carry a record's name is a shuffle of them all."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ref = spark.createDataFrame([("w", "r0", 0, 5), ("w", "r5", 5, 9), ("w", "r9", 9, 12)], "window_id string, node string, at int, until int")
+        records = spark.createDataFrame([("w", "d", 5, 9, 4, 2)], "window_id string, record string, first int, second int, sv_length int, sv_type int")
+        alt = spark.createDataFrame([], "window_id string, record string, node string")
+        edges = graph.record_edges(records, ref, alt)
+        assert [(r.record, r.edge.a, r.edge.b) for r in edges.collect()] == [("d", "r0", "r9")]
+        joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        assert joins(edges) <= 3
+        placed = spark.createDataFrame([("w", "p", 0, "r0", False, 0, 5), ("w", "p", 1, "r9", False, 5, 8)], "window_id string, path string, step int, node string, rev boolean, n0 int, n1 int").withColumn("size", F.lit(8))
+        by = ["window_id", "path"]
+        named = spark.createDataFrame([("w", "d", 0, ("r0", False, "r9", False))], "window_id string, record string, rank int, edge struct<a:string,a_rev:boolean,b:string,b_rev:boolean>")
+        spans = graph.record_spans(graph.path_edges(placed, by, ["n1", "size"]), named, None, by, 2)
+        assert [tuple(r) for r in spans.collect()] == [("w", "p", "d", 3, 7)]
+        assert joins(spans) <= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_span_counters_are_those_of_joined_operations(spark):
+    from helixframe.functions import sequences as S
+    from helixframe.operators import alignments
+
+    rows = spark.createDataFrame([("3=2X4=1I2D5=", 0, 2, 10), ("4=", 0, 4, 9), ("4=2I", 0, 4, 4), ("4=", 0, 6, 9)], "cigar string, at int, p0 int, p1 int")
+    got = rows.select("p0", "p1", alignments.span_counters(S.cigar("cigar"), "at", "p0", "p1").alias("c")).select("p0", "p1", "c.*")
+    assert [tuple(r) for r in got.collect()] == [(2, 10, 5, 5, 4), (4, 9, 1, 0, 0), (4, 4, 2, 0, 2), (6, 9, 0, 0, 0)]
