@@ -104,3 +104,16 @@ def test_best_walks_are_among_all_walks(spark):
     reads = spark.createDataFrame([("w", _spell(nodes, w)) for w in walks], "window_id string, seq string")
     found = {x.path for x in graph_alignment.best_walks(reads, ndf, edf, sdf).select(S.path_text("path").alias("path")).collect()}
     assert found <= listed and len(found) == len({_spell(nodes, w) for w in walks})
+
+
+def test_a_read_that_one_walk_spells_needs_no_numbers(monkeypatch):
+    nodes = {"a": "ACGT", "x": "A", "y": "C", "z": "GG"}
+    edges = [("a", False, "x", False), ("a", False, "y", False), ("x", False, "z", False), ("y", False, "z", False)]
+    graph = graph_alignment.WindowGraph(nodes, edges, ["a"])
+    tied = graph_alignment.WindowGraph(nodes | {"y": "A"}, edges, ["a"])
+    steps = tied.best_walk("ACGTAGG")
+    monkeypatch.setattr(graph_alignment.WindowGraph, "_banded", lambda *a: (9, []))
+    assert graph.best_walk("acgtcgg") == (0, [("a", False), ("y", False), ("z", False)])
+    assert graph.best_walk("ACGTGG") == (9, [])
+    # two walks spell it, so the numbers decide as before
+    assert steps == (0, [("a", False), ("x", False), ("z", False)]) and tied.best_walk("ACGTAGG") == (9, [])
