@@ -41,3 +41,18 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_coverage_of_lines_with_one_key_on_the_same_days(spark, tmp_path):
+    """The SQL groups by key, start and stop: such lines are one record with the sum of their parts."""
+    import duckdb
+    from helixframe.plans import queries as plans
+
+    rows = [(1, 1, 7, 10.0, "N"), (1, 1, 7, 10.0, "N"), (1, 1, 8, 10.0, "A"), (2, 1, 7, 10.0, "N"), (3, 1, 7, 5.0, "R"), (1, 1, 7, 9.0, "N")]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string").selectExpr("*", "timestamp_ntz'1995-01-02' AS l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.record_id, r.covered) for r in plans.track_coverage(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(db.execute(plans.SQL["track_coverage"]).fetchall())
+    assert len(got) == 3
