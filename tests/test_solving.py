@@ -307,3 +307,10 @@ def test_edges_of_a_cohort_are_not_broadcast(spark):
     edges = solver_queries.cohort(spark, "/root/testdata/sf0.001")
     for of in (edges, assign.kept_reads(edges, ["win"]), assign.pruned_to_least_distance(edges, ["win"])):
         assert "BroadcastHashJoin" not in assign.pair_costs(of, ["win"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_sample_are_shuffled_as_edges_only(spark):
+    edges = spark.createDataFrame([(s, f"{s}{r}", h, r + k) for s in "ab" for r in range(3) for k, h in enumerate("xyz")], "sample string, read string, hap string, weight int")
+    best = assign.feasible(edges)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # one each for both sides of a join, the same one
+    assert [(r.sample, r.hap1, r.hap2, r.n_reads, r.cost) for r in best.orderBy("sample").collect()] == [("a", "x", "x", 3, 3), ("b", "x", "x", 3, 3)]
