@@ -7,8 +7,11 @@ import time
 import numpy as np
 import pytest
 from helixframe.operators import assign, bipartite, clustering, opening
+from helixframe.plans import tables as T
 from helixframe.plans.workflows import MergeConfig, solve
 
+from .conftest import TESTDATA
+
 EDGES = "sample string, read string, hap string, weight double"
 
 
@@ -314,3 +317,11 @@ def test_pairs_of_a_sample_are_shuffled_as_edges_only(spark):
     best = assign.feasible(edges)
     assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # one each for both sides of a join, the same one
     assert [(r.sample, r.hap1, r.hap2, r.n_reads, r.cost) for r in best.orderBy("sample").collect()] == [("a", "x", "x", 3, 3), ("b", "x", "x", 3, 3)]
+
+
+def test_edges_stay_dealt(spark):
+    """Adaptive execution would make one partition of these."""
+    edges = T.edges(spark, TESTDATA)
+    assert edges.rdd.getNumPartitions() == T.spread(T.table(spark, TESTDATA, "lineitem")) >= 16
+    for found in (bipartite.locally_dominated(edges, 5.0), bipartite.one_hap_samples(edges, 5.0), bipartite.two_hap_samples(edges, 5.0), bipartite.compressed_reads(edges)[0]):
+        assert found.rdd.getNumPartitions() == 4
