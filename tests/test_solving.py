@@ -325,3 +325,26 @@ def test_edges_stay_dealt(spark):
     assert edges.rdd.getNumPartitions() == T.spread(T.table(spark, TESTDATA, "lineitem")) >= 16
     for found in (bipartite.locally_dominated(edges, 5.0), bipartite.one_hap_samples(edges, 5.0), bipartite.two_hap_samples(edges, 5.0), bipartite.compressed_reads(edges)[0]):
         assert found.rdd.getNumPartitions() == 4
+
+
+def test_components_shuffle_links_between_left_nodes_only(spark):
+    """A right node of one left node links nothing, and chains in the order of names end in a few rounds."""
+    rows = [(k, 1000 + k) for k in range(50)] + [(k + 1, 1000 + k) for k in range(49)] + [(100, 5), (200, 6), (300, 6), (200, 6), (300, 7), (150, 7), (None, 6)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    assert {(r.u, r.v) for r in bipartite.linked(df.where("a >= 100"), "a", "b").collect()} == {(200, 300), (150, 300)}
+    found = {r.node: r.component for r in bipartite.components_of_left(df, "a", "b").collect()}
+    assert found == {**{k: 0 for k in range(50)}, 100: 100, 150: 150, 200: 150, 300: 150}
+
+
+def test_components_of_random_links(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(120), r.randrange(100)) for _ in range(130)]
+    least = {a: a for a, _ in rows}
+    for _ in rows:
+        of = {}
+        for a, b in rows:
+            of[b] = min(of.get(b, a), least[a])
+        for a, b in rows:
+            least[a] = min(least[a], of[b])
+    found = bipartite.components_of_left(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()
+    assert {x.node: x.component for x in found} == least
