@@ -348,3 +348,18 @@ def test_components_of_random_links(spark):
             least[a] = min(least[a], of[b])
     found = bipartite.components_of_left(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()
     assert {x.node: x.component for x in found} == least
+
+
+def test_curves_of_few_haps_try_all_sets(monkeypatch):
+    r = np.random.default_rng(5)
+    for k in range(12):
+        haps = int(r.integers(2, 6))
+        one, two = np.array([(i, j) for i in range(haps) for j in range(i, haps)]).T
+        cost = np.where(r.random((5, len(one))) < 0.3, np.inf, r.integers(1, 30, (5, len(one))).astype(float))
+        tried = assign.Curve(opening.Choice(cost, one, two, haps))
+        assert tried.sets is not None
+        with monkeypatch.context() as m:
+            m.setattr(assign, "FEW_HAPS", 0)
+            searched = assign.Curve(opening.Choice(cost, one, two, haps))
+            assert (tried.n_min, tried.n_max) == (searched.n_min, searched.n_max)
+            assert [tried.at(n)[0] for n in range(1, haps + 1)] == [searched.at(n)[0] for n in range(1, haps + 1)]
