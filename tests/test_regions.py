@@ -36,3 +36,15 @@ def test_only_files_of_the_bins_are_read(spark, laid):
     table = spark.read.parquet(path)
     dirs = lambda df: {f.rsplit("/", 1)[0] for (f,) in df.select(F.input_file_name()).distinct().collect()}
     assert len(dirs(table.where((F.col("_contig") == "a") & F.col("_bin").isin(bins)))) <= len(bins) < len(dirs(table))
+
+
+def test_small_bins_share_a_folder(spark, tmp_path):
+    """A row in each of 1,024 small bins: one folder for 64 of them, and a region still reads its own bins' rows alone."""
+    rows = spark.range(1 << 10).select("id", F.lit("a").alias("contig"), F.shiftleft("id", 17).alias("start"), (F.shiftleft("id", 17) + 9).alias("stop"))
+    path = f"{tmp_path}/alignments"
+    regions.write_by_region(rows, path)
+    folders = {f.rsplit("/", 1)[0] for (f,) in spark.read.parquet(path).select(F.input_file_name()).collect()}
+    assert len(folders) == 16
+    found = regions.read_region(spark, path, "a", 5 << 17, (7 << 17) + 1)
+    assert sorted(r.id for r in found.collect()) == [5, 6, 7]
+    assert "_place" in found._jdf.queryExecution().executedPlan().toString()
