@@ -179,3 +179,16 @@ def test_span_counters_are_those_of_joined_operations(spark):
     rows = spark.createDataFrame([("3=2X4=1I2D5=", 0, 2, 10), ("4=", 0, 4, 9), ("4=2I", 0, 4, 4), ("4=", 0, 6, 9)], "cigar string, at int, p0 int, p1 int")
     got = rows.select("p0", "p1", alignments.span_counters(S.cigar("cigar"), "at", "p0", "p1").alias("c")).select("p0", "p1", "c.*")
     assert [tuple(r) for r in got.collect()] == [(2, 10, 5, 5, 4), (4, 9, 1, 0, 0), (4, 4, 2, 0, 2), (6, 9, 0, 0, 0)]
+
+
+def test_points_stay_dealt_by_window(spark):
+    """With a number of partitions, points, nodes and dangling ends equal those without, in partitions that are not merged."""
+    windows = spark.range(40).select(F.col("id").alias("window_id"), F.lit(0).alias("start"), F.lit(100).alias("stop"), F.repeat(F.lit("ACGTA"), 20).alias("seq"))
+    records = spark.range(400).select((F.col("id") % 40).alias("window_id"), (F.col("id") % 37 + 1).cast("int").alias("first"), (F.col("id") % 53 + 40).cast("int").alias("second"))
+    plain = graph.reference_nodes(graph.breakpoints(records, windows), windows)
+    points = graph.breakpoints(records, windows, 7)
+    assert points.rdd.getNumPartitions() == 7
+    nodes = graph.reference_nodes(points, windows)
+    found, want = graph.dangling(nodes, graph.reference_edges(nodes), 7), graph.dangling(plain, graph.reference_edges(plain))
+    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
