@@ -363,3 +363,32 @@ def test_curves_of_few_haps_try_all_sets(monkeypatch):
             searched = assign.Curve(opening.Choice(cost, one, two, haps))
             assert (tried.n_min, tried.n_max) == (searched.n_min, searched.n_max)
             assert [tried.at(n)[0] for n in range(1, haps + 1)] == [searched.at(n)[0] for n in range(1, haps + 1)]
+
+
+def test_an_error_in_a_component_is_an_error_of_the_job(spark):
+    """It used to be rows without pairs, whose windows then went missing from what optimize assigns."""
+    from pyspark.errors import PythonException
+
+    df = spark.createDataFrame([(w, *x) for w in "ab" for x in _random(1, haps=3)], "window string, " + EDGES)
+    full = assign._full_pairs(df, ["window"])
+
+    def solve(choice, pdf):
+        if pdf["window"].iloc[0] == "b":
+            raise ValueError("no result for b")
+        return opening.Search(choice, price=1.0).run().pairs, True
+
+    with pytest.raises(PythonException, match="no result for b"):
+        assign._per_component(full, ["window"], solve).collect()
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_optimize_leaves_no_window_out(spark, monkeypatch, compress):
+    """Without a deadline a solution that is not proven is an error, not a window less."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(w, *x) for w in "ab" for x in _random(1, haps=3)], "window string, " + EDGES)
+    joint = assign.joint
+    monkeypatch.setattr(assign, "joint", lambda *a, **k: joint(*a, **k).withColumn("status", F.when(F.col("window") == "b", "FAILED").otherwise(F.col("status"))))
+    with pytest.raises(Exception, match="not proven optimal"):
+        assign.optimize(df, ["window"], compress=compress).collect()
+    assert {r.window for r in assign.optimize(df, ["window"], compress=compress, deadline=60.0).collect()} == {"a"}
