@@ -3,6 +3,8 @@ from __future__ import annotations
 from helixframe.operators import graph
 from pyspark.sql import functions as F
 
+from .conftest import TESTDATA
+
 
 def test_flanks_jump_over_repeats(spark):
     spans = spark.createDataFrame([("w", 0, 100)], "w string, lo int, hi int")
@@ -192,3 +194,32 @@ def test_points_stay_dealt_by_window(spark):
     found, want = graph.dangling(nodes, graph.reference_edges(nodes), 7), graph.dangling(plain, graph.reference_edges(plain))
     assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, plain.collect()))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_path_records_are_dealt_by_window_once(spark):
+    """Each look-up of a node used to shuffle all paths, by window and node, and back by path."""
+    import re
+
+    from helixframe.plans import graph_queries
+
+    plan = graph_queries.graph_path_records(spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    assert {re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)} == {"window_id"}
+
+
+def test_look_ups_are_left_joins(spark):
+    rows = spark.createDataFrame([("w", 1, "x"), ("w", 1, "y"), ("w", 2, "z"), ("v", 1, "x"), ("w", None, "n")], "window_id string, at int, record string")
+    table = spark.createDataFrame([("w", 1, "r1"), ("w", 3, "r3"), ("u", 2, "r2")], "window_id string, at int, node string")
+    found = graph.looked_up(rows, table, ["window_id", "at"], ["node"])
+    want = rows.join(table, ["window_id", "at"], "left")
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_records_of_long_paths(spark):
+    """Steps off the reference in order, also of a path with one reference end, and a path of reference nodes only."""
+    nodes = spark.createDataFrame([("w", n, s) for n, s in (("r0", "AC"), ("r2", "GT"), ("r4", "CC"), ("x", "TTG"), ("y", "AAC"))], "window_id string, node string, seq string")
+    ref = spark.createDataFrame([("w", "r0", "c", 0, 2), ("w", "r2", "c", 2, 4), ("w", "r4", "c", 4, 6)], "window_id string, node string, contig string, at int, until int")
+    windows = spark.createDataFrame([("w", 0, "ACGTCC")], "window_id string, start int, seq string")
+    paths = {"two": ("r0", "x", "y", "r4"), "one": ("x", "y", "r4"), "plain": ("r0", "r4"), "none": ("x", "y")}
+    steps = spark.createDataFrame([("w", h, k, n, False) for h, p in paths.items() for k, n in enumerate(p)], "window_id string, hap string, step int, node string, rev boolean")
+    found = {r.hap: (r.pos, r.ref, r.alt, r.kind) for r in graph.path_records(steps, nodes, ref, windows, ["window_id", "hap"]).collect()}
+    assert found == {"two": (2, "CGT", "CTTGAAC", "replacement"), "one": (5, "C", ".TTGAACC", "single"), "plain": (2, "CGT", "C", "replacement")}
