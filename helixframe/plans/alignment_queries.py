@@ -87,7 +87,7 @@ def _blocks(found: DataFrame, *keys: str) -> DataFrame:
     SELECT node, aln, CAST(run AS BIGINT) AS run, {_COUNTERS} FROM t GROUP BY node, aln, run""")
 def graph_node_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of nodes, two for a node that a path meets twice, those of the middle node in its own direction."""
-    return _blocks(alignments.gaf_summaries(*_graph_alignments(spark, d))[0], "node", "aln", "run")
+    return _blocks(alignments.gaf_summaries(*_graph_alignments(spark, d), parts=T.spread(T.table(spark, d, "lineitem")))[0], "node", "aln", "run")
 
 
 @query(f"""WITH {_GAF}, cut AS (SELECT aln, query, op, CASE WHEN op IN ('=', 'X') THEN r0 + greatest(q0, 3) - q0 ELSE r0 END AS s, CASE WHEN op IN ('=', 'X') THEN r1 - q1 + least(q1, 35) ELSE r1 END AS e, greatest(q0, 3) AS u0, least(q1, 35) AS u1 FROM x WHERE q0 <= 35 AND 3 <= q1)
@@ -150,7 +150,7 @@ def evaluated_nodes(spark: SparkSession, d: str) -> DataFrame:
     from . import workflows
 
     rows, nodes = _graph_alignments(spark, d)
-    blocks = alignments.gaf_summaries(rows, nodes)[0].select(F.lit("w").alias("window_id"), "node", F.col("start").alias("b0"), F.col("stop").alias("b1"), "n_match", "n_mismatch", "n_insert", "n_delete")
+    blocks = alignments.gaf_summaries(rows, nodes, parts=T.spread(T.table(spark, d, "lineitem")))[0].select(F.lit("w").alias("window_id"), "node", F.col("start").alias("b0"), F.col("stop").alias("b1"), "n_match", "n_mismatch", "n_insert", "n_delete")
     found = workflows.evaluate(blocks, nodes.select(F.lit("w").alias("window_id"), "node", "seq"))
     return found.select("node", F.round("coverage", 9).alias("coverage"), F.round("identity", 9).alias("identity"))
 
