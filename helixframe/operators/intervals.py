@@ -104,7 +104,8 @@ def running(
 
     Each partition runs by itself; one row for each (contig, partition) is
     carried to the partitions after it, so a contig is never one task.  Rows without
-    a contig are one contig of their own.
+    a contig are one contig of their own.  Of a partition only the first contig (the last, if
+    backward) has something carried to it, so this is one row a partition at most and is broadcast.
     """
     rows = rows.withColumn("_v", value)
     way = (lambda c: F.col(c).desc()) if backward else F.col
@@ -113,18 +114,23 @@ def running(
     before = Window.partitionBy(contig).orderBy(way("_p")).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumn("_t", total(F.col("_t")).over(before)).where("_t is not null").select(F.col(contig).alias("_c"), F.col("_p").alias("_q"), "_t")
     totals = rows.withColumn("_o", total(F.col("_v")).over(own))
-    return totals.join(carried, F.col(contig).eqNullSafe(F.col("_c")) & (F.col("_p") == F.col("_q")), "left").withColumn(name, join(F.col("_o"), F.col("_t"))).drop("_o", "_t", "_v", "_c", "_q")
+    return totals.join(F.broadcast(carried), F.col(contig).eqNullSafe(F.col("_c")) & (F.col("_p") == F.col("_q")), "left").withColumn(name, join(F.col("_o"), F.col("_t"))).drop("_o", "_t", "_v", "_c", "_q")
 
 
 def _plus(a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
-def numbered_islands(df: DataFrame, contig: str, start: str, stop: str, gap: int) -> DataFrame:
-    """``df`` with ``_island``: the number of its island on the contig."""
-    rows = running(dealt(df, contig, start, stop), contig, [start, stop], F.col(stop), F.max, F.greatest, "_reach")
+def numbered_islands(df: DataFrame, contig: str, start: str, stop: str, gap: int, ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df`` with ``_island``: the number of its island on the contig.
+
+    ``ties`` order rows of equal ends.  Their order changes no island, but columns that all steps read are
+    shuffled once for all of them.
+    """
+    order = [start, stop, *ties]
+    rows = running(dealt(df, contig, start, stop), contig, order, F.col(stop), F.max, F.greatest, "_reach")
     new = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + F.lit(gap)), 1).otherwise(0)
-    return running(rows, contig, [start, stop], new, F.sum, _plus, "_island", inclusive=True).drop("_reach", "_p", "_k")
+    return running(rows, contig, order, new, F.sum, _plus, "_island", inclusive=True).drop("_reach", "_p", "_k")
 
 
 def merged_strict(df: DataFrame, contig: str, start: str, stop: str) -> DataFrame:
@@ -144,7 +150,8 @@ def islands(df: DataFrame, contig: str, start: str, stop: str, gap: int = 0, fla
     A member joins the island when its start is at most ``gap`` past the
     largest stop so far; an island's own stop leaves the gap out.
     """
-    numbered = numbered_islands(df, contig, start, stop, gap)
+    own = [flag] if flag else []
+    numbered = numbered_islands(df.select(contig, start, stop, *own), contig, start, stop, gap, own)  # other columns would be staged and shuffled too
     aggs = [F.min(start).alias("start"), F.max(stop).alias("stop"), F.count(F.lit(1)).alias("n")]
     if flag:
         aggs.append(F.max(F.col(flag).cast("int")).cast("boolean").alias("any_flag"))

@@ -6,6 +6,8 @@ import pytest
 from helixframe.operators import intervals
 from pyspark.sql import functions as F
 
+from .conftest import TESTDATA
+
 ONE = "contig string, start int, stop int"
 
 
@@ -179,3 +181,17 @@ def test_balanced_classes_over_partitions(spark):
     found = metrics.balanced(df, "k", 10, F.col("v")).collect()
     want = {k: sorted(x * 7919 % 1000 for x in ids)[:40] for k, ids in (("a", range(900)), ("b", range(900, 960)), (None, range(960, 1000)))}
     assert {k: sorted(r.v for r in found if r.k == k) for k in want} == want
+
+
+def test_windows_are_counted_without_joining_them_back(spark):
+    """What is carried from part to part is broadcast, so rows stay where they are; the one merge join left is that of the intervals."""
+    from helixframe.plans import queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = intervals.numbered_islands(queries.T.intervals(spark, TESTDATA), "contig", "start", "stop", 2)
+        assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+        counted = queries.windows_with_record_counts(spark, TESTDATA)
+        assert counted._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
