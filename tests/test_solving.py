@@ -392,3 +392,17 @@ def test_optimize_leaves_no_window_out(spark, monkeypatch, compress):
     with pytest.raises(Exception, match="not proven optimal"):
         assign.optimize(df, ["window"], compress=compress).collect()
     assert {r.window for r in assign.optimize(df, ["window"], compress=compress, deadline=60.0).collect()} == {"a"}
+
+
+def test_kept_reads_and_full_pairs_are_dealt_by_sample_alone(spark):
+    """Reads were shuffled again to find those that a pair keeps, and to count those of a sample."""
+    import re
+
+    rows = [("a", 1, "x", 1), ("a", 1, "y", 2), ("a", 2, "z", 1), ("a", 3, "x", 4), ("b", 1, "x", 1), ("b", 4, "y", 1), ("b", 5, "z", 1)]
+    edges = spark.createDataFrame(rows, "sample string, read int, hap string, weight int")
+    kept, full = assign.kept_reads(edges), assign._full_pairs(edges, [])
+    for found in (kept, full):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)} == {"sample"}
+    assert sorted((r.sample, r.read) for r in kept.select("sample", "read").distinct().collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 4)]
+    assert [(r.sample, r.hap1, r.hap2, r.cost, r.all_reads) for r in full.collect()] == [("a", "x", "z", 6, 3)]
